@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from quantweft.llm import exact_dedup
+from quantweft.llm import bpe, exact_dedup, token_counts
 
 QUERIES = {
+    "op3_byte_bpe": bpe.op3_byte_bpe,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
+    "op7_token_counts": token_counts.op7_token_counts,
 }
 SQL = {
     "op6_exact_dedup": exact_dedup.OP6_SQL,
