@@ -21,6 +21,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -162,7 +163,7 @@ _encoders: dict[tuple[str, str], Encoder] = {}
 
 def slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The batch in parts of about `limit` bytes of text."""
-    size = np.cumsum(np.asarray(pa.compute.binary_length(batch.column(column)).fill_null(0)))
+    size = np.cumsum(np.asarray(pc.binary_length(batch.column(column)).fill_null(0)))
     lo = 0
     while lo < batch.num_rows:
         hi = int(np.searchsorted(size, (size[lo - 1] if lo else 0) + limit, side="right"))
