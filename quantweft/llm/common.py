@@ -9,8 +9,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Stands for a null doc_id inside the operators; put back as null in results.
-NO_ID = -(1 << 63)
+#: Ids below stand for null doc_ids inside the operators (told apart by their texts); null again in results.
+NO_ID = -(1 << 62)
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -20,14 +20,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def texts(docs: DataFrame) -> DataFrame:
     """(doc_id, text) with null ids and null texts replaced; other columns never enter an operator."""
-    return docs.select(
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text")
-    )
+    text = F.coalesce(F.col("text"), F.lit(""))
+    no_id = F.lit(NO_ID - 1) - F.shiftrightunsigned(F.xxhash64(text), 2)
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), no_id).alias("doc_id"), text.alias("text"))
 
 
 def real_id(c: Column | str) -> Column:
     c = F.col(c) if isinstance(c, str) else c
-    return F.when(c != F.lit(NO_ID), c)
+    return F.when(c >= F.lit(NO_ID), c)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -62,7 +62,3 @@ def apart(c: Column | str) -> Column:
     """
     c = F.col(c) if isinstance(c, str) else c
     return c.bitwiseXOR(F.lit(0x5DEECE66D))
-
-
-def splitmix_bucket(c: Column, n: int) -> Column:
-    return F.pmod(F.xxhash64(c), F.lit(n))
