@@ -1,11 +1,12 @@
 """Byte-level BPE encoding and decoding (operator 3).
 
-Merges of one pre-token run on a linked list of its bytes.  Each merge rank has a bucket of list positions; a
-hierarchical bitmap (64 bits a word, one level over the other) marks the ranks whose buckets hold something, so
-find-first-set from the top level gives the next rank in three steps.  Entries whose pair has changed meanwhile are
-stale and skipped.  A pre-token of n bytes takes O(n log n) whatever its length: no quadratic rescans.
+Merges run on a linked list of bytes.  Each merge rank has a bucket of list positions; a hierarchical bitmap (64 bits
+a word, one level over the other) marks the ranks whose buckets hold something, so find-first-set from the top level
+gives the next rank in three steps.  Entries whose pair has changed meanwhile are stale and skipped.  A pre-token of
+n bytes takes O(n log n) whatever its length: no quadratic rescans.  All new pre-tokens of a slice of text share one
+list and one queue (no pair crosses pre-tokens), so short ones share the cost of the queue.
 
-Encoded pre-tokens are kept in a bounded table per Python worker, so each is merged about once per worker.
+Encoded pre-tokens are kept in a bounded table per Python worker, so most are merged about once per worker.
 The rank file is read on the driver and broadcast; its size is that of the vocabulary file, whatever the corpus.
 
 Defined cases: null and empty text give no ids; null doc_id stays null; repeated rows give repeated results; an
@@ -15,7 +16,6 @@ empty table gives an empty result; other columns are ignored.  Special tokens ar
 from __future__ import annotations
 
 import base64
-import heapq
 from collections.abc import Iterator
 from itertools import chain
 
@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 from quantweft.llm import common as C
 
 #: Encoded pre-tokens kept by a worker at most, and the longest that is kept.
-KEPT, KEPT_LENGTH = 200_000, 64
-SLICE_BYTES = 4 << 20
+KEPT, KEPT_LENGTH = 600_000, 64
+SLICE_BYTES = 2 << 20
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -39,7 +39,7 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 class RankQueue:
-    """Positions by merge rank; `first` finds the lowest rank that has any."""
+    """Buckets of positions by merge rank; `first` finds the lowest rank that has one."""
 
     def __init__(self, n_ranks: int):
         self.levels = []
@@ -51,17 +51,12 @@ class RankQueue:
                 break
         self.buckets: dict[int, list[int]] = {}
 
-    def push(self, rank: int, pos: int) -> None:
-        bucket = self.buckets.get(rank)
-        if bucket is not None:
-            heapq.heappush(bucket, pos)
-            return
-        self.buckets[rank] = [pos]
+    def open(self, rank: int, bucket: list[int]) -> None:
+        self.buckets[rank] = bucket
         at = rank
         for level in self.levels:
-            bit = 1 << (at & 63)
+            before, bit = level[at >> 6], 1 << (at & 63)
             at >>= 6
-            before = level[at]
             level[at] = before | bit
             if before:
                 break
@@ -76,85 +71,109 @@ class RankQueue:
             at = (at << 6) | ((word & -word).bit_length() - 1)
         return at
 
-    def pop(self, rank: int) -> int:
-        bucket = self.buckets[rank]
-        pos = heapq.heappop(bucket)
-        if not bucket:
-            del self.buckets[rank]
-            at = rank
-            for level in self.levels:
-                bit = 1 << (at & 63)
-                at >>= 6
-                level[at] &= ~bit
-                if level[at]:
-                    break
-        return pos
+    def take(self, rank: int) -> list[int]:
+        at = rank
+        for level in self.levels:
+            bit = 1 << (at & 63)
+            at >>= 6
+            level[at] &= ~bit
+            if level[at]:
+                break
+        return self.buckets.pop(rank)
 
 
 class Encoder:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks = ranks
         self.find = regex.compile(pattern).findall
-        self.longest = max(map(len, ranks))
-        self.queue = RankQueue(max(ranks.values()) + 1)
+        self.size = size = max(ranks.values()) + 1
+        #: left id * size + right id -> rank of the two joined
+        self.joined = {}
+        for piece, rank in ranks.items():
+            for i in range(1, len(piece)):
+                a, b = ranks.get(piece[:i]), ranks.get(piece[i:])
+                if a is not None and b is not None:
+                    self.joined[a * size + b] = rank
+        self.single = np.array([ranks[bytes([b])] for b in range(256)], dtype=np.int64)
+        self.double = np.array([self.joined.get(int(a * size + b), -1) for a in self.single for b in self.single], dtype=np.int64)
+        self.queue = RankQueue(size)
         self.kept: dict[str, tuple[int, ...]] = {}
 
-    def merge(self, piece: bytes) -> tuple[int, ...]:
-        ranks = self.ranks
-        whole = ranks.get(piece)
-        if whole is not None:
-            return (whole,)
-        n = len(piece)
-        queue, longest = self.queue, self.longest
-        after = list(range(1, n + 1))  # start of the next part; n at the last
-        before = list(range(-1, n - 1))
-        pair = [-1] * n  # rank of a part with its successor
-        for i in range(n - 1):
-            r = ranks.get(piece[i : i + 2])
-            if r is not None:
-                pair[i] = r
-                queue.push(r, i)
+    def merge(self, pieces: list[bytes]) -> list[tuple[int, ...]]:
+        """The ids of each piece (none empty)."""
+        whole = [self.ranks.get(p) for p in pieces]
+        rest = [p for p, r in zip(pieces, whole, strict=True) if r is None]
+        merged = iter(self._merge(rest) if rest else ())
+        return [next(merged) if r is None else (r,) for r in whole]
+
+    def _merge(self, pieces: list[bytes]) -> list[tuple[int, ...]]:
+        data = np.frombuffer(b"".join(pieces), dtype=np.uint8).astype(np.int64)
+        n = len(data)
+        ends = np.cumsum([len(p) for p in pieces])
+        starts = np.concatenate([[0], ends[:-1]])
+        first_pairs = np.full(n, -1, dtype=np.int64)
+        first_pairs[:-1] = self.double[data[:-1] * 256 + data[1:]]
+        first_pairs[ends - 1] = -1
+        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        after[ends - 1] = -1
+        before[starts] = -1
+        queue = self.queue
+        order = np.argsort(first_pairs, kind="stable")
+        ranked = first_pairs[order]
+        edges = np.flatnonzero(np.diff(ranked)) + 1
+        for bucket in np.split(order, edges):
+            if (r := int(first_pairs[bucket[0]])) >= 0:
+                queue.open(r, bucket.tolist())
+        ids, pair, after, before = self.single[data].tolist(), first_pairs.tolist(), after.tolist(), before.tolist()
+        size, joined, buckets = self.size, self.joined.get, queue.buckets
         while (r := queue.first()) >= 0:
-            i = queue.pop(r)
-            if pair[i] != r:
-                continue  # stale
-            j = after[i]
-            after[i] = k = after[j]
-            pair[j] = -1
-            if k < n:
-                before[k] = i
-                end = after[k]
-                s = ranks.get(piece[i:end]) if end - i <= longest else None
-                pair[i] = -1 if s is None else s
-                if s is not None:
-                    queue.push(s, i)
-            else:
-                pair[i] = -1
-            h = before[i]
-            if h >= 0:
-                s = ranks.get(piece[h : after[i]]) if after[i] - h <= longest else None
-                pair[h] = -1 if s is None else s
-                if s is not None:
-                    queue.push(s, h)
-        out, i = [], 0
-        while i < n:
-            out.append(ranks[piece[i : after[i]]])
-            i = after[i]
-        return tuple(out)
-
-    def piece(self, token: str) -> tuple[int, ...]:
-        ids = self.kept.get(token)
-        if ids is None:
-            ids = self.merge(token.encode())
-            if len(token) <= KEPT_LENGTH:
-                if len(self.kept) >= KEPT:
-                    self.kept.clear()
-                self.kept[token] = ids
-        return ids
-
-    def encode(self, text: str) -> list[int]:
-        piece, kept = self.piece, self.kept
-        return list(chain.from_iterable([kept.get(t) or piece(t) for t in self.find(text)]))
+            bucket = queue.take(r)
+            bucket.sort()  # of overlapping pairs of one rank the left one merges
+            for i in bucket:
+                if pair[i] != r:
+                    continue  # stale
+                j = after[i]
+                k = after[j]
+                after[i] = k
+                ids[i], ids[j], pair[j] = r, -1, -1
+                if k >= 0:
+                    before[k] = i
+                    pair[i] = s = joined(r * size + ids[k], -1)
+                    if s >= 0:
+                        if s in buckets:
+                            buckets[s].append(i)
+                        else:
+                            queue.open(s, [i])
+                else:
+                    pair[i] = -1
+                h = before[i]
+                if h >= 0:
+                    pair[h] = s = joined(ids[h] * size + r, -1)
+                    if s >= 0:
+                        if s in buckets:
+                            buckets[s].append(h)
+                        else:
+                            queue.open(s, [h])
+        out = np.array(ids, dtype=np.int64)
+        alive = out >= 0
+        bounds = np.concatenate([[0], np.cumsum(np.add.reduceat(alive, starts, dtype=np.int64))]).tolist()
+        flat = out[alive].tolist()
+        return [tuple(flat[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+
+    def encode_all(self, texts: list[str | None]) -> list[list[int]]:
+        split = [self.find(t) if t else [] for t in texts]
+        kept = self.kept
+        new = {t for tokens in split for t in tokens if t not in kept}
+        if len(kept) + len(new) > KEPT:
+            kept.clear()
+            new = {t for tokens in split for t in tokens}
+        new = sorted(new)
+        kept.update(zip(new, self.merge([t.encode() for t in new]), strict=True))
+        out = [list(chain.from_iterable([kept[t] for t in tokens])) for tokens in split]
+        for t in new:
+            if len(t) > KEPT_LENGTH:
+                del kept[t]
+        return out
 
 
 #: Of this worker, by rank file and pattern.
@@ -189,8 +208,8 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str) -> DataFram
             encoder = _encoders[ranks_path, pattern] = Encoder(ranks.value, pattern)
         for batch in batches:
             for part in slices(batch):
-                ids = [encoder.encode(t) if t else [] for t in part.column("text").to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), _list_array(ids)], ["doc_id", "ids"])
+                ids = _list_array(encoder.encode_all(part.column("text").to_pylist()))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), ids], ["doc_id", "ids"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, ids array<int>")
 

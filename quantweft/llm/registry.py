@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from quantweft.llm import bpe, debruijn, exact_dedup, suffixes, token_counts
+from quantweft.llm import bpe, debruijn, exact_dedup, jaccard_join, suffixes, token_counts
 
 QUERIES = {
     "op2_substring_dedup": debruijn.op2_substring_dedup,
     "op3_byte_bpe": bpe.op3_byte_bpe,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
     "op7_token_counts": token_counts.op7_token_counts,
+    "op8_jaccard_join": jaccard_join.op8_jaccard_join,
     "op10_suffix_dedup": suffixes.op10_suffix_dedup,
 }
 SQL = {
     "op2_substring_dedup": debruijn.OP2_SQL,
     "op6_exact_dedup": exact_dedup.OP6_SQL,
+    "op8_jaccard_join": jaccard_join.OP8_SQL,
 }
