@@ -97,7 +97,7 @@ class Encoder:
         self.single = np.array([ranks[bytes([b])] for b in range(256)], dtype=np.int64)
         self.double = np.array([self.joined.get(int(a * size + b), -1) for a in self.single for b in self.single], dtype=np.int64)
         self.queue = RankQueue(size)
-        self.kept: dict[str, tuple[int, ...]] = {}
+        self.kept = Kept()
 
     def merge(self, pieces: list[bytes]) -> list[tuple[int, ...]]:
         """The ids of each piece (none empty)."""
@@ -161,19 +161,29 @@ class Encoder:
         return [tuple(flat[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
 
     def encode_all(self, texts: list[str | None]) -> list[list[int]]:
-        split = [self.find(t) if t else [] for t in texts]
         kept = self.kept
-        new = {t for tokens in split for t in tokens if t not in kept}
-        if len(kept) + len(new) > KEPT:
+        if len(kept) > KEPT:
             kept.clear()
-            new = {t for tokens in split for t in tokens}
-        new = sorted(new)
-        kept.update(zip(new, self.merge([t.encode() for t in new]), strict=True))
-        out = [list(chain.from_iterable([kept[t] for t in tokens])) for tokens in split]
-        for t in new:
-            if len(t) > KEPT_LENGTH:
-                del kept[t]
-        return out
+        split = [[kept[t] for t in self.find(text)] if text else [] for text in texts]
+        new, kept.new = kept.new, []
+        for token, ids in zip(new, self.merge([t.encode() for t in new]), strict=True):
+            kept[token].extend(ids)
+            if len(token) > KEPT_LENGTH:
+                del kept[token]
+        return [list(chain.from_iterable(ids)) for ids in split]
+
+
+class Kept(dict):
+    """Ids by pre-token; an unknown one gets an empty list, to be filled, and is noted in `new`."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, token: str) -> list[int]:
+        self[token] = ids = []
+        self.new.append(token)
+        return ids
 
 
 #: Of this worker, by rank file and pattern.
