@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from quantweft.llm import bpe, debruijn, exact_dedup, jaccard_join, suffixes, token_counts
+from quantweft.llm import bpe, debruijn, exact_dedup, jaccard_join, secrets, suffixes, token_counts
 
 QUERIES = {
     "op2_substring_dedup": debruijn.op2_substring_dedup,
     "op3_byte_bpe": bpe.op3_byte_bpe,
+    "op5_secret_scan": secrets.op5_secret_scan,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
     "op7_token_counts": token_counts.op7_token_counts,
     "op8_jaccard_join": jaccard_join.op8_jaccard_join,
@@ -14,6 +15,7 @@ QUERIES = {
 }
 SQL = {
     "op2_substring_dedup": debruijn.OP2_SQL,
+    "op5_secret_scan": secrets.op5_sql(),
     "op6_exact_dedup": exact_dedup.OP6_SQL,
     "op8_jaccard_join": jaccard_join.OP8_SQL,
 }
