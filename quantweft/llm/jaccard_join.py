@@ -1,17 +1,22 @@
 """N-gram Jaccard join by token-combination prefixes (operator 8).
 
 A document is the set of its distinct 4-word shingles (64-bit hashes, the tokens here).  Documents of one set are one
-*entity*.  Tokens have one global order.  If 100 |x & y| >= t |x | y| then at most e = |x| - ceil(t |x| / 100) tokens of x
-are missing from y, so of any e + 1 tokens of x one is in y.  Prefixes are extended by GROUPS tokens: rare tokens are
-signatures by themselves, frequent ones only in pairs within GROUPS token groups; e deletions can void all single tokens
-and, of each group of n, n - 1 pairs' worth, so one signature still survives, and the entity with the later prefix
-end has it too.  Entities of up to SMALL tokens have no room for the extension and use single tokens.
-
-Entities that share a signature are candidates.  They are not paired with each other: per signature all are checked
-against one hub, and the accepted links merged into components; only where a signature still joins several
-components are more hubs checked (up to HUBS a round, hash classes of the bucket, until every pair in different
-components has been), so no link between components is lost and a group of near copies costs a star, not its square.
-Checks compare whole token sets.
+*entity*.  If 100 |x & y| >= t |x | y| then x and y share at least a = ceil(t |x| / 100) tokens of x; at most e = |x| - a are
+missing from y.
+
+1. Screening, over all entities: the e + 1 + EXTRA tokens of smallest hash are a prefix of which at least EXTRA + 1 are in the
+   partner's prefix too.  Tokens are counted over prefixes; an entity with fewer shared ones has no links.
+2. Prefixes, over what is left: tokens are counted over whole sets, and those of one entity alone go.  Of the h that stay
+   at least a must be shared, so with tokens in one order, rarest first, the first h - a + 1 hold a shared one.
+   Prefixes are extended by GROUPS tokens: rare tokens are signatures by themselves, frequent ones only in pairs
+   within GROUPS token groups.  h - a deletions can void all single tokens and n - 1 of each group of n, so a whole signature
+   survives, and the partner, whose prefix ends later, has it too.  Entities of up to SMALL tokens have no room for the
+   extension; they use single tokens, and so do those that may be like them.
+3. Entities that share a signature are candidates.  They are not paired with each other: per signature all are checked
+   against one hub, and accepted links merge into components; only where a signature still joins several components
+   are more hubs checked (up to about HUBS a round, hash classes of the bucket, until every pair in different
+   components has been).  No link between components is lost, and a group of near copies costs a star, not its square.
+   Checks compare whole token sets.
 
 Defined cases: null or wordless text has an empty set, linked with nothing; shorter texts than 4 words are one shingle;
 null doc_ids stay null and count as smallest in ties; repeated rows are copies of each other; an empty table gives an
@@ -32,7 +37,7 @@ from quantweft.llm import kernels as K
 from quantweft.llm.links import components
 
 SHINGLE, PERCENT = 4, 85
-GROUPS, SMALL, FREQUENT, HUBS = 16, 24, 32, 64
+EXTRA, GROUPS, SMALL, FREQUENT, HUBS = 16, 16, 24, 32, 64
 
 
 def shingle_sets(chunk: K.Chunk, k: int, salts: frozenset[int]) -> tuple[np.ndarray, ...]:
@@ -82,15 +87,15 @@ def entity_rows(docs: DataFrame, k: int, salts: frozenset[int]) -> DataFrame:
 
 
 def prefix_rows(docs: DataFrame, k: int, percent: int, salts: frozenset[int]) -> DataFrame:
-    """(token, sid, size) of the extended prefixes."""
+    """(token, sid) of the screening prefixes."""
 
     def emit(ids, d, g, bounds, size, sid, second):
-        length = size - (percent * size + 99) // 100 + 1 + np.where(size > SMALL, GROUPS, 0)
-        length = np.minimum(np.where(size > 0, length, 0), size)
+        length = np.where(size > 0, size - (percent * size + 99) // 100 + 1 + np.where(size > SMALL, EXTRA, 0), 0)
+        length = np.minimum(length, size)
         at = np.repeat(bounds[:-1], length) + np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length)
-        return pa.RecordBatch.from_arrays([pa.array(K.signed(g[at])), pa.array(np.repeat(K.signed(sid), length)), pa.array(np.repeat(size.astype(np.int32), length))], ["token", "sid", "size"])
+        return pa.RecordBatch.from_arrays([pa.array(K.signed(g[at])), pa.array(np.repeat(K.signed(sid), length))], ["token", "sid"])
 
-    return _scan(docs, k, salts, emit, "token long, sid long, size int")
+    return _scan(docs, k, salts, emit, "token long, sid long")
 
 
 def set_rows(docs: DataFrame, k: int, salts: frozenset[int]) -> DataFrame:
@@ -102,41 +107,56 @@ def set_rows(docs: DataFrame, k: int, salts: frozenset[int]) -> DataFrame:
     return _scan(docs, k, salts, emit, "sid long, tokens binary")
 
 
-def signature_rows(prefixes: DataFrame, percent: int) -> DataFrame:
-    """(sig, sid, size) from (sid, size, tokens array<struct<token, frequent>>)."""
-    wide = SMALL * 100 // percent + 1  # an entity this small may be like one that uses single tokens
+def token_rows(sets: DataFrame) -> DataFrame:
+    """(token, sid) of whole sets (sid, tokens)."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 500):
+                part = batch.slice(lo, 500)
+                tokens = [np.frombuffer(x, np.int64) for x in part.column("tokens").to_pylist()]
+                sid = np.repeat(part.column("sid").to_numpy(), [len(x) for x in tokens])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens)), pa.array(sid)], ["token", "sid"])
+
+    return sets.mapInArrow(read, "token long, sid long")
+
+
+def signature_rows(shared: DataFrame, percent: int) -> DataFrame:
+    """(sig, sid, size) from (sid, size, tokens array<struct<n, token>>: the shared tokens and their counts)."""
+    wide = _wide(percent)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sid, size = batch.column("sid").to_numpy(), batch.column("size").to_numpy()
             lists = batch.column("tokens")
             flat, offsets = lists.flatten(), np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
-            tokens = flat.field(0).to_numpy().view(K.U64)
-            frequent = flat.field(1).to_numpy(zero_copy_only=False)
+            counts, tokens = flat.field(0).to_numpy(), flat.field(1).to_numpy().view(K.U64)
             sigs, rows = [], []
             for i in range(batch.num_rows):
-                t, f = tokens[offsets[i] : offsets[i + 1]], frequent[offsets[i] : offsets[i + 1]]
-                out = []
+                n, t = counts[offsets[i] : offsets[i + 1]], tokens[offsets[i] : offsets[i + 1]]
+                need = (percent * size[i] + 99) // 100
+                order = np.lexsort((t, n))[: len(t) - need + 1 + (GROUPS if size[i] > SMALL else 0)]
+                n, t = n[order], t[order]
                 if size[i] <= wide:
-                    out.append(t)
+                    out = [t]
+                else:
+                    out = [t[n <= FREQUENT]]
                 if size[i] > SMALL:
-                    if size[i] > wide:
-                        out.append(t[~f])
-                    t = np.sort(t[f])
-                    group = t % K.U64(GROUPS)
+                    often = t[n > FREQUENT]
+                    group = often % K.U64(GROUPS)
                     for x in range(GROUPS):
-                        mine = K.mix(t[group == x])
+                        mine = K.mix(np.sort(often[group == x]))
                         if len(mine) > 1:
                             a, b = np.triu_indices(len(mine), 1)
                             out.append(K.mix(mine[a] + K.mix(mine[b])))
-                out = np.concatenate(out) if out else np.zeros(0, K.U64)
+                out = np.concatenate(out)
                 sigs.append(out)
                 rows.append(np.full(len(out), i))
             if rows:
                 row = np.concatenate(rows)
                 yield pa.RecordBatch.from_arrays([pa.array(K.signed(np.concatenate(sigs))), pa.array(sid[row]), pa.array(size[row])], ["sig", "sid", "size"])
 
-    return prefixes.mapInArrow(read, "sig long, sid long, size int")
+    return shared.mapInArrow(read, "sig long, sid long, size long")
 
 
 def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -158,46 +178,56 @@ def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return C.materialize(joined.select("a", "b", "ta", "tb").mapInArrow(read, "a long, b long").distinct(), "links")
 
 
+def _wide(percent: int) -> int:
+    """The largest entity that may be like one that uses single tokens."""
+    return SMALL * 100 // percent + 1
+
+
 def _alike(percent: int) -> str:
     return f"100 * least(size, hub_size) >= {percent} * greatest(size, hub_size)"
 
 
+def _shared(tokens: DataFrame) -> DataFrame:
+    """The rows (token, sid) of tokens that several entities have, with n, their number of rows."""
+    counts = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.min("sid").alias("s0"), F.max("sid").alias("s1")).filter("s0 <> s1")
+    return tokens.withColumn("tx", C.apart("token")).join(counts.select(C.apart("token").alias("tx"), "n"), "tx").drop("tx")
+
+
 def entity_links(docs: DataFrame, entities: DataFrame, k: int, percent: int, salts: frozenset[int]) -> DataFrame:
     """(node, root) of the entities that are linked with another."""
-    prefix = prefix_rows(docs, k, percent, salts)
-    counts = prefix.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.min("sid").alias("s0"), F.max("sid").alias("s1")).filter("s0 <> s1")
-    counts = counts.select(C.apart("token").alias("tx"), (F.col("n") > FREQUENT).alias("frequent"))
-    hits = prefix.withColumn("tx", C.apart("token")).join(counts, "tx")
-    hits = hits.groupBy("sid", "size").agg(F.collect_set(F.struct("token", "frequent")).alias("tokens"))
-    sigs = signature_rows(C.materialize(hits, "prefixes"), percent)
+    heads = C.materialize(entities.groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.min("size").alias("size"), F.count(F.lit(1)).alias("copies")), "heads")
+    screened = _shared(prefix_rows(docs, k, percent, salts)).groupBy("sid").agg(F.count(F.lit(1)).alias("hits"))
+    heads = heads.join(screened, "sid").filter(F.col("hits") >= F.col("copies") * F.when(F.col("size") > _wide(percent), EXTRA + 1).otherwise(1))
+    heads = C.materialize(heads.select("sid", "doc_id", "size"), "screened")
+    sets = set_rows(docs.join(heads.select("doc_id"), "doc_id", "left_semi"), k, salts)
+    sets = C.materialize(sets.join(heads.select("sid"), "sid", "left_semi").dropDuplicates(["sid"]), "sets")
+    shared = _shared(token_rows(sets)).groupBy("sid").agg(F.collect_list(F.struct("n", "token")).alias("tokens"))
+    shared = shared.join(heads.select("sid", "size"), "sid").filter(F.size("tokens") >= F.ceil(F.col("size") * percent / 100))
+    sigs = signature_rows(C.materialize(shared, "shared"), percent)
     buckets = sigs.groupBy("sig").agg(F.min("sid").alias("hub"), F.max("sid").alias("other"), F.count(F.lit(1)).alias("m")).filter("hub <> other").drop("other")
     rows = sigs.withColumn("gx", C.apart("sig")).join(buckets.select(C.apart("sig").alias("gx"), "hub", "m"), "gx").drop("gx")
     rows = C.materialize(rows, "candidates")  # (sig, sid, size, hub, m)
 
-    known = rows.select("sid").distinct()
-    heads = entities.groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.min("size").alias("size"))
-    heads = C.materialize(heads.join(known, "sid"), "heads")
-    sets = C.materialize(set_rows(docs.join(heads.select("doc_id"), "doc_id", "left_semi"), k, salts), "sets")
-
     sizes = heads.select(F.col("sid").alias("b"), F.col("size").alias("hub_size"))
     first = rows.filter("sid <> hub").select(F.col("sid").alias("a"), F.col("hub").alias("b"), "size").distinct().join(sizes, "b").filter(_alike(percent)).select("a", "b")
     links = linked(first, sets, percent)
+    roots = C.materialize(components(links), "roots")
     turn = 0
     while True:
-        roots = components(links)
         # buckets that join entities of several components
         at = rows.select("sig", "sid", "size", "m", F.col("sid").alias("node")).join(roots, "node", "left").drop("node").withColumn("root", F.coalesce("root", "sid"))
         mixed = at.groupBy("sig").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.max("m").alias("m")).filter("r0 <> r1")
         mixed = mixed.filter(F.ceil(F.col("m") / HUBS) > turn).select(C.apart("sig").alias("gx"))
-        rest = C.materialize(at.withColumn("gx", C.apart("sig")).join(mixed, "gx").drop("gx"), "rest")
-        if rest.isEmpty():
+        rows = C.materialize(at.withColumn("gx", C.apart("sig")).join(mixed, "gx").select("sig", "sid", "size", "m", "root"), "rest")
+        if rows.isEmpty():
             return roots
-        hubs = rest.filter(F.pmod(F.xxhash64("sid"), F.ceil(F.col("m") / HUBS)) == turn)
+        hubs = rows.filter(F.pmod(F.xxhash64("sid"), F.ceil(F.col("m") / HUBS)) == turn)
         hubs = hubs.select(C.apart("sig").alias("gx"), F.col("sid").alias("b"), F.col("size").alias("hub_size"), F.col("root").alias("hub_root"))
-        pairs = rest.withColumn("gx", C.apart("sig")).join(hubs, "gx").filter("root <> hub_root").filter(_alike(percent))
-        pairs = pairs.select(F.least("sid", "b").alias("a"), F.greatest("sid", "b").alias("b")).distinct()
-        found = linked(pairs, sets, percent)
-        links = C.materialize(links.unionByName(found), "links")
+        pairs = rows.withColumn("gx", C.apart("sig")).join(hubs, "gx").filter("root <> hub_root").filter(_alike(percent))
+        found = linked(pairs.select(F.least("sid", "b").alias("a"), F.greatest("sid", "b").alias("b")).distinct(), sets, percent)
+        if not found.isEmpty():
+            links = links.unionByName(found)
+            roots = C.materialize(components(links), "roots")
         turn += 1
 
 
