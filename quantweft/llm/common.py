@@ -42,16 +42,21 @@ def shared_dir(spark: SparkSession) -> str:
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Writes df to the shared folder and reads it back: cuts the lineage, survives lost executors.
 
-    Shuffle files of what led to it are no longer needed; the collection lets Spark's cleaner remove them.
+    Shuffle files of steps before are no longer needed; the collections let Spark's cleaner remove them.
     """
     spark = df.sparkSession
+    _collect(spark)
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     del df
+    _collect(spark)
+    return out
+
+
+def _collect(spark: SparkSession) -> None:
     gc.collect()
     spark.sparkContext._jvm.System.gc()
-    return out
 
 
 def apart(c: Column | str) -> Column:

@@ -200,8 +200,8 @@ def entity_links(docs: DataFrame, entities: DataFrame, k: int, percent: int, sal
     heads = heads.join(screened, "sid").filter(F.col("hits") >= F.col("copies") * F.when(F.col("size") > _wide(percent), EXTRA + 1).otherwise(1))
     heads = C.materialize(heads.select("sid", "doc_id", "size"), "screened")
     sets = set_rows(docs.join(heads.select("doc_id"), "doc_id", "left_semi"), k, salts)
-    sets = C.materialize(sets.join(heads.select("sid"), "sid", "left_semi").dropDuplicates(["sid"]), "sets")
-    shared = _shared(token_rows(sets)).groupBy("sid").agg(F.collect_list(F.struct("n", "token")).alias("tokens"))
+    sets = C.materialize(sets, "sets")
+    shared = _shared(token_rows(sets)).groupBy("sid").agg(F.collect_set(F.struct("n", "token")).alias("tokens"))
     shared = shared.join(heads.select("sid", "size"), "sid").filter(F.size("tokens") >= F.ceil(F.col("size") * percent / 100))
     sigs = signature_rows(C.materialize(shared, "shared"), percent)
     buckets = sigs.groupBy("sig").agg(F.min("sid").alias("hub"), F.max("sid").alias("other"), F.count(F.lit(1)).alias("m")).filter("hub <> other").drop("other")
