@@ -71,7 +71,7 @@ def _scan(docs: DataFrame, k: int, salts: frozenset[int], emit, schema: str) ->
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
-            for chunk in K.text_chunks(batch.column("text"), lower=True):
+            for chunk in K.text_chunks(batch.column("text"), mapped=K.LOWER):
                 yield emit(ids[chunk.rows], *shingle_sets(chunk, k, salts))
 
     return docs.mapInArrow(read, schema)

@@ -49,8 +49,11 @@ def _power(base: int, n: int) -> np.ndarray:
     return have[:n]
 
 
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
+#: Byte maps for text_chunks: A-Z to a-z; besides, ASCII punctuation to spaces.
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
+PLAIN = LOWER.copy()
+PLAIN[[b for b in range(33, 127) if not chr(b).isalnum()]] = 32
 
 
 class Chunk:
@@ -66,7 +69,7 @@ class Chunk:
         return self.buf[self.offsets[i] : self.offsets[i + 1]].tobytes()
 
 
-def text_chunks(column: pa.Array, limit: int = CHUNK_BYTES, lower: bool = False) -> Iterator[Chunk]:
+def text_chunks(column: pa.Array, limit: int = CHUNK_BYTES, mapped: np.ndarray | None = None) -> Iterator[Chunk]:
     """Splits a string column into chunks of about `limit` bytes; nulls are empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
@@ -82,7 +85,7 @@ def text_chunks(column: pa.Array, limit: int = CHUNK_BYTES, lower: bool = False)
         hi = int(np.searchsorted(offsets, offsets[lo] + limit, side="right")) - 1
         hi = min(n, max(lo + 1, hi))
         part = whole[offsets[lo] : offsets[hi]]
-        yield Chunk(np.arange(lo, hi), _LOWER[part] if lower else part, offsets[lo : hi + 1] - offsets[lo])
+        yield Chunk(np.arange(lo, hi), part if mapped is None else mapped[part], offsets[lo : hi + 1] - offsets[lo])
         lo = hi
 
 

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from quantweft.llm import bpe, debruijn, exact_dedup, jaccard_join, quality, secrets, suffixes, token_counts, toxicity
+from quantweft.llm import bpe, debruijn, decontamination, exact_dedup, jaccard_join, quality, secrets, suffixes, token_counts, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
     "op2_substring_dedup": debruijn.op2_substring_dedup,
     "op3_byte_bpe": bpe.op3_byte_bpe,
+    "op4_decontamination": decontamination.op4_decontamination,
     "op5_secret_scan": secrets.op5_secret_scan,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
     "op7_token_counts": token_counts.op7_token_counts,

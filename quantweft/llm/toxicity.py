@@ -263,6 +263,18 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(read, "doc_id long, score double")
 
 
+def civil(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
+    """The rows of docs, all columns, that score below the threshold."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(model)
+        for batch in batches:
+            for part in slices(batch):
+                yield part.filter(pa.array([scorer.score(t) < threshold for t in part.column("text").to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(read, docs.schema)
+
+
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = C.table(spark, sf_dir, "documents")
     scored = score(docs, fit(docs, C.table(spark, sf_dir, "labels")))
