@@ -20,6 +20,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,6 +32,11 @@ THRESHOLD = 0.5
 BLOCK_WORDS = 1_000_000
 
 
+def _plain(column: pa.Array) -> Iterator[K.Chunk]:
+    """Texts in small letters of any alphabet, ASCII punctuation as spaces."""
+    return K.text_chunks(pc.utf8_lower(column), mapped=K.PLAIN)
+
+
 @dataclass
 class Items:
     """A block of benchmark items."""
@@ -47,7 +53,7 @@ class Items:
     def of(rows: list[tuple]) -> Items:
         ids, words, gram, item, at = [], [], [], [], []
         for item_id, text in rows:
-            for chunk in K.text_chunks(pa.array([text], pa.string()), mapped=K.PLAIN):
+            for chunk in _plain(pa.array([text], pa.string())):
                 w = K.Words(chunk)
                 n = max(0, len(w.start) - N + 1)
                 gram.append(w.grams(N)[:n])
@@ -96,7 +102,7 @@ def frequencies(docs: DataFrame, grams: np.ndarray) -> np.ndarray:
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(len(shared.value), dtype=np.int64)
         for batch in batches:
-            for chunk in K.text_chunks(batch.column("text"), mapped=K.PLAIN):
+            for chunk in _plain(batch.column("text")):
                 words, at, which = _found(chunk, shared.value)
                 total += np.bincount(np.unique(words.doc[at] * len(total) + which) % max(1, len(total)), minlength=len(total))
         held = np.flatnonzero(total)
@@ -181,7 +187,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
             items = shared.value
             for batch in batches:
                 ids = batch.column("doc_id")
-                for chunk in K.text_chunks(batch.column("text"), mapped=K.PLAIN):
+                for chunk in _plain(batch.column("text")):
                     rows = matches(chunk, items, threshold)
                     d, i, score, seeds, end = zip(*rows, strict=True) if rows else ((),) * 5
                     cols = [ids.take(pa.array(chunk.rows[list(d)], pa.int64())), pa.array([items.ids[x] for x in i], batch_type(items)), pa.array(score, pa.float64()), pa.array(seeds, pa.int32()), pa.array(end, pa.int64())]
@@ -203,7 +209,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -
         def read(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 keep = np.ones(batch.num_rows, dtype=bool)
-                for chunk in K.text_chunks(batch.column("text"), mapped=K.PLAIN):
+                for chunk in _plain(batch.column("text")):
                     keep[[chunk.rows[r[0]] for r in matches(chunk, shared.value, threshold)]] = False
                 yield batch.filter(pa.array(keep))
 
