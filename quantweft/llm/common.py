@@ -59,6 +59,16 @@ def _collect(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+#: A list of ids is broadcast up to so many of them (8 bytes each, some tens of MB as a hash table).
+MOST_BROADCAST = 1_000_000
+
+
+def only(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of docs whose doc_id is in ids (materialized): texts stay where they are while the list is short."""
+    ids = ids.select("doc_id").distinct()
+    return docs.join(F.broadcast(ids) if ids.count() <= MOST_BROADCAST else ids, "doc_id", "left_semi")
+
+
 def apart(c: Column | str) -> Column:
     """The same integer key in another guise.
 

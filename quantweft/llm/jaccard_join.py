@@ -107,18 +107,13 @@ def set_rows(docs: DataFrame, k: int, salts: frozenset[int]) -> DataFrame:
     return _scan(docs, k, salts, emit, "sid long, tokens binary")
 
 
-def token_rows(sets: DataFrame) -> DataFrame:
-    """(token, sid) of whole sets (sid, tokens)."""
+def token_rows(docs: DataFrame, k: int, salts: frozenset[int]) -> DataFrame:
+    """(token, sid) of whole sets."""
 
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 500):
-                part = batch.slice(lo, 500)
-                tokens = [np.frombuffer(x, np.int64) for x in part.column("tokens").to_pylist()]
-                sid = np.repeat(part.column("sid").to_numpy(), [len(x) for x in tokens])
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens)), pa.array(sid)], ["token", "sid"])
+    def emit(ids, d, g, bounds, size, sid, second):
+        return pa.RecordBatch.from_arrays([pa.array(K.signed(g)), pa.array(np.repeat(K.signed(sid), size))], ["token", "sid"])
 
-    return sets.mapInArrow(read, "token long, sid long")
+    return _scan(docs, k, salts, emit, "token long, sid long")
 
 
 def signature_rows(shared: DataFrame, percent: int) -> DataFrame:
@@ -199,14 +194,15 @@ def entity_links(docs: DataFrame, entities: DataFrame, k: int, percent: int, sal
     screened = _shared(prefix_rows(docs, k, percent, salts)).groupBy("sid").agg(F.count(F.lit(1)).alias("hits"))
     heads = heads.join(screened, "sid").filter(F.col("hits") >= F.col("copies") * F.when(F.col("size") > _wide(percent), EXTRA + 1).otherwise(1))
     heads = C.materialize(heads.select("sid", "doc_id", "size"), "screened")
-    sets = set_rows(docs.join(heads.select("doc_id"), "doc_id", "left_semi"), k, salts)
-    sets = C.materialize(sets, "sets")
-    shared = _shared(token_rows(sets)).groupBy("sid").agg(F.collect_set(F.struct("n", "token")).alias("tokens"))
+    tokens = _shared(token_rows(C.only(docs, heads), k, salts))
+    shared = tokens.groupBy("sid").agg(F.collect_set(F.struct("n", "token")).alias("tokens"))
     shared = shared.join(heads.select("sid", "size"), "sid").filter(F.size("tokens") >= F.ceil(F.col("size") * percent / 100))
     sigs = signature_rows(C.materialize(shared, "shared"), percent)
     buckets = sigs.groupBy("sig").agg(F.min("sid").alias("hub"), F.max("sid").alias("other"), F.count(F.lit(1)).alias("m")).filter("hub <> other").drop("other")
     rows = sigs.withColumn("gx", C.apart("sig")).join(buckets.select(C.apart("sig").alias("gx"), "hub", "m"), "gx").drop("gx")
     rows = C.materialize(rows, "candidates")  # (sig, sid, size, hub, m)
+    heads = C.materialize(heads.join(rows.select("sid").distinct(), "sid"), "heads")
+    sets = C.materialize(set_rows(C.only(docs, heads), k, salts), "sets")
 
     sizes = heads.select(F.col("sid").alias("b"), F.col("size").alias("hub_size"))
     first = rows.filter("sid <> hub").select(F.col("sid").alias("a"), F.col("hub").alias("b"), "size").distinct().join(sizes, "b").filter(_alike(percent)).select("a", "b")
