@@ -139,13 +139,14 @@ def matches(chunk: K.Chunk, items: Items, threshold: float) -> list[tuple[int, i
     at = np.repeat(at, count)
     keep = items.seed[place]
     at, place = at[keep], place[keep]
+    if not len(at):
+        return []
     doc, item = words.doc[at], items.item[place]
     order = np.lexsort((at, item, doc))
     at, place, doc, item = at[order], place[order], doc[order], item[order]
     size = np.array([len(w) for w in items.words])
     new = np.ones(len(at), dtype=bool)
-    if len(at):
-        new[1:] = (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (at[1:] - at[:-1] > 2 * size[item[1:]])
+    new[1:] = (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (at[1:] - at[:-1] > 2 * size[item[1:]])
     begin = np.flatnonzero(new)
     end = np.append(begin[1:], len(at))
     found: dict[tuple[int, int], tuple[float, int, int]] = {}
