@@ -108,6 +108,7 @@ def forward_extreme_blocks(df: DataFrame, value: str, partition: list[str], inde
     # past the last row the end is that of the last block
     tail = F.last("_to").over(W.partitionBy(*partition).orderBy(index).rowsBetween(UP, UF))
     both = (F.greatest if largest else F.least)(begin, F.when(F.col(index) + (lo + n - 1) <= last, end).otherwise(F.when(F.floor((F.col(index) + lo) / n) != F.floor(last / n), tail)))
+    both = F.when(F.col(index) + lo <= last, both)
     return parts.withColumn(out, both).drop("_block", "_from", "_to")
 
 
