@@ -4,8 +4,9 @@ A document is the set of its distinct 4-word shingles (64-bit hashes, the tokens
 *entity*.  If 100 |x & y| >= t |x | y| then x and y share at least a = ceil(t |x| / 100) tokens of x; at most e = |x| - a are
 missing from y.
 
-1. Screening, over all entities: the e + 1 + EXTRA tokens of smallest hash are a prefix of which at least EXTRA + 1 are in the
-   partner's prefix too.  Tokens are counted over prefixes; an entity with fewer shared ones has no links.
+1. Screening, over all entities: the e + 1 + extra tokens of smallest hash are a prefix of which at least extra + 1 (that of the
+   smaller partner allowed) are in the partner's prefix too; extra is a sixteenth of the set, EXTRA at least.  Tokens
+   are counted over prefixes; an entity with fewer shared ones has no links.
 2. Prefixes, over what is left: tokens are counted over whole sets, and those of one entity alone go.  Of the h that stay
    at least a must be shared, so with tokens in one order, rarest first, the first h - a + 1 hold a shared one.
    Prefixes are extended by GROUPS tokens: rare tokens are signatures by themselves, frequent ones only in pairs
@@ -13,10 +14,11 @@ missing from y.
    survives, and the partner, whose prefix ends later, has it too.  Entities of up to SMALL tokens have no room for the
    extension; they use single tokens, and so do those that may be like them.
 3. Entities that share a signature are candidates.  They are not paired with each other: per signature all are checked
-   against one hub, and accepted links merge into components; only where a signature still joins several components
-   are more hubs checked (up to about HUBS a round, hash classes of the bucket, until every pair in different
-   components has been).  No link between components is lost, and a group of near copies costs a star, not its square.
-   Checks compare whole token sets.
+   against one hub, the entity whose tokens are most common (of near copies, the text they come from), and accepted
+   links merge into components.  Only where a signature still joins several components, the entities outside the
+   hub's are compared with all others of that hub, as bit vectors over the hub's tokens: blocks of entities in a task,
+   no pair leaves it but links that merge components.  So no link between components is lost, and a group of near
+   copies costs a star of rows, not its square.  All checks are on whole token sets.
 
 Defined cases: null or wordless text has an empty set, linked with nothing; shorter texts than 4 words are one shingle;
 null doc_ids stay null and count as smallest in ties; repeated rows are copies of each other; an empty table gives an
@@ -37,7 +39,9 @@ from quantweft.llm import kernels as K
 from quantweft.llm.links import components
 
 SHINGLE, PERCENT = 4, 85
-EXTRA, GROUPS, SMALL, FREQUENT, HUBS = 16, 16, 24, 32, 64
+EXTRA, GROUPS, SMALL, FREQUENT = 16, 16, 24, 32
+#: Entities of a hub that one task compares with as many others.
+BLOCK = 4096
 
 
 def shingle_sets(chunk: K.Chunk, k: int, salts: frozenset[int]) -> tuple[np.ndarray, ...]:
@@ -90,7 +94,7 @@ def prefix_rows(docs: DataFrame, k: int, percent: int, salts: frozenset[int]) ->
     """(token, sid) of the screening prefixes."""
 
     def emit(ids, d, g, bounds, size, sid, second):
-        length = np.where(size > 0, size - (percent * size + 99) // 100 + 1 + np.where(size > SMALL, EXTRA, 0), 0)
+        length = np.where(size > 0, size - (percent * size + 99) // 100 + 1 + np.where(size > SMALL, np.maximum(EXTRA, size // 16), 0), 0)
         length = np.minimum(length, size)
         at = np.repeat(bounds[:-1], length) + np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length)
         return pa.RecordBatch.from_arrays([pa.array(K.signed(g[at])), pa.array(np.repeat(K.signed(sid), length))], ["token", "sid"])
@@ -117,7 +121,10 @@ def token_rows(docs: DataFrame, k: int, salts: frozenset[int]) -> DataFrame:
 
 
 def signature_rows(shared: DataFrame, percent: int) -> DataFrame:
-    """(sig, sid, size) from (sid, size, tokens array<struct<n, token>>: the shared tokens and their counts)."""
+    """(sig, sid, size, weight) from (sid, size, tokens array<struct<n, token>>: the shared tokens and their counts).
+
+    weight: mean logarithm of the counts, 0 for tokens of one entity alone.
+    """
     wide = _wide(percent)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,9 +133,10 @@ def signature_rows(shared: DataFrame, percent: int) -> DataFrame:
             lists = batch.column("tokens")
             flat, offsets = lists.flatten(), np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
             counts, tokens = flat.field(0).to_numpy(), flat.field(1).to_numpy().view(K.U64)
-            sigs, rows = [], []
+            sigs, rows, weight = [], [], np.zeros(batch.num_rows)
             for i in range(batch.num_rows):
                 n, t = counts[offsets[i] : offsets[i + 1]], tokens[offsets[i] : offsets[i + 1]]
+                weight[i] = np.log(n).sum() / size[i]
                 need = (percent * size[i] + 99) // 100
                 order = np.lexsort((t, n))[: len(t) - need + 1 + (GROUPS if size[i] > SMALL else 0)]
                 n, t = n[order], t[order]
@@ -149,9 +157,9 @@ def signature_rows(shared: DataFrame, percent: int) -> DataFrame:
                 rows.append(np.full(len(out), i))
             if rows:
                 row = np.concatenate(rows)
-                yield pa.RecordBatch.from_arrays([pa.array(K.signed(np.concatenate(sigs))), pa.array(sid[row]), pa.array(size[row])], ["sig", "sid", "size"])
+                yield pa.RecordBatch.from_arrays([pa.array(K.signed(np.concatenate(sigs))), pa.array(sid[row]), pa.array(size[row]), pa.array(np.round(weight, 9)[row])], ["sig", "sid", "size", "weight"])
 
-    return shared.mapInArrow(read, "sig long, sid long, size long")
+    return shared.mapInArrow(read, "sig long, sid long, size long, weight double")
 
 
 def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -173,6 +181,103 @@ def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return C.materialize(joined.select("a", "b", "ta", "tb").mapInArrow(read, "a long, b long").distinct(), "links")
 
 
+def delta_rows(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """(hub, sid, root, out, size, bits, extras): each entity as its difference from a hub: which of the hub's tokens it has
+    (a bit each) and which others.  A few bytes for a near copy."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bits, extras, size = [], [], []
+            for x, h in zip(batch.column("tokens").to_pylist(), batch.column("hub_tokens").to_pylist(), strict=True):
+                x, h = np.frombuffer(x, K.U64), np.frombuffer(h, K.U64)
+                bits.append(np.packbits(_in_sorted(h, x)).tobytes())
+                extras.append(x[~_in_sorted(x, h)].tobytes())
+                size.append(len(x))
+            cols = [*(batch.column(c) for c in ("hub", "sid", "root", "out")), pa.array(size, pa.int64()), pa.array(bits, pa.binary()), pa.array(extras, pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, ["hub", "sid", "root", "out", "size", "bits", "extras"])
+
+    rows = members.join(sets, "sid").join(sets.select(F.col("sid").alias("hub"), F.col("tokens").alias("hub_tokens")), "hub")
+    return rows.select("hub", "sid", "root", "out", "tokens", "hub_tokens").mapInArrow(read, "hub long, sid long, root long, out boolean, size long, bits binary, extras binary")
+
+
+def _in_sorted(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Which of x are in the sorted y."""
+    return y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x if len(y) else np.zeros(len(x), bool)
+
+
+def outside_links(deltas: DataFrame, percent: int) -> DataFrame:
+    """(a, b): links that join further components, between entities of one hub of which one is outside the hub's component.
+
+    Entities of a hub are dealt into blocks of about BLOCK; a task has two blocks and compares their bit vectors with
+    whole-array popcounts.  What the bits and the shared extras allow is checked in full.  Only links that merge two
+    components of the task are returned: no more than it has entities.
+    """
+
+    def group(rows: list[dict]) -> Iterator[tuple[int, int]]:
+        out = np.array([r["out"] for r in rows])
+        if len(rows) < 2 or not out.any():
+            return
+        size = np.array([r["size"] for r in rows])
+        block = np.array([r["mine"] for r in rows])
+        pad = -len(rows[0]["bits"]) % 8
+        bits = np.stack([np.frombuffer(r["bits"] + bytes(pad), np.uint64) for r in rows])
+        extras = [np.frombuffer(r["extras"], K.U64) for r in rows]
+        seen, n = np.unique(np.concatenate(extras), return_counts=True)
+        seen = seen[n > 1]
+        extras = [e[_in_sorted(e, seen)] for e in extras]
+        more = np.array([len(e) for e in extras])
+        codes = {r: i for i, r in enumerate(sorted({r["root"] for r in rows}))}
+        root = np.array([codes[r["root"]] for r in rows])
+        parent = list(range(len(codes)))
+
+        def find(i: int) -> int:
+            while parent[i] != i:
+                parent[i] = parent[parent[i]]
+                i = parent[i]
+            return i
+
+        both = rows[0]["b0"] != rows[0]["b1"]
+        step = max(1, (1 << 22) // (len(rows) * bits.shape[1]))
+        xs = np.flatnonzero(out)
+        for lo in range(0, len(xs), step):
+            x = xs[lo : lo + step]
+            common = np.bitwise_count(bits[x][:, None, :] & bits[None, :, :]).sum(axis=2, dtype=np.int64)
+            most = common + np.minimum(more[x][:, None], more[None, :])
+            may = ((100 + percent) * most >= percent * (size[x][:, None] + size[None, :])) & (root[x][:, None] != root[None, :])
+            if both:
+                may &= block[x][:, None] != block[None, :]
+            for i, j in zip(*np.nonzero(may), strict=True):
+                p, q = find(int(root[x[i]])), find(int(root[j]))
+                if p != q:
+                    shared = int(common[i, j]) + len(np.intersect1d(extras[x[i]], extras[j]))
+                    if (100 + percent) * shared >= percent * int(size[x[i]] + size[j]):
+                        parent[p] = q
+                        yield rows[x[i]]["sid"], rows[j]["sid"]
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[dict] = []
+        for batch in batches:
+            found: list[tuple[int, int]] = []
+            for row in batch.to_pylist():
+                if held and any(held[0][c] != row[c] for c in ("hub", "b0", "b1")):
+                    found.extend(group(held))
+                    held = []
+                held.append(row)
+            yield _pairs(found)
+        yield _pairs(list(group(held)) if held else [])
+
+    blocks = deltas.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"), F.max("out").alias("any")).filter("any")
+    rows = deltas.withColumn("hx", C.apart("hub")).join(blocks.select(C.apart("hub").alias("hx"), "blocks"), "hx").drop("hx")
+    rows = rows.withColumn("mine", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.withColumn("b0", F.least("mine", "other")).withColumn("b1", F.greatest("mine", "other")).drop("other", "blocks")
+    return rows.repartition("hub", "b0", "b1").sortWithinPartitions("hub", "b0", "b1").mapInArrow(read, "a long, b long")
+
+
+def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
+    a, b = zip(*found, strict=True) if found else ((), ())
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+
 def _wide(percent: int) -> int:
     """The largest entity that may be like one that uses single tokens."""
     return SMALL * 100 // percent + 1
@@ -192,15 +297,15 @@ def entity_links(docs: DataFrame, entities: DataFrame, k: int, percent: int, sal
     """(node, root) of the entities that are linked with another."""
     heads = C.materialize(entities.groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.min("size").alias("size"), F.count(F.lit(1)).alias("copies")), "heads")
     screened = _shared(prefix_rows(docs, k, percent, salts)).groupBy("sid").agg(F.count(F.lit(1)).alias("hits"))
-    heads = heads.join(screened, "sid").filter(F.col("hits") >= F.col("copies") * F.when(F.col("size") > _wide(percent), EXTRA + 1).otherwise(1))
+    heads = heads.join(screened, "sid").filter(F.col("hits") >= F.col("copies") * F.when(F.col("size") > _wide(percent), F.greatest(F.lit(EXTRA), F.floor(F.floor(F.col("size") * percent / 100) / 16)) + 1).otherwise(1))
     heads = C.materialize(heads.select("sid", "doc_id", "size"), "screened")
     tokens = _shared(token_rows(C.only(docs, heads), k, salts))
     shared = tokens.groupBy("sid").agg(F.collect_set(F.struct("n", "token")).alias("tokens"))
     shared = shared.join(heads.select("sid", "size"), "sid").filter(F.size("tokens") >= F.ceil(F.col("size") * percent / 100))
     sigs = signature_rows(C.materialize(shared, "shared"), percent)
-    buckets = sigs.groupBy("sig").agg(F.min("sid").alias("hub"), F.max("sid").alias("other"), F.count(F.lit(1)).alias("m")).filter("hub <> other").drop("other")
-    rows = sigs.withColumn("gx", C.apart("sig")).join(buckets.select(C.apart("sig").alias("gx"), "hub", "m"), "gx").drop("gx")
-    rows = C.materialize(rows, "candidates")  # (sig, sid, size, hub, m)
+    buckets = sigs.groupBy("sig").agg(F.max(F.struct("weight", "sid")).alias("top"), F.min("sid").alias("s0"), F.max("sid").alias("s1")).filter("s0 <> s1")
+    rows = sigs.drop("weight").withColumn("gx", C.apart("sig")).join(buckets.select(C.apart("sig").alias("gx"), F.col("top.sid").alias("hub")), "gx").drop("gx")
+    rows = C.materialize(rows, "candidates")  # (sig, sid, size, hub)
     heads = C.materialize(heads.join(rows.select("sid").distinct(), "sid"), "heads")
     sets = C.materialize(set_rows(C.only(docs, heads), k, salts), "sets")
 
@@ -208,23 +313,13 @@ def entity_links(docs: DataFrame, entities: DataFrame, k: int, percent: int, sal
     first = rows.filter("sid <> hub").select(F.col("sid").alias("a"), F.col("hub").alias("b"), "size").distinct().join(sizes, "b").filter(_alike(percent)).select("a", "b")
     links = linked(first, sets, percent)
     roots = C.materialize(components(links), "roots")
-    turn = 0
-    while True:
-        # buckets that join entities of several components
-        at = rows.select("sig", "sid", "size", "m", F.col("sid").alias("node")).join(roots, "node", "left").drop("node").withColumn("root", F.coalesce("root", "sid"))
-        mixed = at.groupBy("sig").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.max("m").alias("m")).filter("r0 <> r1")
-        mixed = mixed.filter(F.ceil(F.col("m") / HUBS) > turn).select(C.apart("sig").alias("gx"))
-        rows = C.materialize(at.withColumn("gx", C.apart("sig")).join(mixed, "gx").select("sig", "sid", "size", "m", "root"), "rest")
-        if rows.isEmpty():
-            return roots
-        hubs = rows.filter(F.pmod(F.xxhash64("sid"), F.ceil(F.col("m") / HUBS)) == turn)
-        hubs = hubs.select(C.apart("sig").alias("gx"), F.col("sid").alias("b"), F.col("size").alias("hub_size"), F.col("root").alias("hub_root"))
-        pairs = rows.withColumn("gx", C.apart("sig")).join(hubs, "gx").filter("root <> hub_root").filter(_alike(percent))
-        found = linked(pairs.select(F.least("sid", "b").alias("a"), F.greatest("sid", "b").alias("b")).distinct(), sets, percent)
-        if not found.isEmpty():
-            links = links.unionByName(found)
-            roots = C.materialize(components(links), "roots")
-        turn += 1
+    # signatures that join entities of several components: their entities, by hub
+    at = rows.select("sig", "sid", "hub", F.col("sid").alias("node")).join(roots, "node", "left").drop("node").withColumn("root", F.coalesce("root", "sid"))
+    mixed = at.groupBy("sig").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.max(F.when(F.col("sid") == F.col("hub"), F.col("root"))).alias("main")).filter("r0 <> r1")
+    rest = at.withColumn("gx", C.apart("sig")).join(mixed.select(C.apart("sig").alias("gx"), "main"), "gx")
+    members = C.materialize(rest.select("hub", "sid", "root", (F.col("root") != F.col("main")).alias("out")).distinct(), "rest")
+    found = C.materialize(outside_links(C.materialize(delta_rows(members, sets), "deltas"), percent), "links")
+    return roots if found.isEmpty() else components(links.unionByName(found))
 
 
 def jaccard_groups(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
