@@ -1,0 +1,194 @@
+"""Factor risk model: exposures, constrained regressions, covariances, specific risk, bias, attribution, optimisation.
+
+Cross-sections are long tables (date, code, ...).  Sums over names run in Spark; K x K algebra and least squares run in
+Arrow kernels, one date a group, or on the driver once the names are summed away.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from quantweft.sources.shapes import r6
+
+
+def standardize(df: DataFrame, value: str, cap: str, out: str, clip: float = 3.0, by: str = "date") -> DataFrame:
+    """Winsorised at the median +- clip * 1.4826 * MAD (not if the MAD is 0), capitalisation-weighted mean removed, over the
+    population deviation; NULL for fewer than two values, 0 where all are equal."""
+    w = W.partitionBy(by)
+    x = F.col(value)
+    d = df.withColumn("_med", F.median(x).over(w)).withColumn("_n", F.count(x).over(w))
+    d = d.withColumn("_mad", F.median(F.abs(x - F.col("_med"))).over(w) * F.lit(1.4826 * clip))
+    z = F.when(F.col("_mad") > 0, F.greatest(F.least(x, F.col("_med") + F.col("_mad")), F.col("_med") - F.col("_mad"))).otherwise(x)
+    d = d.withColumn("_z", F.when(x.isNotNull(), z))
+    weight = F.when(F.col("_z").isNotNull(), F.col(cap))
+    d = d.withColumn("_mean", F.try_divide(F.sum(weight * F.col("_z")).over(w), F.sum(weight).over(w))).withColumn("_sd", F.stddev_pop("_z").over(w))
+    value_out = F.when(F.col("_n") >= 2, F.when(F.col("_z").isNotNull(), F.coalesce(F.try_divide(F.col("_z") - F.col("_mean"), F.when(F.col("_sd") > 0, F.col("_sd"))), F.lit(0.0))))
+    return d.withColumn(out, value_out).drop("_med", "_n", "_mad", "_z", "_mean", "_sd")
+
+
+def industry_dummies(df: DataFrame, label: str, names: list[str]) -> DataFrame:
+    """Adds one 0/1 column a name; an unknown label has zeros alone."""
+    return df.withColumns({f"ind_{n}": F.coalesce((F.col(label) == n).cast("int"), F.lit(0)) for n in names})
+
+
+def _decay(half_life: float, age: Column) -> Column:
+    return F.pow(F.lit(0.5), age / F.lit(float(half_life)))
+
+
+def ewma_covariance(long: DataFrame, half_life: float, lags: int = 0) -> DataFrame:
+    """(a, b, cov) of factor returns (t, k, f): pairwise-complete exponentially weighted, demeaned by each factor's own weighted mean,
+    with Bartlett-weighted lagged terms added in both directions."""
+    last = long.agg(F.max("t").alias("_last"))
+    x = long.crossJoin(F.broadcast(last)).withColumn("w", _decay(half_life, F.col("_last") - F.col("t"))).filter("f is not null")  # one row
+    mean = x.groupBy("k").agg((F.sum(F.col("w") * F.col("f")) / F.sum("w")).alias("m"))
+    x = x.join(F.broadcast(mean), "k").select("t", "k", "w", (F.col("f") - F.col("m")).alias("d"))
+    out = None
+    for lag in range(lags + 1):
+        a = x.select("t", F.col("k").alias("a"), "w", F.col("d").alias("da"))
+        b = x.select((F.col("t") + lag).alias("t"), F.col("k").alias("b"), F.col("d").alias("db"))
+        part = a.join(b, "t").groupBy("a", "b").agg((F.sum(F.col("w") * F.col("da") * F.col("db")) / F.sum("w")).alias("c"))
+        scale = 1.0 if lag == 0 else 1 - lag / (lags + 1)
+        rows = part.select("a", "b", (F.col("c") * scale).alias("c"))
+        if lag:
+            rows = rows.unionByName(part.select(F.col("b").alias("a"), F.col("a").alias("b"), (F.col("c") * scale).alias("c")))
+        out = rows if out is None else out.unionByName(rows)
+    return out.groupBy("a", "b").agg(F.sum("c").alias("cov"))
+
+
+def specific_variance(residuals: DataFrame, half_life: float, shrink: float, groups: int) -> DataFrame:
+    """(code, var): exponentially weighted mean of u^2, shrunk to the mean of its size group; fewer than half_life values: the group's."""
+    last = residuals.agg(F.max("t").alias("_last"))
+    x = residuals.crossJoin(F.broadcast(last)).filter("u is not null").withColumn("w", _decay(half_life, F.col("_last") - F.col("t")))  # one row
+    v = x.groupBy("code").agg((F.sum(F.col("w") * F.col("u") * F.col("u")) / F.sum("w")).alias("v"), F.count(F.lit(1)).alias("n"), F.max_by("size", "t").alias("size"))
+    rank = F.row_number().over(W.orderBy("size", "code")) - 1
+    v = v.withColumn("g", F.floor(rank * groups / F.count(F.lit(1)).over(W.partitionBy())))
+    prior = F.avg(F.when(F.col("n") >= half_life, F.col("v"))).over(W.partitionBy("g"))
+    v = v.withColumn("prior", prior)
+    return v.select("code", F.when(F.col("n") < half_life, F.col("prior")).otherwise(F.col("v") * (1 - shrink) + F.coalesce("prior", "v") * shrink).alias("var"))
+
+
+def specific_multiplier(residuals: DataFrame, half_life: float) -> DataFrame:
+    """(multiplier): root of the exponentially weighted mean over dates of the capitalisation-weighted mean of (u / predicted sd)^2."""
+    day = residuals.filter("u is not null and sd > 0").groupBy("t").agg((F.sum(F.col("cap") * F.pow(F.col("u") / F.col("sd"), F.lit(2))) / F.sum("cap")).alias("z"))
+    last = day.agg(F.max("t").alias("_last"))
+    d = day.crossJoin(F.broadcast(last)).withColumn("w", _decay(half_life, F.col("_last") - F.col("t")))  # one row
+    return d.agg(F.sqrt(F.sum(F.col("w") * F.col("z")) / F.sum("w")).alias("multiplier"))
+
+
+def bias_statistic(rows: DataFrame, window: int) -> DataFrame:
+    """(portfolio, mean, q05, q95, n) of rolling deviations of realised over predicted."""
+    w = W.partitionBy("portfolio").orderBy("t").rowsBetween(-(window - 1), 0)
+    z = rows.withColumn("z", F.try_divide(F.col("realized"), F.col("predicted")))
+    b = z.withColumn("b", F.when(F.count("z").over(w) == window, F.stddev_samp("z").over(w))).filter("b is not null")
+    return b.groupBy("portfolio").agg(r6(F.avg("b")).alias("mean"), r6(F.percentile("b", F.lit(0.05))).alias("q05"), r6(F.percentile("b", F.lit(0.95))).alias("q95"), F.count(F.lit(1)).alias("n"))
+
+
+def attribution(weights: DataFrame, exposures: DataFrame, factor_returns: DataFrame) -> DataFrame:
+    """(date, k, exposure, contribution): sum over held names of w x_k, times f_k; an unknown exposure of a held name makes it NULL."""
+    held = weights.filter("w <> 0").join(exposures, ["date", "code"])
+    x = held.groupBy("date", "k").agg(F.when(F.count(F.when(F.col("x").isNull(), 1)) == 0, F.sum(F.col("w") * F.col("x"))).alias("exposure"))
+    return x.join(factor_returns, ["date", "k"]).select("date", "k", r6("exposure").alias("exposure"), r6(F.col("exposure") * F.col("f")).alias("contribution"))
+
+
+def cross_section_regression(rows: DataFrame, styles: list[str], industry: str, ret: str, cap: str) -> DataFrame:
+    """(date, factor, f, n): weighted least squares (weight: root of capitalisation) of returns on styles and industries, with
+    capitalisation-weighted industry returns summing to zero around a market factor; minimum-norm where ranks are short."""
+
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        d = pdf.dropna(subset=[*styles, industry, ret, cap])
+        names = sorted(d[industry].unique())
+        labels = ["market", *styles, *[f"ind_{n}" for n in names]]
+        if len(d) <= 1 + len(styles) + max(0, len(names) - 1):
+            return pd.DataFrame({"date": pdf["date"].iloc[:1], "factor": ["market"], "f": [np.nan], "n": [len(d)]})
+        share = np.array([d.loc[d[industry] == n, cap].sum() for n in names])
+        base = int(share.argmax())
+        dummies = np.stack([(d[industry] == n).to_numpy(float) for n in names], axis=1)
+        # f_base = -sum(share_i f_i) / share_base
+        free = [i for i in range(len(names)) if i != base]
+        z = dummies[:, free] - dummies[:, [base]] * (share[free] / share[base])
+        design = np.concatenate([np.ones((len(d), 1)), d[styles].to_numpy(float), z], axis=1)
+        root = np.sqrt(np.sqrt(d[cap].to_numpy(float)))
+        beta = np.linalg.lstsq(design * root[:, None], d[ret].to_numpy(float) * root, rcond=None)[0]
+        ind = np.zeros(len(names))
+        ind[free] = beta[1 + len(styles) :]
+        ind[base] = -(share[free] @ ind[free]) / share[base]
+        return pd.DataFrame({"date": d["date"].iloc[0], "factor": labels, "f": np.concatenate([beta[: 1 + len(styles)], ind]), "n": len(d)})
+
+    return rows.select("date", *styles, industry, ret, cap).groupBy("date").applyInPandas(fit, "date date, factor string, f double, n long")
+
+
+def rolling_beta(rows: DataFrame, window: int, half_life: float, least: int) -> DataFrame:
+    """(code, t, beta, resid_sd): exponentially weighted regression of r on m over a trailing window, one code a group."""
+
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        d = pdf.sort_values("t")
+        r, m, t = (d[c].to_numpy(float) for c in ("r", "m", "t"))
+        ok = np.isfinite(r) & np.isfinite(m)
+        out = []
+        for i in range(len(d)):
+            s = slice(max(0, i - window + 1), i + 1)
+            k = ok[s]
+            if k.sum() < least:
+                continue
+            x, y = m[s][k], r[s][k]
+            w = 0.5 ** ((t[i] - t[s][k]) / half_life)
+            w = w / w.sum()
+            mx, my = w @ x, w @ y
+            var = w @ (x - mx) ** 2
+            beta = (w @ ((x - mx) * (y - my))) / var if var > 0 else np.nan
+            tail = slice(max(0, len(x) - window // 4), None)
+            resid = (y - my - beta * (x - mx))[tail]
+            out.append((d["code"].iloc[0], int(t[i]), beta, resid.std(ddof=1) if len(resid) > 1 else np.nan))
+        return pd.DataFrame(out, columns=["code", "t", "beta", "resid_sd"])
+
+    return rows.groupBy("code").applyInPandas(fit, f"code {rows.schema['code'].dataType.simpleString()}, t long, beta double, resid_sd double")
+
+
+def optimize(alpha: np.ndarray, x: np.ndarray, f: np.ndarray, d: np.ndarray, w_prev: np.ndarray, risk_aversion: float, linear: float, cap: float, budget: float = 1.0, steps: int = 2000) -> tuple[np.ndarray, str]:
+    """Long-only weights that maximise alpha'w - risk/2 w'(X F X' + D)w - linear |w - w_prev| with sum w = budget and 0 <= w <= cap.
+
+    Accelerated proximal gradient; the factor form keeps a step at N K.  Returns (weights, status); an infeasible problem gives w_prev.
+    """
+    n = len(alpha)
+    if cap * n < budget - 1e-12:
+        return w_prev.copy(), "infeasible"
+    step = 1.0 / (risk_aversion * (np.linalg.norm(x @ np.linalg.cholesky(f + 1e-12 * np.eye(len(f))), 2) ** 2 + d.max()) + 1e-12)
+    w = y = project(w_prev, cap, budget)
+    momentum = 1.0
+    for _ in range(steps):
+        grad = alpha - risk_aversion * (x @ (f @ (x.T @ y)) + d * y)
+        moved = y + step * grad - w_prev
+        new = project(w_prev + np.sign(moved) * np.maximum(np.abs(moved) - step * linear, 0), cap, budget)
+        nxt = (1 + np.sqrt(1 + 4 * momentum**2)) / 2
+        y = new + (momentum - 1) / nxt * (new - w)
+        if np.abs(new - w).max() < 1e-12:
+            return new, "optimal"
+        w, momentum = new, nxt
+    return w, "inaccurate"
+
+
+def project(v: np.ndarray, cap: float, budget: float) -> np.ndarray:
+    """Nearest point with 0 <= w <= cap and sum w = budget, by bisection on the shift."""
+    lo, hi = v.min() - cap - 1, v.max() + 1
+    for _ in range(100):
+        mid = (lo + hi) / 2
+        if np.clip(v - mid, 0, cap).sum() > budget:
+            lo = mid
+        else:
+            hi = mid
+    return np.clip(v - (lo + hi) / 2, 0, cap)
+
+
+def optimize_dates(rows: DataFrame, factors: list[str], factor_cov: np.ndarray, risk_aversion: float, linear: float, cap: float) -> DataFrame:
+    """(date, code, w, status): one optimisation a date, as Arrow groups; rows: date, code, alpha, d, w_prev and the factors."""
+
+    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        p = pdf.sort_values("code")
+        w, status = optimize(p["alpha"].to_numpy(float), p[factors].to_numpy(float), factor_cov, p["d"].to_numpy(float), p["w_prev"].to_numpy(float), risk_aversion, linear, cap)
+        return pd.DataFrame({"date": p["date"], "code": p["code"], "w": w, "status": status})
+
+    return rows.groupBy("date").applyInPandas(solve, f"date date, code {rows.schema['code'].dataType.simpleString()}, w double, status string")
