@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 
 from quantweft.llm import common as C
 
-#: Encoded pre-tokens kept by a worker at most, and the longest that is kept.
-KEPT, KEPT_LENGTH = 600_000, 64
+#: Encoded pre-tokens that a worker keeps in each of two generations, about, and the longest that is kept.
+KEPT, KEPT_LENGTH = 250_000, 64
 SLICE_BYTES = 2 << 20
 
 
@@ -97,6 +97,7 @@ class Encoder:
         self.single = np.array([ranks[bytes([b])] for b in range(256)], dtype=np.int64)
         self.double = np.array([self.joined.get(int(a * size + b), -1) for a in self.single for b in self.single], dtype=np.int64)
         self.queue = RankQueue(size)
+        self.ids = list(range(size))
         self.kept = Kept()
 
     def merge(self, pieces: list[bytes]) -> list[tuple[int, ...]]:
@@ -157,13 +158,13 @@ class Encoder:
         out = np.array(ids, dtype=np.int64)
         alive = out >= 0
         bounds = np.concatenate([[0], np.cumsum(np.add.reduceat(alive, starts, dtype=np.int64))]).tolist()
-        flat = out[alive].tolist()
+        flat = [self.ids[i] for i in out[alive].tolist()]  # one object an id, however often it is kept
         return [tuple(flat[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
 
     def encode_all(self, texts: list[str | None]) -> list[list[int]]:
         kept = self.kept
         if len(kept) > KEPT:
-            kept.clear()
+            kept.turn()
         split = [[kept[t] for t in self.find(text)] if text else [] for text in texts]
         new, kept.new = kept.new, []
         for token, ids in zip(new, self.merge([t.encode() for t in new]), strict=True):
@@ -174,17 +175,26 @@ class Encoder:
 
 
 class Kept(dict):
-    """Ids by pre-token; an unknown one gets an empty list, to be filled, and is noted in `new`."""
+    """Ids by pre-token in two generations: what was used since the last turn, and before.  An unknown pre-token gets an
+    empty list, to be filled, and is noted in `new`."""
 
     def __init__(self):
         super().__init__()
         self.new: list[str] = []
+        self.before: dict[str, list[int]] = {}
 
     def __missing__(self, token: str) -> list[int]:
-        self[token] = ids = []
-        self.new.append(token)
+        ids = self.before.get(token)
+        if ids is None:
+            ids = []
+            self.new.append(token)
+        self[token] = ids
         return ids
 
+    def turn(self) -> None:
+        self.before = dict(self)
+        self.clear()
+
 
 #: Of this worker, by rank file and pattern.
 _encoders: dict[tuple[str, str], Encoder] = {}

@@ -1,12 +1,13 @@
 """Toxicity by Levenshtein automata over a lexicon trie (operator 1).
 
-The lexicon comes from labelled documents: words, and stems (beginnings of several words), that toxic documents hold
-far more often than others.  It forms a trie.  A word of a document becomes a Levenshtein automaton (bit vectors of the
+The lexicon comes from labelled documents: words, and stems (beginnings of several words), whose rate in toxic
+documents is many times that in others.  It forms a trie.  A word of a document becomes a Levenshtein automaton (bit vectors of the
 states reached with 0, 1, 2 edits); automaton and trie are walked together, and branches without live states are cut.
 Terms of 5 characters take one edit, of 9 two; stems and shorter terms must begin the word as they are.
-Each match weighs the log odds of its term and number of edits in the labelled documents.  A window of words around a
-match decides how much of it counts: text in quotation marks, or with a reporting word near, is taken as quotation, by a
-factor that the labelled documents correct.  A logistic function of the sum gives the score.
+Each match weighs the log of the rates of its term and number of edits in the labelled documents.  A window of words
+around a match decides how much of it counts: text in quotation marks, or with a reporting word near, is taken as
+quotation, by a factor that the labelled documents correct.  Words between matches count against toxicity, at the rate
+of toxic text, and the best stretch of the document is its sum; a logistic function of it gives the score.
 
 At most TOXIC and CLEAN labelled documents are read to learn (a documented bound; xxhash64 order).  Scoring is one pass
 over all documents, without a shuffle; the model is a few hundred terms.
@@ -33,13 +34,13 @@ from quantweft.llm import samples
 from quantweft.llm.bpe import slices
 
 TOXIC, CLEAN = 4_000, 8_000
-STEM_LENGTHS = (4, 5, 6, 7)
-#: A term occurs in this share of the sampled toxic documents at least, and this many times the share of others.
-SHARE, LIFT = 0.02, 50
+STEM_LENGTHS = (3, 4, 5, 6, 7, 8)
+#: A term occurs in this share and number of the sampled toxic documents at least, at this many times its rate in others.
+SHARE, DOCUMENTS, LIFT = 0.03, 10, 15
 WINDOW = 8
 #: The boundary is this share of the largest weight at least.
 LEAST = 0.75
-KEPT = 500_000
+KEPT = 200_000
 #: Words that tell of speech rather than speak (fixed values).
 REPORTING = frozenset("said says called calls quote quoted quotes wrote written word words term terms reported".split())
 WORD = re.compile(r"\w+(?:[*@$]\w+)*")
@@ -116,6 +117,7 @@ class Model:
     terms: list[str] = field(default_factory=list)
     weights: dict[tuple[int, int], float] = field(default_factory=dict)
     quoted: float = 1.0
+    rate: float = 0.0
     slope: float = 0.0
     offset: float = -math.inf
 
@@ -125,10 +127,12 @@ class Scorer:
         self.model, self.lexicon = model, Lexicon(model.terms)
         self.kept: dict[str, tuple[int, int] | None] = {}
 
-    def matches(self, text: str) -> list[tuple[int, int, float]]:
-        """(term, edits, share that counts) of each match in the text."""
+    def matches(self, text: str) -> list[tuple[int, int, int, float]]:
+        """(word, term, edits, share that counts) of each match in the text."""
+        return self.found(WORD.findall(text.lower()), text)
+
+    def found(self, words: list[str], text: str) -> list[tuple[int, int, int, float]]:
         kept, match = self.kept, self.lexicon.match
-        words = WORD.findall(text.lower())
         if len(kept) > KEPT:
             kept.clear()
         for w in set(words).difference(kept):
@@ -142,45 +146,60 @@ class Scorer:
         for i, (term, edits) in hits:
             a, b = spans[i]
             told = any(x < a and b < y for x, y in quotes) or not REPORTING.isdisjoint(words[max(0, i - WINDOW) : i + WINDOW + 1])
-            out.append((term, edits, self.model.quoted if told else 1.0))
+            out.append((i, term, edits, self.model.quoted if told else 1.0))
         return out
 
     def total(self, text: str) -> float:
-        return min(100.0, sum(self.model.weights.get((t, e), 0.0) * share for t, e, share in self.matches(text)))
+        return best_stretch([(i, self.model.weights.get((t, e), 0.0) * share) for i, t, e, share in self.matches(text)], self.model.rate)
 
     def score(self, text: str | None) -> float:
         m = self.model
         return 1 / (1 + math.exp(-m.slope * (self.total(text or "") - m.offset))) if m.slope else 0.0
 
 
+def best_stretch(weighted: list[tuple[int, float]], rate: float) -> float:
+    """The largest sum of weights less `rate` for each word between the first match and the last, over all stretches."""
+    run = best = 0.0
+    before = 0
+    for i, w in weighted:
+        run = max(0.0, run - rate * (i - before)) + w
+        best, before = max(best, run), i
+    return best
+
+
 def candidate_terms(sample: DataFrame) -> dict[str, tuple[int, int]]:
-    """Documents of label 1 and 0 by word and stem, for those in SHARE of the toxic ones at least."""
+    """Words of toxic documents with each word and stem, and in how many of them, for the terms that stand out; "*": all words."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count: dict[str, list[int]] = defaultdict(lambda: [0, 0])
+        count: dict[str, list[int]] = defaultdict(lambda: [0, 0, 0, 0])
         for batch in batches:
             for text, label in zip(batch.column("text").to_pylist(), batch.column("label").to_pylist(), strict=True):
-                words = set(WORD.findall(text.lower()))
-                terms = words | {w[:n] + "*" for w in words for n in STEM_LENGTHS if len(w) > n}
-                for t in terms:
-                    count[t][label] += 1
-                count["*"][label] += 1
-        terms = list(count)
-        yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array([count[t][1] for t in terms], pa.int64()), pa.array([count[t][0] for t in terms], pa.int64())], ["term", "n1", "n0"])
-
-    rows = sample.mapInArrow(read, "term string, n1 long, n0 long").groupBy("term").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0"))
+                words = Counter(WORD.findall(text.lower()))
+                terms = Counter(words)
+                for w, n in words.items():
+                    for k in STEM_LENGTHS:
+                        if len(w) > k:
+                            terms[w[:k] + "*"] += n
+                terms["*"] = sum(words.values())
+                for t, n in terms.items():
+                    c = count[t]
+                    c[label] += n
+                    c[2 + label] += 1
+        columns = [pa.array([c[i] for c in count.values()], pa.int64()) for i in (1, 0, 3, 2)]
+        yield pa.RecordBatch.from_arrays([pa.array(list(count), pa.string()), *columns], ["term", "c1", "c0", "n1", "n0"])
+
+    rows = sample.mapInArrow(read, "term string, c1 long, c0 long, n1 long, n0 long").groupBy("term").agg(*[F.sum(c).alias(c) for c in ("c1", "c0", "n1", "n0")])
     rows = C.materialize(rows, "terms")
     whole = rows.filter("term = '*'").first()
-    n1, n0 = (whole.n1, whole.n0) if whole else (0, 0)
-    if not n1 or not n0:
-        return {"*": (n1, n0)}
-    strong = rows.filter((F.col("n1") >= max(2, SHARE * n1)) & (F.col("n1") / n1 >= LIFT * (F.col("n0") + 0.5) / n0))
-    return {"*": (n1, n0)} | {r.term: (r.n1, r.n0) for r in strong.collect()}
+    if not whole or not whole.c1 or not whole.c0:
+        return {}
+    strong = rows.filter((F.col("n1") >= max(DOCUMENTS, SHARE * whole.n1)) & (F.col("c1") / whole.c1 >= LIFT * (F.col("c0") + 0.5) / whole.c0))
+    return {"*": (whole.c1, whole.c0)} | {r.term: (r.c1, r.n1) for r in strong.collect()}
 
 
 def chosen_terms(counts: dict[str, tuple[int, int]]) -> list[str]:
     """Words, and stems that no longer stem or single word accounts for, without what a chosen stem covers."""
-    names = {t: n1 for t, (n1, _) in counts.items() if t != "*"}
+    names = {t: c for t, (c, _) in counts.items() if t != "*"}
     stems = []
     for t, n in names.items():
         if t.endswith("*"):
@@ -196,11 +215,13 @@ def chosen_terms(counts: dict[str, tuple[int, int]]) -> list[str]:
 def fit(docs: DataFrame, labels: DataFrame, modulus: int = 5, remainder: int = 0) -> Model:
     """Learns from labels.toxic of rows whose crc32(doc_id) mod modulus is not remainder."""
     sample, _ = samples.labelled(docs, labels, "toxic", modulus, remainder, {1: TOXIC, 0: CLEAN})
-    sample = C.materialize(sample.groupBy("text").agg(F.max("label").alias("label")), "toxic-sample")
+    # of near copies, which begin alike, one: their words would count as often as there are copies
+    alike = sample.groupBy(F.substring("text", 1, 40).alias("start"), "label").agg(F.max("text").alias("text"))
+    sample = C.materialize(alike.select("text", "label"), "toxic-sample")
     counts = candidate_terms(sample)
-    n1, n0 = counts["*"]
-    if not n1 or not n0:
+    if not counts:
         return Model()
+    words1, words0 = counts["*"]
     model = Model(chosen_terms(counts))
     plain = Scorer(model)
 
@@ -209,28 +230,32 @@ def fit(docs: DataFrame, labels: DataFrame, modulus: int = 5, remainder: int = 0
         for batch in batches:
             found = [scorer.matches(t) for t in batch.column("text").to_pylist()]
             kind = pa.list_(pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array([[t * 4 + e for t, e, _ in f] for f in found], kind), pa.array([[int(q == 0) for *_, q in f] for f in found], kind)], ["label", "matches", "told"])
+            columns = [pa.array([[x[0] for x in f] for f in found], kind), pa.array([[x[1] * 4 + x[2] for x in f] for f in found], kind), pa.array([[int(x[3] == 0) for x in f] for f in found], kind)]
+            yield pa.RecordBatch.from_arrays([batch.column("label"), *columns], ["label", "at", "matches", "told"])
 
     # at most TOXIC + CLEAN rows of matches
-    rows = sample.mapInArrow(read, "label int, matches array<int>, told array<int>").collect()
+    rows = sample.mapInArrow(read, "label int, at array<int>, matches array<int>, told array<int>").collect()
     seen: dict[int, Counter] = {0: Counter(), 1: Counter()}
     told = Counter()
     for r in rows:
-        seen[r.label].update(set(r.matches))
+        seen[r.label].update(r.matches)
         told[r.label] += sum(r.told)
     for t, term in enumerate(plain.lexicon.terms):
         for e in range(edits_allowed(term) + 1):
             a, b = seen[1][t * 4 + e], seen[0][t * 4 + e]
             # a number of edits that was never seen counts by half of the next smaller one
             if a + b:
-                model.weights[t, e] = max(0.0, math.log((a + 0.5) / n1 * n0 / (b + 0.5)))
+                model.weights[t, e] = max(0.0, math.log((a + 0.5) / words1 * words0 / (b + 0.5)))
             else:
                 model.weights[t, e] = 0.5 * model.weights.get((t, e - 1), 0.0)
-    model.quoted = (told[1] + 1) / (told[1] + 1 + (told[0] + 3) * n1 / n0)
-    totals = [(min(100.0, sum(model.weights[m >> 2, m & 3] * (model.quoted if q else 1) for m, q in zip(r.matches, r.told, strict=True))), r.label) for r in rows]
-    cut = boundary(totals)
+    model.rate = sum(seen[1].values()) / words1
+    model.quoted = (told[1] + 1) / (told[1] + 1 + (told[0] + 3) * words1 / words0)
+    totals = []
+    for r in rows:
+        weighted = [(i, model.weights[m >> 2, m & 3] * (model.quoted if q else 1)) for i, m, q in zip(r.at, r.matches, r.told, strict=True)]
+        totals.append((best_stretch(weighted, model.rate), r.label))
     # one match with edits never suffices, however few labels there are
-    model.offset = max(cut, LEAST * max(model.weights.values(), default=1.0))
+    model.offset = max(boundary(totals), LEAST * max(model.weights.values(), default=1.0))
     model.slope = 4 / model.offset
     return model
 
