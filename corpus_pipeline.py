@@ -16,6 +16,9 @@ from quantweft.llm import bpe, common, decontamination, exact_dedup, jaccard_joi
 #: SQL has no form for the learned, aligned and tokenised stages.
 ORACLE_SQL = None
 
+#: Near copies share this much of their shingles of so many words.
+SHINGLE_WORDS, SIMILARITY_PERCENT = 5, 80
+
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents whose toxicity score is 0.5 or more."""
@@ -48,9 +51,9 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by shingle similarity keeps the one of the smallest doc_id."""
+    """Of documents linked by the similarity of their word shingles keeps the one of the smallest doc_id."""
     rows, row = _numbered(docs)
-    groups = jaccard_join.jaccard_groups(rows.select(F.col(row).alias("doc_id"), "text"))
+    groups = jaccard_join.jaccard_groups(rows.select(F.col(row).alias("doc_id"), "text"), SHINGLE_WORDS, SIMILARITY_PERCENT)
     return _without(rows, row, groups.filter("component_id <> doc_id")).select(*docs.columns)
 
 
@@ -62,7 +65,7 @@ def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document, with digests of the ids and of the bytes that they decode to."""
     path, pattern = bpe.vocabulary()
-    coded = bpe.decode_documents(bpe.encode_documents(docs, path, pattern), path)
+    coded = bpe.round_trip_documents(docs, path, pattern)
     return coded.select("doc_id", "ids", *bpe.digests())
 
 

@@ -98,6 +98,7 @@ class Encoder:
         self.double = np.array([self.joined.get(int(a * size + b), -1) for a in self.single for b in self.single], dtype=np.int64)
         self.queue = RankQueue(size)
         self.ids = list(range(size))
+        self.pieces = {rank: piece for piece, rank in ranks.items()}
         self.kept = Kept()
 
     def merge(self, pieces: list[bytes]) -> list[tuple[int, ...]]:
@@ -252,6 +253,24 @@ def decode_documents(encoded: DataFrame, ranks_path: str) -> DataFrame:
     return encoded.mapInArrow(run, "doc_id long, ids array<int>, decoded binary")
 
 
+def round_trip_documents(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
+    """(doc_id, ids, decoded): encoding and decoding in one pass, by the same encoder and piece table."""
+    ranks = docs.sparkSession.sparkContext.broadcast(read_ranks(ranks_path))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = _encoders.get((ranks_path, pattern))
+        if encoder is None:
+            encoder = _encoders[ranks_path, pattern] = Encoder(ranks.value, pattern)
+        piece = encoder.pieces.__getitem__
+        for batch in batches:
+            for part in slices(batch):
+                ids = encoder.encode_all(part.column("text").to_pylist())
+                decoded = pa.array([b"".join(map(piece, row)) for row in ids], pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), _list_array(ids), decoded], ["doc_id", "ids", "decoded"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, ids array<int>, decoded binary")
+
+
 def vocabulary() -> tuple[str, str]:
     """Path and pattern of the production vocabulary."""
     import public_tokenizers
@@ -267,5 +286,4 @@ def digests() -> list[Column]:
 
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, pattern = vocabulary()
-    coded = decode_documents(encode_documents(C.table(spark, sf_dir, "documents"), path, pattern), path)
-    return coded.select("doc_id", *digests())
+    return round_trip_documents(C.table(spark, sf_dir, "documents"), path, pattern).select("doc_id", *digests())

@@ -41,6 +41,8 @@ WINDOW = 8
 #: The boundary is this share of the largest weight at least.
 LEAST = 0.75
 KEPT = 200_000
+#: Documents whose terms are counted together before they go to Spark.
+PART = 250
 #: Words that tell of speech rather than speak (fixed values).
 REPORTING = frozenset("said says called calls quote quoted quotes wrote written word words term terms reported".split())
 WORD = re.compile(r"\w+(?:[*@$]\w+)*")
@@ -171,22 +173,26 @@ def candidate_terms(sample: DataFrame) -> dict[str, tuple[int, int]]:
     """Words of toxic documents with each word and stem, and in how many of them, for the terms that stand out; "*": all words."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count: dict[str, list[int]] = defaultdict(lambda: [0, 0, 0, 0])
         for batch in batches:
-            for text, label in zip(batch.column("text").to_pylist(), batch.column("label").to_pylist(), strict=True):
-                words = Counter(WORD.findall(text.lower()))
-                terms = Counter(words)
-                for w, n in words.items():
-                    for k in STEM_LENGTHS:
-                        if len(w) > k:
-                            terms[w[:k] + "*"] += n
-                terms["*"] = sum(words.values())
-                for t, n in terms.items():
-                    c = count[t]
-                    c[label] += n
-                    c[2 + label] += 1
+            for lo in range(0, batch.num_rows, PART):
+                yield counted(batch.slice(lo, PART))
+
+    def counted(batch: pa.RecordBatch) -> pa.RecordBatch:
+        count: dict[str, list[int]] = defaultdict(lambda: [0, 0, 0, 0])
+        for text, label in zip(batch.column("text").to_pylist(), batch.column("label").to_pylist(), strict=True):
+            words = Counter(WORD.findall(text.lower()))
+            terms = Counter(words)
+            for w, n in words.items():
+                for k in STEM_LENGTHS:
+                    if len(w) > k:
+                        terms[w[:k] + "*"] += n
+            terms["*"] = sum(words.values())
+            for t, n in terms.items():
+                c = count[t]
+                c[label] += n
+                c[2 + label] += 1
         columns = [pa.array([c[i] for c in count.values()], pa.int64()) for i in (1, 0, 3, 2)]
-        yield pa.RecordBatch.from_arrays([pa.array(list(count), pa.string()), *columns], ["term", "c1", "c0", "n1", "n0"])
+        return pa.RecordBatch.from_arrays([pa.array(list(count), pa.string()), *columns], ["term", "c1", "c0", "n1", "n0"])
 
     rows = sample.mapInArrow(read, "term string, c1 long, c0 long, n1 long, n0 long").groupBy("term").agg(*[F.sum(c).alias(c) for c in ("c1", "c0", "n1", "n0")])
     rows = C.materialize(rows, "terms")

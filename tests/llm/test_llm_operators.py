@@ -141,8 +141,8 @@ def components(texts, k, percent):
     return [find(i) for i in range(len(texts))], sets
 
 
-@pytest.mark.parametrize("seed", [1, 2, 3])
-def test_jaccard_brute_force(spark, monkeypatch, seed):
+@pytest.mark.parametrize(("seed", "k", "percent"), [(1, 4, 85), (2, 4, 85), (3, 5, 80)])
+def test_jaccard_brute_force(spark, monkeypatch, seed, k, percent):
     monkeypatch.setattr(jaccard_join, "BLOCK", 16)
     monkeypatch.setattr(jaccard_join, "FREQUENT", 4)
     rng = random.Random(seed)
@@ -151,8 +151,8 @@ def test_jaccard_brute_force(spark, monkeypatch, seed):
     texts += [f"{shared} {' '.join(f'x{rng.randint(0, 10**6)}' for _ in range(rng.randint(0, 40)))}" for _ in range(40)]
     texts += texts[:20] + ["", "one", "One", "one two three", "ONE TWO THREE"]
     rng.shuffle(texts)
-    want, sets = components(texts, 4, 85)
-    got = {r.doc_id: r for r in jaccard_join.jaccard_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    want, sets = components(texts, k, percent)
+    got = {r.doc_id: r for r in jaccard_join.jaccard_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), k, percent).collect()}
     for i, (root, s) in enumerate(zip(want, sets, strict=True)):
         assert (got[i].component_id, got[i].n_shingles) == (root, len(s)), i
 
