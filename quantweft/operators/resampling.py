@@ -86,3 +86,21 @@ def rolling_ic(series: DataFrame, horizon: int, window: int) -> DataFrame:
     out = picked.select("date", "ic", F.count("ic").over(w).alias("n"), F.avg("ic").over(w).alias("m"), F.stddev_samp("ic").over(w).alias("s"))
     return out.select("date", "ic", F.when(F.col("n") >= window, r6("m")).alias("mean"), F.when(F.col("n") >= window, r6("s")).alias("sd"), "n")
 
+
+
+def random_entries(paths: DataFrame, episodes: DataFrame, hold: int, draws: int, seed: int) -> DataFrame:
+    """(key, k, sec, exit_sec, ret): random entries into a path as a control for real ones.
+
+    paths (key, sec, price) hold rows numbered in time; each episode (key, n_th) draws `draws` entries by hash and leaves at
+    the first row at or after entry + hold.  The exit is found by one union and a window from the end, not by a range join.
+    """
+    w = W.partitionBy("key").orderBy("sec")
+    rows = paths.withColumn("i", F.row_number().over(w) - 1)
+    n = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    pick = episodes.join(n, "key").withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
+    pick = pick.withColumn("i", draw(seed, F.col("n_th"), F.col("k"), F.col("n"))).join(rows, ["key", "i"]).select("key", "n_th", "k", "sec", "price")
+    ask = pick.select("key", (F.col("sec") + hold).alias("at"), F.lit(1).alias("side"), F.struct("n_th", "k", "sec", "price").alias("e"), F.lit(None).cast(rows.select(F.struct("sec", "price").alias("x")).schema["x"].dataType).alias("x"))
+    bid = rows.select("key", F.col("sec").alias("at"), F.lit(0).alias("side"), F.lit(None).cast(ask.schema["e"].dataType).alias("e"), F.struct("sec", "price").alias("x"))
+    back = W.partitionBy("key").orderBy(F.desc("at"), "side").rowsBetween(W.unboundedPreceding, 0)
+    found = ask.unionByName(bid).withColumn("x", F.last("x", ignorenulls=True).over(back)).filter("e is not null")
+    return found.select("key", "e.n_th", "e.k", "e.sec", F.col("x.sec").alias("exit_sec"), (F.col("x.price") / F.col("e.price") - 1).alias("ret"))
