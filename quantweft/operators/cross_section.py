@@ -127,6 +127,9 @@ def intraday_overnight(bars: DataFrame) -> DataFrame:
 
 
 def quantile_summary(rows: DataFrame, quantiles: int) -> DataFrame:
-    """(bucket, n, mean, hit) of `ret` by quantile bucket of `signal` (bucket 1: largest)."""
-    b = rows.withColumn("bucket", X.quantile_buckets("signal", quantiles, [], ["code", "date"]))
-    return b.filter("bucket is not null").groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), r6(F.avg("ret")).alias("mean"), r6(F.avg((F.col("ret") > 0).cast("double"))).alias("hit"))
+    """(bucket, n, mean, hit) of `ret` by quantile bucket of `signal` over all rows (bucket 1: largest)."""
+    known = rows.filter("signal is not null")
+    total = known.agg(F.count(F.lit(1)).alias("_n"))
+    ranked = X.global_row_number(known, [F.desc("signal"), F.col("code"), F.col("date")], "_rank").crossJoin(F.broadcast(total))  # one row
+    bucket = F.greatest(F.lit(1), F.ceil((F.col("_rank") - 1) * F.lit(quantiles) / F.greatest(F.col("_n") - 1, F.lit(1))))
+    return ranked.groupBy(bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n"), r6(F.avg("ret")).alias("mean"), r6(F.avg((F.col("ret") > 0).cast("double"))).alias("hit"))

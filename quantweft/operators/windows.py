@@ -54,6 +54,20 @@ def quantile_buckets(value: Column | str, q: int, partition: list[str], order: l
     return F.when(v.isNotNull(), F.greatest(F.lit(1), F.ceil((rank - 1) * F.lit(q) / F.greatest(n - 1, F.lit(1)))))
 
 
+def global_row_number(df: DataFrame, order: list[Column], out: str) -> DataFrame:
+    """Row numbers 1, 2, ... over all rows, without one task that sees them all.
+
+    Rows are placed by range and sorted within their partitions; a number is that within the partition plus the sizes of the
+    partitions before (a row a partition, broadcast).  `order` must tell all rows apart.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = df.repartitionByRange(n, *order).sortWithinPartitions(*order)  # a given number: AQE does not merge partitions
+    placed = placed.withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
+    sizes = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_size"))
+    before = sizes.select("_part", F.coalesce(F.sum("_size").over(W.orderBy("_part").rowsBetween(UP, -1)), F.lit(0)).alias("_before"))
+    return placed.join(F.broadcast(before), "_part").withColumn(out, F.col("_at") + F.col("_before") + 1).drop("_part", "_at", "_before")
+
+
 def fill_forward(value: Column | str, partition: list[str], order: list[str]) -> Column:
     """Last known value; NaN counts as unknown."""
     v = F.col(value) if isinstance(value, str) else value

@@ -82,6 +82,14 @@ def test_forward_extremes_agree(spark):
             assert r.x == r.y, (lo, n, r)
 
 
+def test_global_row_number(spark):
+    rng = random.Random(2)
+    rows = [(i, rng.randint(0, 20)) for i in range(500)]
+    out = windows.global_row_number(spark.createDataFrame(rows, "i int, v int").repartition(7), [F.desc("v"), F.col("i")], "n").collect()
+    want = {i: n for n, (i, v) in enumerate(sorted(rows, key=lambda r: (-r[1], r[0])), 1)}
+    assert {r.i: r.n for r in out} == want
+
+
 def test_as_of(spark):
     left = spark.createDataFrame([("a", 5), ("a", 1), ("b", 9), ("a", 7)], "k string, t int")
     right = spark.createDataFrame([("a", 5, 1.0), ("a", 5, 2.0), ("a", 6, 3.0)], "k string, t int, v double")
