@@ -1,15 +1,16 @@
-"""Benchmark decontamination by rare n-gram seeds and Smith-Waterman alignment (operator 4).
+"""Benchmark decontamination by n-gram seeds and Smith-Waterman alignment (operator 4).
 
-Words are compared in small letters without ASCII punctuation.  The document frequency of every benchmark trigram is
-counted over all documents; of each item the rarer half of its trigrams (up to its median frequency) are seeds, so an
-item that many documents hold has seeds too.  Two different seeds of an item near each other make a passage; local alignment of
-the item with the passage (match 2, mismatch and gap -1) scores copies with words changed, put in or left out.  The score is that
-of the alignment over that of an exact copy; from THRESHOLD on the document is contaminated.
+Words are compared in small letters without ASCII punctuation.  All trigrams of an item are seeds, frequent ones as well: which
+of them an edited copy keeps does not depend on their frequency.  One seed makes a passage, seeds near each other a common
+one.  Passages that hold too few of the item's words to reach the threshold are left out; local alignment of the item
+with the others (match 2, mismatch and gap -1) scores copies with words changed, put in or left out.  The score is that of the
+alignment over that of an exact copy; from THRESHOLD on the document is contaminated.
 
 Benchmark items are handled in blocks of about BLOCK_WORDS words, each broadcast to one pass over the documents:
 the broadcast is bounded whatever the size of the benchmark or the corpus.  Documents are never shuffled.
 
-Defined cases: null text has no words; items of fewer than 3 words have no trigrams and are never found; null ids stay null;
+Defined cases: null text has no words; items of fewer than 3 words have no trigrams and are never found, nor are copies
+without three words of the item in a row; null ids stay null;
 repeated documents give repeated rows, repeated items one row each; empty tables give an empty result; other columns are ignored.
 """
 
@@ -47,7 +48,6 @@ class Items:
     first: np.ndarray  # of each gram: its places in `item` and `at` begin here
     item: np.ndarray
     at: np.ndarray
-    seed: np.ndarray | None = None  # whether the place is a seed of its item
 
     @staticmethod
     def of(rows: list[tuple]) -> Items:
@@ -67,21 +67,6 @@ class Items:
         grams, first = np.unique(g[order], return_index=True)
         return Items(ids, words, grams, np.append(first, len(g)), item[order], at[order])
 
-    def places(self) -> np.ndarray:
-        """The index into `grams` of each place."""
-        return np.repeat(np.arange(len(self.grams)), np.diff(self.first))
-
-    def choose(self, frequency: np.ndarray) -> None:
-        """Seeds: the places whose gram is as rare as the median of the item's grams, or rarer."""
-        f = frequency[self.places()]
-        self.seed = np.zeros(len(f), dtype=bool)
-        order = np.argsort(self.item, kind="stable")
-        bounds = np.searchsorted(self.item[order], np.arange(len(self.ids) + 1))
-        for a, b in zip(bounds[:-1], bounds[1:], strict=True):
-            if a < b:
-                mine = order[a:b]
-                self.seed[mine] = f[mine] <= np.sort(f[mine])[(b - a - 1) // 2]
-
 
 def _found(chunk: K.Chunk, grams: np.ndarray) -> tuple[K.Words, np.ndarray, np.ndarray]:
     """(words, word positions at which a gram of the benchmark starts, indices of the grams)."""
@@ -95,26 +80,6 @@ def _found(chunk: K.Chunk, grams: np.ndarray) -> tuple[K.Words, np.ndarray, np.n
     return words, at[hit], which[hit]
 
 
-def frequencies(docs: DataFrame, grams: np.ndarray) -> np.ndarray:
-    """Documents that hold each gram, over all of docs."""
-    shared = docs.sparkSession.sparkContext.broadcast(grams)
-
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(len(shared.value), dtype=np.int64)
-        for batch in batches:
-            for chunk in _plain(batch.column("text")):
-                words, at, which = _found(chunk, shared.value)
-                total += np.bincount(np.unique(words.doc[at] * len(total) + which) % max(1, len(total)), minlength=len(total))
-        held = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(held), pa.array(total[held])], ["gram", "n"])
-
-    out = np.zeros(len(grams), dtype=np.int64)
-    # one row for each gram of the block at most
-    for r in docs.select("text").mapInArrow(read, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect():
-        out[r.gram] = r.n
-    return out
-
-
 def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int]:
     """(best local score, passage position of its end) by Smith-Waterman, a row of the matrix at a time."""
     n = len(passage)
@@ -137,8 +102,6 @@ def matches(chunk: K.Chunk, items: Items, threshold: float) -> list[tuple[int, i
     count = items.first[which + 1] - items.first[which]
     place = np.repeat(items.first[which], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
     at = np.repeat(at, count)
-    keep = items.seed[place]
-    at, place = at[keep], place[keep]
     if not len(at):
         return []
     doc, item = words.doc[at], items.item[place]
@@ -153,11 +116,12 @@ def matches(chunk: K.Chunk, items: Items, threshold: float) -> list[tuple[int, i
     for a, b in zip(begin.tolist(), end.tolist(), strict=True):
         seeds = len(set(items.at[place[a:b]].tolist()))
         i, d = int(item[a]), int(doc[a])
-        if seeds < min(2, size[i] - N + 1):
-            continue
         m = int(size[i])
         lo = max(int(words.bounds[d]), int(at[a]) - int(items.at[place[a:b]].max()) - m // 4)
         hi = min(int(words.bounds[d + 1]), int(at[b - 1]) + m + m // 4 + N)
+        # each match gives 2 at most
+        if np.isin(items.words[i], words.hash[lo:hi]).sum() < threshold * m:
+            continue
         best, stop = align(items.words[i], words.hash[lo:hi])
         score = best / (2 * m)
         if score >= threshold and score > found.get((d, i), (0.0,))[0]:
@@ -165,15 +129,13 @@ def matches(chunk: K.Chunk, items: Items, threshold: float) -> list[tuple[int, i
     return [(d, i, *x) for (d, i), x in sorted(found.items())]
 
 
-def blocks(docs: DataFrame, benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> Iterator[Items]:
-    """The benchmark in blocks, seeds chosen."""
+def blocks(benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> Iterator[Items]:
+    """The benchmark in blocks."""
     rows = benchmark.select("item_id", F.coalesce("text", F.lit("")).alias("text"))
     total = rows.agg(F.sum(F.size(F.split("text", r"\s+"))).alias("n")).first().n or 0
     n = -(-total // block_words)
     for i in range(n):
-        items = Items.of([tuple(r) for r in rows.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == i).collect()])
-        items.choose(frequencies(docs, items.grams))
-        yield items
+        yield Items.of([tuple(r) for r in rows.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == i).collect()])
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -181,7 +143,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
     kind = benchmark.schema["item_id"].dataType
     out = docs.sparkSession.createDataFrame([], f"doc_id long, item_id {kind.simpleString()}, score double, n_seeds int, end_word long")
     schema = out.schema
-    for items in blocks(docs, benchmark):
+    for items in blocks(benchmark):
         shared = docs.sparkSession.sparkContext.broadcast(items)
 
         def read(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
@@ -204,7 +166,7 @@ def batch_type(items: Items) -> pa.DataType:
 
 def clean(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs, all columns, that hold no benchmark item."""
-    for items in blocks(docs, benchmark):
+    for items in blocks(benchmark):
         shared = docs.sparkSession.sparkContext.broadcast(items)
 
         def read(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:

@@ -319,6 +319,32 @@ def test_edited_benchmark_passages(spark):
     assert decontamination.clean(docs, bench).count() == 200 - len({d for d, _ in got})
 
 
+@pytest.mark.parametrize("percent", [15, 20, 25])
+def test_heavily_edited_benchmark_passages(spark, percent):
+    """One copy an item, and of the last item thousands alike, against the alignment of every item with every text."""
+    import numpy as np
+
+    rng = random.Random(percent)
+    word = lambda: "".join(rng.choice("aeioust") for _ in range(rng.randint(3, 7)))
+    items = [[word() for _ in range(rng.randint(15, 59))] for _ in range(60)]
+    edited = lambda i: [w if rng.random() > percent / 100 else word() for w in items[i]]
+    texts = [[word() for _ in range(20)] + edited(i) + [word() for _ in range(20)] for i in range(59)]
+    texts += [[word() for _ in range(20)] + edited(59)] * 2000
+    number = defaultdict(lambda: len(number))
+    coded = lambda ws: np.array([number[w] for w in ws])
+    grams = lambda ws: set(zip(ws, ws[1:], ws[2:]))
+    want = set()
+    for d, t in enumerate(texts[:60]):
+        for i, item in enumerate(items):
+            if grams(item) & grams(t) and decontamination.align(coded(item), coded(t))[0] >= decontamination.THRESHOLD * 2 * len(item):
+                want |= {(d, i)} if d < 59 else {(x, i) for x in range(59, len(texts))}
+    assert len(want) > 2000 + 59 * 0.7
+    docs = spark.createDataFrame([(d, " ".join(t)) for d, t in enumerate(texts)], "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in decontamination.contaminated(docs, bench).collect()} == want
+    assert decontamination.clean(docs, bench).count() == len(texts) - len({d for d, _ in want})
+
+
 def test_pipeline(spark):
     import corpus_pipeline as P
 
