@@ -7,7 +7,9 @@ express run as Arrow kernels on one (code, day) group, whose size is that of a s
 
 from __future__ import annotations
 
-import numpy as np
+import math
+from bisect import bisect_left
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -177,11 +179,12 @@ def queue_fills(orders: DataFrame, path: DataFrame, model: str = "risk_averse")
 
     def simulate(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         right = right.sort_values("slot")
-        slot, bid, ask, size, sold = (right[c].to_numpy() for c in ("slot", "bid", "ask", "bid_qty", "sell_at"))
+        # lists: numpy's scalars are slow one at a time
+        slot, bid, ask, size, sold = (right[c].tolist() for c in ("slot", "bid", "ask", "bid_qty", "sell_at"))
         out = []
         for o in left.itertuples():
-            i = int(np.searchsorted(slot, o.slot))
-            if i >= len(slot) or np.isnan(bid[i]):
+            i = bisect_left(slot, o.slot)
+            if i >= len(slot) or math.isnan(bid[i]):
                 out.append((*key, o.order_id, 0, None))
                 continue
             if o.limit_price >= ask[i]:
@@ -189,7 +192,7 @@ def queue_fills(orders: DataFrame, path: DataFrame, model: str = "risk_averse")
                 continue
             ahead, status, at = (size[i] if o.limit_price == bid[i] else 0.0), 3, None
             for j in range(i + 1, min(len(slot), i + 1 + o.wait)):
-                if np.isnan(bid[j]):
+                if math.isnan(bid[j]):
                     continue
                 if ask[j] <= o.limit_price or bid[j] < o.limit_price:
                     status, at = 2, int(slot[j])

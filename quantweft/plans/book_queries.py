@@ -17,9 +17,13 @@ def _r6(x: str) -> str:
     return f"floor(({x}) * 1e6 + 0.5) / 1e6"
 
 
+def _whole_book(spark, sf):
+    return O.with_book(O.slot_grid(S.ticks(spark, sf), SLOTS, UNIT), TICK)
+
+
 def _book(spark, sf):
-    t = S.ticks(spark, sf).filter("day < date '2024-01-04'")
-    return O.with_book(O.slot_grid(t, SLOTS, UNIT), TICK)
+    """The first days, as in BOOK_SQL."""
+    return O.with_book(O.slot_grid(S.ticks(spark, sf).filter("day < date '2024-01-04'"), SLOTS, UNIT), TICK)
 
 
 AGG_SQL = """agg as (select code, day, sec // 60 as slot, sum(case when side > 0 then price else 0 end) as buy, sum(case when side < 0 then price else 0 end) as sell, count(*) as cnt,
@@ -169,8 +173,8 @@ select code, day, slot::int as slot, s::int as exit_slot, coalesce(reason, 3)::i
 
 
 def limit_queue(spark, sf):
-    b = _book(spark, sf).withColumn("sell_at", F.col("sell"))
-    orders = b.filter("slot % 40 = 0").select("code", "day", (F.col("code") * 100000 + F.col("slot")).cast("long").alias("order_id"), "slot", F.coalesce("bid", F.lit(0.0)).alias("limit_price"), F.lit(60).alias("wait"))
+    b = _whole_book(spark, sf).withColumn("sell_at", F.col("sell"))
+    orders = b.select("code", "day", (F.col("code") * 100000 + F.col("slot")).cast("long").alias("order_id"), "slot", F.coalesce("bid", F.lit(0.0)).alias("limit_price"), F.lit(60).alias("wait"))
     return O.queue_fills(orders, b.select("code", "day", "slot", "bid", "ask", "bid_qty", "sell_at"))
 
 
