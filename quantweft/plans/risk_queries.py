@@ -107,24 +107,24 @@ select x.date, k, {_r6('e')} as exposure, {_r6('e * f')} as contribution from x
 
 
 def factor_regression(spark, sf):
-    p = P.panel(spark, sf).withColumn("ret", B.forward_return(1, 0)).filter("t % 20 = 0 and t > 20").withColumn("ind", (F.col("code") % 3).cast("string"))
+    p = P.panel(spark, sf).withColumn("ret", B.forward_return(1, 0)).withColumn("ind", (F.col("code") % 3).cast("string"))
     return R.cross_section_regression(p.withColumn("cap", F.col("trade_value")), ["signal"], "ind", "ret", "cap")
 
 
 def rolling_beta(spark, sf):
     r = _residuals(spark, sf)
     m = r.groupBy("t").agg(F.avg("size").alias("_s"), F.sum("u").alias("_u"))
-    rows = r.join(m, "t").select("code", "t", F.col("u").alias("r"), (F.col("_u") / 100 + F.col("_s") / 1e7).alias("m")).filter("code <= 20")
+    rows = r.join(m, "t").select("code", "t", F.col("u").alias("r"), (F.col("_u") / 100 + F.col("_s") / 1e7).alias("m"))
     return R.rolling_beta(rows, 60, 30.0, 30)
 
 
 def optimize_dates(spark, sf):
-    p = P.panel(spark, sf).filter("t in (100, 200, 300) and signal is not null").select("date", "code", F.col("signal").alias("alpha"), F.lit(0.04).alias("d"), F.lit(0.01).alias("w_prev"), (F.col("signal") * 0 + 1).alias("mkt"), (F.col("code") % 2).cast("double").alias("odd"))
+    p = P.panel(spark, sf).filter("signal is not null").select("date", "code", F.col("signal").alias("alpha"), F.lit(0.04).alias("d"), F.lit(0.01).alias("w_prev"), (F.col("signal") * 0 + 1).alias("mkt"), (F.col("code") % 2).cast("double").alias("odd"))
     return R.optimize_dates(p, ["mkt", "odd"], np.array([[0.04, 0.0], [0.0, 0.01]]), 5.0, 0.001, 0.1)
 
 
 def _fills(spark, sf):
-    l = S.table(spark, sf, "lineitem").filter("l_suppkey <= 40")
+    l = S.table(spark, sf, "lineitem")
     seq = F.row_number().over(W.partitionBy("l_suppkey").orderBy("l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice"))
     side = F.when(seq % 3 == 0, "sell").otherwise("buy")
     return l.select(F.col("l_suppkey").alias("code"), seq.cast("long").alias("seq"), side.alias("side"), F.when(seq % 3 == 0, 1).otherwise(F.col("l_quantity").cast("int")).cast("long").alias("qty"), F.floor("l_extendedprice").cast("long").alias("price"))
