@@ -29,7 +29,7 @@ def _source(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def _tick_stream(spark: SparkSession, sf: str) -> DataFrame:
-    e = _source(spark, sf, "events").filter("ts < timestamp_ntz '2024-01-03 00:00:00'")
+    e = _source(spark, sf, "events")
     side = F.when(F.col("event_type").isin("purchase", "click"), 1).when(F.col("event_type") == "error", -1).otherwise(0)
     return e.select((F.col("user_id") % 10).cast("int").alias("code"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("seq"), F.col("value").alias("price"), side.alias("side"))
 
