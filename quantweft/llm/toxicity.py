@@ -35,8 +35,8 @@ from quantweft.llm.bpe import slices
 
 TOXIC, CLEAN = 4_000, 8_000
 STEM_LENGTHS = (3, 4, 5, 6, 7, 8)
-#: A term occurs in this share and number of the sampled toxic documents at least, at this many times its rate in others.
-SHARE, DOCUMENTS, LIFT = 0.03, 10, 15
+#: A term occurs in this number of the sampled toxic documents at least, at this many times its rate in others.
+DOCUMENTS, LIFT = 10, 15
 WINDOW = 8
 #: The boundary is this share of the largest weight at least.
 LEAST = 0.75
@@ -199,7 +199,7 @@ def candidate_terms(sample: DataFrame) -> dict[str, tuple[int, int]]:
     whole = rows.filter("term = '*'").first()
     if not whole or not whole.c1 or not whole.c0:
         return {}
-    strong = rows.filter((F.col("n1") >= max(DOCUMENTS, SHARE * whole.n1)) & (F.col("c1") / whole.c1 >= LIFT * (F.col("c0") + 0.5) / whole.c0))
+    strong = rows.filter((F.col("n1") >= DOCUMENTS) & (F.col("c1") / whole.c1 >= LIFT * (F.col("c0") + 0.5) / whole.c0))
     return {"*": (whole.c1, whole.c0)} | {r.term: (r.c1, r.n1) for r in strong.collect()}
 
 

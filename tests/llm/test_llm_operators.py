@@ -272,6 +272,16 @@ def test_toxicity_held_out(spark):
     assert right / sum(n.values()) > 0.98 and n.get((1, 1), 0) > 9 * n.get((1, 0), 0)
 
 
+def test_terms_of_a_small_share_of_the_toxic_documents(spark):
+    """A language with 12 of 612 toxic documents has its term."""
+    rng = random.Random(2)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(4, 8)))
+    text = lambda term: " ".join([word() for _ in range(20)] + [term] + [word() for _ in range(5)])
+    rows = [(text("idiot"), 1) for _ in range(600)] + [(text("zquorv"), 1) for _ in range(12)] + [(text(word()), 0) for _ in range(1200)]
+    counts = toxicity.candidate_terms(spark.createDataFrame(rows, "text string, label int"))
+    assert {"idiot", "zquorv"} <= set(counts)
+
+
 def test_quotation_counts_less():
     model = toxicity.Model(["idiot"], {(0, 0): 5.0, (0, 1): 2.5}, 0.4, 0.0, 1.0, 4.0)
     s = toxicity.Scorer(model)
