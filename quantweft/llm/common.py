@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-import gc
+import atexit
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager, suppress
 
+import pyarrow as pa
+from pyarrow.fs import FileSystem
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,33 +35,66 @@ def real_id(c: Column | str) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one only where the session has none (tests)."""
+    """The folder in spark.checkpoint.dir; on one machine (tests) a temporary one where the session has none."""
     sc = spark.sparkContext
-    at = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    at = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not at:
+        if not sc.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors and the driver share")
         sc.setCheckpointDir(at := tempfile.mkdtemp(prefix="quantweft-"))
     return at
 
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Writes df to the shared folder and reads it back: cuts the lineage, survives lost executors.
+#: Shuffle files go as soon as the write that needed them is done.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_scopes: list[list[str]] = [[]]
 
-    Shuffle files of steps before are no longer needed; the collections let Spark's cleaner remove them.
-    """
+
+def materialize(df: DataFrame, tag: str) -> DataFrame:
+    """Writes df to the shared folder and reads it back: cuts the lineage, survives lost executors."""
     spark = df.sparkSession
-    _collect(spark)
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    _scopes[-1].append(path)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before) if before is not None else spark.conf.unset(CLEANUP)
     out = spark.read.schema(df.schema).parquet(path)
-    del df
-    _collect(spark)
+    out.written_at = path
     return out
 
 
-def _collect(spark: SparkSession) -> None:
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+@contextmanager
+def scratch() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Tables that are written within are deleted at the end, but for those that it is called with: what is returned is read
+    from them.  These go with the enclosing scope, at last when the driver ends."""
+    mine: list[str] = []
+    keep: set[str] = set()
+
+    def kept(df: DataFrame) -> DataFrame:
+        keep.add(df.written_at)
+        return df
+
+    _scopes.append(mine)
+    try:
+        yield kept
+    finally:
+        _scopes.pop()
+        _scopes[-1].extend(p for p in mine if p in keep)
+        _delete([p for p in mine if p not in keep])
+
+
+def _delete(paths: list[str]) -> None:
+    for path in paths:
+        # a store that Arrow does not know, or a folder that is gone: left to whoever clears the shared folder
+        with suppress(OSError, pa.ArrowException):
+            fs, at = FileSystem.from_uri(path)
+            fs.delete_dir(at)
+
 
+atexit.register(lambda: _delete(_scopes[0]))
 
 #: A list of ids is broadcast up to so many of them (8 bytes each, some tens of MB as a hash table).
 MOST_BROADCAST = 1_000_000

@@ -1,9 +1,10 @@
 """Substring dedup of words by De Bruijn compaction (operator 2).
 
-Token 5-grams at anchor positions are the edges of the graph; the words of the 20-word windows that hang on an edge
-are the path through it.  Paths without branches compact to their first place by an aggregation and a join; at
-branches each distinct path is taken once and its windows are counted.  Source coordinates (doc_id, word) decide which
-place of a string is the first and stays, and each later place loses its words.  See `repeats`.
+Word 5-grams at anchor positions are the edges of a sparse de Bruijn graph (`repeats`); what follows an edge gives its in- and
+out-degree.  Links that do not branch compact, by pointer-jumping joins, to one span each.  Source coordinates (doc_id,
+word) say which place of a span is the first and stays; each later place is verified by a digest of its own words
+in the source text and then loses all windows at once.  At forks, where an edge has several paths, each distinct path is taken
+once, at its first place, and its windows are compared by 128-bit hashes, each half from the bytes of the words.
 
 Defined cases: null text has no words; null doc_ids come before all others; rows that repeat an id and its text count
 as one document and give a row each; an empty table gives an empty result; other columns are ignored.
@@ -21,12 +22,18 @@ from quantweft.llm import repeats as R
 SIZE, ANCHOR = 20, 5
 
 
-def dedup_words(docs: DataFrame, size: int = SIZE, anchor: int = ANCHOR) -> DataFrame:
+def dedup_words(docs: DataFrame, size: int = SIZE, anchor: int = ANCHOR, bits: int = 64) -> DataFrame:
     """(doc_id, n_words, n_removed, kept): each text's words but those of windows that started earlier elsewhere."""
     rows = C.texts(docs)
-    unit = R.Unit(True, size, anchor)
-    settled, heads = R.repeated_runs(rows, unit, keep_first=True)
-    gone = settled.unionByName(C.materialize(R.repeated_windows(rows, heads, unit, keep_first=True), "windows"))
+    unit = R.Unit(True, size, anchor, bits)
+    with C.scratch() as kept:
+        found = R.graph(rows, unit)
+        places = R.read_places(rows, found.spans, found.heads, unit, (), R.WindowsOf(unit), R.WINDOWS)
+        windows = places.filter("digest is null").select("h1", "h2", "doc_id", "at")
+        spans, more = R.verified(found, places, rows, unit)
+        windows = windows if more is None else windows.unionByName(more)
+        gone = spans.filter("not first")
+        gone = kept(C.materialize(gone.select("doc_id", "lo", "n").unionByName(R.repeated_windows(windows, keep_first=True)), "gone"))
 
     def rewrite(text: bytes, lo: np.ndarray, n: np.ndarray) -> tuple:
         words = text.split()

@@ -6,8 +6,11 @@ them come out of whole-array passes.  Nothing depends on the process, so the
 same text gives the same numbers on every executor and on every retry.
 
 Words are the runs of bytes other than 0x20 and 0x09-0x0D; a word never crosses
-a document.  Hashes are 64 bits: a polynomial over a fixed random byte table,
-finished by an avalanche step.
+a document.  Hashes have 64 bits.  Each block of 8 bytes of a word goes through an
+avalanche step together with its place before it is added to the others, and k-grams
+are folded with a step after each unit: no sum of powers of a base, which strings of
+two letters in Thue-Morse order defeat.  `Words.second` starts from the bytes again, with
+other keys.
 """
 
 from __future__ import annotations
@@ -19,6 +22,7 @@ import pyarrow as pa
 
 U64 = np.uint64
 _M1, _M2, _G = U64(0xBF58476D1CE4E5B9), U64(0x94D049BB133111EB), U64(0x9E3779B97F4A7C15)
+_ODD = U64(0xD6E8FEB86659FD93)
 CHUNK_BYTES = 1 << 20
 
 
@@ -30,23 +34,30 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
-_TABLE = mix(np.arange(1, 257, dtype=U64) * _G)
-_BASE = 0xD6E8FEB86659FD93
-_INV = pow(_BASE, -1, 1 << 64)
-_powers: dict[int, np.ndarray] = {}
+def eights(b: np.ndarray) -> np.ndarray:
+    """The 8 bytes from each place on as an integer; beyond the end are zeros."""
+    padded = np.zeros(len(b) + 8, dtype=np.uint8)
+    padded[: len(b)] = b
+    return np.ndarray(len(b) + 1, np.dtype("<u8"), padded.data, strides=(1,))
 
 
-def _power(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64; kept for the next chunk."""
-    have = _powers.get(base)
-    if have is None or len(have) < n:
-        size = max(n, CHUNK_BYTES + 1)
-        step = np.full(size, base, dtype=U64)
-        step[0] = 1
-        have = np.multiply.accumulate(step)
-        _powers.clear() if size > 8 * CHUNK_BYTES else None
-        _powers[base] = have
-    return have[:n]
+#: Keeps the first 0..8 bytes of an integer.
+_KEEP = np.array([(1 << 8 * n) - 1 for n in range(9)], dtype=U64)
+
+
+def block_hash(b: np.ndarray, start: np.ndarray, end: np.ndarray, key: int) -> np.ndarray:
+    """Hash of the bytes of each span (none is empty)."""
+    if not len(start):
+        return np.zeros(0, dtype=U64)
+    size = end - start
+    n = (size + 7) >> 3
+    first = np.cumsum(n) - n
+    owner = np.repeat(np.arange(len(start)), n)
+    i = np.arange(len(owner)) - first[owner]
+    value = eights(b)[start[owner] + 8 * i] & _KEEP[np.minimum(size[owner] - 8 * i, 8)]
+    keys = mix(np.arange(int(n.max()), dtype=U64) * _ODD + U64(key))
+    total = np.add.reduceat(mix(value ^ keys[i]), first)
+    return mix(total + size.astype(U64) * _ODD)
 
 
 #: Byte maps for text_chunks: A-Z to a-z; besides, ASCII punctuation to spaces.
@@ -108,18 +119,20 @@ class Words:
         self.bounds = np.searchsorted(self.start, off)  # words of document i: bounds[i]:bounds[i+1]
         self.count = np.diff(self.bounds)
         self.doc = np.repeat(np.arange(len(chunk)), self.count)
+        self._bytes = b
         if hashed:
-            self.hash = mix(span_hash(prefix_hash(b), self.start, self.end) ^ (self.end - self.start).astype(U64))
-
-    def grams(self, k: int, salt: int = 0) -> np.ndarray:
-        """Hash of the k words from each word on; the last k-1 of a document are rubbish (see `fits`)."""
-        h = mix(self.hash ^ U64(salt * 2 + 1)) if salt else self.hash
-        n = len(h)
-        out = np.zeros(n, dtype=U64)
-        for j in range(k):
-            if n - j > 0:
-                out[: n - j] += h[j:] * U64(pow(_BASE, j + 1, 1 << 64))
-        return mix(out)
+            self.hash = block_hash(b, self.start, self.end, 1)
+
+    def second(self) -> np.ndarray:
+        """Hashes independent of `hash`."""
+        return block_hash(self._bytes, self.start, self.end, 2)
+
+    def grams(self, k: int, salt: int = 0, of: np.ndarray | None = None) -> np.ndarray:
+        """Hash of the k words from each word on; the last k-1 of a document are rubbish (see `fits`).
+
+        of: other hashes of the words than `hash`.
+        """
+        return folded(self.hash if of is None else of, k, salt)
 
     def fits(self, k: int) -> np.ndarray:
         """Whether k words of the same document start at each word."""
@@ -127,16 +140,36 @@ class Words:
         return left >= k
 
 
-def prefix_hash(b: np.ndarray) -> np.ndarray:
-    """Prefix sums c with hash(i, j) = (c[j] - c[i]) / base**i."""
-    c = np.empty(len(b) + 1, dtype=U64)
-    c[0] = 0
-    np.cumsum(_TABLE[b] * _power(_BASE, len(b)), out=c[1:])
-    return c
-
-
-def span_hash(c: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    return (c[end] - c[start]) * _power(_INV, len(c))[start]
+def folded(units: np.ndarray, k: int, salt: int = 0) -> np.ndarray:
+    """Hash of the k units from each on; the last k-1 are of fewer."""
+    out = np.full(len(units), (salt + 1) * int(_ODD) & (1 << 64) - 1, dtype=U64)
+    for j in range(min(k, len(units))):
+        out[: len(units) - j] = mix(out[: len(units) - j] + units[j:])
+    return out
+
+
+def byte_grams(b: np.ndarray, k: int) -> np.ndarray:
+    """Hash of the k bytes from each place that has so many from it on, by doubling."""
+    n = len(b) - k + 1
+    if n <= 0:
+        return np.zeros(0, dtype=U64)
+    have = 8 if k >= 8 else 1
+    h = mix(np.array(eights(b)[: len(b) - have + 1]) & _KEEP[have])
+    while have * 2 <= k:
+        h = mix((h[: len(h) - have] * _ODD) ^ h[have:])
+        have *= 2
+    return h if have == k else mix((h[:n] * _ODD) ^ h[k - have : k - have + n])
+
+
+def span_hash(grams: np.ndarray, k: int, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hash of the units start .. end-1 (k or more), from the k-grams that tile them."""
+    size = end - start
+    out = mix(size.astype(U64))
+    for j in range(-(-int(size.max(initial=0)) // k)):
+        at = start + j * k
+        more = at < end
+        out = np.where(more, mix(out + grams[np.where(more, np.minimum(at, end - k), 0)]), out)
+    return out
 
 
 def sliding_argmin(order: np.ndarray, w: int) -> np.ndarray:

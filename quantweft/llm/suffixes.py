@@ -1,13 +1,15 @@
 """Substring dedup of bytes by deep-shallow suffix sorting (operator 10).
 
-A byte goes when a 200-byte string that covers it starts at another place too.  Anchors and runs (`repeats`) leave the
-branching anchors: groups of distinct contexts around one 32-byte seed.  Within such a group the suffixes from the seed
-on are sorted: multikey quicksort down to SHALLOW bytes past the seed, then a blind trie for the groups that still
+A byte goes when a 200-byte string that covers it starts at another place too.  Suffixes are grouped by anchors, 32-byte seeds
+(`repeats`): equal suffixes, copies of one context around a seed, are one leaf with a count, after a digest of the source
+bytes at each place has shown that they are equal.  The distinct contexts of a seed are sorted: their suffixes from the seed
+on by multikey quicksort down to SHALLOW bytes past the seed, then by a blind trie for the groups that still
 agree.  The texts before the seed are sorted likewise, read backwards.  The longest common prefixes of both orders give,
 for each context, all windows it shares with any other: suffix intervals merge from the longest prefix down, and in the
 merged set only neighbours of the backward order can share more to the left.  That is m log m, not all pairs.
 
-Groups of more than WIDE distinct contexts are not gathered: their windows are counted by hash in Spark, exactly.
+A hot seed, of more than GROUP distinct contexts, is split over tasks further down the order, where suffixes agree in a
+whole window: each window is a group of its own, named by 128 bits of hash.  Both ways give all shared windows.
 
 Defined cases: null text is empty; repeated rows are places of their own, so all they hold goes; an empty table gives an
 empty result; null doc_ids stay null; other columns are ignored.
@@ -29,7 +31,7 @@ from quantweft.llm import repeats as R
 
 SIZE, SEED = 200, 32
 SHALLOW = 16
-WIDE = 20_000
+GROUP = 500
 
 
 def common_prefix(a: bytes, b: bytes) -> int:
@@ -140,7 +142,7 @@ def shared_windows(contexts: list[bytes], seeds: list[int], size: int, k: int) -
     if m == 2:
         note(0, 1, common_prefix(right[0], right[1]))
         return found
-    order = deep_shallow(right, k)
+    order = deep_shallow(right, k if len({r[:k] for r in right}) == 1 else 0)  # seeds of one hash are one string
     rank = [0] * m
     for i, x in enumerate(deep_shallow(left)):
         rank[x] = i
@@ -173,32 +175,33 @@ def shared_windows(contexts: list[bytes], seeds: list[int], size: int, k: int) -
     return found
 
 
-def context_rows(docs: DataFrame, heads: DataFrame, size: int) -> DataFrame:
-    """(seed, doc_id, lo, off, c, context) of the given runs."""
+CONTEXTS = "node long, doc_id long, lo long, off long, c long, context binary, h1 long, h2 long, at long"
 
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
-            offsets, f = R.items_of(batch)
-            for chunk in K.text_chunks(batch.column("text"), 4 * K.CHUNK_BYTES):
-                a, b = offsets[chunk.rows[0]], offsets[chunk.rows[-1] + 1]
-                if a == b:
-                    continue
-                row = np.repeat(chunk.rows, np.diff(offsets[chunk.rows[0] : chunk.rows[-1] + 2]))
-                data, start = chunk.buf.tobytes(), chunk.offsets[row - chunk.rows[0]]
-                stop = chunk.offsets[row - chunk.rows[0] + 1]
-                begin = start + f["lo"][a:b]
-                end = np.minimum(begin + f["n"][a:b] + size - 1, stop)
-                context = [data[x:y] for x, y in zip(begin.tolist(), end.tolist(), strict=True)]
-                cols = [pa.array(f["seed"][a:b]), pa.array(ids[row]), pa.array(f["lo"][a:b]), pa.array(f["off"][a:b]), pa.array(f["c"][a:b]), pa.array(context, pa.binary())]
-                yield pa.RecordBatch.from_arrays(cols, ["seed", "doc_id", "lo", "off", "c", "context"])
-
-    listed = R.with_lists(docs, heads, "inner", "lo", "n", "off", "seed", "c")
-    return listed.mapInArrow(read, "seed long, doc_id long, lo int, off int, c long, context binary")
+
+def contexts_of(unit: R.Unit, group: int):
+    """For read_places: CONTEXTS of heads; those of hot seeds as windows (context is null)."""
+
+    def look(chunk: K.Chunk, ids: np.ndarray, row: np.ndarray, f: dict[str, np.ndarray]) -> dict[str, pa.Array]:
+        hot = f["m"] > group
+        cold = {x: v[~hot] for x, v in f.items()}
+        data, start, stop = chunk.buf.tobytes(), chunk.offsets[row[~hot]], chunk.offsets[row[~hot] + 1]
+        begin = start + cold["lo"]
+        end = np.minimum(begin + cold["n"] + unit.size - 1, stop)
+        context = [data[x:y] for x, y in zip(begin.tolist(), end.tolist(), strict=True)]
+        windows = R.window_hashes(chunk, ids, row[hot], {x: v[hot] for x, v in f.items()}, unit)
+        a, b = len(context), len(windows["h1"])
+        both = lambda x, y: pa.concat_arrays([x if x is not None else pa.nulls(a, pa.int64()), y if y is not None else pa.nulls(b, pa.int64())])
+        out = {x: both(pa.array(cold[x]), None) for x in ("node", "lo", "off", "c")}
+        out |= {x: both(None, windows[x]) for x in ("h1", "h2", "at")}
+        out["doc_id"] = both(pa.array(ids[row[~hot]]), windows["doc_id"])
+        out["context"] = pa.concat_arrays([pa.array(context, pa.binary()), pa.nulls(b, pa.binary())])
+        return out
+
+    return look
 
 
 def sorted_groups(contexts: DataFrame, size: int, k: int) -> DataFrame:
-    """(doc_id, lo, n): window ranges that two contexts of a seed share, of contexts with one place."""
+    """(doc_id, lo, n): window ranges that two contexts of a seed share, of contexts with one place; a seed has GROUP at most."""
 
     def group(rows: list[tuple]) -> Iterator[tuple[int, int, int]]:
         if len(rows) < 2 or all(r[4] > 1 for r in rows):
@@ -212,7 +215,7 @@ def sorted_groups(contexts: DataFrame, size: int, k: int) -> DataFrame:
         held: list[tuple] = []
         for batch in batches:
             out: list[tuple[int, int, int]] = []
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for row in zip(*(batch.column(c).to_pylist() for c in ("node", "doc_id", "lo", "off", "c", "context")), strict=True):
                 if held and held[0][0] != row[0]:
                     out.extend(group(held))
                     held = []
@@ -220,23 +223,28 @@ def sorted_groups(contexts: DataFrame, size: int, k: int) -> DataFrame:
             yield _ranges(out)
         yield _ranges(list(group(held)))
 
-    placed = contexts.repartition("seed").sortWithinPartitions("seed")
-    return placed.mapInArrow(read, "doc_id long, lo int, n int")
+    placed = contexts.repartition("node").sortWithinPartitions("node")
+    return placed.mapInArrow(read, "doc_id long, lo long, n long")
 
 
 def _ranges(rows: list[tuple[int, int, int]]) -> pa.RecordBatch:
     doc, lo, n = zip(*rows, strict=True) if rows else ((), (), ())
-    return pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(lo, pa.int32()), pa.array(n, pa.int32())], ["doc_id", "lo", "n"])
+    return pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(lo, pa.int64()), pa.array(n, pa.int64())], ["doc_id", "lo", "n"])
 
 
-def dedup_bytes(docs: DataFrame, size: int = SIZE, seed: int = SEED, wide: int = WIDE) -> DataFrame:
+def dedup_bytes(docs: DataFrame, size: int = SIZE, seed: int = SEED, group: int = GROUP, bits: int = 64) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept binary): each text without the bytes of strings that occur twice."""
     rows = C.texts(docs)
-    unit = R.Unit(False, size, seed)
-    settled, heads = R.repeated_runs(rows, unit, keep_first=False)
-    found = sorted_groups(context_rows(rows, heads.filter(F.col("m") <= wide), size), size, seed)
-    counted = R.repeated_windows(rows, heads.filter(F.col("m") > wide), unit, keep_first=False)
-    gone = settled.unionByName(C.materialize(found.unionByName(counted), "shared"))
+    unit = R.Unit(False, size, seed, bits)
+    with C.scratch() as kept:
+        found = R.graph(rows, unit)
+        places = R.read_places(rows, found.spans, found.heads, unit, ("node", "off", "c", "m"), contexts_of(unit, group), CONTEXTS)
+        contexts = places.filter("context is not null").select("node", "doc_id", "lo", "off", "c", "context")
+        windows = places.filter("h1 is not null").select("h1", "h2", "doc_id", "at")
+        gone, more = R.verified(found, places, rows, unit)
+        windows = windows if more is None else windows.unionByName(more)
+        gone = gone.select("doc_id", "lo", "n").unionByName(sorted_groups(contexts, size, seed)).unionByName(R.repeated_windows(windows, keep_first=False))
+        gone = kept(C.materialize(gone, "gone"))
 
     def rewrite(text: bytes, lo: np.ndarray, n: np.ndarray) -> tuple:
         if not len(lo):

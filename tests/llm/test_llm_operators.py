@@ -66,8 +66,8 @@ def test_all_on_empty_tables(spark):
         assert out.count() == 0
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_words_brute_force(spark, seed):
+@pytest.mark.parametrize(("seed", "bits"), [(1, 64), (2, 64), (1, 5), (3, 3)])
+def test_words_brute_force(spark, seed, bits):
     texts, docs = corpus(spark, seed)
     size = 6
     first = {}
@@ -75,7 +75,7 @@ def test_words_brute_force(spark, seed):
         w = t.split()
         for i in range(len(w) - size + 1):
             first.setdefault(tuple(w[i : i + size]), (d, i))
-    got = {r.doc_id: r for r in debruijn.dedup_words(docs, size, 3).collect()}
+    got = {r.doc_id: r for r in debruijn.dedup_words(docs, size, 3, bits).collect()}
     for d, t in enumerate(texts):
         w = t.split()
         gone = {j for i in range(len(w) - size + 1) if first[tuple(w[i : i + size])] != (d, i) for j in range(i, i + size)}
@@ -83,12 +83,12 @@ def test_words_brute_force(spark, seed):
         assert (got[d].n_words, got[d].n_removed) == (len(w), len(gone))
 
 
-@pytest.mark.parametrize("wide", [20_000, 3])
-def test_bytes_brute_force(spark, wide):
+@pytest.mark.parametrize(("group", "bits"), [(20_000, 64), (3, 64), (500, 5), (3, 5)])
+def test_bytes_brute_force(spark, group, bits):
     texts, docs = corpus(spark, 5, vocabulary="ab ba c é")
     size = 20
     count = Counter(t.encode()[i : i + size] for t in texts for i in range(len(t.encode()) - size + 1))
-    got = {r.doc_id: r for r in suffixes.dedup_bytes(docs, size, 6, wide).collect()}
+    got = {r.doc_id: r for r in suffixes.dedup_bytes(docs, size, 6, group, bits).collect()}
     for d, t in enumerate(texts):
         b = t.encode()
         gone = {j for i in range(len(b) - size + 1) if count[b[i : i + size]] > 1 for j in range(i, i + size)}
