@@ -16,9 +16,13 @@ missing from y.
 3. Entities that share a signature are candidates.  They are not paired with each other: per signature all are checked
    against one hub, the entity whose tokens are most common (of near copies, the text they come from), and accepted
    links merge into components.  Only where a signature still joins several components, the entities outside the
-   hub's are compared with all others of that hub, as bit vectors over the hub's tokens: blocks of entities in a task,
-   no pair leaves it but links that merge components.  So no link between components is lost, and a group of near
-   copies costs a star of rows, not its square.  All checks are on whole token sets.
+   hub's are compared with others of that hub, as bit vectors over the hub's tokens.
+4. An entity differs from its hub by tokens that it misses and extra ones.  Two entities without a common difference are less
+   alike than each is to the hub, so an outsider has a link that merges components only with entities that share
+   some of its differences, and as many at least as it is short of the hub's similarity.  Hubs of more than BLOCK entities
+   are screened by joins on (hub, difference); outsiders that share too few, and entities that share none with an
+   outsider of another component, drop out.  Tasks compare a block of outsiders with a block of entities; no pair leaves
+   them but links that merge components.  All checks are on whole token sets.
 
 Defined cases: null or wordless text has an empty set, linked with nothing; shorter texts than 4 words are one shingle;
 null doc_ids stay null and count as smallest in ties; repeated rows are copies of each other; an empty table gives an
@@ -40,43 +44,49 @@ from quantweft.llm.links import components
 
 SHINGLE, PERCENT = 4, 85
 EXTRA, GROUPS, SMALL, FREQUENT = 16, 16, 24, 32
-#: Entities of a hub that one task compares with as many others.
-BLOCK = 4096
+#: Outsiders of a hub that one task compares with as many entities.
+BLOCK = 128
 
 
-def shingle_sets(chunk: K.Chunk, k: int, salts: frozenset[int]) -> tuple[np.ndarray, ...]:
-    """(document, token) sorted by both and distinct; (bounds per document, size, set id, second id)."""
+def shingle_sets(chunk: K.Chunk, k: int, salts: frozenset[int], twice: bool = False) -> tuple[np.ndarray, ...]:
+    """(document, token) sorted by both and distinct; (bounds per document, size, set id, second id).
+
+    The second id comes from the bytes of the words by another hash, where asked for or where set ids clash; else it is 0.
+    """
     words = K.Words(chunk)
     at = np.flatnonzero(words.fits(k))
-    doc, token = [words.doc[at]], [words.grams(k)[at]]
+    twice = twice or bool(salts)
+    other = words.second() if twice else words.hash
+    doc, token, again = [words.doc[at]], [words.grams(k)[at]], [words.grams(k, of=other)[at] if twice else at]
     for c in range(1, k):
         short = np.flatnonzero(words.count == c)
         if len(short):
             doc.append(short)
             token.append(words.grams(c, salt=c)[words.bounds[short]])
-    d, g = np.concatenate(doc), np.concatenate(token)
+            again.append(words.grams(c, salt=c, of=other)[words.bounds[short]] if twice else short)
+    d, g, g2 = np.concatenate(doc), np.concatenate(token), np.concatenate(again)
     order = np.lexsort((g, d))
-    d, g = d[order], g[order]
+    d, g, g2 = d[order], g[order], g2[order]
     keep = np.ones(len(d), dtype=bool)
     keep[1:] = (d[1:] != d[:-1]) | (g[1:] != g[:-1])
-    d, g = d[keep], g[keep]
+    d, g, g2 = d[keep], g[keep], g2[keep]
     bounds = np.searchsorted(d, np.arange(len(chunk) + 1))
     size = np.diff(bounds)
     total = lambda x: np.diff(np.concatenate([np.zeros(1, K.U64), np.cumsum(x)])[bounds])
     sid = K.mix(total(K.mix(g)) ^ (size.astype(K.U64) << K.U64(40)))
-    second = K.mix(total(K.mix(g ^ K.U64(0x1234567)) * K.U64(0x2545F4914F6CDD1D)))
+    second = K.mix(total(K.mix(g2))) if twice else np.zeros(len(size), K.U64)
     if salts:
         clash = np.isin(sid, np.array(sorted(salts), dtype=K.U64))
         sid = np.where(clash, K.mix(sid ^ second), sid)
     return d, g, bounds, size, sid, second
 
 
-def _scan(docs: DataFrame, k: int, salts: frozenset[int], emit, schema: str) -> DataFrame:
+def _scan(docs: DataFrame, k: int, salts: frozenset[int], emit, schema: str, twice: bool = False) -> DataFrame:
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
             for chunk in K.text_chunks(batch.column("text"), mapped=K.LOWER):
-                yield emit(ids[chunk.rows], *shingle_sets(chunk, k, salts))
+                yield emit(ids[chunk.rows], *shingle_sets(chunk, k, salts, twice))
 
     return docs.mapInArrow(read, schema)
 
@@ -87,7 +97,7 @@ def entity_rows(docs: DataFrame, k: int, salts: frozenset[int]) -> DataFrame:
     def emit(ids, d, g, bounds, size, sid, second):
         return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(size.astype(np.int64)), pa.array(K.signed(sid)), pa.array(K.signed(second))], ["doc_id", "size", "sid", "second"])
 
-    return _scan(docs, k, salts, emit, "doc_id long, size long, sid long, second long")
+    return _scan(docs, k, salts, emit, "doc_id long, size long, sid long, second long", twice=True)
 
 
 def prefix_rows(docs: DataFrame, k: int, percent: int, salts: frozenset[int]) -> DataFrame:
@@ -181,23 +191,65 @@ def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return C.materialize(joined.select("a", "b", "ta", "tb").mapInArrow(read, "a long, b long").distinct(), "links")
 
 
+DELTA = "hub long, sid long, root long, out boolean, size long, hub_size long, missing long, bits binary, extras binary"
+
+
 def delta_rows(members: DataFrame, sets: DataFrame) -> DataFrame:
-    """(hub, sid, root, out, size, bits, extras): each entity as its difference from a hub: which of the hub's tokens it has
-    (a bit each) and which others.  A few bytes for a near copy."""
+    """DELTA: each entity as its difference from a hub: which of the hub's tokens it has (a bit each) and which others.
+    A few bytes for a near copy."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bits, extras, size = [], [], []
+            bits, extras, size, whole, missing = [], [], [], [], []
             for x, h in zip(batch.column("tokens").to_pylist(), batch.column("hub_tokens").to_pylist(), strict=True):
                 x, h = np.frombuffer(x, K.U64), np.frombuffer(h, K.U64)
-                bits.append(np.packbits(_in_sorted(h, x)).tobytes())
+                has = _in_sorted(h, x)
+                bits.append(np.packbits(has).tobytes())
                 extras.append(x[~_in_sorted(x, h)].tobytes())
                 size.append(len(x))
-            cols = [*(batch.column(c) for c in ("hub", "sid", "root", "out")), pa.array(size, pa.int64()), pa.array(bits, pa.binary()), pa.array(extras, pa.binary())]
-            yield pa.RecordBatch.from_arrays(cols, ["hub", "sid", "root", "out", "size", "bits", "extras"])
+                whole.append(len(h))
+                missing.append(len(h) - int(has.sum()))
+            cols = [*(batch.column(c) for c in ("hub", "sid", "root", "out")), *(pa.array(c, pa.int64()) for c in (size, whole, missing)), pa.array(bits, pa.binary()), pa.array(extras, pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, [c.split()[0] for c in DELTA.split(", ")])
 
     rows = members.join(sets, "sid").join(sets.select(F.col("sid").alias("hub"), F.col("tokens").alias("hub_tokens")), "hub")
-    return rows.select("hub", "sid", "root", "out", "tokens", "hub_tokens").mapInArrow(read, "hub long, sid long, root long, out boolean, size long, bits binary, extras binary")
+    return rows.select("hub", "sid", "root", "out", "tokens", "hub_tokens").mapInArrow(read, DELTA)
+
+
+def difference_rows(deltas: DataFrame) -> DataFrame:
+    """(hub, extra, token, sid, root, out): a row for each token that the entity misses (its number in the hub) or has besides."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 256):
+                part = batch.slice(lo, 256)
+                tokens, counts = [], []
+                for bits, extras, n in zip(*(part.column(c).to_pylist() for c in ("bits", "extras", "hub_size")), strict=True):
+                    lost = np.flatnonzero(np.unpackbits(np.frombuffer(bits, np.uint8))[:n] == 0)
+                    more = np.frombuffer(extras, np.int64)
+                    tokens += [lost, more]
+                    counts += [len(lost), len(more)]
+                row = np.repeat(np.arange(len(counts)), counts)
+                at = pa.array(row // 2)
+                cols = [part.column("hub").take(at), pa.array(row % 2 == 1), pa.array(np.concatenate(tokens)), *(part.column(c).take(at) for c in ("sid", "root", "out"))]
+                yield pa.RecordBatch.from_arrays(cols, ["hub", "extra", "token", "sid", "root", "out"])
+
+    return deltas.mapInArrow(read, "hub long, extra boolean, token long, sid long, root long, out boolean")
+
+
+def screened(deltas: DataFrame, percent: int) -> DataFrame:
+    """The rows of deltas that can have a link which merges components.
+
+    x, short of the hub's similarity by d = percent * (hub + extras) - 100 * (hub - missing), needs d / 100 differences in common.
+    """
+    rows = difference_rows(deltas)
+    key = ["hub", "extra", "token"]
+    useful = rows.groupBy(*key).agg(F.max("out").alias("any"), F.min("root").alias("r0"), F.max("root").alias("r1")).filter("any and r0 <> r1")
+    useful = useful.select(C.apart("hub").alias("hx"), F.col("extra").alias("ex"), C.apart("token").alias("tx"))
+    hits = rows.select("hub", "sid", C.apart("hub").alias("hx"), F.col("extra").alias("ex"), C.apart("token").alias("tx")).join(useful, ["hx", "ex", "tx"])
+    hits = hits.groupBy("hub", "sid").agg(F.count(F.lit(1)).alias("hits"))
+    short = percent * (F.col("hub_size") + F.col("size") - F.col("hub_size") + F.col("missing")) - 100 * (F.col("hub_size") - F.col("missing"))
+    return deltas.join(hits, ["hub", "sid"]).filter(~F.col("out") | (100 * F.col("hits") >= short)).drop("hits")
 
 
 def _in_sorted(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -208,17 +260,17 @@ def _in_sorted(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 def outside_links(deltas: DataFrame, percent: int) -> DataFrame:
     """(a, b): links that join further components, between entities of one hub of which one is outside the hub's component.
 
-    Entities of a hub are dealt into blocks of about BLOCK; a task has two blocks and compares their bit vectors with
+    A task has a block of a hub's outsiders (side 0) and one of its entities (side 1), and compares their bit vectors with
     whole-array popcounts.  What the bits and the shared extras allow is checked in full.  Only links that merge two
     components of the task are returned: no more than it has entities.
     """
 
     def group(rows: list[dict]) -> Iterator[tuple[int, int]]:
-        out = np.array([r["out"] for r in rows])
-        if len(rows) < 2 or not out.any():
+        side = np.array([r["side"] for r in rows])
+        xs, ys = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        if not len(xs) or not len(ys):
             return
         size = np.array([r["size"] for r in rows])
-        block = np.array([r["mine"] for r in rows])
         pad = -len(rows[0]["bits"]) % 8
         bits = np.stack([np.frombuffer(r["bits"] + bytes(pad), np.uint64) for r in rows])
         extras = [np.frombuffer(r["extras"], K.U64) for r in rows]
@@ -236,41 +288,41 @@ def outside_links(deltas: DataFrame, percent: int) -> DataFrame:
                 i = parent[i]
             return i
 
-        both = rows[0]["b0"] != rows[0]["b1"]
-        step = max(1, (1 << 22) // (len(rows) * bits.shape[1]))
-        xs = np.flatnonzero(out)
-        for lo in range(0, len(xs), step):
-            x = xs[lo : lo + step]
-            common = np.bitwise_count(bits[x][:, None, :] & bits[None, :, :]).sum(axis=2, dtype=np.int64)
-            most = common + np.minimum(more[x][:, None], more[None, :])
-            may = ((100 + percent) * most >= percent * (size[x][:, None] + size[None, :])) & (root[x][:, None] != root[None, :])
-            if both:
-                may &= block[x][:, None] != block[None, :]
-            for i, j in zip(*np.nonzero(may), strict=True):
-                p, q = find(int(root[x[i]])), find(int(root[j]))
-                if p != q:
-                    shared = int(common[i, j]) + len(np.intersect1d(extras[x[i]], extras[j]))
-                    if (100 + percent) * shared >= percent * int(size[x[i]] + size[j]):
-                        parent[p] = q
-                        yield rows[x[i]]["sid"], rows[j]["sid"]
+        common = np.bitwise_count(bits[xs][:, None, :] & bits[ys][None, :, :]).sum(axis=2, dtype=np.int64)
+        most = common + np.minimum(more[xs][:, None], more[ys][None, :])
+        may = ((100 + percent) * most >= percent * (size[xs][:, None] + size[ys][None, :])) & (root[xs][:, None] != root[ys][None, :])
+        for i, j in zip(*np.nonzero(may), strict=True):
+            x, y = xs[i], ys[j]
+            p, q = find(int(root[x])), find(int(root[y]))
+            if p != q:
+                shared = int(common[i, j]) + len(np.intersect1d(extras[x], extras[y]))
+                if (100 + percent) * shared >= percent * int(size[x] + size[y]):
+                    parent[p] = q
+                    yield rows[x]["sid"], rows[y]["sid"]
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[dict] = []
         for batch in batches:
             found: list[tuple[int, int]] = []
             for row in batch.to_pylist():
-                if held and any(held[0][c] != row[c] for c in ("hub", "b0", "b1")):
+                if held and any(held[0][c] != row[c] for c in ("hub", "bx", "by")):
                     found.extend(group(held))
                     held = []
                 held.append(row)
             yield _pairs(found)
         yield _pairs(list(group(held)) if held else [])
 
-    blocks = deltas.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"), F.max("out").alias("any")).filter("any")
-    rows = deltas.withColumn("hx", C.apart("hub")).join(blocks.select(C.apart("hub").alias("hx"), "blocks"), "hx").drop("hx")
-    rows = rows.withColumn("mine", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.withColumn("b0", F.least("mine", "other")).withColumn("b1", F.greatest("mine", "other")).drop("other", "blocks")
-    return rows.repartition("hub", "b0", "b1").sortWithinPartitions("hub", "b0", "b1").mapInArrow(read, "a long, b long")
+    wide = deltas.groupBy("hub").agg(F.count(F.lit(1)).alias("n"), F.max("out").alias("any")).filter("any").select(C.apart("hub").alias("hx"), "n")
+    wide = C.materialize(deltas.withColumn("hx", C.apart("hub")).join(wide, "hx").drop("hx"), "mixed")
+    kept = C.materialize(wide.filter(F.col("n") <= BLOCK).drop("n").unionByName(screened(wide.filter(F.col("n") > BLOCK).drop("n"), percent)), "left")
+    blocks = kept.groupBy("hub").agg(F.ceil(F.sum(F.col("out").cast("int")) / BLOCK).cast("int").alias("nx"), F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("ny")).filter("nx > 0")
+    rows = kept.withColumn("hx", C.apart("hub")).join(blocks.select(C.apart("hub").alias("hx"), "nx", "ny"), "hx").drop("hx")
+    place = lambda n: F.pmod(F.xxhash64("sid"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = rows.filter("out").withColumn("side", F.lit(0)).withColumn("bx", place("nx")).withColumn("by", every("ny"))
+    right = rows.withColumn("side", F.lit(1)).withColumn("by", place("ny")).withColumn("bx", every("nx"))
+    rows = left.unionByName(right).select("hub", "bx", "by", "side", "sid", "root", "size", "bits", "extras")
+    return rows.repartition("hub", "bx", "by").sortWithinPartitions("hub", "bx", "by").mapInArrow(read, "a long, b long")
 
 
 def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
@@ -295,6 +347,11 @@ def _shared(tokens: DataFrame) -> DataFrame:
 
 def entity_links(docs: DataFrame, entities: DataFrame, k: int, percent: int, salts: frozenset[int]) -> DataFrame:
     """(node, root) of the entities that are linked with another."""
+    with C.scratch() as kept:
+        return kept(_entity_links(docs, entities, k, percent, salts))
+
+
+def _entity_links(docs: DataFrame, entities: DataFrame, k: int, percent: int, salts: frozenset[int]) -> DataFrame:
     heads = C.materialize(entities.groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.min("size").alias("size"), F.count(F.lit(1)).alias("copies")), "heads")
     screened = _shared(prefix_rows(docs, k, percent, salts)).groupBy("sid").agg(F.count(F.lit(1)).alias("hits"))
     heads = heads.join(screened, "sid").filter(F.col("hits") >= F.col("copies") * F.when(F.col("size") > _wide(percent), F.greatest(F.lit(EXTRA), F.floor(F.floor(F.col("size") * percent / 100) / 16)) + 1).otherwise(1))
@@ -318,8 +375,8 @@ def entity_links(docs: DataFrame, entities: DataFrame, k: int, percent: int, sal
     mixed = at.groupBy("sig").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.max(F.when(F.col("sid") == F.col("hub"), F.col("root"))).alias("main")).filter("r0 <> r1")
     rest = at.withColumn("gx", C.apart("sig")).join(mixed.select(C.apart("sig").alias("gx"), "main"), "gx")
     members = C.materialize(rest.select("hub", "sid", "root", (F.col("root") != F.col("main")).alias("out")).distinct(), "rest")
-    found = C.materialize(outside_links(C.materialize(delta_rows(members, sets), "deltas"), percent), "links")
-    return roots if found.isEmpty() else components(links.unionByName(found))
+    found = C.materialize(outside_links(C.materialize(delta_rows(members, sets), "deltas"), percent).distinct(), "links")
+    return roots if found.isEmpty() else C.materialize(components(links.unionByName(found)), "roots")
 
 
 def jaccard_groups(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:

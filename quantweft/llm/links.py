@@ -19,7 +19,7 @@ def components(links: DataFrame) -> DataFrame:
     while True:
         large = _star(edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))), larger=True)
         small = C.materialize(_star(large, larger=False), "edges")
-        if edges.count() == small.count() and edges.exceptAll(small).isEmpty():
+        if edges.count() == small.count() and edges.join(small, ["u", "v"], "left_anti").isEmpty():
             roots = small.select("v").distinct().select(F.col("v").alias("node"), F.col("v").alias("root"))
             return small.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)
         edges = small

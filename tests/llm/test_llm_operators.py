@@ -141,9 +141,9 @@ def components(texts, k, percent):
     return [find(i) for i in range(len(texts))], sets
 
 
-@pytest.mark.parametrize(("seed", "k", "percent"), [(1, 4, 85), (2, 4, 85), (3, 5, 80)])
-def test_jaccard_brute_force(spark, monkeypatch, seed, k, percent):
-    monkeypatch.setattr(jaccard_join, "BLOCK", 16)
+@pytest.mark.parametrize(("seed", "k", "percent", "block"), [(1, 4, 85, 8), (2, 4, 85, 128), (3, 5, 80, 8)])
+def test_jaccard_brute_force(spark, monkeypatch, seed, k, percent, block):
+    monkeypatch.setattr(jaccard_join, "BLOCK", block)
     monkeypatch.setattr(jaccard_join, "FREQUENT", 4)
     rng = random.Random(seed)
     texts = [t for words, edits in ((12, 1), (30, 3), (60, 4), (120, 7), (300, 12)) for t in near_copies(rng, 40, words, edits)]
