@@ -6,11 +6,13 @@ one.  Passages that hold too few of the item's words to reach the threshold are
 with the others (match 2, mismatch and gap -1) scores copies with words changed, put in or left out.  The score is that of the
 alignment over that of an exact copy; from THRESHOLD on the document is contaminated.
 
+Where many items share many trigrams of a long text, its seeds are expanded for a part of the items at a time, MOST_SEEDS in each.
+
 Benchmark items are handled in blocks of about BLOCK_WORDS words, each broadcast to one pass over the documents:
 the broadcast is bounded whatever the size of the benchmark or the corpus.  Documents are never shuffled.
 
 Defined cases: null text has no words; items of fewer than 3 words have no trigrams and are never found, nor are copies
-without three words of the item in a row; null ids stay null;
+without three words of the item in a row; null ids stay null, and item ids may be of any type;
 repeated documents give repeated rows, repeated items one row each; empty tables give an empty result; other columns are ignored.
 """
 
@@ -24,6 +26,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quantweft.llm import common as C
 from quantweft.llm import kernels as K
@@ -31,6 +34,7 @@ from quantweft.llm import kernels as K
 N = 3
 THRESHOLD = 0.5
 BLOCK_WORDS = 1_000_000
+MOST_SEEDS = 4_000_000
 
 
 def _plain(column: pa.Array) -> Iterator[K.Chunk]:
@@ -96,12 +100,30 @@ def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int]:
     return best, end
 
 
+def expanded(items: Items, at: np.ndarray, which: np.ndarray, most: int = MOST_SEEDS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(word position, place in `items`) of all seeds: in parts of whole items, read in slices of `most` seeds."""
+    count = items.first[which + 1] - items.first[which]
+    parts = max(1, -(-int(count.sum()) // most))
+    cuts = np.searchsorted(np.cumsum(count), np.arange(1, parts) * most)
+    for part in range(parts if len(at) else 0):
+        found = []
+        for x, n, w in zip(np.split(at, cuts), np.split(count, cuts), np.split(which, cuts), strict=True):
+            place = np.repeat(items.first[w], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            mine = items.item[place] % parts == part
+            found.append((np.repeat(x, n)[mine], place[mine]))
+        yield np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+
+
 def matches(chunk: K.Chunk, items: Items, threshold: float) -> list[tuple[int, int, float, int, int]]:
     """(row in chunk, item, score, seeds, end word) of every item found in a document: its best passage."""
     words, at, which = _found(chunk, items.grams)
-    count = items.first[which + 1] - items.first[which]
-    place = np.repeat(items.first[which], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-    at = np.repeat(at, count)
+    out = []
+    for x, place in expanded(items, at, which):
+        out += _aligned(words, items, threshold, x, place)
+    return sorted(out)
+
+
+def _aligned(words: K.Words, items: Items, threshold: float, at: np.ndarray, place: np.ndarray) -> list[tuple[int, int, float, int, int]]:
     if not len(at):
         return []
     doc, item = words.doc[at], items.item[place]
@@ -126,7 +148,7 @@ def matches(chunk: K.Chunk, items: Items, threshold: float) -> list[tuple[int, i
         score = best / (2 * m)
         if score >= threshold and score > found.get((d, i), (0.0,))[0]:
             found[d, i] = score, seeds, lo + stop - int(words.bounds[d])
-    return [(d, i, *x) for (d, i), x in sorted(found.items())]
+    return [(d, i, *x) for (d, i), x in found.items()]
 
 
 def blocks(benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> Iterator[Items]:
@@ -140,28 +162,26 @@ def blocks(benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> Iterator[Ite
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, item_id, score, n_seeds, end_word): every document with every item that it holds a copy of."""
-    kind = benchmark.schema["item_id"].dataType
-    out = docs.sparkSession.createDataFrame([], f"doc_id long, item_id {kind.simpleString()}, score double, n_seeds int, end_word long")
-    schema = out.schema
+    spark = docs.sparkSession
+    kind = benchmark.select("item_id").schema
+    out = spark.createDataFrame([], "doc_id long, score double, n_seeds int, end_word long").crossJoin(spark.createDataFrame([], kind))
     for items in blocks(benchmark):
-        shared = docs.sparkSession.sparkContext.broadcast(items)
+        shared = spark.sparkContext.broadcast(items)
 
         def read(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            items = shared.value
             for batch in batches:
                 ids = batch.column("doc_id")
                 for chunk in _plain(batch.column("text")):
-                    rows = matches(chunk, items, threshold)
+                    rows = matches(chunk, shared.value, threshold)
                     d, i, score, seeds, end = zip(*rows, strict=True) if rows else ((),) * 5
-                    cols = [ids.take(pa.array(chunk.rows[list(d)], pa.int64())), pa.array([items.ids[x] for x in i], batch_type(items)), pa.array(score, pa.float64()), pa.array(seeds, pa.int32()), pa.array(end, pa.int64())]
-                    yield pa.RecordBatch.from_arrays(cols, ["doc_id", "item_id", "score", "n_seeds", "end_word"])
-
-        out = out.unionByName(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(read, schema))
-    return out
-
-
-def batch_type(items: Items) -> pa.DataType:
-    return pa.string() if any(isinstance(x, str) for x in items.ids) else pa.int64()
+                    cols = [ids.take(pa.array(chunk.rows[list(d)], pa.int64())), pa.array(i, pa.int64()), pa.array(score, pa.float64()), pa.array(seeds, pa.int32()), pa.array(end, pa.int64())]
+                    yield pa.RecordBatch.from_arrays(cols, ["doc_id", "item", "score", "n_seeds", "end_word"])
+
+        found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(read, "doc_id long, item long, score double, n_seeds int, end_word long")
+        # a block of items is bounded
+        names = spark.createDataFrame(list(enumerate(items.ids)), T.StructType([T.StructField("item", T.LongType()), *kind.fields]))
+        out = out.unionByName(found.join(F.broadcast(names), "item").drop("item"))
+    return out.select("doc_id", "item_id", "score", "n_seeds", "end_word")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
