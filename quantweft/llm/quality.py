@@ -1,11 +1,12 @@
 """Quality by nearest-neighbour voting in a latent-semantic space (operator 9).
 
-A document's terms are the shapes of its words (runs of capitals, small letters, digits and symbols), pairs of shapes,
+A document's terms are its words, and the shapes of its words (runs of capitals, small letters, digits and symbols), pairs of shapes,
 punctuation, and whether a word repeats the one before; no list of words, so any language and any vocabulary will do.
-Terms are hashed to TERMS columns and weighted by 1 + log(count) and by inverse document frequency over all documents.
+Terms are hashed to TERMS columns, half for words and half for shapes, and weighted by 1 + log(count) and by inverse document
+frequency over all documents; the words together weigh WORDS times as much as the shapes.
 The singular vectors of the labelled sample span the latent space.  The labelled vectors are broadcast: at most SAMPLE
 of each label (a documented bound) with DIMENSIONS numbers each.  Every document's cosines with all of them are one matrix
-product a block; the NEIGHBOURS nearest vote with weight max(0, cosine)**POWER times the share that the sample holds
+product a block; the NEIGHBOURS nearest, and all that tie with the last of them, vote with weight max(0, cosine)**POWER times the share that the sample holds
 of its label.
 
 Defined cases: null and empty text, and text without labelled neighbours, get the share of label 1; without labels 0.5;
@@ -27,7 +28,8 @@ from quantweft.llm import common as C
 from quantweft.llm import kernels as K
 from quantweft.llm import samples
 
-TERMS, DIMENSIONS = 1024, 48
+TERMS, DIMENSIONS = 2048, 64
+SHAPES, WORDS = TERMS // 2, 0.5
 SAMPLE = 2_000
 NEIGHBOURS, POWER = 25, 8
 
@@ -62,8 +64,10 @@ def term_counts(chunk: K.Chunk) -> np.ndarray:
     pair = np.zeros(w, dtype=K.U64)
     pair[1:] = K.mix(shape[:-1] * K.U64(3) + shape[1:])
     pair[words.bounds[:-1][words.count > 0]] = K.mix(shape[words.bounds[:-1][words.count > 0]])
-    ids = np.concatenate([shape % K.U64(TERMS // 2), pair % K.U64(TERMS // 2 - 2) + K.U64(TERMS // 2), np.where(same, K.U64(TERMS - 1), K.U64(TERMS - 2))]).astype(np.int64)
-    doc = np.concatenate([words.doc] * 3)
+    half = SHAPES // 2
+    word = words.hash % K.U64(TERMS - SHAPES) + K.U64(SHAPES)
+    ids = np.concatenate([shape % K.U64(half), pair % K.U64(half - 2) + K.U64(half), np.where(same, K.U64(SHAPES - 1), K.U64(SHAPES - 2)), word]).astype(np.int64)
+    doc = np.concatenate([words.doc] * 4)
     return np.bincount(doc * TERMS + ids, minlength=n * TERMS).reshape(n, TERMS).astype(np.float64)
 
 
@@ -111,6 +115,8 @@ class Model:
 
     def weighted(self, counts: np.ndarray) -> np.ndarray:
         x = np.where(counts > 0, 1 + np.log(np.maximum(counts, 1)), 0) * self.idf
+        for part, weight in ((x[:, :SHAPES], 1.0), (x[:, SHAPES:], WORDS)):
+            part *= weight / np.maximum(np.linalg.norm(part, axis=1, keepdims=True), 1e-12)
         return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
 
     def latent(self, counts: np.ndarray) -> np.ndarray:
@@ -120,12 +126,13 @@ class Model:
     def score(self, counts: np.ndarray) -> np.ndarray:
         if not len(self.vectors):
             return np.full(len(counts), self.prior)
-        cosine = np.round(self.latent(counts) @ self.vectors.T, 9)  # ties by place, not by rounding
+        # rounded, so that the last bits of a product decide nothing; what ties with the last neighbour votes too
+        cosine = np.round(self.latent(counts) @ self.vectors.T, 9)
         k = min(NEIGHBOURS, cosine.shape[1])
-        near = np.argpartition(-cosine, k - 1, axis=1)[:, :k]
-        weight = np.maximum(np.take_along_axis(cosine, near, axis=1), 0) ** POWER * self.shares[near]
-        total = weight.sum(axis=1)
-        voted = (weight * self.labels[near]).sum(axis=1) / np.maximum(total, 1e-300)
+        least = np.partition(cosine, -k, axis=1)[:, -k][:, None]
+        vote = np.where(cosine >= least, np.maximum(cosine, 0) ** POWER * self.shares, 0.0)
+        total = vote.sum(axis=1)
+        voted = vote @ self.labels / np.maximum(total, 1e-300)
         return np.where((counts.sum(axis=1) > 0) & (total > 0), voted, self.prior)
 
 
