@@ -3,10 +3,11 @@
 The lexicon comes from labelled documents: words, and stems (beginnings of several words), whose rate in toxic
 documents is many times that in others.  It forms a trie.  A word of a document becomes a Levenshtein automaton (bit vectors of the
 states reached with 0, 1, 2 edits); automaton and trie are walked together, and branches without live states are cut.
-Terms of 5 characters take one edit, of 9 two; stems and shorter terms must begin the word as they are.
+Terms of 5 characters take one edit, of 9 two, stems of 6 one (of a beginning of the word); shorter ones none.
 Each match weighs the log of the rates of its term and number of edits in the labelled documents.  A window of words
-around a match decides how much of it counts: text in quotation marks, or with a reporting word near, is taken as
-quotation, by a factor that the labelled documents correct.  Words between matches count against toxicity, at the rate
+around a match decides how much of it counts: text in quotation marks of one paragraph, or with a reporting word near, is taken as
+quotation, by a factor that the labelled documents correct.  Reporting words are a short English list and, for any language,
+those that stand beside matches in clean documents many times as often as in toxic ones.  Words between matches count against toxicity, at the rate
 of toxic text, and the best stretch of the document is its sum; a logistic function of it gives the score.
 
 At most TOXIC and CLEAN labelled documents are read to learn (a documented bound; xxhash64 order).  Scoring is one pass
@@ -43,14 +44,19 @@ LEAST = 0.75
 KEPT = 200_000
 #: Documents whose terms are counted together before they go to Spark.
 PART = 250
+#: A reporting word is beside matches of this number of clean documents at least, at this many times its rate beside those of toxic ones.
+TOLD, TOLD_LIFT = 5, 8
 #: Words that tell of speech rather than speak (fixed values).
 REPORTING = frozenset("said says called calls quote quoted quotes wrote written word words term terms reported".split())
 WORD = re.compile(r"\w+(?:[*@$]\w+)*")
-QUOTED = re.compile(r'"[^"\n]{1,300}"|“[^”\n]{1,300}”|«[^»\n]{1,300}»|„[^“\n]{1,300}“')
+#: Within a paragraph, however long.
+QUOTED = re.compile("|".join(f"{a}(?:[^{b}\\n]|\\n(?!\\n))+{b}" for a, b in ('""', "“”", "«»", "„“")))
 
 
 def edits_allowed(term: str) -> int:
-    return 0 if term.endswith("*") or len(term) < 5 else 1 if len(term) < 9 else 2
+    if term.endswith("*"):
+        return int(len(term) > 6)
+    return 0 if len(term) < 5 else 1 if len(term) < 9 else 2
 
 
 class Lexicon:
@@ -68,6 +74,14 @@ class Lexicon:
             for c in t:
                 node = node.setdefault(c, {})
             node[""] = self.words[t]
+        loose = [s for s, i in self.stems.items() if edits_allowed(terms[i])]
+        for t in loose:
+            node = self.root
+            for c in t:
+                node = node.setdefault(c, {})
+            node["\0"] = self.stems[t]
+        self.starts, self.tails = {t[:2] for t in loose}, {t[-2:] for t in loose}
+        self.reach = max(map(len, loose), default=0) + 1
         # some part of a term stays whole: an end for one edit, a third for two
         self.ends = {t[:2] for t in fuzzy} | {t[-2:] for t in fuzzy}
         self.thirds = {t[i : i + 3] for t in fuzzy if len(t) >= 9 for i in range(len(t) - 2)}
@@ -81,12 +95,15 @@ class Lexicon:
         for n in self.stem_lengths:
             if word[:n] in self.stems:
                 return self.stems[word[:n]], 0
+        return self.nearest(word) if self.may_be_near(word) else None
+
+    def may_be_near(self, word: str) -> bool:
         n = len(word)
+        if self.starts and n > 4 and (word[:2] in self.starts or any(word[i : i + 2] in self.tails for i in range(3, min(n - 1, self.reach)))):
+            return True
         if not self.sizes[0] <= n <= self.sizes[1]:
-            return None
-        if word[:2] not in self.ends and word[-2:] not in self.ends and (n < 7 or not any(word[i : i + 3] in self.thirds for i in range(n - 2))):
-            return None
-        return self.nearest(word)
+            return False
+        return word[:2] in self.ends or word[-2:] in self.ends or (n >= 7 and any(word[i : i + 3] in self.thirds for i in range(n - 2)))
 
     def nearest(self, word: str) -> tuple[int, int] | None:
         """Walks the word's automaton and the trie together."""
@@ -95,13 +112,15 @@ class Lexicon:
             masks[c] = masks.get(c, 0) | 1 << i
         end = 1 << len(word)
         best: tuple[int, int] | None = None
+        # a node's "" is a word that ends there, its "\0" a stem
         # bit i of r0, r1, r2: the path so far spells word[:i] with at most 0, 1, 2 edits
         stack = [(self.root, 1, 3, 7)]
         while stack:
             node, r0, r1, r2 = stack.pop()
             for c, child in node.items():
-                if not c:
-                    edits = 0 if r0 & end else 1 if r1 & end else 2 if r2 & end else 3
+                if not c or c == "\0":
+                    at = (end << 1) - 1 if c else end  # a stem may end anywhere in the word
+                    edits = 0 if r0 & at else 1 if r1 & at else 2 if r2 & at else 3
                     if edits <= edits_allowed(self.terms[child]) and (best is None or (edits, child) < (best[1], best[0])):
                         best = child, edits
                     continue
@@ -122,6 +141,7 @@ class Model:
     rate: float = 0.0
     slope: float = 0.0
     offset: float = -math.inf
+    reporting: frozenset[str] = REPORTING
 
 
 class Scorer:
@@ -147,7 +167,7 @@ class Scorer:
         out = []
         for i, (term, edits) in hits:
             a, b = spans[i]
-            told = any(x < a and b < y for x, y in quotes) or not REPORTING.isdisjoint(words[max(0, i - WINDOW) : i + WINDOW + 1])
+            told = any(x < a and b < y for x, y in quotes) or not self.model.reporting.isdisjoint(words[max(0, i - WINDOW) : i + WINDOW + 1])
             out.append((i, term, edits, self.model.quoted if told else 1.0))
         return out
 
@@ -204,7 +224,7 @@ def candidate_terms(sample: DataFrame) -> dict[str, tuple[int, int]]:
 
 
 def chosen_terms(counts: dict[str, tuple[int, int]]) -> list[str]:
-    """Words, and stems that no longer stem or single word accounts for, without what a chosen stem covers."""
+    """Words, and stems that no longer stem or single word accounts for."""
     names = {t: c for t, (c, _) in counts.items() if t != "*"}
     stems = []
     for t, n in names.items():
@@ -214,25 +234,30 @@ def chosen_terms(counts: dict[str, tuple[int, int]]) -> list[str]:
             if longer < 0.9 * n:
                 stems.append(s)
     stems = [s for s in stems if not any(s != u and s.startswith(u) for u in stems)]
-    words = [t for t in names if not t.endswith("*") and not any(t.startswith(s) for s in stems)]
+    words = [t for t in names if not t.endswith("*")]  # what a stem covers too: it may be misspelled
     return sorted([s + "*" for s in stems] + words)
 
 
 def fit(docs: DataFrame, labels: DataFrame, modulus: int = 5, remainder: int = 0) -> Model:
     """Learns from labels.toxic of rows whose crc32(doc_id) mod modulus is not remainder."""
+    with C.scratch():
+        return _fit(docs, labels, modulus, remainder)
+
+
+def _fit(docs: DataFrame, labels: DataFrame, modulus: int, remainder: int) -> Model:
     sample, _ = samples.labelled(docs, labels, "toxic", modulus, remainder, {1: TOXIC, 0: CLEAN})
-    # of near copies, which begin alike, one: their words would count as often as there are copies
-    alike = sample.groupBy(F.substring("text", 1, 40).alias("start"), "label").agg(F.max("text").alias("text"))
-    sample = C.materialize(alike.select("text", "label"), "toxic-sample")
+    # of copies one: their words would count as often as there are copies
+    sample = C.materialize(sample.distinct(), "toxic-sample")
     counts = candidate_terms(sample)
     if not counts:
         return Model()
     words1, words0 = counts["*"]
     model = Model(chosen_terms(counts))
+    model.reporting = REPORTING | reporting_words(sample, model)
     plain = Scorer(model)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(Model(model.terms, quoted=0.0))
+        scorer = Scorer(Model(model.terms, quoted=0.0, reporting=model.reporting))
         for batch in batches:
             found = [scorer.matches(t) for t in batch.column("text").to_pylist()]
             kind = pa.list_(pa.int32())
@@ -266,6 +291,30 @@ def fit(docs: DataFrame, labels: DataFrame, modulus: int = 5, remainder: int = 0
     return model
 
 
+def reporting_words(sample: DataFrame, model: Model) -> frozenset[str]:
+    """The words near matches that tell clean documents with a term from toxic ones."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(Model(model.terms))
+        for batch in batches:
+            out: list[tuple[str, int]] = []
+            for text, label in zip(batch.column("text").to_pylist(), batch.column("label").to_pylist(), strict=True):
+                words = WORD.findall(text.lower())
+                hits = [i for i, *_ in scorer.found(words, text)]
+                beside = {w for i in hits for w in words[max(0, i - WINDOW) : i] + words[i + 1 : i + WINDOW + 1]}
+                out += [(w, label) for w in beside if scorer.kept.get(w) is None]
+                out += [("*", label)] * bool(hits)
+            yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in out], pa.string()), pa.array([y for _, y in out], pa.int32())], ["word", "label"])
+
+    counts = sample.mapInArrow(read, "word string, label int").groupBy("word").agg(F.sum("label").alias("n1"), F.sum(1 - F.col("label")).alias("n0"))
+    counts = C.materialize(counts, "beside")
+    whole = counts.filter("word = '*'").first()
+    if not whole or not whole.n0 or not whole.n1:
+        return frozenset()
+    told = counts.filter((F.col("word") != "*") & (F.col("n0") >= TOLD) & (F.col("n0") / whole.n0 >= TOLD_LIFT * (F.col("n1") + 0.5) / whole.n1))
+    return frozenset(r.word for r in told.collect())  # of a bounded sample
+
+
 def boundary(totals: list[tuple[float, int]]) -> float:
     """The middle of the gap that splits the labels best (balanced)."""
     totals = sorted(totals)
