@@ -26,11 +26,13 @@ from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quantweft.llm import common as C
+from quantweft.llm import kernels as K
 from quantweft.llm import samples
 from quantweft.llm.bpe import slices
 
@@ -189,6 +191,30 @@ def best_stretch(weighted: list[tuple[int, float]], rate: float) -> float:
     return best
 
 
+def unlike(sample: DataFrame, k: int = 4) -> DataFrame:
+    """(text, label): of texts of a label with the same smallest k-word shingle one.
+
+    Two texts have it in common as likely as they share shingles (min-hashing), so near copies, whose words would count
+    as often as there are copies, mostly become one.
+    """
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            least = []
+            for chunk in K.text_chunks(batch.column("text"), mapped=K.LOWER):
+                words = K.Words(chunk)
+                grams = np.where(words.fits(k), words.grams(k), K.U64((1 << 64) - 1))
+                sketch = np.full(len(chunk), K.U64((1 << 64) - 1))
+                some = words.count > 0
+                if some.any():
+                    short = K.mix(words.hash) | K.U64(1 << 63)  # of fewer words than k
+                    sketch[some] = np.minimum.reduceat(np.where(words.count[words.doc] < k, short, grams), words.bounds[:-1][some])
+                least.append(K.signed(sketch))
+            yield pa.RecordBatch.from_arrays([batch.column("text"), batch.column("label"), pa.array(np.concatenate(least) if least else np.zeros(0, np.int64))], ["text", "label", "sketch"])
+
+    return sample.mapInArrow(read, "text string, label int, sketch long").groupBy("sketch", "label").agg(F.max("text").alias("text")).select("text", "label")
+
+
 def candidate_terms(sample: DataFrame) -> dict[str, tuple[int, int]]:
     """Words of toxic documents with each word and stem, and in how many of them, for the terms that stand out; "*": all words."""
 
@@ -246,8 +272,7 @@ def fit(docs: DataFrame, labels: DataFrame, modulus: int = 5, remainder: int = 0
 
 def _fit(docs: DataFrame, labels: DataFrame, modulus: int, remainder: int) -> Model:
     sample, _ = samples.labelled(docs, labels, "toxic", modulus, remainder, {1: TOXIC, 0: CLEAN})
-    # of copies one: their words would count as often as there are copies
-    sample = C.materialize(sample.distinct(), "toxic-sample")
+    sample = C.materialize(unlike(sample), "toxic-sample")
     counts = candidate_terms(sample)
     if not counts:
         return Model()
