@@ -275,7 +275,7 @@ def verified(found: Graph, places: DataFrame, docs: DataFrame, unit: Unit) -> tu
     return found.spans.join(bad, ["node", "path"], "left_anti"), window_rows(docs, again, unit)
 
 
-def window_hashes(chunk: K.Chunk, ids: np.ndarray, row: np.ndarray, f: dict[str, np.ndarray], unit: Unit) -> dict[str, pa.Array]:
+def window_hashes(chunk: K.Chunk, ids: np.ndarray, row: np.ndarray, f: dict[str, np.ndarray], unit: Unit) -> dict[str, np.ndarray]:
     """h1, h2, doc_id, at: 128 bits and place of every window of the given heads."""
     if unit.words:
         words = K.Words(chunk)
@@ -292,7 +292,7 @@ def window_hashes(chunk: K.Chunk, ids: np.ndarray, row: np.ndarray, f: dict[str,
     d, lo = d[inside], lo[inside]
     at = bounds[d] + lo
     h1, h2 = (K.span_hash(g, unit.k, at, at + unit.size) for g in grams)
-    return {"h1": pa.array(K.signed(h1)), "h2": pa.array(K.signed(h2)), "doc_id": pa.array(ids[d]), "at": pa.array(lo)}
+    return {"h1": K.signed(h1), "h2": K.signed(h2), "doc_id": ids[d], "at": lo}
 
 
 WINDOWS = "h1 long, h2 long, doc_id long, at long"
@@ -305,7 +305,7 @@ class WindowsOf:
     unit: Unit
 
     def __call__(self, chunk: K.Chunk, ids: np.ndarray, row: np.ndarray, f: dict[str, np.ndarray]) -> dict[str, pa.Array]:
-        return window_hashes(chunk, ids, row, f, self.unit)
+        return {c: pa.array(x) for c, x in window_hashes(chunk, ids, row, f, self.unit).items()}
 
 
 def window_rows(docs: DataFrame, spans: DataFrame, unit: Unit) -> DataFrame:
@@ -315,10 +315,14 @@ def window_rows(docs: DataFrame, spans: DataFrame, unit: Unit) -> DataFrame:
 
 
 def repeated_windows(rows: DataFrame, keep_first: bool) -> DataFrame:
-    """(doc_id, lo, n = 1): windows that are at several places (keep_first: at a smaller one)."""
-    twice = rows.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "at")).alias("m0"), F.max(F.struct("doc_id", "at")).alias("m1")).filter("m0 <> m1")
+    """(doc_id, lo, n = 1): windows that are at several places (keep_first: at a smaller one).
+
+    A row with `more` stands for several places, which are known to repeat.
+    """
+    rows = rows if "more" in rows.columns else rows.withColumn("more", F.lit(False))
+    twice = rows.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "at")).alias("m0"), F.max(F.struct("doc_id", "at")).alias("m1"), F.max("more").alias("more")).filter("m0 <> m1 or more")
     twice = twice.select(C.apart("h1").alias("x1"), F.col("h2").alias("x2"), F.col("m0.doc_id").alias("d0"), F.col("m0.at").alias("a0"))
-    found = rows.select("*", C.apart("h1").alias("x1"), F.col("h2").alias("x2")).join(twice, ["x1", "x2"])
+    found = rows.filter("not more").select("*", C.apart("h1").alias("x1"), F.col("h2").alias("x2")).join(twice, ["x1", "x2"])
     if keep_first:
         found = found.filter("doc_id <> d0 or at <> a0")
     return found.select("doc_id", F.col("at").alias("lo"), F.lit(1).cast("long").alias("n"))
@@ -353,4 +357,4 @@ def rewritten(docs: DataFrame, gone: DataFrame, rewrite: Callable, schema: str)
     return listed.mapInArrow(read, schema)
 
 
-TYPES = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}
+TYPES = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary(), "boolean": pa.bool_()}

@@ -9,7 +9,8 @@ for each context, all windows it shares with any other: suffix intervals merge f
 merged set only neighbours of the backward order can share more to the left.  That is m log m, not all pairs.
 
 A hot seed, of more than GROUP distinct contexts, is split over tasks further down the order, where suffixes agree in a
-whole window: each window is a group of its own, named by 128 bits of hash.  Both ways give all shared windows.
+whole window: each window is a group of its own, named by 128 bits of hash.  Windows that several contexts in one task hold
+are settled there, and one of them is sent on.  Both ways give all shared windows.
 
 Defined cases: null text is empty; repeated rows are places of their own, so all they hold goes; an empty table gives an
 empty result; null doc_ids stay null; other columns are ignored.
@@ -175,7 +176,26 @@ def shared_windows(contexts: list[bytes], seeds: list[int], size: int, k: int) -
     return found
 
 
-CONTEXTS = "node long, doc_id long, lo long, off long, c long, context binary, h1 long, h2 long, at long"
+CONTEXTS = "node long, doc_id long, lo long, off long, c long, context binary, h1 long, h2 long, at long, n long, more boolean"
+
+
+def combined(w: dict[str, np.ndarray]) -> tuple[dict[str, np.ndarray], tuple[np.ndarray, ...]]:
+    """(windows with `more`, (doc_id, lo, n) of those that repeat among them): of windows at several places here one is left."""
+    order = np.lexsort((w["h2"], w["h1"]))
+    h1, h2 = w["h1"][order], w["h2"][order]
+    new = np.ones(len(order), dtype=bool)
+    new[1:] = (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])
+    kind = np.cumsum(new) - 1
+    often = np.bincount(kind, minlength=1)[kind] > 1 if len(kind) else new
+    left = order[new]
+    rest = {c: x[left] for c, x in w.items()} | {"more": often[new]}
+    known = order[often]
+    known = known[np.lexsort((w["at"][known], w["doc_id"][known]))]
+    doc, at = w["doc_id"][known], w["at"][known]
+    first = np.ones(len(at), dtype=bool)
+    first[1:] = (doc[1:] != doc[:-1]) | (at[1:] != at[:-1] + 1)
+    begin = np.flatnonzero(first)
+    return rest, (doc[begin], at[begin], np.diff(np.append(begin, len(at))))
 
 
 def contexts_of(unit: R.Unit, group: int):
@@ -188,13 +208,16 @@ def contexts_of(unit: R.Unit, group: int):
         begin = start + cold["lo"]
         end = np.minimum(begin + cold["n"] + unit.size - 1, stop)
         context = [data[x:y] for x, y in zip(begin.tolist(), end.tolist(), strict=True)]
-        windows = R.window_hashes(chunk, ids, row[hot], {x: v[hot] for x, v in f.items()}, unit)
-        a, b = len(context), len(windows["h1"])
-        both = lambda x, y: pa.concat_arrays([x if x is not None else pa.nulls(a, pa.int64()), y if y is not None else pa.nulls(b, pa.int64())])
-        out = {x: both(pa.array(cold[x]), None) for x in ("node", "lo", "off", "c")}
-        out |= {x: both(None, windows[x]) for x in ("h1", "h2", "at")}
-        out["doc_id"] = both(pa.array(ids[row[~hot]]), windows["doc_id"])
-        out["context"] = pa.concat_arrays([pa.array(context, pa.binary()), pa.nulls(b, pa.binary())])
+        windows, known = combined(R.window_hashes(chunk, ids, row[hot], {x: v[hot] for x, v in f.items()}, unit))
+        sizes = len(context), len(windows["h1"]), len(known[0])
+
+        def column(kind: pa.DataType, *parts) -> pa.Array:
+            return pa.concat_arrays([pa.nulls(n, kind) if x is None else pa.array(x, kind) for x, n in zip(parts, sizes, strict=True)])
+
+        long = pa.int64()
+        out = {x: column(long, cold[x], None, None) for x in ("node", "off", "c")} | {x: column(long, None, windows[x], None) for x in ("h1", "h2", "at")}
+        out |= {"doc_id": column(long, ids[row[~hot]], windows["doc_id"], known[0]), "lo": column(long, cold["lo"], None, known[1]), "n": column(long, None, None, known[2])}
+        out |= {"context": column(pa.binary(), context, None, None), "more": column(pa.bool_(), None, windows["more"], None)}
         return out
 
     return look
@@ -240,10 +263,11 @@ def dedup_bytes(docs: DataFrame, size: int = SIZE, seed: int = SEED, group: int
         found = R.graph(rows, unit)
         places = R.read_places(rows, found.spans, found.heads, unit, ("node", "off", "c", "m"), contexts_of(unit, group), CONTEXTS)
         contexts = places.filter("context is not null").select("node", "doc_id", "lo", "off", "c", "context")
-        windows = places.filter("h1 is not null").select("h1", "h2", "doc_id", "at")
+        windows = places.filter("h1 is not null").select("h1", "h2", "doc_id", "at", "more")
+        known = places.filter("n is not null").select("doc_id", "lo", "n")
         gone, more = R.verified(found, places, rows, unit)
-        windows = windows if more is None else windows.unionByName(more)
-        gone = gone.select("doc_id", "lo", "n").unionByName(sorted_groups(contexts, size, seed)).unionByName(R.repeated_windows(windows, keep_first=False))
+        windows = windows if more is None else windows.unionByName(more.withColumn("more", F.lit(False)))
+        gone = gone.select("doc_id", "lo", "n").unionByName(known).unionByName(sorted_groups(contexts, size, seed)).unionByName(R.repeated_windows(windows, keep_first=False))
         gone = kept(C.materialize(gone, "gone"))
 
     def rewrite(text: bytes, lo: np.ndarray, n: np.ndarray) -> tuple:
