@@ -239,6 +239,13 @@ def past_cutoff(ts: Column | str, hhmm: str) -> Column:
     return F.hour(t) * 60 + F.minute(t) >= int(parts[0]) * 60 + int(parts[1])
 
 
+def ieee_divide(a: Column | str, b: Column | str) -> Column:
+    """a / b of doubles as the hardware has it: infinite or NaN where b is 0; NULL where either is unknown."""
+    x, y = _col(a).cast("double"), _col(b).cast("double")
+    limit = F.when(x > 0, F.lit(float("inf"))).when(x < 0, F.lit(float("-inf"))).otherwise(F.lit(float("nan")))
+    return F.when(x.isNotNull() & (y == 0), F.when(F.isnan(x), x).otherwise(limit)).otherwise(F.try_divide(x, y))
+
+
 def hash32(x: Column | str) -> Column:
     """A 32-bit integer mixed from an integer; bigint arithmetic only, so it never overflows."""
     m = F.lit((1 << 32) - 1)
@@ -247,5 +254,5 @@ def hash32(x: Column | str) -> Column:
     v = v.bitwiseXOR(F.shiftrightunsigned(v, 16))
     v = mul(v, 0x7FEB352D)
     v = v.bitwiseXOR(F.shiftrightunsigned(v, 15))
-    v = mul(v, 0x846CA68B)
+    v = mul(v, 0x5BD1E995)
     return v.bitwiseXOR(F.shiftrightunsigned(v, 16))

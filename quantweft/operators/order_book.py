@@ -10,6 +10,7 @@ from __future__ import annotations
 import math
 from bisect import bisect_left
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -74,37 +75,6 @@ def order_flow(bid: str = "bid", ask: str = "ask", bid_qty: str = "bid_qty", ask
     return F.coalesce(up - down, F.lit(0.0))
 
 
-def features(book: DataFrame, short: int = 10, mid: int = 30, long: int = 120) -> DataFrame:
-    """First feature set: acceleration of turnover, buy shares, returns, order flow, spread."""
-    w = by_slot()
-    n = F.row_number().over(w)
-    total = F.col("buy") + F.col("sell")
-    g = book.withColumn("e", order_flow()).withColumn("tot", total).withColumn("n", n)
-    g = g.withColumn("v_mid", F.when(F.col("n") >= mid, X.long_rolling_sum("tot", KEYS, ["slot"], mid))).withColumn("v_long", F.when(F.col("n") >= long, X.long_rolling_sum("tot", KEYS, ["slot"], long)))
-    roll = lambda c, k: F.sum(c).over(w.rowsBetween(-(k - 1), 0))
-    depth = F.avg(F.col("bid_qty") + F.col("ask_qty")).over(w.rowsBetween(-(2 * mid - 1), 0))
-    return g.select(
-        *KEYS, "slot", r6(F.col("v_mid") / (F.lag("v_long", mid).over(w) * mid / long + 1.0)).alias("acc"), r6("v_mid").alias("v_mid"),
-        r6(roll("buy", mid) / (roll("tot", mid) + 1)).alias("buyshare"), r6(F.try_divide(F.col("mid"), F.lag("mid", mid).over(w)) - 1).alias("ret"),
-        r6(roll("e", short) / (depth + 1)).alias("ofi"), r6(F.try_divide(F.col("ask") - F.col("bid"), F.col("mid")) * 1e4).alias("spread_bp"),
-    )
-
-
-def features2(book: DataFrame, tick: float) -> DataFrame:
-    """Second feature set: counts, flows in logarithms, bursts, largest and most repeated buys, extremes, micro price."""
-    w = by_slot()
-    roll = lambda c, k: F.sum(c).over(w.rowsBetween(-(k - 1), 0))
-    top = lambda c, k, f=F.max: f(c).over(w.rowsBetween(-(k - 1), 0))
-    micro = F.try_divide(F.col("bid") * F.col("ask_qty") + F.col("ask") * F.col("bid_qty"), F.col("bid_qty") + F.col("ask_qty"))
-    return book.select(
-        *KEYS, "slot", r6(F.log1p(F.sum(F.col("buy") + F.col("sell")).over(w.rowsBetween(X.UP, 0)))).alias("log_cumval"),
-        *[roll("cnt", k).cast("long").alias(f"n_tr{k}") for k in (1, 5, 10, 60)], *[r6(F.log1p(roll("buy", k))).alias(f"buyval{k}") for k in (1, 3, 10)],
-        *[r6(F.log1p(roll("sell", k))).alias(f"sellval{k}") for k in (1, 3, 5, 20)], roll((F.col("n_buy") >= 2).cast("int"), 10).cast("long").alias("burst10"),
-        r6(F.log1p(F.coalesce(top("max_buy", 5), F.lit(0.0)))).alias("maxbuy5"), r6(top(F.coalesce((F.col("hi") - F.col("lo")) / tick, F.lit(0.0)), 3)).alias("sweep3"),
-        r6(F.try_divide(F.col("mid"), top("mid", 300)) - 1).alias("dist_hi"), r6(F.try_divide(F.col("mid"), top("mid", 300, F.min)) - 1).alias("dist_lo"), r6(F.try_divide(micro, F.col("mid")) - 1).alias("micro_dev"),
-    )
-
-
 def repeated_size(ticks: DataFrame, width: int) -> DataFrame:
     """(code, day, sec, size, times): the most frequent buy size of the last `width` seconds (ties: the smaller); one row a second with buys."""
     buys = ticks.filter("side > 0").withColumn("size", F.floor(F.col("price")))
@@ -157,15 +127,40 @@ def ceiling_table(book: DataFrame, horizons: list[int], cost: float) -> DataFram
 
 def exit_simulation(signals: DataFrame, path: DataFrame, take: float, stop: float, max_hold: int, latency: int = 1) -> DataFrame:
     """(code, day, slot, exit_slot, reason, ret): enter at the ask `latency` slots on; leave at the first slot whose bid takes
-    profit or stops the loss (profit first), else at the last slot held.  An equality join on exploded slots: max_hold rows a signal."""
-    entry = signals.select(*KEYS, "slot", (F.col("slot") + latency).alias("e")).join(path.select(*KEYS, F.col("slot").alias("e"), F.col("ask").alias("entry")), [*KEYS, "e"]).filter("entry is not null")
-    walk = entry.withColumn("s", F.explode(F.sequence(F.col("e") + 1, F.col("e") + max_hold))).join(path.select(*KEYS, F.col("slot").alias("s"), "bid"), [*KEYS, "s"]).filter("bid is not null")
-    ret = F.col("bid") / F.col("entry") - 1
-    reason = F.when(ret >= take, 1).when(ret <= -stop, 2)
-    walk = walk.withColumn("ret", ret).withColumn("reason", reason)
-    out = walk.groupBy(*KEYS, "slot", "e", "entry").agg(F.min_by(F.struct("s", "reason", "ret"), F.when(F.col("reason").isNotNull(), F.col("s"))).alias("hit"), F.max_by(F.struct("s", F.lit(3).alias("reason"), "ret"), "s").alias("end"))
-    got = F.coalesce("hit", "end")
-    return out.select(*KEYS, "slot", got["s"].alias("exit_slot"), got["reason"].cast("int").alias("reason"), r6(got["ret"]).alias("ret"))
+    profit (reason 1) or stops the loss (2), profit first, else at the last slot held with a bid (3).
+
+    One Arrow group is a session of a code; its signals step through the path together, and those that have left drop out.
+    """
+
+    def simulate(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        n = int(right["slot"].max()) + 1 if len(right) else 0
+        bid, ask = np.full(n + max_hold + latency + 1, np.nan), np.full(n + max_hold + latency + 1, np.nan)
+        bid[right["slot"]], ask[right["slot"]] = right["bid"], right["ask"]
+        slot = np.sort(left["slot"].to_numpy())
+        slot = slot[slot + latency < n]
+        at = slot + latency
+        known = ~np.isnan(ask[at])
+        slot, at = slot[known], at[known]
+        entry = ask[at]
+        out, reason, ret = np.full(len(slot), -1), np.full(len(slot), 3), np.full(len(slot), np.nan)
+        active = np.arange(len(slot))
+        for k in range(1, max_hold + 1):
+            active = active[at[active] + k < n]
+            if not len(active):
+                break
+            now = bid[at[active] + k] / entry[active] - 1
+            here = ~np.isnan(now)
+            seen = active[here]
+            out[seen], ret[seen] = at[seen] + k, now[here]
+            won, lost = now >= take, now <= -stop
+            reason[active[won]], reason[active[lost & ~won]] = 1, 2
+            active = active[~(won | lost)]
+        held = out >= 0
+        return pd.DataFrame({"code": key[0], "day": key[1], "slot": slot[held], "exit_slot": out[held], "reason": reason[held], "ret": ret[held]})
+
+    kinds = f"code {path.schema['code'].dataType.simpleString()}, day date, slot int, exit_slot int, reason int, ret double"
+    path = path.select(*KEYS, "slot", "bid", "ask").select(*[F.col(c).alias(c) for c in (*KEYS, "slot", "bid", "ask")])  # both sides may come from one table
+    return signals.select(*KEYS, "slot").groupBy(*KEYS).cogroup(path.groupBy(*KEYS)).applyInPandas(simulate, kinds).withColumn("ret", r6("ret"))
 
 
 def queue_fills(orders: DataFrame, path: DataFrame, model: str = "risk_averse") -> DataFrame:

@@ -106,6 +106,18 @@ def forward_extreme(value: Column, partition: list[str], order: str, lo: int, n:
     return (F.max if largest else F.min)(value).over(W.partitionBy(*partition).orderBy(order).rowsBetween(lo, lo + n - 1))
 
 
+def trailing_extreme_blocks(df: DataFrame, value: str, partition: list[str], index: str, n: int, out: str, largest: bool = True) -> DataFrame:
+    """Extreme of the last n rows (of fewer at the beginning) for long n: the end of one block of n and the beginning of the next.
+
+    Rows have the index 0, 1, 2 ... without gaps.
+    """
+    fn = F.max if largest else F.min
+    w = W.partitionBy(*partition, "_block").orderBy(index)
+    parts = df.withColumn("_block", F.floor(F.col(index) / n)).withColumn("_from", fn(value).over(w.rowsBetween(0, UF))).withColumn("_to", fn(value).over(w.rowsBetween(UP, 0)))
+    before = F.lag("_from", n - 1).over(W.partitionBy(*partition).orderBy(index))
+    return parts.withColumn(out, (F.greatest if largest else F.least)(before, "_to")).drop("_block", "_from", "_to")
+
+
 def forward_extreme_blocks(df: DataFrame, value: str, partition: list[str], index: str, lo: int, n: int, out: str, largest: bool = True) -> DataFrame:
     """The same for long n, two running extremes instead of one frame of n rows.
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quantweft.operators import lob as L
 from quantweft.operators import order_book as O
 from quantweft.operators import windows as X
 from quantweft.sources import shapes as S
@@ -17,18 +18,13 @@ def _r6(x: str) -> str:
     return f"floor(({x}) * 1e6 + 0.5) / 1e6"
 
 
-def _whole_book(spark, sf):
-    return O.with_book(O.slot_grid(S.ticks(spark, sf), SLOTS, UNIT), TICK)
-
-
 def _book(spark, sf):
-    """The first days, as in BOOK_SQL."""
-    return O.with_book(O.slot_grid(S.ticks(spark, sf).filter("day < date '2024-01-04'"), SLOTS, UNIT), TICK)
+    return O.with_book(O.slot_grid(S.ticks(spark, sf), SLOTS, UNIT), TICK)
 
 
 AGG_SQL = """agg as (select code, day, sec // 60 as slot, sum(case when side > 0 then price else 0 end) as buy, sum(case when side < 0 then price else 0 end) as sell, count(*) as cnt,
   sum((side > 0)::int) as n_buy, max(case when side > 0 then price end) as max_buy, arg_max(price, sec * 100000000::bigint + seq) as last, min(price) as lo, max(price) as hi from tk group by 1, 2, 3)"""
-BOOK_SQL = f"""{TICKS}, tk as (select * from ticks where day < date '2024-01-04'), {AGG_SQL},
+BOOK_SQL = f"""{TICKS}, tk as (select * from ticks), {AGG_SQL},
 grid as (select k.code, k.day, s.slot, coalesce(a.buy, 0) as buy, coalesce(a.sell, 0) as sell, coalesce(a.cnt, 0) as cnt, coalesce(a.n_buy, 0) as n_buy, a.max_buy, a.last, a.lo, a.hi
   from (select distinct code, day from agg) k cross join range(0, 1440) s(slot) left join agg a on a.code = k.code and a.day = k.day and a.slot = s.slot),
 filled as (select *, last_value(last ignore nulls) over (partition by code, day order by slot) as px from grid),
@@ -66,29 +62,97 @@ OFI_CASE = "coalesce(case when bid > lag(bid) over w then bid_qty when bid = lag
 OFI_SQL = f"with {BOOK_SQL} select code, day, slot::int as slot, {_r6(OFI_CASE)} as ofi from book {WIN}"
 
 
+def _lob(spark, sf):
+    return L.slot_inputs(S.lob_ticks(spark, sf), S.lob_quotes(spark, sf), SLOTS, UNIT)
+
+
+def book_grid(spark, sf):
+    return L.book_grid(S.lob_quotes(spark, sf), SLOTS, UNIT, 3)
+
+
+SIDES = [f"{p}{i}" for p in ("bid", "bidqty", "ask", "askqty") for i in (1, 2, 3)]
+GRID_SQL = f"""with {S.LOB_SQL}, v as (select code, day, sec // 60 as slot, {', '.join(f"arg_max(struct_pack(x := case when {c.replace('qty', '')} > 0 then {c} end), sec * 100000000::bigint + seq) as {c}" for c in SIDES)}
+  from lq where bid1 > 0 and ask1 > 0 group by 1, 2, 3),
+g as (select k.code, k.day, s.slot, {', '.join(f"v.{c}" for c in SIDES)} from (select distinct code, day from lq) k cross join range(0, 1440) s(slot) left join v on v.code = k.code and v.day = k.day and v.slot = s.slot)
+select code, day, slot::int as slot, {', '.join(f"(last_value({c} ignore nulls) over w).x as {c}" for c in SIDES)} from g {WIN}"""
+
+#: The grid of inputs, filled forward, with running sums; fields of a slot's last row travel in structs, as one may be NULL.
+LOB_BASE = f"""{S.LOB_SQL},
+tr as (select code, day, sec // 60 as slot, sum(case when side > 0 then price * volume else 0 end) as buy, sum(case when side < 0 then price * volume else 0 end) as sell, count(*) as cnt, sum((side > 0)::int) as n_buy,
+  coalesce(max(case when side > 0 then price * volume end), 0) as max_buy, max(case when side > 0 then price end) as buy_hi, min(case when side > 0 then price end) as buy_lo,
+  arg_max(struct_pack(strength := strength, b := best_bid, a := best_ask, p := price), sec * 100000000::bigint + seq) as t from lt group by 1, 2, 3),
+qv as (select code, day, sec // 60 as slot, arg_max(struct_pack(b := bid1, a := ask1, bq := bidqty1, aq := askqty1, bd := (bidqty1 + coalesce(bidqty2, 0) + bidqty3) * bid1, ad := (askqty1 + coalesce(askqty2, 0) + askqty3) * ask1), sec * 100000000::bigint + seq) as q
+  from lq where bid1 > 0 and ask1 > 0 group by 1, 2, 3),
+qr as (select code, day, sec // 60 as slot, arg_max(struct_pack(bq := bidqty1, aq := askqty1), sec * 100000000::bigint + seq) as r from lq group by 1, 2, 3),
+i as (select k.code, k.day, s.slot, coalesce(buy, 0)::double as buy, coalesce(sell, 0)::double as sell, coalesce(cnt, 0) as cnt, coalesce(n_buy, 0) as n_buy, coalesce(max_buy, 0) as max_buy, buy_hi, buy_lo,
+    case when q is not null then q.b else t.b end as b0, case when q is not null then q.a else t.a end as a0, t.strength as s0, q.bq as bq0, q.aq as aq0, q.bd as bd0, q.ad as ad0, r.bq as br0, r.aq as ar0, t.p as l0
+  from (select distinct code, day from lt) k cross join range(0, 1440) s(slot) left join tr on tr.code = k.code and tr.day = k.day and tr.slot = s.slot
+  left join qv on qv.code = k.code and qv.day = k.day and qv.slot = s.slot left join qr on qr.code = k.code and qr.day = k.day and qr.slot = s.slot),
+f as (select *, {', '.join(f"last_value({x}0 ignore nulls) over w::double as {x}f" for x in ("b", "a"))}, {', '.join(f"last_value({x} ignore nulls) over w::double as {y}" for x, y in (("s0", "strength"), ("bq0", "bq"), ("aq0", "aq"), ("bd0", "bd"), ("ad0", "ad"), ("br0", "br"), ("ar0", "ar"), ("l0", "last")))} from i {WIN}),
+m as (select *, case when bf > 0 then bf end as bid, case when af > 0 then af end as ask, (case when bf > 0 then bf end + case when af > 0 then af end) / 2 as mid from f),
+e as (select *, case when bq is null or aq is null or lag(bq) over w is null or lag(aq) over w is null then 0 else case when bid >= lag(bid) over w then bq else 0 end - case when bid <= lag(bid) over w then lag(bq) over w else 0 end
+  - case when ask <= lag(ask) over w then aq else 0 end + case when ask >= lag(ask) over w then lag(aq) over w else 0 end end as e from m {WIN})"""
+
+
+def _sum(x: str, k: int) -> str:
+    return f"sum({x}) over (partition by code, day order by slot rows {k - 1} preceding)"
+
+
+def _full(x: str, k: int) -> str:
+    return f"case when slot >= {k - 1} then {_sum(x, k)} end"
+
+
+def _tick_sql(x: str) -> str:
+    from quantweft.functions.market import STOCK_BANDS, STOCK_TOP
+
+    return "case " + " ".join(f"when {x} < {bound} then {tick}" for bound, tick in STOCK_BANDS) + f" else {STOCK_TOP} end"
+
+
+def _rounded(df, names):
+    return df.select("code", "day", "slot", *[F.when(F.isnan(F.col(c).cast("double")), None).otherwise(r6(c)).alias(c) for c in names])
+
+
 def feat_v1(spark, sf):
-    return O.features(_book(spark, sf)).filter("acc is not null and ret is not null")
+    return _rounded(L.features_v1(_lob(spark, sf)).filter("acc is not null and ret30 is not null"), L.V1)
 
 
-V1_SQL = f"""with {BOOK_SQL}, e as (select *, {OFI_CASE} as e, buy + sell as tot, row_number() over w as n from book {WIN}),
-v as (select *, case when n >= 30 then sum(tot) over (partition by code, day order by slot rows 29 preceding) end as v_mid, case when n >= 120 then sum(tot) over (partition by code, day order by slot rows 119 preceding) end as v_long from e),
-f as (select code, day, slot, v_mid / (lag(v_long, 30) over w * 30 / 120 + 1.0) as acc, v_mid, sum(buy) over (partition by code, day order by slot rows 29 preceding) / (sum(tot) over (partition by code, day order by slot rows 29 preceding) + 1) as buyshare,
-  mid / lag(mid, 30) over w - 1 as ret, sum(e) over (partition by code, day order by slot rows 9 preceding) / (avg(bid_qty + ask_qty) over (partition by code, day order by slot rows 59 preceding) + 1) as ofi, (ask - bid) / mid * 1e4 as spread_bp from v {WIN})
-select code, day, slot::int as slot, {_r6('acc')} as acc, {_r6('v_mid')} as v_mid, {_r6('buyshare')} as buyshare, {_r6('ret')} as ret, {_r6('ofi')} as ofi, {_r6('spread_bp')} as spread_bp from f where acc is not null and ret is not null"""
+_IMB3 = "case when bd + ad = 0 then null else (bd - ad) / (bd + ad) end"
+_V1_COLUMNS = {
+    "acc": "acc", "v30": "v30", "v600": "v600", "buyshare30": f"{_full('buy', 30)} / (v30 + 1)", "buyshare10": f"{_full('buy', 10)} / ({_full('buy + sell', 10)} + 1)", "ret30": "mid / lag(mid, 30) over w - 1", "ret300": "mid / lag(mid, 300) over w - 1",
+    "ofi10": f"{_full('e', 10)} / (avg(coalesce((bq + aq) / 2, 0)) over (partition by code, day order by slot rows 59 preceding) + 1)", "imb3": _IMB3, "spread_bp": "(ask - bid) / mid * 1e4", "strength": "strength",
+    **{f"dstr{k}": f"strength - lag(strength, {k}) over w" for k in (10, 30, 60)}, "spread_ticks": f"(ask - bid) / ({_tick_sql('coalesce(ask, 1)')})", "bid": "bid", "ask": "ask", "bidval1": "coalesce(bq * bid, 0)", "bidval3": "coalesce(bd, 0)",
+    "ofi": "sum(e) over w", "mid": "mid", "book_ok": "coalesce(ask > bid and acc is not null, false)::int",
+}
+V1_SQL = f"""with {LOB_BASE}, v as (select *, {_full('buy + sell', 30)} as v30, {_full('buy + sell', 600)} as v600 from e), a as (select *, v30 / (lag(v600, 30) over w / 20 + 1e6) as acc from v {WIN}),
+o as (select code, day, slot::int as slot, {', '.join(f"{x} as {c}" for c, x in _V1_COLUMNS.items() if c != "acc")}, acc from a {WIN})
+select code, day, slot, {', '.join(f"{_r6(c)} as {c}" for c in _V1_COLUMNS)} from o where acc is not null and ret30 is not null"""
 
 
 def feat_v2(spark, sf):
-    return O.features2(_book(spark, sf), TICK).filter("dist_hi is not null")
+    return _rounded(L.features_v2(_lob(spark, sf), S.lob_ticks(spark, sf), UNIT).filter("dist_hi300 is not null"), L.V2)
 
 
-def _roll(x: str, k: int, f: str = "sum") -> str:
+def _top(x: str, k: int, f: str = "max") -> str:
     return f"{f}({x}) over (partition by code, day order by slot rows {k - 1} preceding)"
 
 
-V2_SQL = f"""with {BOOK_SQL}, f as (select code, day, slot::int as slot, {_r6('ln(1 + sum(buy + sell) over w)')} as log_cumval, {', '.join(f"{_roll('cnt', k)}::bigint as n_tr{k}" for k in (1, 5, 10, 60))},
-  {', '.join(f"{_r6('ln(1 + ' + _roll('buy', k) + ')')} as buyval{k}" for k in (1, 3, 10))}, {', '.join(f"{_r6('ln(1 + ' + _roll('sell', k) + ')')} as sellval{k}" for k in (1, 3, 5, 20))}, {_roll('(n_buy >= 2)::int', 10)}::bigint as burst10,
-  {_r6('ln(1 + coalesce(' + _roll('max_buy', 5, 'max') + ', 0))')} as maxbuy5, {_r6(_roll('coalesce((hi - lo) / 0.5, 0)', 3, 'max'))} as sweep3, {_r6('mid / ' + _roll('mid', 300, 'max') + ' - 1')} as dist_hi, {_r6('mid / ' + _roll('mid', 300, 'min') + ' - 1')} as dist_lo,
-  {_r6('(bid * ask_qty + ask * bid_qty) / (bid_qty + ask_qty) / mid - 1')} as micro_dev from book {WIN}) select * from f where dist_hi is not null"""
+_MICRO = "(bid * ar + ask * br) / nullif(br + ar, 0)"
+_V2_COLUMNS = {
+    "sec": "slot", "log_cumval": "ln(1 + sum(buy + sell) over w)", "spread_bp": "(ask - bid) / mid * 1e4", **{c: _sum("cnt", k) for c, k in (("n_tr1", 1), ("n_tr5", 5), ("n_tr10", 10), ("ntr60", 60))},
+    "dist_lo300": f"(mid / {_top('mid', 300, 'min')} - 1) * 1e4", "dist_hi300": f"(mid / {_top('mid', 300)} - 1) * 1e4", "ret300": "(mid / lag(mid, 300) over w - 1) * 1e4", "same_size_val10": "ln(1 + coalesce(same, 0))",
+    "sweep_ticks1": "sw", "sweep_ticks3": _top("sw", 3), "sweep10": _top("sw", 10), "micro_dev": f"({_MICRO} / mid - 1) * 1e4", "imb3": _IMB3, "burst_secs10": _sum("(n_buy >= 5)::int", 10), "maxbuy5": f"ln(1 + {_top('max_buy', 5)})",
+    **{c: f"ln(1 + {_sum('buy', k)})" for c, k in (("buyval1", 1), ("buyval3", 3), ("buyval10", 10), ("bv30", 30))}, **{c: f"ln(1 + {_sum('sell', k)})" for c, k in (("sellval1", 1), ("sellval3", 3), ("sellval5", 5), ("sv20", 20), ("sv60", 60))},
+    **{c: f"strength - lag(strength, {k}) over w" for c, k in (("dS2", 2), ("dstr3", 3), ("dstr5", 5))}, **{f"ofiw{k}": f"{_sum('e', k)} / dep" for k in (1, 2, 20, 30, 60)}, "cumval": "sum(buy + sell) over w", "last": "last",
+}
+V2_SQL = f"""with {LOB_BASE}, bt as (select code, day, sec // 60 as slot, sec, seq, price, volume from lt where side > 0),
+bs as (select distinct code, day, slot + k as slot from bt, range(0, 10) r(k)),
+bw as (select bs.code, bs.day, bs.slot, bt.volume, bt.price, bt.sec * 100000000::bigint + bt.seq as ord from bs join bt on bt.code = bs.code and bt.day = bs.day and bt.slot between bs.slot - 9 and bs.slot),
+bk as (select code, day, slot, volume, count(*) as k from bw group by all), bl as (select code, day, slot, arg_max(price, ord) as px, count(*) as n from bw group by all),
+sm as (select bk.code, bk.day, bk.slot, arg_min(bk.k * bk.volume, -bk.k * 1000000 + bk.volume) * any_value(bl.px) as same from bk join bl on bl.code = bk.code and bl.day = bk.day and bl.slot = bk.slot where bl.n > 1 group by all),
+z as (select e.*, sm.same, coalesce((buy_hi - buy_lo) / ({_tick_sql('greatest(coalesce(ask, 1000), 1)')}), 0) as sw, avg(coalesce((br + ar) / 2, 0)) over (partition by e.code, e.day order by e.slot rows 59 preceding) + 1 as dep
+  from e left join sm on sm.code = e.code and sm.day = e.day and sm.slot = e.slot),
+o as (select code, day, slot::int as slot, {', '.join(f"{x} as {c}" for c, x in _V2_COLUMNS.items())} from z {WIN})
+select code, day, slot, {', '.join(f"{_r6(c)} as {c}" for c in _V2_COLUMNS)} from o where dist_hi300 is not null"""
 
 
 def repeated_size(spark, sf):
@@ -101,11 +165,11 @@ select code, day, sec, size, k as times from (select *, row_number() over (parti
 
 
 def cross_ranks(spark, sf):
-    return O.cross_ranks(_book(spark, sf)).filter("slot % 10 = 0")
+    return O.cross_ranks(_book(spark, sf))
 
 
 RANKS_SQL = f"""with {BOOK_SQL}, c as (select code, day, slot, sum(buy + sell) over w as c, coalesce(mid / first_value(mid ignore nulls) over w - 1, -1e9) as r from book {WIN})
-select * from (select code, day, slot::int as slot, row_number() over (partition by day, slot order by c desc, code) as value_rank, row_number() over (partition by day, slot order by r desc, code) as return_rank from c) where slot % 10 = 0"""
+select * from (select code, day, slot::int as slot, row_number() over (partition by day, slot order by c desc, code) as value_rank, row_number() over (partition by day, slot order by r desc, code) as return_rank from c)"""
 
 
 def fwd_extreme(spark, sf):
@@ -163,17 +227,17 @@ select code, day, slot::int as slot, fill_slot::int as fill_slot from k"""
 
 def exit_sim(spark, sf):
     b = _book(spark, sf)
-    return O.exit_simulation(b.filter("slot % 25 = 0 and mid is not null"), b, 0.2, 0.2, 30)
+    return O.exit_simulation(b.filter("mid is not null"), b, 0.2, 0.2, 30)
 
 
-EXIT_SQL = f"""with {BOOK_SQL}, s as (select code, day, slot from book where slot % 25 = 0 and mid is not null), e as (select s.*, b.ask as entry from s join book b on b.code = s.code and b.day = s.day and b.slot = s.slot + 1 where b.ask is not null),
+EXIT_SQL = f"""with {BOOK_SQL}, s as (select code, day, slot from book where mid is not null), e as (select s.*, b.ask as entry from s join book b on b.code = s.code and b.day = s.day and b.slot = s.slot + 1 where b.ask is not null),
 w as (select e.code, e.day, e.slot, b.slot as s, b.bid / e.entry - 1 as ret from e join book b on b.code = e.code and b.day = e.day and b.slot between e.slot + 2 and e.slot + 31 and b.bid is not null),
 r as (select *, case when ret >= 0.2 then 1 when ret <= -0.2 then 2 end as reason, max(s) over (partition by code, day, slot) as last from w), p as (select *, row_number() over (partition by code, day, slot order by s) as rn from r where reason is not null or s = last)
 select code, day, slot::int as slot, s::int as exit_slot, coalesce(reason, 3)::int as reason, {_r6('ret')} as ret from p where rn = 1"""
 
 
 def limit_queue(spark, sf):
-    b = _whole_book(spark, sf).withColumn("sell_at", F.col("sell"))
+    b = _book(spark, sf).withColumn("sell_at", F.col("sell"))
     orders = b.select("code", "day", (F.col("code") * 100000 + F.col("slot")).cast("long").alias("order_id"), "slot", F.coalesce("bid", F.lit(0.0)).alias("limit_price"), F.lit(60).alias("wait"))
     return O.queue_fills(orders, b.select("code", "day", "slot", "bid", "ask", "bid_qty", "sell_at"))
 
@@ -183,6 +247,7 @@ QUERIES = {
     "level_trades": (level_trades, LEVEL_SQL, "day"),
     "book_ffill": (book_ffill, FFILL_SQL, "day"),
     "ofi": (ofi, OFI_SQL, "day"),
+    "book_grid": (book_grid, GRID_SQL, "day"),
     "feat_v1": (feat_v1, V1_SQL, "day"),
     "feat_v2": (feat_v2, V2_SQL, "day"),
     "repeated_size": (repeated_size, REPEAT_SQL, "day"),

@@ -43,6 +43,35 @@ def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _lob_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events")
+    return e.select(
+        (F.col("user_id") % 10).cast("int").alias("code"), F.col("ts").cast("date").alias("day"), (F.hour("ts") * 3600 + F.minute("ts") * 60 + F.second("ts")).cast("int").alias("sec"),
+        F.col("event_id").alias("seq"), (F.floor(F.col("value") * 100).cast("int") + 1).alias("px"), F.regexp_extract("props", "[0-9]+", 0).cast("int").alias("k"), "event_type",
+    )
+
+
+def lob_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trades with quantity, strength and the best quotes they saw: purchases, clicks (buys) and errors (sells)."""
+    e = _lob_events(spark, sf_dir).filter("event_type in ('purchase', 'click', 'error')")
+    return e.select(
+        "code", "day", "sec", "seq", F.col("px").alias("price"), F.col("k").alias("volume"), F.when(F.col("k") % 9 == 0, 0).when(F.col("event_type") == "error", -1).otherwise(1).alias("side"),
+        F.when(F.col("k") % 10 != 0, F.col("k") * 1.5).alias("strength"), (F.col("px") - 5).alias("best_bid"), (F.col("px") + 5).alias("best_ask"),
+    )
+
+
+def lob_quotes(spark: SparkSession, sf_dir: str, levels: int = 3) -> DataFrame:
+    """Book snapshots of several levels from all other events; some have no bid, some a level without a quantity."""
+    e = _lob_events(spark, sf_dir).filter("event_type not in ('purchase', 'click', 'error')")
+    out = e.select("code", "day", "sec", "seq")
+    ask = F.col("px") + 5 * (1 + F.col("k") % 3)
+    columns = []
+    for n in range(levels):
+        columns += [F.when(F.col("k") % 13 == 0, 0).otherwise(F.col("px") - 5 * n).alias(f"bid{n + 1}"), F.when(F.lit(n == 1) & (F.col("k") % 17 == 0), None).otherwise((F.col("k") + 3 * n) % 50 + 1).alias(f"bidqty{n + 1}")]
+        columns += [(ask + 5 * n).alias(f"ask{n + 1}"), ((F.col("k") * 2 + n) % 50 + 1).alias(f"askqty{n + 1}")]
+    return e.select(*out.columns, *columns)
+
+
 def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
     """trades(trade_id, entry_date, code, stratum, r): orders as closed trades, r their standardised size."""
     o = table(spark, sf_dir, "orders")
@@ -69,6 +98,12 @@ BARS_SQL = """bars as (select code, date,
 TICKS_SQL = """ticks as (select cast(user_id % 10 as int) as code, cast(ts as date) as day,
   cast(extract(hour from ts) * 3600 + extract(minute from ts) * 60 + floor(extract(second from ts)) as int) as sec, event_id as seq, value as price,
   case when event_type in ('purchase', 'click') then 1 when event_type = 'error' then -1 else 0 end as side from events)"""
+LOB_SQL = """lob as (select cast(user_id % 10 as int) as code, cast(ts as date) as day, cast(extract(hour from ts) * 3600 + extract(minute from ts) * 60 + floor(extract(second from ts)) as int) as sec,
+  event_id as seq, cast(floor(value * 100) as int) + 1 as px, cast(regexp_extract(props, '[0-9]+') as int) as k, event_type from events),
+lt as (select code, day, sec, seq, px as price, k as volume, case when k % 9 = 0 then 0 when event_type = 'error' then -1 else 1 end as side, case when k % 10 <> 0 then k * 1.5::double end as strength, px - 5 as best_bid, px + 5 as best_ask
+  from lob where event_type in ('purchase', 'click', 'error')),
+lq as (select code, day, sec, seq, """ + ", ".join(f"case when k % 13 = 0 then 0 else px - {5 * n} end as bid{n + 1}, {'case when k % 17 <> 0 then ' if n == 1 else ''}(k + {3 * n}) % 50 + 1{' end' if n == 1 else ''} as bidqty{n + 1}, px + 5 * (1 + k % 3) + {5 * n} as ask{n + 1}, (k * 2 + {n}) % 50 + 1 as askqty{n + 1}" for n in range(3)) + """
+  from lob where event_type not in ('purchase', 'click', 'error'))"""
 TRADES_SQL = """trades as (select o_orderkey as trade_id, cast(o_orderdate as date) as entry_date, cast(o_custkey % 50 as int) as code, o_orderpriority as stratum,
   floor((o_totalprice - avg(o_totalprice) over ()) / stddev_pop(o_totalprice) over () * 1e6 + 0.5) / 1e6 as r from orders)"""
 CALENDAR_SQL = """calendar as (select date, row_number() over (order by date) - 1 as idx from (select distinct cast(o_orderdate as date) as date from orders))"""
