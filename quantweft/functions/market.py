@@ -6,6 +6,8 @@ NULL stands for unknown; a comparison with NULL counts as false where a rule nee
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -15,6 +17,9 @@ STOCK_TOP = 1000
 #: The same for exchange-traded funds.
 FUND_BANDS = ((2000, 1),)
 FUND_TOP = 5
+#: Shifts and multipliers of the 32-bit hash; those that mix the seed, the replicate and the block of a bootstrap.
+HASH32_STEPS = ((16, 0x7FEB352D), (15, 0x5BD1E995))
+SEED_FACTOR, SEED_ADDEND, REPLICATE_ADDEND = 0x2545F491, 0x1B873593, 0x27D4EB2F
 #: Daily price limit.
 LIMIT_RATE = 0.30
 
@@ -246,13 +251,27 @@ def ieee_divide(a: Column | str, b: Column | str) -> Column:
     return F.when(x.isNotNull() & (y == 0), F.when(F.isnan(x), x).otherwise(limit)).otherwise(F.try_divide(x, y))
 
 
+def _let(x: Column, use: Callable[[Column], Column]) -> Column:
+    """use(x) with x computed once, though `use` has it several times."""
+    return F.get(F.transform(F.array(x), use), F.lit(0))
+
+
 def hash32(x: Column | str) -> Column:
-    """A 32-bit integer mixed from an integer; bigint arithmetic only, so it never overflows."""
+    """A 32-bit integer mixed from an integer.  Both multipliers are below 2**31, so bigints never overflow."""
     m = F.lit((1 << 32) - 1)
-    mul = lambda a, k: ((a * (k & 0xFFFF)).bitwiseAND(m) + F.shiftleft((a * (k >> 16)).bitwiseAND(F.lit(0xFFFF)), 16)).bitwiseAND(m)
     v = _col(x).cast("long").bitwiseAND(m)
-    v = v.bitwiseXOR(F.shiftrightunsigned(v, 16))
-    v = mul(v, 0x7FEB352D)
-    v = v.bitwiseXOR(F.shiftrightunsigned(v, 15))
-    v = mul(v, 0x5BD1E995)
-    return v.bitwiseXOR(F.shiftrightunsigned(v, 16))
+
+    def step(shift: int, factor: int) -> Callable[[Column], Column]:
+        return lambda v: (v.bitwiseXOR(F.shiftrightunsigned(v, shift)) * F.lit(factor)).bitwiseAND(m)
+
+    for shift, factor in HASH32_STEPS:
+        v = _let(v, step(shift, factor))
+    return _let(v, lambda v: v.bitwiseXOR(F.shiftrightunsigned(v, 16)))
+
+
+def hash32_of(x: int) -> int:
+    """The same of a number on the driver."""
+    v = x & 0xFFFFFFFF
+    for shift, factor in HASH32_STEPS:
+        v = (v ^ v >> shift) * factor & 0xFFFFFFFF
+    return v ^ v >> 16

@@ -2,45 +2,49 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quantweft.functions.market import hash32
+from quantweft.functions.market import REPLICATE_ADDEND, SEED_ADDEND, SEED_FACTOR, hash32, hash32_of
+from quantweft.operators import windows as X
 from quantweft.sources.shapes import r6
 
 
+def seeded(seed: int) -> int:
+    return hash32_of(seed * SEED_FACTOR + SEED_ADDEND)
+
+
 def draw(seed: int, row: Column, k: Column, n: Column) -> Column:
-    """A number 0..n-1 for (seed, row, k)."""
-    return hash32(F.lit(seed * 1000003) + row * 4099 + k) % n
+    """A number 0..n-1 for (seed, row, k): the high bits of a hash times n."""
+    one = hash32(F.lit(seeded(seed)).bitwiseXOR(hash32(row + F.lit(REPLICATE_ADDEND))))
+    u = hash32(one.bitwiseXOR(hash32(k * 3 + 1)))
+    # below 2**63 while n is below 2**31
+    return F.shiftright(u * n, 32)
 
 
-def block_bootstrap(series: DataFrame, value: str, order: str, block: int, replicates: int, seed: int) -> DataFrame:
-    """(replicates, mean, lower, upper) of moving-block bootstrap means; 5 % and 95 % percentiles.
+def block_bootstrap(series: DataFrame, value: str, order: str, block: int, replicates: int, seed: int, per_year: int = 12) -> DataFrame:
+    """(replicates, mean, lower, upper) of moving-block bootstrap means, a year's worth; 5 % and 95 % percentiles.
 
-    The series is indexed once; replicates x blocks are drawn as rows and joined to it on the index.
+    The series is numbered once; replicates x blocks are drawn as rows and joined to it on the number.
     """
-    s = series.select(F.col(value).alias("x"), (F.row_number().over(W.orderBy(order)) - 1).alias("i"))  # a short series
+    # a number in the order of a column that tells all rows apart: without a window over the whole series
+    s = X.global_row_number(series.select(F.col(value).alias("x"), order), [order], "i").select("x", (F.col("i") - 1).alias("i"))
     n = s.agg(F.count(F.lit(1)).alias("n"))
     draws = s.sparkSession.range(replicates).select(F.col("id").alias("rep")).crossJoin(F.broadcast(n))  # one row
     draws = draws.select("rep", "n", F.explode(F.sequence(F.lit(0), F.ceil(F.col("n") / block) - 1)).alias("blk"))
     draws = draws.withColumn("start", draw(seed, F.col("rep"), F.col("blk"), F.col("n") - (block - 1)))
     at = draws.select("rep", "n", "blk", "start", F.explode(F.sequence(F.lit(0), F.lit(block - 1))).alias("o")).filter(F.col("blk") * block + F.col("o") < F.col("n"))
-    means = at.withColumn("i", F.col("start") + F.col("o")).join(s, "i").groupBy("rep").agg(F.avg("x").alias("m"))
+    means = at.withColumn("i", F.col("start") + F.col("o")).join(s, "i").groupBy("rep").agg((F.avg("x") * per_year).alias("m"))
     return means.agg(F.count(F.lit(1)).alias("replicates"), r6(F.avg("m")).alias("mean"), r6(F.percentile("m", F.lit(0.05))).alias("lower"), r6(F.percentile("m", F.lit(0.95))).alias("upper"))
 
 
 def matched_control(trades: DataFrame, pool: DataFrame, key: str, strata: list[str], value: str, per: int, seed: int) -> DataFrame:
-    """(strata, n, trade_mean, control_mean, alpha): each trade against `per` draws with replacement from its stratum.
-
-    Pool rows are numbered within strata and joined on (stratum, number); strata without a pool drop out.
-    """
-    numbered = pool.select(*strata, F.col(value).alias("_c"), (F.row_number().over(W.partitionBy(*strata).orderBy(key)) - 1).alias("_rn"))
-    sizes = pool.groupBy(*strata).agg(F.count(F.lit(1)).alias("_n"))
-    draws = trades.select(key, *strata, F.col(value).alias("_r")).join(sizes, strata).withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(per - 1))))
-    draws = draws.withColumn("_rn", draw(seed, F.col(key), F.col("_k"), F.col("_n")))
-    each = draws.join(numbered, [*strata, "_rn"]).groupBy(*strata, key, "_r").agg(F.avg("_c").alias("_control"))
-    return each.groupBy(*strata).agg(F.count(F.lit(1)).alias("n"), r6(F.avg("_r")).alias("trade_mean"), r6(F.avg("_control")).alias("control_mean"), r6(F.avg(F.col("_r") - F.col("_control"))).alias("alpha"))
+    """(strata, n, trade_mean, control_mean, alpha): each trade against the mean of its matched controls, by stratum."""
+    each = matched_pairs(trades, pool, key, strata, value, per, seed).groupBy(*strata, key, "trade").agg(F.avg("control").alias("control"))
+    return each.groupBy(*strata).agg(F.count(F.lit(1)).alias("n"), r6(F.avg("trade")).alias("trade_mean"), r6(F.avg("control")).alias("control_mean"), r6(F.avg(F.col("trade") - F.col("control"))).alias("alpha"))
 
 
 def cluster_difference(a: DataFrame, b: DataFrame, cluster: Column, value: str) -> DataFrame:
@@ -51,11 +55,115 @@ def cluster_difference(a: DataFrame, b: DataFrame, cluster: Column, value: str)
     return both.select("cluster", r6(F.coalesce("s_a", F.lit(0.0))).alias("sum_a"), zero("k_a").alias("n_a"), r6(F.coalesce("s_b", F.lit(0.0))).alias("sum_b"), zero("k_b").alias("n_b"))
 
 
+def _in_one_group(rows: DataFrame, compute, schema: str) -> DataFrame:
+    """compute(all rows as pandas) -> pandas, for rows that an aggregation has made few: one a date."""
+    return rows.withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(lambda pdf: compute(pdf.drop(columns="_all")), schema)
+
+
+def _chunks(replicates: int, width: int):
+    step = max(1, (1 << 22) // max(width, 1))
+    return ((lo, min(lo + step, replicates)) for lo in range(0, replicates, step))
+
+
+def cluster_bootstrap(rows: DataFrame, value: Column, cluster: Column, weight: Column | None = None, replicates: int = 2000, seed: int = 0, ci: float = 0.95) -> DataFrame:
+    """(n_clusters, mean, lower, upper, positive): weighted mean by whole clusters (dates) drawn with replacement; positive is
+    the share of replicates above 0.  Rows are summed by cluster first; no interval for fewer than two clusters."""
+    w = F.lit(1.0) if weight is None else weight
+    sums = rows.groupBy(cluster.cast("string").alias("cluster")).agg(F.sum(value * w).alias("s"), F.sum(w).alias("w"))
+
+    def compute(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("cluster")
+        s, n, k = pdf["s"].to_numpy(float), pdf["w"].to_numpy(float), len(pdf)
+        mean = s.sum() / n.sum()
+        if k < 2:
+            return pd.DataFrame([(k, mean, None, None, None)], columns=["n_clusters", "mean", "lower", "upper", "positive"])
+        drawn = np.random.default_rng(seed).integers(0, k, size=(replicates, k))
+        with np.errstate(divide="ignore", invalid="ignore"):
+            means = np.concatenate([s[drawn[lo:hi]].sum(axis=1) / n[drawn[lo:hi]].sum(axis=1) for lo, hi in _chunks(replicates, k)])
+        edge = (1 - ci) / 2 * 100
+        ok = means[np.isfinite(means)]
+        return pd.DataFrame([(k, mean, np.percentile(ok, edge), np.percentile(ok, 100 - edge), float((ok > 0).mean()))], columns=["n_clusters", "mean", "lower", "upper", "positive"])
+
+    return _in_one_group(sums, compute, "n_clusters long, mean double, lower double, upper double, positive double")
+
+
+def cluster_bootstrap_difference(a: DataFrame, b: DataFrame, cluster: Column, value: str, replicates: int = 2000, seed: int = 0, ci: float = 0.95) -> DataFrame:
+    """(n_clusters, difference, lower, upper): mean of a less mean of b; clusters of both are drawn together, so that shocks of a
+    date cancel.  NULLs where either is empty."""
+    sums = lambda df, x: df.groupBy(cluster.cast("string").alias("cluster")).agg(F.sum(value).alias(f"s{x}"), F.count(value).alias(f"n{x}"))
+    both = sums(a, "a").join(sums(b, "b"), "cluster", "full_outer").fillna(0)
+
+    def compute(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("cluster")
+        sa, na, sb, nb = (pdf[c].to_numpy(float) for c in ("sa", "na", "sb", "nb"))
+        k = len(pdf)
+        names = ["n_clusters", "difference", "lower", "upper"]
+        if not na.sum() or not nb.sum():
+            return pd.DataFrame([(k, None, None, None)], columns=names)
+        drawn = np.random.default_rng(seed).integers(0, k, size=(replicates, k))
+        with np.errstate(divide="ignore", invalid="ignore"):
+            boot = np.concatenate([sa[d].sum(1) / na[d].sum(1) - sb[d].sum(1) / nb[d].sum(1) for d in (drawn[lo:hi] for lo, hi in _chunks(replicates, k))])
+        edge = round((1 - ci) / 2 * 100, 9)
+        return pd.DataFrame([(k, sa.sum() / na.sum() - sb.sum() / nb.sum(), np.nanpercentile(boot, edge), np.nanpercentile(boot, round(100 - edge, 9)))], columns=names)
+
+    return _in_one_group(both, compute, "n_clusters long, difference double, lower double, upper double")
+
+
+def paired_bootstrap(pairs: DataFrame, order: str, a: str, b: str, block: int = 6, replicates: int = 2000, seed: int = 0, per_year: int = 252) -> DataFrame:
+    """(n, sharpe_lower, sharpe_upper, cagr_lower, cagr_upper, prob_better): differences of two return series of the same dates, blocks
+    of dates drawn together; 95 % intervals.  No interval for series of a block or less."""
+    names = ["n", "sharpe_lower", "sharpe_upper", "cagr_lower", "cagr_upper", "prob_better"]
+
+    def compute(pdf: pd.DataFrame) -> pd.DataFrame:
+        x = pdf.sort_values(order)[["a", "b"]].to_numpy(float)
+        x = x[np.isfinite(x).all(axis=1)]
+        n = len(x)
+        if n < block + 1:
+            return pd.DataFrame([(n, *[None] * 5)], columns=names)
+        rng = np.random.default_rng(seed)
+        starts = np.stack([rng.integers(0, n - block + 1, size=-(-n // block)) for _ in range(replicates)])
+        sharpe, cagr = np.empty(replicates), np.empty(replicates)
+        for lo, hi in _chunks(replicates, n):
+            at = (starts[lo:hi, :, None] + np.arange(block)).reshape(hi - lo, -1)[:, :n]
+            ratio, growth = [], []
+            for r in (x[at, 0], x[at, 1]):
+                sd = r.std(axis=1)
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    ratio.append(np.where(sd >= 1e-12, r.mean(axis=1) / sd * np.sqrt(per_year), np.nan))
+                    whole = np.prod(1 + r, axis=1)
+                    growth.append(np.where(whole > 0, whole ** (per_year / n) - 1, -1.0))
+            sharpe[lo:hi], cagr[lo:hi] = ratio[0] - ratio[1], growth[0] - growth[1]
+        sharpe, cagr = sharpe[np.isfinite(sharpe)], cagr[np.isfinite(cagr)]
+        ends = lambda v: np.percentile(v, [2.5, 97.5]) if len(v) else (np.nan, np.nan)
+        return pd.DataFrame([(n, *ends(sharpe), *ends(cagr), float((sharpe > 0).mean()) if len(sharpe) else np.nan)], columns=names)
+
+    rows = pairs.select(order, F.col(a).cast("double").alias("a"), F.col(b).cast("double").alias("b"))  # a row a date
+    return _in_one_group(rows, compute, "n long, sharpe_lower double, sharpe_upper double, cagr_lower double, cagr_upper double, prob_better double")
+
+
+def matched_pairs(trades: DataFrame, pool: DataFrame, key: str, strata: list[str], value: str, per: int, seed: int, keep: list[str] | None = None) -> DataFrame:
+    """(key, strata, keep, trade, k, control): each trade with `per` draws with replacement from the pool rows of its stratum.
+    Trades with an unknown stratum or one without a pool drop out."""
+    numbered = pool.select(*strata, F.col(value).alias("control"), (F.row_number().over(W.partitionBy(*strata).orderBy(key)) - 1).alias("_rn"))
+    sizes = pool.groupBy(*strata).agg(F.count(F.lit(1)).alias("_n"))
+    draws = trades.select(key, *strata, *(keep or []), F.col(value).alias("trade")).join(sizes, strata).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(per - 1))))
+    draws = draws.withColumn("_rn", draw(seed, F.col(key), F.col("k"), F.col("_n")))
+    return draws.join(numbered, [*strata, "_rn"]).drop("_rn", "_n")
+
+
+def matched_alpha(trades: DataFrame, pool: DataFrame, key: str, strata: list[str], value: str, cluster: str, per: int, seed: int, replicates: int = 2000) -> DataFrame:
+    """(n_trades, n_unmatched, n_clusters, alpha, lower, upper, p_greater): trades less their matched controls, each trade as one
+    and its controls as one together; the interval draws whole dates."""
+    pairs = matched_pairs(trades, pool, key, strata, value, per, seed, [cluster])
+    each = pairs.groupBy(key, cluster, "trade").agg(F.avg("control").alias("control"))
+    boot = cluster_bootstrap(each, F.col("trade") - F.col("control"), F.col(cluster), None, replicates, seed)
+    counts = each.agg(F.count(F.lit(1)).alias("n_trades")).crossJoin(trades.agg(F.count(F.lit(1)).alias("_all")))  # a row each
+    out = counts.crossJoin(boot)
+    return out.select("n_trades", (F.col("_all") - F.col("n_trades")).alias("n_unmatched"), "n_clusters", F.col("mean").alias("alpha"), "lower", "upper", F.col("positive").alias("p_greater"))
+
+
 def iid_bootstrap(rows: DataFrame, value: str, key: str, by: list[str], replicates: int, seed: int) -> DataFrame:
     """(by, n, mean, lower, upper): percentile interval of the mean by numpy's generator; one group's values at a time."""
-    import numpy as np
-    import pandas as pd
-
     def boot(pdf: pd.DataFrame) -> pd.DataFrame:
         x = pdf.sort_values(key)[value].dropna().to_numpy()
         rng = np.random.default_rng(seed)

@@ -163,12 +163,42 @@ def fold_consistency(rows: DataFrame, feature: str, value: str, share: float, le
     return out.select("fold", r6("theta").alias("theta"), "n_train", "n_test", r6("m").alias("test_mean"), status.alias("status"))
 
 
-def performance_metrics(trades: DataFrame, pnl: str, cost: str, by: list[str]) -> DataFrame:
-    """Ledger statistics with decimal sums: n, gross, net, fees, win rate, profit factor (999 at most), expectancy."""
-    net = (F.col(pnl) - F.col(cost)).cast("decimal(20,4)")
-    win, loss = F.sum(F.when(net > 0, net)), F.sum(F.when(net < 0, -net))
-    factor = F.least(F.coalesce(F.try_divide(win.cast("double"), loss.cast("double")), F.lit(999.0)), F.lit(999.0))
-    return trades.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col(pnl).cast("decimal(20,4)")).cast("double").alias("gross"), F.sum(net).cast("double").alias("net"), F.sum(F.col(cost).cast("decimal(20,4)")).cast("double").alias("fees"), r6(F.avg((net > 0).cast("double"))).alias("win_rate"), r6(factor).alias("profit_factor"), r6(F.avg(net.cast("double"))).alias("expectancy"))
+def performance_metrics(trades: DataFrame, pnl: Column, entry: str, exit_: str, order: list[str], capital: float, by: list[str]) -> DataFrame:
+    """Seventeen ledger statistics: returns, annualised; Sharpe and Sortino ratios of the steps of the equity curve (252 a year),
+    drawdown, counts, win rate, profit factor (infinite without a loss), means, holding time, extremes.
+
+    Sums are decimal.  Trades without an exit do not count; the equity curve has a point a trade, in the order of `order`.
+    """
+    closed = trades.filter(F.col(exit_).isNotNull()).withColumn("_p", pnl.cast("decimal(20,4)"))
+    w = W.partitionBy(*by).orderBy(*order)
+    run = closed.withColumn("_e", F.lit(capital) + F.sum("_p").over(w.rowsBetween(W.unboundedPreceding, 0)).cast("double"))
+    run = run.withColumn("_top", F.greatest(F.lit(float(capital)), F.max("_e").over(w.rowsBetween(W.unboundedPreceding, 0)))).withColumn("_d", F.lag("_e").over(w))
+    run = run.withColumn("_r", F.when(F.col("_d") > 0, F.col("_e") / F.col("_d") - 1))
+    p = F.col("_p")
+    win, loss = F.when(p > 0, p), F.when(p < 0, -p)
+    hours = (F.unix_timestamp(F.col(exit_).cast("timestamp")) - F.unix_timestamp(F.col(entry).cast("timestamp"))) / 3600
+    g = run.groupBy(*by).agg(
+        F.sum(p).alias("total"), F.count(F.lit(1)).alias("n"), F.count(win).alias("wins"), F.count(loss).alias("losses"), F.coalesce(F.sum(win), F.lit(0)).alias("won"), F.coalesce(F.sum(loss), F.lit(0)).alias("lost"),
+        F.max(1 - F.col("_e") / F.col("_top")).alias("dd"), F.avg(hours).alias("hours"), F.max(p).alias("best"), F.min(p).alias("worst"), F.avg("_r").alias("r"), F.stddev_samp("_r").alias("sd"),
+        F.stddev_samp(F.when(F.col("_r") < 0, F.col("_r"))).alias("down"), F.min(entry).alias("d0"), F.max(exit_).alias("d1"),
+    )
+    dbl = lambda c: F.col(c).cast("double")
+    share = dbl("total") / capital
+    years = F.datediff("d1", "d0") / 365.25
+    ratio = lambda sd: F.coalesce(F.try_divide(F.col("r") * 252, F.col(sd) * 252**0.5), F.lit(0.0))
+    return g.select(
+        *by, dbl("total").alias("total_return"), r6(share).alias("total_return_pct"), r6(F.when((years > 0) & (share > -1), F.pow(1 + share, 1 / years) - 1).otherwise(0.0)).alias("annualized_return"),
+        r6(ratio("sd")).alias("sharpe_ratio"), r6(ratio("down")).alias("sortino_ratio"), r6(F.col("dd") * capital).alias("max_drawdown"), r6("dd").alias("max_drawdown_pct"), r6(F.col("wins") / F.col("n")).alias("win_rate"),
+        r6(F.when(F.col("lost") > 0, dbl("won") / dbl("lost")).otherwise(F.lit(float("inf")))).alias("profit_factor"), F.col("n").alias("total_trades"), F.col("wins").alias("winning_trades"), F.col("losses").alias("losing_trades"),
+        r6(F.coalesce(F.try_divide(dbl("won"), F.col("wins")), F.lit(0.0))).alias("avg_win"), r6(F.coalesce(F.try_divide(dbl("lost"), F.col("losses")), F.lit(0.0))).alias("avg_loss"), r6("hours").alias("avg_trade_duration_hours"),
+        dbl("best").alias("best_trade"), dbl("worst").alias("worst_trade"),
+    )
+
+
+def r_distribution(rows: DataFrame, value: str, by: list[str]) -> DataFrame:
+    """(by, n, expectancy, tail3, payoff): single trades in units of risk; payoff is unknown without both wins and losses."""
+    x = F.col(value)
+    return rows.groupBy(*by).agg(F.count(x).alias("n"), r6(F.avg(x)).alias("expectancy"), r6(F.avg((x >= 3).cast("double"))).alias("tail3"), r6(F.avg(F.when(x > 0, x)) / -F.avg(F.when(x < 0, x))).alias("payoff"))
 
 
 def selection_pool(rows: DataFrame, key: str, size: str, least: int) -> DataFrame:

@@ -188,7 +188,7 @@ def hash_draws(spark, sf):
 
 
 HASH_SQL = """with a as (select o_orderkey, o_orderkey::hugeint & 4294967295 as v from orders), b as (select o_orderkey, xor(v, v >> 16) as v from a), c as (select o_orderkey, (v * 2146121005) & 4294967295 as v from b),
-d as (select o_orderkey, xor(v, v >> 15) as v from c), e as (select o_orderkey, (v * 2221713035) & 4294967295 as v from d) select o_orderkey, xor(v, v >> 16)::bigint as h from e"""
+d as (select o_orderkey, xor(v, v >> 15) as v from c), e as (select o_orderkey, (v * 1540483477) & 4294967295 as v from d) select o_orderkey, xor(v, v >> 16)::bigint as h from e"""
 
 QUERIES = {
     "tick_size_sweep": (tick_size_sweep, TICK_SQL),

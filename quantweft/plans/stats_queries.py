@@ -85,7 +85,7 @@ select t.code, coalesce(max(s.n), 0) as max_streak from (select distinct code fr
 
 
 def expected_max_curve(spark, sf):
-    t = S.trades(spark, sf).filter("code = 7")
+    t = S.trades(spark, sf)
     out = None
     for m in (1, 2, 5):
         one = T.expected_max_of(t, "r", m).withColumn("m", F.lit(m))
@@ -95,7 +95,7 @@ def expected_max_curve(spark, sf):
 
 EMAX_SQL = " union all ".join(
     f"""select max(n) as n, {_r6('sum(r * w)')} as expected_max, {m}::int as m from (select r, n, case when i >= {m - 1} then {' * '.join([f'{float(m)} / n', *[f'(i - {j - 1})::double / (n - {j})' for j in range(1, m)]])} else 0 end as w
-  from (select r, row_number() over (order by r) - 1 as i, count(*) over () as n from trades where code = 7))"""
+  from (select r, row_number() over (order by r) - 1 as i, count(*) over () as n from trades))"""
     for m in (1, 2, 5)
 )
 EMAX_SQL = f"with {TRADES} {EMAX_SQL}"
@@ -131,13 +131,27 @@ select fold, {_r6('theta')} as theta, n_train, coalesce(n_test, 0) as n_test, {_
 
 
 def performance_metrics(spark, sf):
-    l = S.table(spark, sf, "lineitem").select("l_suppkey", ((F.col("l_extendedprice") - 30000) / 10).alias("pnl"), (F.col("l_tax") * 1000).alias("cost"))
-    return T.performance_metrics(l, "pnl", "cost", ["l_suppkey"])
+    l = S.table(spark, sf, "lineitem").withColumn("pnl", (F.col("l_extendedprice") - 30000) / 100 - F.col("l_tax") * 100).withColumn("leave", F.when(F.col("l_quantity") > 1, F.date_add(F.col("l_shipdate").cast("date"), F.col("l_quantity").cast("int"))))
+    return T.performance_metrics(l, F.col("pnl"), "l_shipdate", "leave", ["leave", "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice"], 1e6, ["l_suppkey"])
+
+
+PERF_SQL = f"""with l as (select *, l_shipdate::date + l_quantity::int as l_receiptdate, ((l_extendedprice - 30000) / 100 - l_tax * 100)::decimal(20,4) as p from lineitem where l_quantity > 1),
+e as (select *, 1e6 + (sum(p) over w)::double as eq from l window w as (partition by l_suppkey order by l_receiptdate, l_orderkey, l_linenumber, l_partkey, l_extendedprice)),
+t as (select *, greatest(1e6, max(eq) over w) as top, eq / case when lag(eq) over w > 0 then lag(eq) over w end - 1 as r from e window w as (partition by l_suppkey order by l_receiptdate, l_orderkey, l_linenumber, l_partkey, l_extendedprice)),
+g as (select l_suppkey, sum(p)::double as total, count(*) as n, count(*) filter (p > 0) as wins, count(*) filter (p < 0) as losses, coalesce(sum(p) filter (p > 0), 0)::double as won, coalesce(-sum(p) filter (p < 0), 0)::double as lost, max(1 - eq / top) as dd,
+  avg(date_diff('day', l_shipdate::date, l_receiptdate::date) * 24.0::double) as hours, max(p)::double as best, min(p)::double as worst, avg(r) as r, stddev_samp(r) as sd, stddev_samp(r) filter (r < 0) as down,
+  date_diff('day', min(l_shipdate)::date, max(l_receiptdate)::date) / 365.25::double as years from t group by 1)
+select l_suppkey, total as total_return, {_r6('total / 1e6')} as total_return_pct, {_r6('case when years > 0 and total / 1e6 > -1 then pow(1 + total / 1e6, 1 / years) - 1 else 0 end')} as annualized_return,
+  {_r6('case when sd > 0 then r * 252 / (sd * sqrt(252)) else 0 end')} as sharpe_ratio, {_r6('case when down > 0 then r * 252 / (down * sqrt(252)) else 0 end')} as sortino_ratio, {_r6('dd * 1e6')} as max_drawdown, {_r6('dd')} as max_drawdown_pct,
+  {_r6('wins / n')} as win_rate, {_r6("case when lost > 0 then won / lost else 'infinity'::double end")} as profit_factor, n as total_trades, wins as winning_trades, losses as losing_trades,
+  {_r6('case when wins > 0 then won / wins else 0 end')} as avg_win, {_r6('case when losses > 0 then lost / losses else 0 end')} as avg_loss, {_r6('hours')} as avg_trade_duration_hours, best as best_trade, worst as worst_trade from g"""
 
 
-PERF_SQL = f"""with l as (select l_suppkey, ((l_extendedprice - 30000) / 10)::decimal(20,4) as pnl, (l_tax * 1000)::decimal(20,4) as cost, ((l_extendedprice - 30000) / 10 - l_tax * 1000)::decimal(20,4) as net from lineitem)
-select l_suppkey, count(*) as n, sum(pnl)::double as gross, sum(net)::double as net, sum(cost)::double as fees, {_r6('avg((net > 0)::int::double)')} as win_rate,
-  {_r6('least(coalesce((sum(net) filter (net > 0))::double / (sum(-net) filter (net < 0))::double, 999), 999)')} as profit_factor, {_r6('avg(net::double)')} as expectancy from l group by l_suppkey"""
+def r_distribution(spark, sf):
+    return T.r_distribution(S.trades(spark, sf), "r", ["code"])
+
+
+RDIST_SQL = f"""with {TRADES} select code, count(r) as n, {_r6('avg(r)')} as expectancy, {_r6('avg((r >= 3)::int::double)')} as tail3, {_r6('avg(r) filter (r > 0) / -avg(r) filter (r < 0)')} as payoff from trades group by code"""
 
 
 def selection_pool(spark, sf):
@@ -165,12 +179,23 @@ def block_bootstrap(spark, sf):
     return R.block_bootstrap(monthly, "x", "month", block=4, replicates=200, seed=11)
 
 
-_H = "xor(v3, v3 >> 16)"
+def _h32(x: str) -> str:
+    a = f"xor(({x})::bigint & 4294967295, (({x})::bigint & 4294967295) >> 16)"
+    b = f"({a} * 2146121005) & 4294967295"
+    c = f"(xor({b}, ({b}) >> 15) * 1540483477) & 4294967295"
+    return f"xor({c}, ({c}) >> 16)"
+
+
+def _drawn(seed: int, row: str, k: str, n: str, source: str, keep: str) -> str:
+    """Steps of the hash one at a time: keep, at = a number 0..n-1."""
+    from quantweft.operators.resampling import seeded
+
+    return f"""(select {keep}, (({_h32('z')}) * ({n})) >> 32 as spot from (select *, xor({_h32('y')}, {_h32(f'{k} * 3 + 1')}) as z from (select *, xor({seeded(seed)}::bigint, {_h32(f'{row} + 668265263')}) as y from {source})))"""
+
+
 BOOT_SQL = f"""with {TRADES}, m as (select date_trunc('month', entry_date)::date as month, avg(r) as x from trades group by 1), s as (select x, row_number() over (order by month) - 1 as i, count(*) over () as n from m), nn as (select max(n) as n from s),
-dr as (select rep, blk, n, (11::hugeint * 1000003 + rep * 4099 + blk) & 4294967295 as v from range(0, 200) a(rep), nn, lateral (select unnest(range(0, ceil(n / 4.0)::bigint)) as blk)),
-h1 as (select rep, blk, n, (xor(v, v >> 16) * 2146121005) & 4294967295 as v1 from dr), h2 as (select rep, blk, n, (xor(v1, v1 >> 15) * 2221713035) & 4294967295 as v3 from h1),
-st as (select rep, blk, n, ({_H} % (n - 3))::bigint as start from h2), ix as (select rep, n, blk * 4 + o as pos, start + o as i from st, range(0, 4) r(o)),
-b as (select rep, avg(s.x) as mean from ix join s on s.i = ix.i where pos < ix.n group by rep)
+dr as (select rep, blk, n from range(0, 200) a(rep), nn, lateral (select unnest(range(0, ceil(n / 4.0)::bigint)) as blk)), st as {_drawn(11, 'rep', 'blk', 'n - 3', 'dr', 'rep, blk, n')},
+ix as (select rep, n, blk * 4 + o as pos, spot + o as i from st, range(0, 4) r(o)), b as (select rep, avg(s.x) * 12 as mean from ix join s on s.i = ix.i where pos < ix.n group by rep)
 select count(*) as replicates, {_r6('avg(mean)')} as mean, {_r6('quantile_cont(mean, 0.05)')} as lower, {_r6('quantile_cont(mean, 0.95)')} as upper from b"""
 
 
@@ -180,13 +205,34 @@ def matched_control(spark, sf):
 
 
 MATCH_SQL = f"""with {TRADES}, tr as (select * from trades where code < 5), po as (select *, row_number() over (partition by stratum order by trade_id) - 1 as rn, count(*) over (partition by stratum) as n from trades where code >= 5),
-c as (select stratum, max(n) as n from po group by stratum),
-dr as (select tr.trade_id, tr.stratum, tr.r, k, c.n, (5::hugeint * 1000003 + tr.trade_id::hugeint * 4099 + k) & 4294967295 as v from tr join c using (stratum), range(0, 3) x(k)),
-h1 as (select *, (xor(v, v >> 16) * 2146121005) & 4294967295 as v1 from dr), h2 as (select *, (xor(v1, v1 >> 15) * 2221713035) & 4294967295 as v3 from h1),
-m as (select h2.stratum, h2.trade_id, h2.r, avg(po.r) as control from h2 join po on po.stratum = h2.stratum and po.rn = {_H} % h2.n group by 1, 2, 3)
+c as (select stratum, max(n) as n from po group by stratum), dr as (select tr.trade_id, tr.stratum, tr.r, k, c.n from tr join c using (stratum), range(0, 3) x(k)),
+st as {_drawn(5, 'trade_id', 'k', 'n', 'dr', 'trade_id, stratum, r, n')}, m as (select st.stratum, st.trade_id, st.r, avg(po.r) as control from st join po on po.stratum = st.stratum and po.rn = st.spot group by 1, 2, 3)
 select stratum, count(*) as n, {_r6('avg(r)')} as trade_mean, {_r6('avg(control)')} as control_mean, {_r6('avg(r - control)')} as alpha from m group by stratum"""
 
 
+def _rounded(df):
+    return df.select(*[r6(c).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+
+
+def matched_alpha(spark, sf):
+    t = S.trades(spark, sf)
+    return _rounded(R.matched_alpha(t.filter("code < 5"), t.filter("code >= 5"), "trade_id", ["stratum"], "r", "entry_date", 3, 5))
+
+
+def cluster_bootstrap(spark, sf):
+    return _rounded(R.cluster_bootstrap(S.trades(spark, sf), F.col("r"), F.date_trunc("month", "entry_date").cast("date"), seed=3))
+
+
+def cluster_difference_bootstrap(spark, sf):
+    t = S.trades(spark, sf)
+    return _rounded(R.cluster_bootstrap_difference(t.filter("code < 25"), t.filter("code >= 25"), F.date_trunc("month", "entry_date").cast("date"), "r", seed=3))
+
+
+def paired_bootstrap(spark, sf):
+    daily = S.trades(spark, sf).groupBy("entry_date").agg((F.avg(F.when(F.col("code") < 25, F.col("r"))) / 100).alias("a"), (F.avg(F.when(F.col("code") >= 25, F.col("r"))) / 100).alias("b"))
+    return _rounded(R.paired_bootstrap(daily, "entry_date", "a", "b", seed=3))
+
+
 def cluster_sums(spark, sf):
     t = S.trades(spark, sf)
     return R.cluster_difference(t.filter("code < 25"), t.filter("code >= 25"), F.date_trunc("month", "entry_date").cast("date"), "r")
@@ -223,6 +269,11 @@ QUERIES = {
     "block_bootstrap_h32": (block_bootstrap, BOOT_SQL),
     "matched_control_hash": (matched_control, MATCH_SQL),
     "cluster_sums": (cluster_sums, CLUSTER_SQL, "cluster"),
+    "r_distribution": (r_distribution, RDIST_SQL, "code"),
+    "matched_alpha": (matched_alpha, None),
+    "cluster_bootstrap": (cluster_bootstrap, None),
+    "cluster_difference_bootstrap": (cluster_difference_bootstrap, None),
+    "paired_bootstrap": (paired_bootstrap, None),
     "iid_bootstrap": (iid_bootstrap, None),
     "rolling_ic": (rolling_ic, None, "date"),
 }
