@@ -148,39 +148,70 @@ def rolling_beta(rows: DataFrame, window: int, half_life: float, least: int) ->
     return rows.groupBy("code").applyInPandas(fit, f"code {rows.schema['code'].dataType.simpleString()}, t long, beta double, resid_sd double")
 
 
-def optimize(alpha: np.ndarray, x: np.ndarray, f: np.ndarray, d: np.ndarray, w_prev: np.ndarray, risk_aversion: float, linear: float, cap: float, budget: float = 1.0, steps: int = 2000) -> tuple[np.ndarray, str]:
-    """Long-only weights that maximise alpha'w - risk/2 w'(X F X' + D)w - linear |w - w_prev| with sum w = budget and 0 <= w <= cap.
+def optimize(alpha: np.ndarray, x: np.ndarray, f: np.ndarray, d: np.ndarray, w_prev: np.ndarray, risk_aversion: float, linear: float, cap: float, budget: float = 1.0, steps: int = 2000, impact: float = 0.0) -> tuple[np.ndarray, str]:
+    """Long-only weights that maximise alpha'w - risk/2 w'(X F X' + D)w - linear |w - w_prev| - impact |w - w_prev|^(3/2)
+    with sum w = budget and 0 <= w <= cap.
 
-    Accelerated proximal gradient; the factor form keeps a step at N K.  Returns (weights, status); an infeasible problem gives w_prev.
+    Accelerated proximal gradient with restarts; the factor form keeps a step at N K, costs, bounds and budget are in the proximal
+    step (`settle`).  Returns (weights, status); an infeasible problem gives w_prev.
     """
     n = len(alpha)
     if cap * n < budget - 1e-12:
         return w_prev.copy(), "infeasible"
     step = 1.0 / (risk_aversion * (np.linalg.norm(x @ np.linalg.cholesky(f + 1e-12 * np.eye(len(f))), 2) ** 2 + d.max()) + 1e-12)
-    w = y = project(w_prev, cap, budget)
+    w = y = settle(w_prev, w_prev, 0.0, 0.0, cap, budget)
     momentum = 1.0
     for _ in range(steps):
         grad = alpha - risk_aversion * (x @ (f @ (x.T @ y)) + d * y)
-        moved = y + step * grad - w_prev
-        new = project(w_prev + np.sign(moved) * np.maximum(np.abs(moved) - step * linear, 0), cap, budget)
+        new = settle(y + step * grad, w_prev, step * linear, step * impact, cap, budget)
+        if (y - new) @ (new - w) > 0:
+            momentum = 1.0  # the momentum points uphill
         nxt = (1 + np.sqrt(1 + 4 * momentum**2)) / 2
         y = new + (momentum - 1) / nxt * (new - w)
-        if np.abs(new - w).max() < 1e-12:
+        if np.abs(new - w).max() < 1e-10:
             return new, "optimal"
         w, momentum = new, nxt
     return w, "inaccurate"
 
 
 def project(v: np.ndarray, cap: float, budget: float) -> np.ndarray:
-    """Nearest point with 0 <= w <= cap and sum w = budget, by bisection on the shift."""
-    lo, hi = v.min() - cap - 1, v.max() + 1
-    for _ in range(100):
-        mid = (lo + hi) / 2
-        if np.clip(v - mid, 0, cap).sum() > budget:
-            lo = mid
+    """Nearest point with 0 <= w <= cap and sum w = budget."""
+    return settle(v, v, 0.0, 0.0, cap, budget)
+
+
+def settle(v: np.ndarray, w_prev: np.ndarray, linear: float, impact: float, cap: float, budget: float) -> np.ndarray:
+    """argmin |w - v|^2 / 2 + linear |w - w_prev| + impact |w - w_prev|^(3/2) with 0 <= w <= cap and sum w = budget.
+
+    For a multiplier of the budget each weight has a closed form; their sum falls with it, so a bracketed secant search
+    finds the multiplier, and what is left of the budget goes to weights inside their bounds.
+    """
+
+    def at(shift: float) -> np.ndarray:
+        u = v - shift - w_prev
+        c = np.maximum(np.abs(u) - linear, 0)
+        if impact:
+            b = 0.75 * impact
+            c = (np.sqrt(b * b + c) - b) ** 2
+        return np.clip(w_prev + np.sign(u) * c, 0, cap)
+
+    lo, hi = float(v.min()) - cap - linear - 1.5 * impact * cap**0.5 - 1, float(v.max()) + linear + 1.5 * impact * max(1.0, float(np.abs(w_prev).max())) ** 0.5 + 1
+    f_lo, f_hi = float(at(lo).sum()) - budget, float(at(hi).sum()) - budget
+    w = at(lo)
+    for turn in range(200):
+        # every third step halves the bracket
+        mid = (lo + hi) / 2 if turn % 3 == 2 or f_lo == f_hi else lo + (hi - lo) * f_lo / (f_lo - f_hi)
+        w = at(mid)
+        f = float(w.sum()) - budget
+        if abs(f) < 1e-13 or hi - lo < 1e-16:
+            break
+        if f > 0:
+            lo, f_lo = mid, f
         else:
-            hi = mid
-    return np.clip(v - (lo + hi) / 2, 0, cap)
+            hi, f_hi = mid, f
+    inside = (w > 0) & (w < cap)
+    if inside.any():
+        w[inside] += (budget - w.sum()) / inside.sum()
+    return np.clip(w, 0, cap)
 
 
 def optimize_dates(rows: DataFrame, factors: list[str], factor_cov: np.ndarray, risk_aversion: float, linear: float, cap: float) -> DataFrame:

@@ -37,15 +37,15 @@ TICK_ROUND_SQL = f"""select p_partkey, price::double as price, floor((price + 0.
 
 def tick_shift(spark, sf):
     base = M.round_to_tick("price").cast("long")
-    p = _prices(spark, sf).select("p_partkey", base.alias("price")).filter("price between 1900 and 30000")
+    p = _prices(spark, sf).select("p_partkey", base.alias("price")).filter("price > 0")
     return p.select("p_partkey", "price", *[M.shift_ticks("price", n).alias(f"by_{'m' if n < 0 else 'p'}{abs(n)}") for n in (-3, -1, 1, 4)])
 
 
-TICK_SHIFT_SQL = f"""with grid as (select x::bigint as price, row_number() over (order by x) as i from range(1, 60000) r(x) where x % ({SQL_TICK.format(p='x')}) = 0),
+TICK_SHIFT_SQL = f"""with grid as (select x::bigint as price, row_number() over (order by x) as i from range(1, 1000000) r(x) where x % ({SQL_TICK.format(p='x')}) = 0),
 p as (select p_partkey, (floor(price / ({SQL_TICK.format(p='price')})) * ({SQL_TICK.format(p='price')}))::bigint as price from {SQL_PRICES})
 select p.p_partkey, p.price, a.price as by_m3, b.price as by_m1, c.price as by_p1, d.price as by_p4
 from p join grid g on g.price = p.price left join grid a on a.i = g.i - 3 left join grid b on b.i = g.i - 1 left join grid c on c.i = g.i + 1 left join grid d on d.i = g.i + 4
-where p.price between 1900 and 30000"""
+where p.price > 0"""
 
 
 def limit_prices(spark, sf):

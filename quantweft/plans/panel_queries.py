@@ -26,7 +26,7 @@ panel as (select *, ln(lag(close, 1) over w) - ln(lag(close, 13) over w) as sign
 
 
 def bars_rollup(spark, sf):
-    return S.bars(spark, sf).filter("code % 7 <> 3")
+    return S.bars(spark, sf)
 
 
 def fingerprint(spark, sf):
@@ -287,7 +287,7 @@ ms as (select bucket, count(*) as n_months, floor(avg((m < 0)::int::double) * 1e
 select bucket, n, mean, median, n_days, n_months, neg_month_share from (select bucket, count(*) as n, floor(avg(v) * 1e6 + 0.5) / 1e6 as mean, floor(median(v) * 1e6 + 0.5) / 1e6 as median from io group by bucket) join d using (bucket) join ms using (bucket)"""
 
 QUERIES = {
-    "bars_rollup": (bars_rollup, f"with {BARS} select * from bars where code % 7 <> 3", "date"),
+    "bars_rollup": (bars_rollup, f"with {BARS} select * from bars", "date"),
     "fingerprint_by_year": (fingerprint, FINGERPRINT_SQL),
     "panel_dense": (panel_dense, f"with {PANEL_SQL} select code, date, t, close, trade_value from panel", "date"),
     "adv_windows": (adv_windows, ADV_SQL, "date"),

@@ -22,12 +22,12 @@ def _r6(x: str) -> str:
 
 
 def ttm_asof(spark, sf):
-    o = S.table(spark, sf, "orders").filter("o_orderkey % 7 <> 0")
+    o = S.table(spark, sf, "orders")
     e = o.groupBy((F.col("o_custkey") % 60).alias("code"), F.year("o_orderdate").alias("year"), F.quarter("o_orderdate").alias("q")).agg(F.sum("o_totalprice").alias("netinc"))
     return Q.trailing_year(e.withColumn("netinc_prior", F.col("netinc") * 0.75)).select("code", "year", "q", r6("ttm").alias("ttm"))
 
 
-TTM_SQL = f"""with e as (select o_custkey % 60 as code, year(o_orderdate)::int as year, quarter(o_orderdate)::int as q, sum(o_totalprice) as netinc from orders where o_orderkey % 7 <> 0 group by 1, 2, 3),
+TTM_SQL = f"""with e as (select o_custkey % 60 as code, year(o_orderdate)::int as year, quarter(o_orderdate)::int as q, sum(o_totalprice) as netinc from orders group by 1, 2, 3),
 g as (select a.code, a.year, a.q, a.netinc, sum(b.netinc - b.netinc * 0.75) as gain, count(*) as n from e a join e b on a.code = b.code and a.year = b.year and b.q <= a.q group by 1, 2, 3, 4)
 select g.code, g.year, g.q, {_r6('case when g.q = 4 then g.netinc when g.n = g.q then p.netinc + g.gain else p.netinc end')} as ttm from g left join e p on p.code = g.code and p.year = g.year - 1 and p.q = 4"""
 
@@ -97,11 +97,11 @@ select l_suppkey, day, case when total >= 40000.0 - 1e-9 then {_r6('40000.0 / sh
 def style_panels(spark, sf):
     p = P.panel(spark, sf)
     cap = F.avg("trade_value").over(W.partitionBy("code").orderBy("t").rowsBetween(-51, 0)) * 40
-    return Q.style_panels(p.withColumn("cap", cap), F.col("cap")).filter("t % 7 = 0").select("code", "date", r6("size").alias("size"), r6("momentum").alias("momentum"), r6("liquidity").alias("liquidity"))
+    return Q.style_panels(p.withColumn("cap", cap), F.col("cap")).select("code", "date", r6("size").alias("size"), r6("momentum").alias("momentum"), r6("liquidity").alias("liquidity"))
 
 
 STYLE_SQL = f"""with {P.PANEL_SQL}, c as (select *, avg(trade_value) over (partition by code order by t rows 51 preceding) * 40 as cap, avg(trade_value) over (partition by code order by t rows 11 preceding) as m, count(trade_value) over (partition by code order by t rows 11 preceding) as k from panel)
-select code, date, {_r6('case when cap > 0 then ln(cap) end')} as size, {_r6('signal')} as momentum, {_r6('case when k >= 6 and cap > 0 then ln(m / cap) end')} as liquidity from c where t % 7 = 0"""
+select code, date, {_r6('case when cap > 0 then ln(cap) end')} as size, {_r6('signal')} as momentum, {_r6('case when k >= 6 and cap > 0 then ln(m / cap) end')} as liquidity from c"""
 
 
 def risk_decomposition(spark, sf):
@@ -122,20 +122,21 @@ def paired_bootstrap(spark, sf):
     t = S.trades(spark, sf)
     day = lambda rows, c: rows.groupBy("entry_date").agg(F.avg("r").alias(c))
     d = day(t.filter("code < 25"), "a").join(day(t.filter("code >= 25"), "b"), "entry_date").select("entry_date", (F.col("a") - F.col("b")).alias("x"))
-    return R.block_bootstrap(d, "x", "entry_date", block=1, replicates=100, seed=3)
+    return R.block_bootstrap(d, "x", "entry_date", block=1, replicates=100, seed=3, per_year=1)
 
 
-PAIRED_SQL = ST.BOOT_SQL.replace("m as (select date_trunc('month', entry_date)::date as month, avg(r) as x from trades group by 1)", "m as (select entry_date as month, avg(r) filter (code < 25) - avg(r) filter (code >= 25) as x from trades group by 1 having count(*) filter (code < 25) > 0 and count(*) filter (code >= 25) > 0)")
-PAIRED_SQL = PAIRED_SQL.replace("range(0, 200)", "range(0, 100)").replace("11::hugeint", "3::hugeint").replace("n / 4.0", "n / 1.0").replace("(n - 3)", "n").replace("blk * 4 + o", "blk + o").replace("range(0, 4) r(o)", "range(0, 1) r(o)")
+PAIRED_SQL = ST.boot_sql(
+    "select entry_date as month, avg(r) filter (code < 25) - avg(r) filter (code >= 25) as x from trades group by 1 having count(*) filter (code < 25) > 0 and count(*) filter (code >= 25) > 0", 1, 100, 3, 1
+)
 
 
 def versions(spark, sf):
-    o = S.table(spark, sf, "orders").filter("o_orderkey < 400").select("o_orderkey", F.expr("concat('v', o_orderkey % 5, '.', o_orderkey % 13, case when o_orderkey % 2 = 0 then 'rc1' else '' end)").alias("v"))
+    o = S.table(spark, sf, "orders").select("o_orderkey", F.expr("concat('v', o_orderkey % 5, '.', o_orderkey % 13, case when o_orderkey % 2 = 0 then 'rc1' else '' end)").alias("v"))
     parts = M.version_parts("v")
     return o.select("o_orderkey", parts[0].alias("major"), parts[1].alias("minor"), F.size(parts).alias("n"))
 
 
-VERSION_SQL = "select o_orderkey, (o_orderkey % 5)::int as major, (o_orderkey % 13)::int as minor, 2::int as n from orders where o_orderkey < 400"
+VERSION_SQL = "select o_orderkey, (o_orderkey % 5)::int as major, (o_orderkey % 13)::int as minor, 2::int as n from orders"
 
 
 def walk_forward(spark, sf):

@@ -23,13 +23,13 @@ def _r6(x: str) -> str:
 
 def standardize(spark, sf):
     p = P.panel(spark, sf).withColumn("cap", F.col("trade_value")).filter("trade_value is not null")
-    return R.standardize(p, "signal", "cap", "z", 1.5).filter("t % 10 = 0 and z is not null").select("code", "date", r6("z").alias("z"))
+    return R.standardize(p, "signal", "cap", "z", 1.5).filter("z is not null").select("code", "date", r6("z").alias("z"))
 
 
 STD_SQL = f"""with {PANEL}, a as (select *, median(signal) over (partition by date) as med, count(signal) over (partition by date) as n from panel where trade_value is not null),
 b as (select *, median(abs(signal - med)) over (partition by date) * (1.4826 * 1.5)::double as mad from a), c as (select *, case when mad > 0 then greatest(least(signal, med + mad), med - mad) else signal end as zz from b),
 d as (select *, sum(trade_value * zz) over (partition by date) / sum(case when zz is not null then trade_value end) over (partition by date) as mean, stddev_pop(zz) over (partition by date) as sd from (select * replace (case when signal is not null then zz end as zz) from c))
-select code, date, {_r6('case when sd > 0 then (zz - mean) / sd else 0 end')} as z from d where t % 10 = 0 and n >= 2 and zz is not null"""
+select code, date, {_r6('case when sd > 0 then (zz - mean) / sd else 0 end')} as z from d where n >= 2 and zz is not null"""
 
 
 def industry_dummies(spark, sf):

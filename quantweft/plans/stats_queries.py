@@ -193,12 +193,17 @@ def _drawn(seed: int, row: str, k: str, n: str, source: str, keep: str) -> str:
     return f"""(select {keep}, (({_h32('z')}) * ({n})) >> 32 as spot from (select *, xor({_h32('y')}, {_h32(f'{k} * 3 + 1')}) as z from (select *, xor({seeded(seed)}::bigint, {_h32(f'{row} + 668265263')}) as y from {source})))"""
 
 
-BOOT_SQL = f"""with {TRADES}, m as (select date_trunc('month', entry_date)::date as month, avg(r) as x from trades group by 1), s as (select x, row_number() over (order by month) - 1 as i, count(*) over () as n from m), nn as (select max(n) as n from s),
-dr as (select rep, blk, n from range(0, 200) a(rep), nn, lateral (select unnest(range(0, ceil(n / 4.0)::bigint)) as blk)), st as {_drawn(11, 'rep', 'blk', 'n - 3', 'dr', 'rep, blk, n')},
-ix as (select rep, n, blk * 4 + o as pos, spot + o as i from st, range(0, 4) r(o)), b as (select rep, avg(s.x) * 12 as mean from ix join s on s.i = ix.i where pos < ix.n group by rep)
+def boot_sql(series: str, block: int, replicates: int, seed: int, per_year: int) -> str:
+    """series: rows (month, x)."""
+    return f"""with {TRADES}, m as ({series}), s as (select x, row_number() over (order by month) - 1 as i, count(*) over () as n from m), nn as (select max(n) as n from s),
+dr as (select rep, blk, n from range(0, {replicates}) a(rep), nn, lateral (select unnest(range(0, ceil(n / {block}.0)::bigint)) as blk)), st as {_drawn(seed, 'rep', 'blk', f'n - {block - 1}', 'dr', 'rep, blk, n')},
+ix as (select rep, n, blk * {block} + o as pos, spot + o as i from st, range(0, {block}) r(o)), b as (select rep, avg(s.x) * {per_year} as mean from ix join s on s.i = ix.i where pos < ix.n group by rep)
 select count(*) as replicates, {_r6('avg(mean)')} as mean, {_r6('quantile_cont(mean, 0.05)')} as lower, {_r6('quantile_cont(mean, 0.95)')} as upper from b"""
 
 
+BOOT_SQL = boot_sql("select date_trunc('month', entry_date)::date as month, avg(r) as x from trades group by 1", 4, 200, 11, 12)
+
+
 def matched_control(spark, sf):
     t = S.trades(spark, sf)
     return R.matched_control(t.filter("code < 5"), t.filter("code >= 5"), "trade_id", ["stratum"], "r", per=3, seed=5)

@@ -7,72 +7,104 @@ emitted too, so streaming and batch windows see the same gap-free grid.
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 OUT = "code int, day date, sec int, buy double, sell double, cnt long, last double, buy_10 double, sell_10 double, cnt_60 long"
-STATE = "state string"
 WIDE = 60
+#: The open second, the last price up to it, and the flows of the WIDE seconds up to it.
+STATE = "sec long, last double, buy array<double>, sell array<double>, cnt array<long>"
 
 
 class SecondState:
-    """The ring of trailing seconds of one key."""
-
-    def __init__(self, text: str | None = None):
-        d = json.loads(text) if text else {"open": None, "ring": [], "last": None}
-        self.open, self.ring, self.last = d["open"], d["ring"], d["last"]
-
-    def dump(self) -> str:
-        return json.dumps({"open": self.open, "ring": self.ring, "last": self.last})
-
-    def close_until(self, sec: int) -> Iterator[tuple]:
-        """Closes all seconds before sec, empty ones as well."""
-        while self.open is not None and self.open["sec"] < sec:
-            o = self.open
-            self.ring = [*self.ring, [o["buy"], o["sell"], o["cnt"]]][-WIDE:]
-            if o["last"] is not None:
-                self.last = o["last"]
-            ten = self.ring[-10:]
-            yield o["sec"], o["buy"], o["sell"], o["cnt"], self.last, sum(r[0] for r in ten), sum(r[1] for r in ten), sum(r[2] for r in self.ring)
-            self.open = {"sec": o["sec"] + 1, "buy": 0.0, "sell": 0.0, "cnt": 0, "last": None}
-
-    def add(self, sec: int, price: float, side: int) -> Iterator[tuple]:
-        if self.open is None:
-            self.open = {"sec": sec, "buy": 0.0, "sell": 0.0, "cnt": 0, "last": None}
-        yield from self.close_until(sec)
-        if sec < self.open["sec"]:
-            return  # later than what is closed: the watermark has let it go
-        self.open["buy"] += price if side > 0 else 0.0
-        self.open["sell"] += price if side < 0 else 0.0
-        self.open["cnt"] += 1
-        self.open["last"] = price
-
-
-def second_features(ticks: DataFrame, delay: str = "2 seconds") -> DataFrame:
-    """ticks (code, ts, seq, price, side) as a stream -> closed seconds with trailing sums."""
+    """The ring of trailing seconds of one key; its last place is the open second."""
+
+    def __init__(self, kept: tuple | None = None):
+        self.sec, self.last = (int(kept[0]), kept[1]) if kept else (None, None)
+        flows = kept[2:] if kept else [np.zeros(WIDE), np.zeros(WIDE), np.zeros(WIDE, np.int64)]
+        self.buy, self.sell, self.cnt = (np.asarray(x) for x in flows)
+
+    def dump(self) -> tuple:
+        return self.sec, self.last, *(x.tolist() for x in (self.buy, self.sell, self.cnt))
+
+    def add(self, sec: np.ndarray, price: np.ndarray, side: np.ndarray) -> pd.DataFrame:
+        """Takes ticks in their order and returns the seconds that they close, empty ones as well.  Ticks of closed seconds are
+        later than the watermark allows and are dropped."""
+        if self.sec is None:
+            self.sec = int(sec.min())
+        fits = sec >= self.sec
+        sec, price, side = sec[fits], price[fits], side[fits]
+        if not len(sec):
+            return self.closed(0, None)
+        n = int(sec.max()) - self.sec
+        more = lambda x: np.concatenate([x, np.zeros(n, x.dtype)])
+        self.buy, self.sell, self.cnt = more(self.buy), more(self.sell), more(self.cnt)
+        at = sec - self.sec + WIDE - 1
+        np.add.at(self.buy, at, np.where(side > 0, price, 0.0))
+        np.add.at(self.sell, at, np.where(side < 0, price, 0.0))
+        np.add.at(self.cnt, at, 1)
+        last = np.full(n + 1, np.nan)
+        last[0] = np.nan if self.last is None else self.last
+        last[at - (WIDE - 1)] = price
+        filled = pd.Series(last).ffill().to_numpy()
+        return self.closed(n, filled)
+
+    def closed(self, n: int, last: np.ndarray | None) -> pd.DataFrame:
+        """The first n seconds from the open one on, which then is n later."""
+        if last is None:
+            last = np.array([np.nan if self.last is None else self.last])
+        head = slice(WIDE - 1, WIDE - 1 + n)
+
+        def trailing(x: np.ndarray, k: int) -> np.ndarray:
+            c = np.concatenate([np.zeros(1, x.dtype), np.cumsum(x)])
+            return c[WIDE : WIDE + n] - c[WIDE - k : WIDE - k + n]
+
+        out = pd.DataFrame({
+            "sec": np.arange(self.sec, self.sec + n), "buy": self.buy[head], "sell": self.sell[head], "cnt": self.cnt[head], "last": last[:n],
+            "buy_10": trailing(self.buy, 10), "sell_10": trailing(self.sell, 10), "cnt_60": trailing(self.cnt, WIDE),
+        })
+        self.buy, self.sell, self.cnt = self.buy[-WIDE:], self.sell[-WIDE:], self.cnt[-WIDE:]
+        self.sec += n
+        self.last = None if np.isnan(last[-1]) else float(last[-1])
+        return out
+
+    def close(self) -> pd.DataFrame:
+        """The open second, at the end of the key."""
+        self.buy, self.sell, self.cnt = (np.append(x, x.dtype.type(0)) for x in (self.buy, self.sell, self.cnt))
+        now = np.nan if self.last is None else self.last
+        return self.closed(1, np.array([now, now]))
+
+
+def second_features(ticks: DataFrame, delay: str = "2 seconds", empty: bool = True) -> DataFrame:
+    """ticks (code, ts, seq, price, side) as a stream -> closed seconds with trailing sums.  A row without a code only moves time on.
+
+    empty: seconds without ticks give rows too; their places in the trailing sums count either way.
+    """
 
     def update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        s = SecondState(state.get[0] if state.exists else None)
         code, day = key
-        rows: list[tuple] = []
-        if state.hasTimedOut:
-            if s.open is not None:
-                rows.extend(s.close_until(s.open["sec"] + 1))
+        s = SecondState(state.get if state.exists else None)
+        out = None
+        if pd.isna(code):
+            pass  # a mark of time alone
+        elif state.hasTimedOut:
+            out = s.close()
             state.remove()
         else:
-            ticks_ = pd.concat(list(frames)).sort_values(["ts", "seq"])
-            start = pd.Timestamp(day)
-            for t in ticks_.itertuples():
-                rows.extend(s.add(int((t.ts - start).total_seconds()), float(t.price), int(t.side)))
-            state.update((s.dump(),))
+            rows = pd.concat(list(frames)).sort_values(["ts", "seq"])
+            sec = ((rows["ts"] - pd.Timestamp(day)).dt.total_seconds() // 1).to_numpy(np.int64)
+            out = s.add(sec, rows["price"].to_numpy(float), rows["side"].to_numpy())
+            state.update(s.dump())
             mark = state.getCurrentWatermarkMs()
-            state.setTimeoutTimestamp(max(mark + 1, int(pd.Timestamp(ticks_["ts"].max()).timestamp() * 1000) + 1000))
-        yield pd.DataFrame([(code, day, *r) for r in rows], columns=["code", "day", "sec", "buy", "sell", "cnt", "last", "buy_10", "sell_10", "cnt_60"])
+            state.setTimeoutTimestamp(max(mark + 1, int(rows["ts"].max().timestamp() * 1000) + 1000))
+        if out is not None and len(out):
+            out = out if empty else out[out["cnt"] > 0]
+            yield out.assign(code=code, day=day)[[c.split()[0] for c in OUT.split(", ")]]
 
     keyed = ticks.withWatermark("ts", delay).withColumn("day", F.col("ts").cast("date"))
     return keyed.groupBy("code", "day").applyInPandasWithState(update, OUT, STATE, "append", GroupStateTimeout.EventTimeTimeout)
