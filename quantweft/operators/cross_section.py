@@ -133,3 +133,26 @@ def quantile_summary(rows: DataFrame, quantiles: int) -> DataFrame:
     ranked = X.global_row_number(known, [F.desc("signal"), F.col("code"), F.col("date")], "_rank").crossJoin(F.broadcast(total))  # one row
     bucket = F.greatest(F.lit(1), F.ceil((F.col("_rank") - 1) * F.lit(quantiles) / F.greatest(F.col("_n") - 1, F.lit(1))))
     return ranked.groupBy(bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n"), r6(F.avg("ret")).alias("mean"), r6(F.avg((F.col("ret") > 0).cast("double"))).alias("hit"))
+
+
+def cap_tier(panel: DataFrame, cap: str, lo: int, hi: int, ok: Column) -> DataFrame:
+    """Adds in_tier: whether an eligible row (ok) with a known capitalisation is among places lo .. hi-1 of its date, largest first
+    (ties by code)."""
+    has = ok & F.col(cap).isNotNull()
+    place = F.row_number().over(W.partitionBy("date", has).orderBy(F.desc(cap), "code")) - 1
+    return panel.withColumn("in_tier", F.coalesce(has & (place >= lo) & (place < hi), F.lit(False)))
+
+
+def capitalisation(panel: DataFrame, shares: str, prices: list[str]) -> Column:
+    """Shares times the first known price of the day, else the last known first price of the days before."""
+    today = F.coalesce(*prices)
+    return F.col(shares) * F.coalesce(today, F.last(today, ignorenulls=True).over(_by_code().rowsBetween(X.UP, -1)))
+
+
+def earnings_known(earnings: DataFrame, filings: DataFrame, cutoff: str) -> DataFrame:
+    """(code, period, known, netinc, netinc_prior): the later of the available date and the first periodic filing, up to the cutoff.
+    NaN incomes are unknown; without a filing the available date holds."""
+    first = filings.filter("kind = 'periodic'").groupBy("code", "period").agg(F.min("rcept_dt").alias("filed"))
+    rows = earnings.join(first, ["code", "period"], "left").withColumn("known", F.greatest("avail_date", "filed")).filter(F.col("known") <= F.lit(cutoff).cast("date"))
+    clean = [F.when(~F.isnan(F.col(c)), F.col(c)).alias(c) for c in ("netinc", "netinc_prior")]
+    return rows.select("code", "period", "known", *clean)

@@ -204,3 +204,17 @@ def queue_fills(orders: DataFrame, path: DataFrame, model: str = "risk_averse")
     path = path.select(*[F.col(c).alias(c) for c in path.columns])  # both sides may come from one table
     kinds = f"code {path.schema['code'].dataType.simpleString()}, day date, order_id long, status int, fill_slot long"
     return orders.groupBy(*KEYS).cogroup(path.groupBy(*KEYS)).applyInPandas(simulate, kinds)
+
+
+def maker_pessimistic(book: DataFrame, within: int, horizon: int, cost: float) -> DataFrame:
+    """Adds maker: buy at the bid of the next slot, filled only when the bid falls below it (`through_fill`), then the best ask of the
+    `horizon` slots after the fill, less cost.  NULL without a fill, a price, or a whole horizon."""
+    g = X.forward_extreme_blocks(book, "ask", KEYS, "slot", 0, horizon, "_best")
+    last = F.max("slot").over(W.partitionBy(*KEYS))
+    g = g.withColumn("_best", F.when(F.col("slot") + (horizon - 1) <= last, F.col("_best")))
+    g = through_fill(g, within)
+    w = by_slot()
+    after = F.coalesce(*[F.when(F.col("fill_slot") == F.col("slot") + k, F.lead("_best", k + 1).over(w)) for k in range(2, within + 2)])
+    bid = F.lead("bid").over(w)
+    g = g.withColumn("_after", after).withColumn("_bid", bid)
+    return g.withColumn("maker", F.when((F.col("_bid") > 0) & (F.col("_after") > 0), F.col("_after") / F.col("_bid") - 1 - cost)).drop("_best", "_bid", "_after")

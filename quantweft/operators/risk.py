@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quantweft.operators.windows import UP
 from quantweft.sources.shapes import r6
 
 
@@ -272,3 +273,22 @@ def build_risk_model(rows: DataFrame, styles: list[str], industry: str, as_of: i
     last = known.filter(F.col("t") == as_of).join(spec, "code").dropna(subset=[*styles, industry, "var"]).select("code", *styles, industry, "var").toPandas().sort_values("code")
     x = np.stack([np.ones(len(last)) if n == "market" else (last[industry] == n[4:]).to_numpy(float) if n.startswith("ind_") else last[n].to_numpy(float) for n in names], axis=1)
     return RiskModel(last["code"].tolist(), names, x, np.array([[cov[a, b] for b in names] for a in names]), last["var"].to_numpy(float))
+
+
+def specific_variance_history(residuals: DataFrame, half_life: float, shrink: float, groups: int) -> DataFrame:
+    """(code, t, var) of every row: what specific_variance gives with the rows up to t.  residuals: code, t, u, size, a row for every code
+    and t.
+
+    The weighted mean is a ratio of running sums of decay**-t, so the span in half-lives is bounded: 1,000 of them fit a double.
+    """
+    w = W.partitionBy("code").orderBy("t").rowsBetween(UP, 0)
+    grow = F.pow(F.lit(2.0), F.col("t") / half_life)
+    known = F.col("u").isNotNull() & ~F.isnan("u")
+    x = residuals.withColumn("_w", F.when(known, grow)).withColumn("n", F.count("_w").over(w)).withColumn("v", F.sum(F.col("_w") * F.col("u") * F.col("u")).over(w) / F.sum("_w").over(w))
+    x = x.withColumn("_q", F.when((F.col("n") >= half_life) & F.col("v").isNotNull(), F.col("v"))).withColumn("_s", F.when(~F.isnan("size"), F.col("size")))
+    has = F.col("_s").isNotNull()
+    day = W.partitionBy("t", has)
+    g = F.when(has, F.floor((F.row_number().over(day.orderBy("_s", "code")) - 1) * groups / F.count(F.lit(1)).over(day)))
+    x = x.withColumn("_g", g)
+    prior = F.coalesce(F.when(F.col("_g").isNotNull(), F.avg("_q").over(W.partitionBy("t", "_g"))), F.avg("_q").over(W.partitionBy("t")))
+    return x.withColumn("_p", prior).select("code", "t", F.coalesce(F.col("_q") * (1 - shrink) + F.col("_p") * shrink, F.col("_p")).alias("var"))

@@ -116,3 +116,20 @@ def race(candidates: list, offsets: list[int], run: Callable[[list[tuple]], list
                 keep.append(i)
         alive = keep
     return alive
+
+
+def noise_rule(rows: DataFrame, value: str, a: str, b: str, by: str, k: float = 2.0) -> DataFrame:
+    """(mean_a, sd_a, n_a, mean_b, sd_b, n_b, winner): of two candidates the one whose mean is larger by more than k times the larger
+    deviation, else NULL."""
+    stat = lambda x: rows.filter(F.col(by) == x).agg(F.avg(value).alias("m"), F.stddev_samp(value).alias("s"), F.count(value).alias("n"))
+    both = stat(a).toDF("mean_a", "sd_a", "n_a").crossJoin(stat(b).toDF("mean_b", "sd_b", "n_b"))  # a row each
+    d = F.col("mean_a") - F.col("mean_b")
+    known = F.col("sd_a").isNotNull() & F.col("sd_b").isNotNull()
+    return both.withColumn("winner", F.when(known & (F.abs(d) > k * F.greatest("sd_a", "sd_b")), F.when(d > 0, F.lit(a)).otherwise(F.lit(b))))
+
+
+def paired_difference(rows: DataFrame, value: str, a: str, b: str, by: str, key: str) -> DataFrame:
+    """(mean, se, n) of a less b over the keys (seeds) that both have."""
+    side = lambda x, c: rows.filter(F.col(by) == x).select(key, F.col(value).alias(c))
+    d = side(a, "a").join(side(b, "b"), key).select((F.col("a") - F.col("b")).alias("d"))
+    return d.agg(F.avg("d").alias("mean"), (F.stddev_samp("d") / F.sqrt(F.count("d"))).alias("se"), F.count("d").alias("n"))

@@ -74,6 +74,13 @@ def probabilistic_sharpe(sharpe: float, benchmark: float, n: int, skew: float, k
     return NormalDist().cdf((sharpe - benchmark) * math.sqrt(n - 1) / math.sqrt(spread))
 
 
+def t_hurdle(n_trials: int, alpha: float = 0.05) -> dict[str, float]:
+    """The two-sided t hurdle of one test and, by Bonferroni, of the best of n trials, and their ratio."""
+    base = NormalDist().inv_cdf(1 - alpha / 2)
+    adjusted = NormalDist().inv_cdf(1 - alpha / (2 * max(int(n_trials), 1)))
+    return {"alpha": alpha, "base": base, "adjusted": adjusted, "multiple": adjusted / base}
+
+
 def deflated_sharpe(rows: DataFrame, value: str, by: list[str], n_trials: int, trial_sd: float) -> DataFrame:
     """(by, n, sharpe, psr, dsr) of per-period returns; the normal distribution runs in an Arrow function over the few groups."""
     benchmark = expected_max_sharpe(n_trials, trial_sd)
