@@ -82,10 +82,12 @@ class Lexicon:
             for c in t:
                 node = node.setdefault(c, {})
             node["\0"] = self.stems[t]
-        self.starts, self.tails = {t[:2] for t in loose}, {t[-2:] for t in loose}
-        self.reach = max(map(len, loose), default=0) + 1
-        # some part of a term stays whole: an end for one edit, a third for two
-        self.ends = {t[:2] for t in fuzzy} | {t[-2:] for t in fuzzy}
+        #: halves of stems by their lengths: a beginning, or what follows it one place to the left or right at most
+        self.halves = [(n, {t[: n // 2] for t in loose if len(t) == n}, {t[n // 2 :] for t in loose if len(t) == n}) for n in sorted(set(map(len, loose)))]
+        # some part of a term stays whole: a half for one edit, a third for two
+        once = [t for t in fuzzy if edits_allowed(t) == 1]
+        self.fronts, self.backs = {t[: len(t) // 2] for t in once}, {t[len(t) // 2 :] for t in once}
+        self.sides = sorted({len(t) for t in self.fronts}), sorted({len(t) for t in self.backs})
         self.thirds = {t[i : i + 3] for t in fuzzy if len(t) >= 9 for i in range(len(t) - 2)}
         self.sizes = (min(map(len, fuzzy), default=99) - 1, max((len(t) + edits_allowed(t) for t in fuzzy), default=0))
 
@@ -100,12 +102,17 @@ class Lexicon:
         return self.nearest(word) if self.may_be_near(word) else None
 
     def may_be_near(self, word: str) -> bool:
+        """Whether the word has a part that a term within its edits must share."""
         n = len(word)
-        if self.starts and n > 4 and (word[:2] in self.starts or any(word[i : i + 2] in self.tails for i in range(3, min(n - 1, self.reach)))):
-            return True
+        for size, heads, tails in self.halves:
+            h = size // 2
+            if n >= size - 1 and (word[:h] in heads or any(word[h + d : size + d] in tails for d in (-1, 0, 1))):
+                return True
         if not self.sizes[0] <= n <= self.sizes[1]:
             return False
-        return word[:2] in self.ends or word[-2:] in self.ends or (n >= 7 and any(word[i : i + 3] in self.thirds for i in range(n - 2)))
+        if any(word[:k] in self.fronts for k in self.sides[0]) or any(word[-k:] in self.backs for k in self.sides[1]):
+            return True
+        return n >= 7 and bool(self.thirds) and any(word[i : i + 3] in self.thirds for i in range(n - 2))
 
     def nearest(self, word: str) -> tuple[int, int] | None:
         """Walks the word's automaton and the trie together."""
@@ -272,7 +279,8 @@ def fit(docs: DataFrame, labels: DataFrame, modulus: int = 5, remainder: int = 0
 
 def _fit(docs: DataFrame, labels: DataFrame, modulus: int, remainder: int) -> Model:
     sample, _ = samples.labelled(docs, labels, "toxic", modulus, remainder, {1: TOXIC, 0: CLEAN})
-    sample = C.materialize(unlike(sample), "toxic-sample")
+    # a given number of parts: the passes below are more work than their few MB suggest
+    sample = C.materialize(unlike(sample).repartition(2 * docs.sparkSession.sparkContext.defaultParallelism), "toxic-sample")
     counts = candidate_terms(sample)
     if not counts:
         return Model()
