@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quantweft.functions.market import REPLICATE_ADDEND, SEED_ADDEND, SEED_FACTOR, hash32, hash32_of
+from quantweft.functions.market import HASH32_STEPS, REPLICATE_ADDEND, SEED_ADDEND, SEED_FACTOR, hash32, hash32_of
 from quantweft.operators import windows as X
 from quantweft.sources.shapes import r6
 
@@ -25,19 +25,68 @@ def draw(seed: int, row: Column, k: Column, n: Column) -> Column:
     return F.shiftright(u * n, 32)
 
 
-def block_bootstrap(series: DataFrame, value: str, order: str, block: int, replicates: int, seed: int, per_year: int = 12) -> DataFrame:
-    """(replicates, mean, lower, upper) of moving-block bootstrap means, a year's worth; 5 % and 95 % percentiles.
+#: A count of 0, 1, 2 ... is the number of these that a 32-bit hash reaches: the distribution function of Poisson(1), up to what 32 bits tell.
+POISSON = [math.ceil(2**32 * sum(math.exp(-1) / math.factorial(j) for j in range(k + 1))) for k in range(12)]
+_LOW = (1 << 32) - 1
+
+
+def _hashed(df: DataFrame, name: str) -> DataFrame:
+    """hash32 of a column in its place.  One projection a step keeps it in generated code."""
+    for shift, factor in HASH32_STEPS:
+        v = F.col(name)
+        df = df.withColumn(name, (v.bitwiseXOR(F.shiftrightunsigned(v, shift)) * F.lit(factor)).bitwiseAND(F.lit(_LOW)))
+    return df.withColumn(name, F.col(name).bitwiseXOR(F.shiftrightunsigned(F.col(name), 16)))
+
+
+def cluster_key(cluster: Column) -> Column:
+    """A number for a cluster: the first 60 bits of the SHA-256 of its text."""
+    return F.conv(F.substring(F.sha2(cluster.cast("string").cast("binary"), 256), 1, 15), 16, 10).cast("long")
+
+
+def resampled(rows: DataFrame, key: Column, replicates: int, seed: int, keep: list[str]) -> DataFrame:
+    """(keep, rep, times): how often each row is drawn in each replicate, where it is drawn at all.
+
+    A bootstrap without a draw that rows share: the times are Poisson(1) numbers from a hash of (seed, key, replicate), which is what
+    drawing n of n rows with replacement comes to but for the fixed total.  So rows never meet: sums by replicate are taken in the
+    tasks first, and what is shuffled is a row a task, group and replicate.
+    """
+    low = F.lit(_LOW)
+    rows = rows.select(*keep, key.alias("_key"))
+    one = _hashed(rows.withColumn("_u", (F.col("_key").bitwiseAND(low) + F.lit(REPLICATE_ADDEND)).bitwiseAND(low)), "_u")
+    two = _hashed(one.withColumn("_u", F.col("_u").bitwiseXOR(F.lit(seeded(seed))).bitwiseXOR(F.shiftrightunsigned("_key", 32).bitwiseAND(low))), "_u")
+    salts = F.expr(f"array({', '.join(f'{hash32_of(k * 3 + 1)}L' for k in range(replicates))})")
+    each = two.select(*keep, "_u", F.posexplode(salts).alias("rep", "_salt"))
+    drawn = _hashed(each.withColumn("_u", F.col("_u").bitwiseXOR(F.col("_salt"))), "_u").filter(F.col("_u") >= POISSON[0])
+    times = F.lit(0)
+    for limit in POISSON:
+        times = times + (F.col("_u") >= limit).cast("int")
+    return drawn.select(*keep, "rep", times.cast("double").alias("times"))
+
+
+def _ends(stat: str, ci: float) -> list[Column]:
+    """Lower and upper end; the values are one a replicate."""
+    edge = round((1 - ci) / 2, 9)
+    return [F.percentile(stat, F.lit(edge)).alias("lower"), F.percentile(stat, F.lit(round(1 - edge, 9))).alias("upper")]
+
+
+def block_draws(series: DataFrame, values: list[str], order: str, block: int, replicates: int, seed: int) -> DataFrame:
+    """(rep, n, values): moving blocks of a series with as many rows as it has; a row a replicate and place.
 
     The series is numbered once; replicates x blocks are drawn as rows and joined to it on the number.
     """
-    # a number in the order of a column that tells all rows apart: without a window over the whole series
-    s = X.global_row_number(series.select(F.col(value).alias("x"), order), [order], "i").select("x", (F.col("i") - 1).alias("i"))
+    s = X.global_row_number(series.select(*values, order), [F.col(order)], "i").select(*values, (F.col("i") - 1).alias("i"))
     n = s.agg(F.count(F.lit(1)).alias("n"))
-    draws = s.sparkSession.range(replicates).select(F.col("id").alias("rep")).crossJoin(F.broadcast(n))  # one row
+    draws = s.sparkSession.range(replicates).select(F.col("id").alias("rep")).crossJoin(F.broadcast(n)).filter(F.col("n") >= block)  # one row
     draws = draws.select("rep", "n", F.explode(F.sequence(F.lit(0), F.ceil(F.col("n") / block) - 1)).alias("blk"))
     draws = draws.withColumn("start", draw(seed, F.col("rep"), F.col("blk"), F.col("n") - (block - 1)))
     at = draws.select("rep", "n", "blk", "start", F.explode(F.sequence(F.lit(0), F.lit(block - 1))).alias("o")).filter(F.col("blk") * block + F.col("o") < F.col("n"))
-    means = at.withColumn("i", F.col("start") + F.col("o")).join(s, "i").groupBy("rep").agg((F.avg("x") * per_year).alias("m"))
+    return at.withColumn("i", F.col("start") + F.col("o")).join(s, "i").select("rep", "n", *values)
+
+
+def block_bootstrap(series: DataFrame, value: str, order: str, block: int, replicates: int, seed: int, per_year: int = 12) -> DataFrame:
+    """(replicates, mean, lower, upper) of moving-block bootstrap means, a year's worth; 5 % and 95 % percentiles."""
+    drawn = block_draws(series.select(F.col(value).alias("x"), order), ["x"], order, block, replicates, seed)
+    means = drawn.groupBy("rep").agg((F.avg("x") * per_year).alias("m"))
     return means.agg(F.count(F.lit(1)).alias("replicates"), r6(F.avg("m")).alias("mean"), r6(F.percentile("m", F.lit(0.05))).alias("lower"), r6(F.percentile("m", F.lit(0.95))).alias("upper"))
 
 
@@ -55,36 +104,17 @@ def cluster_difference(a: DataFrame, b: DataFrame, cluster: Column, value: str)
     return both.select("cluster", r6(F.coalesce("s_a", F.lit(0.0))).alias("sum_a"), zero("k_a").alias("n_a"), r6(F.coalesce("s_b", F.lit(0.0))).alias("sum_b"), zero("k_b").alias("n_b"))
 
 
-def _in_one_group(rows: DataFrame, compute, schema: str) -> DataFrame:
-    """compute(all rows as pandas) -> pandas, for rows that an aggregation has made few: one a date."""
-    return rows.withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(lambda pdf: compute(pdf.drop(columns="_all")), schema)
-
-
-def _chunks(replicates: int, width: int):
-    step = max(1, (1 << 22) // max(width, 1))
-    return ((lo, min(lo + step, replicates)) for lo in range(0, replicates, step))
-
-
 def cluster_bootstrap(rows: DataFrame, value: Column, cluster: Column, weight: Column | None = None, replicates: int = 2000, seed: int = 0, ci: float = 0.95) -> DataFrame:
     """(n_clusters, mean, lower, upper, positive): weighted mean by whole clusters (dates) drawn with replacement; positive is
     the share of replicates above 0.  Rows are summed by cluster first; no interval for fewer than two clusters."""
     w = F.lit(1.0) if weight is None else weight
     sums = rows.groupBy(cluster.cast("string").alias("cluster")).agg(F.sum(value * w).alias("s"), F.sum(w).alias("w"))
-
-    def compute(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("cluster")
-        s, n, k = pdf["s"].to_numpy(float), pdf["w"].to_numpy(float), len(pdf)
-        mean = s.sum() / n.sum()
-        if k < 2:
-            return pd.DataFrame([(k, mean, None, None, None)], columns=["n_clusters", "mean", "lower", "upper", "positive"])
-        drawn = np.random.default_rng(seed).integers(0, k, size=(replicates, k))
-        with np.errstate(divide="ignore", invalid="ignore"):
-            means = np.concatenate([s[drawn[lo:hi]].sum(axis=1) / n[drawn[lo:hi]].sum(axis=1) for lo, hi in _chunks(replicates, k)])
-        edge = (1 - ci) / 2 * 100
-        ok = means[np.isfinite(means)]
-        return pd.DataFrame([(k, mean, np.percentile(ok, edge), np.percentile(ok, 100 - edge), float((ok > 0).mean()))], columns=["n_clusters", "mean", "lower", "upper", "positive"])
-
-    return _in_one_group(sums, compute, "n_clusters long, mean double, lower double, upper double, positive double")
+    drawn = resampled(sums, cluster_key(F.col("cluster")), replicates, seed, ["s", "w"]).groupBy("rep")
+    means = drawn.agg(F.try_divide(F.sum(F.col("times") * F.col("s")), F.sum(F.col("times") * F.col("w"))).alias("m"))
+    boot = means.filter("m is not null").agg(*_ends("m", ci), F.avg((F.col("m") > 0).cast("double")).alias("positive"))
+    whole = sums.agg(F.count(F.lit(1)).alias("n_clusters"), F.try_divide(F.sum("s"), F.sum("w")).alias("mean"))
+    several = lambda c: F.when(F.col("n_clusters") >= 2, F.col(c)).alias(c)
+    return whole.crossJoin(F.broadcast(boot)).select("n_clusters", "mean", several("lower"), several("upper"), several("positive"))  # a row each
 
 
 def cluster_bootstrap_difference(a: DataFrame, b: DataFrame, cluster: Column, value: str, replicates: int = 2000, seed: int = 0, ci: float = 0.95) -> DataFrame:
@@ -92,53 +122,37 @@ def cluster_bootstrap_difference(a: DataFrame, b: DataFrame, cluster: Column, va
     date cancel.  NULLs where either is empty."""
     sums = lambda df, x: df.groupBy(cluster.cast("string").alias("cluster")).agg(F.sum(value).alias(f"s{x}"), F.count(value).alias(f"n{x}"))
     both = sums(a, "a").join(sums(b, "b"), "cluster", "full_outer").fillna(0)
-
-    def compute(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("cluster")
-        sa, na, sb, nb = (pdf[c].to_numpy(float) for c in ("sa", "na", "sb", "nb"))
-        k = len(pdf)
-        names = ["n_clusters", "difference", "lower", "upper"]
-        if not na.sum() or not nb.sum():
-            return pd.DataFrame([(k, None, None, None)], columns=names)
-        drawn = np.random.default_rng(seed).integers(0, k, size=(replicates, k))
-        with np.errstate(divide="ignore", invalid="ignore"):
-            boot = np.concatenate([sa[d].sum(1) / na[d].sum(1) - sb[d].sum(1) / nb[d].sum(1) for d in (drawn[lo:hi] for lo, hi in _chunks(replicates, k))])
-        edge = round((1 - ci) / 2 * 100, 9)
-        return pd.DataFrame([(k, sa.sum() / na.sum() - sb.sum() / nb.sum(), np.nanpercentile(boot, edge), np.nanpercentile(boot, round(100 - edge, 9)))], columns=names)
-
-    return _in_one_group(both, compute, "n_clusters long, difference double, lower double, upper double")
+    total = lambda c, w=F.lit(1.0): F.sum(w * F.col(c))
+    gap = lambda w: F.try_divide(total("sa", w), total("na", w)) - F.try_divide(total("sb", w), total("nb", w))
+    drawn = resampled(both, cluster_key(F.col("cluster")), replicates, seed, ["sa", "na", "sb", "nb"])
+    boot = drawn.groupBy("rep").agg(gap(F.col("times")).alias("m")).filter("m is not null").agg(*_ends("m", ci))
+    whole = both.agg(F.count(F.lit(1)).alias("n_clusters"), gap(F.lit(1.0)).alias("difference"))
+    known = lambda c: F.when(F.col("difference").isNotNull(), F.col(c)).alias(c)
+    return whole.crossJoin(F.broadcast(boot)).select("n_clusters", "difference", known("lower"), known("upper"))  # a row each
 
 
 def paired_bootstrap(pairs: DataFrame, order: str, a: str, b: str, block: int = 6, replicates: int = 2000, seed: int = 0, per_year: int = 252) -> DataFrame:
     """(n, sharpe_lower, sharpe_upper, cagr_lower, cagr_upper, prob_better): differences of two return series of the same dates, blocks
     of dates drawn together; 95 % intervals.  No interval for series of a block or less."""
-    names = ["n", "sharpe_lower", "sharpe_upper", "cagr_lower", "cagr_upper", "prob_better"]
-
-    def compute(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = pdf.sort_values(order)[["a", "b"]].to_numpy(float)
-        x = x[np.isfinite(x).all(axis=1)]
-        n = len(x)
-        if n < block + 1:
-            return pd.DataFrame([(n, *[None] * 5)], columns=names)
-        rng = np.random.default_rng(seed)
-        starts = np.stack([rng.integers(0, n - block + 1, size=-(-n // block)) for _ in range(replicates)])
-        sharpe, cagr = np.empty(replicates), np.empty(replicates)
-        for lo, hi in _chunks(replicates, n):
-            at = (starts[lo:hi, :, None] + np.arange(block)).reshape(hi - lo, -1)[:, :n]
-            ratio, growth = [], []
-            for r in (x[at, 0], x[at, 1]):
-                sd = r.std(axis=1)
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    ratio.append(np.where(sd >= 1e-12, r.mean(axis=1) / sd * np.sqrt(per_year), np.nan))
-                    whole = np.prod(1 + r, axis=1)
-                    growth.append(np.where(whole > 0, whole ** (per_year / n) - 1, -1.0))
-            sharpe[lo:hi], cagr[lo:hi] = ratio[0] - ratio[1], growth[0] - growth[1]
-        sharpe, cagr = sharpe[np.isfinite(sharpe)], cagr[np.isfinite(cagr)]
-        ends = lambda v: np.percentile(v, [2.5, 97.5]) if len(v) else (np.nan, np.nan)
-        return pd.DataFrame([(n, *ends(sharpe), *ends(cagr), float((sharpe > 0).mean()) if len(sharpe) else np.nan)], columns=names)
-
-    rows = pairs.select(order, F.col(a).cast("double").alias("a"), F.col(b).cast("double").alias("b"))  # a row a date
-    return _in_one_group(rows, compute, "n long, sharpe_lower double, sharpe_upper double, cagr_lower double, cagr_upper double, prob_better double")
+    rows = pairs.select(order, F.col(a).cast("double").alias("a"), F.col(b).cast("double").alias("b"))
+    finite = lambda c: F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))
+    rows = rows.filter(finite("a") & finite("b"))
+    drawn = block_draws(rows, ["a", "b"], order, block, replicates, seed).filter(F.col("n") >= block + 1)
+
+    def growth(c: str) -> Column:
+        """Growth a year from logarithms; -1 where the product of 1 + r is not above 0."""
+        factor = 1 + F.col(c)
+        dead = F.max((factor == 0).cast("int")) + F.sum((factor < 0).cast("int")) % 2
+        rate = F.exp(F.sum(F.when(factor != 0, F.log(F.abs(factor)))) * (per_year / F.max("n"))) - 1
+        return F.when(dead > 0, F.lit(-1.0)).otherwise(F.coalesce(rate, F.lit(0.0)))
+
+    def ratio(c: str) -> Column:
+        return F.when(F.stddev_pop(c) >= 1e-12, F.avg(c) / F.stddev_pop(c) * math.sqrt(per_year))
+
+    each = drawn.groupBy("rep").agg((ratio("a") - ratio("b")).alias("sharpe"), (growth("a") - growth("b")).alias("cagr"))
+    ends = lambda c: [F.percentile(c, F.lit(q)).alias(f"{c}_{name}") for q, name in ((0.025, "lower"), (0.975, "upper"))]
+    boot = each.agg(*ends("sharpe"), *ends("cagr"), F.avg((F.col("sharpe") > 0).cast("double")).alias("prob_better"))
+    return rows.agg(F.count(F.lit(1)).alias("n")).crossJoin(F.broadcast(boot))  # a row each
 
 
 def matched_pairs(trades: DataFrame, pool: DataFrame, key: str, strata: list[str], value: str, per: int, seed: int, keep: list[str] | None = None) -> DataFrame:
@@ -163,17 +177,16 @@ def matched_alpha(trades: DataFrame, pool: DataFrame, key: str, strata: list[str
 
 
 def iid_bootstrap(rows: DataFrame, value: str, key: str, by: list[str], replicates: int, seed: int) -> DataFrame:
-    """(by, n, mean, lower, upper): percentile interval of the mean by numpy's generator; one group's values at a time."""
-    def boot(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = pdf.sort_values(key)[value].dropna().to_numpy()
-        rng = np.random.default_rng(seed)
-        # the numbers of times each value is drawn: replicates x n at a time would not be bounded
-        means = np.array([x[rng.integers(0, len(x), len(x))].mean() for _ in range(replicates)]) if len(x) else np.array([np.nan])
-        lo, hi = np.percentile(means, [2.5, 97.5])
-        return pd.DataFrame([[*pdf[by].iloc[0], len(x), x.mean() if len(x) else np.nan, lo, hi]], columns=[*by, "n", "mean", "lower", "upper"])
-
-    kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in by)
-    return rows.select(*by, key, value).groupBy(*by).applyInPandas(boot, f"{kinds}, n long, mean double, lower double, upper double")
+    """(by, n, mean, lower, upper): 95 % percentile interval of the mean; `key`, an integer, tells rows of a group apart."""
+    known = rows.filter(F.col(value).isNotNull()).select(*by, F.col(key).cast("long").alias("_id"), F.col(value).cast("double").alias("_x"))
+    drawn = resampled(known, F.col("_id"), replicates, seed, [*by, "_x"]).groupBy(*by, "rep")
+    means = drawn.agg((F.sum(F.col("times") * F.col("_x")) / F.sum("times")).alias("m"))
+    whole = known.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg("_x").alias("mean"))
+    ends = means.groupBy(*by).agg(*_ends("m", 0.95))
+    same = F.lit(True)
+    for c in by:
+        same = same & whole[c].eqNullSafe(ends[c])
+    return whole.join(ends, same, "left").select(*[whole[c] for c in by], "n", "mean", "lower", "upper")
 
 
 def rolling_ic(series: DataFrame, horizon: int, window: int) -> DataFrame:

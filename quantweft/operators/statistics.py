@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quantweft.operators import windows as X
 from quantweft.operators.windows import UP
 from quantweft.sources.shapes import r6
 
@@ -125,9 +126,9 @@ def expected_max_of(values: DataFrame, value: str, m: int) -> DataFrame:
     The weight C(i, m-1) / C(n, m) of the value above i others is the product of m - 1 ratios, in logarithms.
     """
     r = values.filter(F.col(value).isNotNull()).select(F.col(value).alias("v"))
-    i = F.row_number().over(W.orderBy("v")) - 1  # one small pool
-    n = F.count(F.lit(1)).over(W.partitionBy())
-    r = r.withColumn("i", i).withColumn("n", n)
+    # equal values are alike, whichever comes first
+    n = r.agg(F.count(F.lit(1)).alias("n"))
+    r = X.global_row_number(r, [F.asc("v")], "i").withColumn("i", F.col("i") - 1).crossJoin(F.broadcast(n))  # one row
     return r.withColumn("w", F.when(F.col("i") >= m - 1, F.exp(_weight(m))).otherwise(0.0)).agg(F.max("n").alias("n"), r6(F.sum(F.col("v") * F.col("w"))).alias("expected_max"))
 
 
@@ -211,5 +212,7 @@ def r_distribution(rows: DataFrame, value: str, by: list[str]) -> DataFrame:
 def selection_pool(rows: DataFrame, key: str, size: str, least: int) -> DataFrame:
     """Pool statistics of candidate results: n, mean, best, premium of the best over the mean, quartile means by size."""
     ok = rows.filter((F.col(size) >= least) & F.col(key).isNotNull())
-    q = F.floor((F.row_number().over(W.orderBy(size, key)) - 1) * 4 / F.count(F.lit(1)).over(W.partitionBy()))
-    return ok.withColumn("quartile", q.cast("int")).groupBy("quartile").agg(F.count(F.lit(1)).alias("n"), r6(F.avg(key)).alias("mean"), r6(F.max(key)).alias("best"), r6(F.max(key) - F.avg(key)).alias("premium"), r6(F.stddev_samp(key)).alias("sd"))
+    n = ok.agg(F.count(F.lit(1)).alias("_n"))
+    placed = X.global_row_number(ok, [F.asc(size), F.asc(key)], "_i").crossJoin(F.broadcast(n))  # one row
+    q = F.floor((F.col("_i") - 1) * 4 / F.col("_n"))
+    return placed.withColumn("quartile", q.cast("int")).groupBy("quartile").agg(F.count(F.lit(1)).alias("n"), r6(F.avg(key)).alias("mean"), r6(F.max(key)).alias("best"), r6(F.max(key) - F.avg(key)).alias("premium"), r6(F.stddev_samp(key)).alias("sd"))

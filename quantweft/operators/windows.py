@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quantweft.sources.staging import written
+
 UP, UF = W.unboundedPreceding, W.unboundedFollowing
 
 
@@ -57,12 +59,14 @@ def quantile_buckets(value: Column | str, q: int, partition: list[str], order: l
 def global_row_number(df: DataFrame, order: list[Column], out: str) -> DataFrame:
     """Row numbers 1, 2, ... over all rows, without one task that sees them all.
 
-    Rows are placed by range and sorted within their partitions; a number is that within the partition plus the sizes of the
-    partitions before (a row a partition, broadcast).  `order` must tell all rows apart.
+    Rows are placed by range, sorted within their partitions and written once with their place: the bounds of the ranges come
+    from a sample, so a second computation could place them otherwise.  A number is the place within a partition plus the sizes of
+    the partitions before (a row a partition, broadcast), both read from what was written.  Rows that `order` does
+    not tell apart stand in any order.
     """
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = df.repartitionByRange(n, *order).sortWithinPartitions(*order)  # a given number: AQE does not merge partitions
-    placed = placed.withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
+    place = F.monotonically_increasing_id()
+    placed = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.shiftright(place, 33)).withColumn("_at", place.bitwiseAND(F.lit((1 << 33) - 1)))
+    placed = written(placed, "numbered")
     sizes = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_size"))
     before = sizes.select("_part", F.coalesce(F.sum("_size").over(W.orderBy("_part").rowsBetween(UP, -1)), F.lit(0)).alias("_before"))
     return placed.join(F.broadcast(before), "_part").withColumn(out, F.col("_at") + F.col("_before") + 1).drop("_part", "_at", "_before")

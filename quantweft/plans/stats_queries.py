@@ -204,6 +204,50 @@ select count(*) as replicates, {_r6('avg(mean)')} as mean, {_r6('quantile_cont(m
 BOOT_SQL = boot_sql("select date_trunc('month', entry_date)::date as month, avg(r) as x from trades group by 1", 4, 200, 11, 12)
 
 
+def _times(seed: int, key: str, replicates: int, source: str, keep: str) -> str:
+    """keep, rep, times: how often each row of source is drawn in each replicate, by the hash's steps."""
+    from quantweft.operators.resampling import POISSON, seeded
+
+    m = 4294967295
+    one = f"(select {keep}, k, {_h32('x')} as x from (select {keep}, k, ((k & {m}) + 668265263) & {m} as x from (select *, ({key})::bigint as k from {source})))"
+    two = f"(select {keep}, {_h32('x')} as x from (select {keep}, xor(xor(x, {seeded(seed)}::bigint), (k >> 32) & {m}) as x from {one}))"
+    each = f"(select {keep}, rep, {_h32('x')} as u from (select {keep}, rep, xor(x, {_h32('rep * 3 + 1')}) as x from {two}, range(0, {replicates}) rr(rep)))"
+    return f"(select {keep}, rep, ({' + '.join(f'(u >= {t})::int' for t in POISSON)})::double as times from {each} where u >= {POISSON[0]})"
+
+
+_MONTH = "date_trunc('month', entry_date)::date"
+
+
+def _cluster_boot(rows: str, replicates: int, seed: int) -> str:
+    """Steps after `rows` (cluster text, x): the interval of a mean by whole clusters."""
+    return f"""cl as (select cluster, sum(x) as s, count(*)::double as w from ({rows}) group by cluster), bm as (select rep, sum(times * s) / sum(times * w) as m from {_times(seed, "'0x' || sha256(cluster)[1:15]", replicates, 'cl', 's, w')} group by rep),
+bo as (select quantile_cont(m, 0.025) as lower, quantile_cont(m, 0.975) as upper, avg((m > 0)::int::double) as positive from bm), wh as (select count(*) as n_clusters, sum(s) / sum(w) as mean from cl)"""
+
+
+CLUSTER_BOOT_SQL = f"""with {TRADES}, {_cluster_boot(f'select cast({_MONTH} as varchar) as cluster, r as x from trades', 2000, 3)}
+select n_clusters, {_r6('mean')} as mean, {_r6('lower')} as lower, {_r6('upper')} as upper, {_r6('positive')} as positive from wh, bo"""
+CLUSTER_DIFF_SQL = f"""with {TRADES}, cl as (select cast({_MONTH} as varchar) as cluster, coalesce(sum(r) filter (code < 25), 0) as sa, count(r) filter (code < 25) as na, coalesce(sum(r) filter (code >= 25), 0) as sb, count(r) filter (code >= 25) as nb from trades group by 1),
+bm as (select rep, sum(times * sa) / nullif(sum(times * na), 0) - sum(times * sb) / nullif(sum(times * nb), 0) as m from {_times(3, "'0x' || sha256(cluster)[1:15]", 2000, 'cl', 'sa, na, sb, nb')} group by rep),
+bo as (select quantile_cont(m, 0.025) as lower, quantile_cont(m, 0.975) as upper from bm where m is not null), wh as (select count(*) as n_clusters, sum(sa) / sum(na) - sum(sb) / sum(nb) as difference from cl)
+select n_clusters, {_r6('difference')} as difference, {_r6('lower')} as lower, {_r6('upper')} as upper from wh, bo"""
+IID_SQL = f"""with {TRADES}, d as {_times(7, 'trade_id', 500, '(select * from trades where r is not null)', 'stratum, r')}, bm as (select stratum, rep, sum(times * r) / sum(times) as m from d group by all),
+bo as (select stratum, quantile_cont(m, 0.025) as lower, quantile_cont(m, 0.975) as upper from bm group by stratum), wh as (select stratum, count(r) as n, avg(r) as mean from trades group by stratum)
+select stratum, n, {_r6('mean')} as mean, {_r6('lower')} as lower, {_r6('upper')} as upper from wh left join bo using (stratum)"""
+
+
+def _paired_sql(block: int, replicates: int, seed: int, per_year: int) -> str:
+    boot = boot_sql("m_", block, replicates, seed, per_year)
+    steps = boot[: boot.index(", b as (select rep")].replace("(m_)", "(select entry_date, avg(r) filter (code < 25) / 100 as a, avg(r) filter (code >= 25) / 100 as b from trades group by 1 having count(*) filter (code < 25) > 0 and count(*) filter (code >= 25) > 0)")
+    steps = steps.replace("select x, row_number() over (order by month)", "select a, b, row_number() over (order by entry_date)")
+    ratio = lambda c: f"case when stddev_pop({c}) >= 1e-12 then avg({c}) / stddev_pop({c}) * sqrt({per_year}.0) end"
+    growth = lambda c: f"exp(sum(ln(1 + {c})) * {per_year}.0 / max(ix.n)) - 1"
+    return f"""{steps}, e as (select rep, {ratio('s.a')} - {ratio('s.b')} as sharpe, {growth('s.a')} - ({growth('s.b')}) as cagr from ix join s on s.i = ix.i where pos < ix.n group by rep)
+select (select max(n) from s) as n, {_r6('quantile_cont(sharpe, 0.025)')} as sharpe_lower, {_r6('quantile_cont(sharpe, 0.975)')} as sharpe_upper, {_r6('quantile_cont(cagr, 0.025)')} as cagr_lower, {_r6('quantile_cont(cagr, 0.975)')} as cagr_upper, {_r6('avg((sharpe > 0)::int::double)')} as prob_better from e"""
+
+
+PAIRED_BOOT_SQL = _paired_sql(6, 2000, 3, 252)
+
+
 def matched_control(spark, sf):
     t = S.trades(spark, sf)
     return R.matched_control(t.filter("code < 5"), t.filter("code >= 5"), "trade_id", ["stratum"], "r", per=3, seed=5)
@@ -214,6 +258,12 @@ c as (select stratum, max(n) as n from po group by stratum), dr as (select tr.tr
 st as {_drawn(5, 'trade_id', 'k', 'n', 'dr', 'trade_id, stratum, r, n')}, m as (select st.stratum, st.trade_id, st.r, avg(po.r) as control from st join po on po.stratum = st.stratum and po.rn = st.spot group by 1, 2, 3)
 select stratum, count(*) as n, {_r6('avg(r)')} as trade_mean, {_r6('avg(control)')} as control_mean, {_r6('avg(r - control)')} as alpha from m group by stratum"""
 
+ALPHA_SQL = f"""with {TRADES}, tr as (select * from trades where code < 5), po as (select *, row_number() over (partition by stratum order by trade_id) - 1 as rn, count(*) over (partition by stratum) as n from trades where code >= 5),
+c as (select stratum, max(n) as n from po group by stratum), dr as (select tr.trade_id, tr.stratum, tr.entry_date, tr.r, k, c.n from tr join c using (stratum), range(0, 3) x(k)),
+st as {_drawn(5, 'trade_id', 'k', 'n', 'dr', 'trade_id, stratum, entry_date, r, n')}, ea as (select st.trade_id, st.entry_date, st.r - avg(po.r) as x from st join po on po.stratum = st.stratum and po.rn = st.spot group by st.trade_id, st.entry_date, st.r),
+{_cluster_boot('select cast(entry_date as varchar) as cluster, x from ea', 2000, 5)}
+select (select count(*) from ea) as n_trades, (select count(*) from tr) - (select count(*) from ea) as n_unmatched, n_clusters, {_r6('mean')} as alpha, {_r6('lower')} as lower, {_r6('upper')} as upper, {_r6('positive')} as p_greater from wh, bo"""
+
 
 def _rounded(df):
     return df.select(*[r6(c).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
@@ -248,8 +298,8 @@ select coalesce(a.cluster, b.cluster) as cluster, {_r6('coalesce(a.s, 0)')} as s
 
 
 def iid_bootstrap(spark, sf):
-    """Percentile interval of the mean per stratum; numpy's generator in an Arrow group function."""
-    return R.iid_bootstrap(S.trades(spark, sf), "r", "trade_id", ["stratum"], 500, 7)
+    """Percentile interval of the mean per stratum."""
+    return _rounded(R.iid_bootstrap(S.trades(spark, sf), "r", "trade_id", ["stratum"], 500, 7))
 
 
 def rolling_ic(spark, sf):
@@ -275,10 +325,10 @@ QUERIES = {
     "matched_control_hash": (matched_control, MATCH_SQL),
     "cluster_sums": (cluster_sums, CLUSTER_SQL, "cluster"),
     "r_distribution": (r_distribution, RDIST_SQL, "code"),
-    "matched_alpha": (matched_alpha, None),
-    "cluster_bootstrap": (cluster_bootstrap, None),
-    "cluster_difference_bootstrap": (cluster_difference_bootstrap, None),
-    "paired_bootstrap": (paired_bootstrap, None),
-    "iid_bootstrap": (iid_bootstrap, None),
+    "matched_alpha": (matched_alpha, ALPHA_SQL),
+    "cluster_bootstrap": (cluster_bootstrap, CLUSTER_BOOT_SQL),
+    "cluster_difference_bootstrap": (cluster_difference_bootstrap, CLUSTER_DIFF_SQL),
+    "paired_bootstrap": (paired_bootstrap, PAIRED_BOOT_SQL),
+    "iid_bootstrap": (iid_bootstrap, IID_SQL),
     "rolling_ic": (rolling_ic, None, "date"),
 }

@@ -1,5 +1,6 @@
 """Operators without SQL against plain Python: makers, bootstraps, the hash, streams of seconds, connections."""
 
+import hashlib
 import math
 
 import numpy as np
@@ -48,30 +49,81 @@ def test_block_bootstrap_like_a_loop(spark):
     assert got["mean"] == pytest.approx(np.mean(means), abs=1e-6) and got["lower"] == pytest.approx(np.percentile(means, 5), abs=1e-6)
 
 
-def test_cluster_and_paired_bootstraps_like_numpy(spark):
+def times_of(seed, key, replicate):
+    """Poisson(1) from the hash of (seed, key, replicate)."""
+    y = plain_hash((key & 0xFFFFFFFF) + 0x27D4EB2F)
+    y = plain_hash(y ^ plain_hash(seed * 0x2545F491 + 0x1B873593) ^ key >> 32 & 0xFFFFFFFF)
+    u = plain_hash(y ^ plain_hash(replicate * 3 + 1))
+    return sum(u >= t for t in R.POISSON)
+
+
+def cluster_number(text):
+    return int(hashlib.sha256(text.encode()).hexdigest()[:15], 16)
+
+
+def test_times_are_poisson():
+    n = np.array([times_of(3, k, r) for k in [*range(400), *range(1 << 40, (1 << 40) + 100)] for r in range(40)])
+    assert n.mean() == pytest.approx(1, abs=0.03) and n.var() == pytest.approx(1, abs=0.05)
+    assert np.mean(n == 0) == pytest.approx(math.exp(-1), abs=0.01)
+
+
+def test_cluster_bootstraps_like_a_loop_and_near_numpy(spark):
     rng = np.random.default_rng(1)
     pdf = pd.DataFrame({"d": [f"2024-01-{1 + i % 20:02d}" for i in range(300)], "v": rng.normal(size=300), "side": rng.integers(0, 2, 300)})
     df = spark.createDataFrame(pdf)
+    days = sorted(pdf.d.unique())
+    w = np.array([[times_of(5, cluster_number(d), r) for d in days] for r in range(400)], float)
     s, n = (pdf.groupby("d")["v"].agg(f).to_numpy(float) for f in ("sum", "count"))
-    drawn = np.random.default_rng(5).integers(0, 20, size=(400, 20))
-    means = s[drawn].sum(1) / n[drawn].sum(1)
+    means = (w @ s) / (w @ n)
     got = R.cluster_bootstrap(df, F.col("v"), F.col("d"), replicates=400, seed=5).first()
-    assert (got.n_clusters, got["mean"], got.lower, got.upper) == (20, pytest.approx(pdf.v.mean()), pytest.approx(np.percentile(means, 2.5)), pytest.approx(np.percentile(means, 97.5)))
+    assert (got.n_clusters, got["mean"], got.lower, got.upper, got.positive) == (20, pytest.approx(pdf.v.mean()), pytest.approx(np.percentile(means, 2.5)), pytest.approx(np.percentile(means, 97.5)), np.mean(means > 0))
+    drawn = np.random.default_rng(5).integers(0, 20, size=(4000, 20))
+    plain = s[drawn].sum(1) / n[drawn].sum(1)
+    assert means.mean() == pytest.approx(plain.mean(), abs=0.02) and means.std() == pytest.approx(plain.std(), rel=0.15)
     one = R.cluster_bootstrap(df.filter("d = '2024-01-01'"), F.col("v"), F.col("d")).first()
     assert one.n_clusters == 1 and one.lower is None
-    part = lambda k, f: pdf[pdf.side == k].groupby("d")["v"].agg(f).reindex(sorted(pdf.d.unique()), fill_value=0).to_numpy(float)
-    boot = part(0, "sum")[drawn].sum(1) / part(0, "count")[drawn].sum(1) - part(1, "sum")[drawn].sum(1) / part(1, "count")[drawn].sum(1)
+    assert R.cluster_bootstrap(df.limit(0), F.col("v"), F.col("d")).first().n_clusters == 0
+    part = lambda k, f: pdf[pdf.side == k].groupby("d")["v"].agg(f).reindex(days, fill_value=0).to_numpy(float)
+    boot = (w @ part(0, "sum")) / (w @ part(0, "count")) - (w @ part(1, "sum")) / (w @ part(1, "count"))
     got = R.cluster_bootstrap_difference(df.filter("side = 0"), df.filter("side = 1"), F.col("d"), "v", 400, 5).first()
     assert got.lower == pytest.approx(np.percentile(boot, 2.5)) and got.difference == pytest.approx(pdf[pdf.side == 0].v.mean() - pdf[pdf.side == 1].v.mean())
     assert R.cluster_bootstrap_difference(df.limit(0), df, F.col("d"), "v").first().lower is None
+
+
+def test_iid_bootstrap_like_a_loop_and_near_numpy(spark):
+    rng = np.random.default_rng(2)
+    x = rng.exponential(size=200)
+    rows = [("a", i, float(v)) for i, v in enumerate(x)] + [("b", 5, 1.5), ("b", 6, None), (None, 1 << 35, 2.0)]
+    got = {r.g: r for r in R.iid_bootstrap(spark.createDataFrame(rows, "g string, id long, x double"), "x", "id", ["g"], 300, 9).collect()}
+    w = np.array([[times_of(9, i, r) for i in range(200)] for r in range(300)], float)
+    means = (w @ x) / w.sum(1)
+    assert (got["a"].n, got["a"]["mean"], got["a"].lower, got["a"].upper) == (200, pytest.approx(x.mean()), pytest.approx(np.percentile(means, 2.5)), pytest.approx(np.percentile(means, 97.5)))
+    plain = np.array([rng.choice(x, 200).mean() for _ in range(3000)])
+    assert means.std() == pytest.approx(plain.std(), rel=0.15) and means.mean() == pytest.approx(plain.mean(), abs=0.02)
+    assert (got["b"].n, got["b"].lower, got[None].upper) == (1, 1.5, 2.0)
+
+
+def test_paired_bootstrap_like_a_loop(spark):
+    rng = np.random.default_rng(4)
     x = rng.normal(size=(50, 2)) / 100
-    gen = np.random.default_rng(2)
-    ds = []
-    for _ in range(100):
-        at = (gen.integers(0, 45, size=9)[:, None] + np.arange(6)).ravel()[:50]
-        ds.append(np.subtract(*(x[at, i].mean() / x[at, i].std() * np.sqrt(252) for i in (0, 1))))
-    got = R.paired_bootstrap(spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(x)], "t int, a double, b double"), "t", "a", "b", replicates=100, seed=2).first()
-    assert (got.n, got.sharpe_lower, got.prob_better) == (50, pytest.approx(np.percentile(ds, 2.5)), np.mean(np.array(ds) > 0))
+    x[7] = [np.nan, 0.01]
+    known = x[np.isfinite(x).all(axis=1)]
+    n, block, hs = len(known), 6, plain_hash(2 * 0x2545F491 + 0x1B873593)
+    sharpe, cagr = [], []
+    for b in range(100):
+        hb = plain_hash(hs ^ plain_hash(b + 0x27D4EB2F))
+        at = [(plain_hash(hb ^ plain_hash(k * 3 + 1)) * (n - block + 1) >> 32) + o for k in range(-(-n // block)) for o in range(block)][:n]
+        sharpe.append(np.subtract(*(known[at, i].mean() / known[at, i].std() * np.sqrt(252) for i in (0, 1))))
+        cagr.append(np.subtract(*(np.prod(1 + known[at, i]) ** (252 / n) - 1 for i in (0, 1))))
+    rows = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(x)], "t int, a double, b double")
+    got = R.paired_bootstrap(rows, "t", "a", "b", replicates=100, seed=2).first()
+    assert (got.n, got.sharpe_lower, got.prob_better) == (49, pytest.approx(np.percentile(sharpe, 2.5)), np.mean(np.array(sharpe) > 0))
+    assert (got.cagr_lower, got.cagr_upper) == (pytest.approx(np.percentile(cagr, 2.5)), pytest.approx(np.percentile(cagr, 97.5)))
+    short = R.paired_bootstrap(rows.limit(6), "t", "a", "b", replicates=10).first()
+    assert short.n == 6 and short.sharpe_lower is None and short.prob_better is None
+    for n, growth in ((20, 0.0), (21, -1.0)):  # a product of -1s is above 0 if there is an even number
+        ruined = R.paired_bootstrap(spark.createDataFrame([(i, -2.0, 0.0) for i in range(n)], "t int, a double, b double"), "t", "a", "b", replicates=10).first()
+        assert ruined.cagr_upper == pytest.approx(growth)
 
 
 def test_maker_like_a_loop(spark):

@@ -8,6 +8,7 @@ from decimal import Decimal
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quantweft.functions import costs, market
@@ -90,6 +91,21 @@ def test_global_row_number(spark):
     assert {r.i: r.n for r in out} == want
 
 
+def test_global_row_number_of_rows_that_come_in_another_order_each_time(spark):
+    """Distinct, without gaps, in order and the same again, for rows after an aggregation and a join."""
+    base = spark.range(1_000_000).withColumn("k", F.xxhash64("id") % 1_000_003)
+    rows = base.groupBy("k").agg(F.count(F.lit(1)).alias("c")).join(base.groupBy("k").agg(F.max("id").alias("m")), "k")
+
+    def numbered():
+        out = windows.global_row_number(rows, [F.asc("k")], "n")
+        checks = out.withColumn("same", F.row_number().over(W.orderBy("k")) == F.col("n"))
+        return tuple(checks.agg(F.count(F.lit(1)), F.count_distinct("n"), F.min("n"), F.max("n"), F.min("same"), F.sum(F.xxhash64("k", "n").cast("decimal(38,0)"))).first())
+
+    first = numbered()
+    assert first[0] == first[1] == first[3] and first[2] == 1 and first[4]
+    assert numbered() == first
+
+
 def test_as_of(spark):
     left = spark.createDataFrame([("a", 5), ("a", 1), ("b", 9), ("a", 7)], "k string, t int")
     right = spark.createDataFrame([("a", 5, 1.0), ("a", 5, 2.0), ("a", 6, 3.0)], "k string, t int, v double")
