@@ -29,6 +29,29 @@ def texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), no_id).alias("doc_id"), text.alias("text"))
 
 
+def keyed(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """(rows, names): rows as of `texts`, but each doc_id has one text.  Where ids repeat with different texts, rows have numbers in the
+    order of (doc_id, sha256 of the text) instead, and names (doc_id, real) tells whose they are; else names is None.  Rows that repeat
+    an id and its text share a number."""
+    rows = texts(docs)
+    if docs.filter("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).count().filter("count > 1").isEmpty():
+        return rows, None
+    marked = rows.withColumn("sha", F.sha2(F.col("text").cast("binary"), 256))
+    if marked.groupBy("doc_id").agg(F.min("sha").alias("a"), F.max("sha").alias("b")).filter("a <> b").isEmpty():
+        return rows, None
+    kinds = marked.select("doc_id", "sha").distinct().repartitionByRange("doc_id", "sha").sortWithinPartitions("doc_id", "sha")
+    kinds = materialize(kinds.withColumn("key", F.monotonically_increasing_id()), "keys")
+    rows = materialize(marked.join(kinds, ["doc_id", "sha"]).select(F.col("key").alias("doc_id"), "text"), "keyed")
+    return rows, kinds.select(F.col("key").alias("doc_id"), F.col("doc_id").alias("real"))
+
+
+def named(out: DataFrame, names: DataFrame | None) -> DataFrame:
+    """out with the ids that its documents came with."""
+    if names is not None:
+        out = out.join(names, "doc_id").select(F.col("real").alias("doc_id"), *[c for c in out.columns if c != "doc_id"])
+    return out.withColumn("doc_id", real_id("doc_id"))
+
+
 def real_id(c: Column | str) -> Column:
     c = F.col(c) if isinstance(c, str) else c
     return F.when(c >= F.lit(NO_ID), c)

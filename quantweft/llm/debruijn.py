@@ -7,7 +7,7 @@ in the source text and then loses all windows at once.  At forks, where an edge
 once, at its first place, and its windows are compared by 128-bit hashes, each half from the bytes of the words.
 
 Defined cases: null text has no words; null doc_ids come before all others; rows that repeat an id and its text count
-as one document and give a row each; an empty table gives an empty result; other columns are ignored.
+as one document and give a row each; different texts of one id are documents of their own, in the order of their sha256; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ SIZE, ANCHOR = 20, 5
 
 def dedup_words(docs: DataFrame, size: int = SIZE, anchor: int = ANCHOR, bits: int = 64) -> DataFrame:
     """(doc_id, n_words, n_removed, kept): each text's words but those of windows that started earlier elsewhere."""
-    rows = C.texts(docs)
+    rows, names = C.keyed(docs)
     unit = R.Unit(True, size, anchor, bits)
     with C.scratch() as kept:
         found = R.graph(rows, unit)
@@ -44,7 +44,7 @@ def dedup_words(docs: DataFrame, size: int = SIZE, anchor: int = ANCHOR, bits: i
         return len(words), len(words) - len(kept), b" ".join(kept).decode()
 
     out = R.rewritten(rows, gone, rewrite, "doc_id long, n_words long, n_removed long, kept string")
-    return out.withColumn("doc_id", C.real_id("doc_id"))
+    return C.named(out, names)
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

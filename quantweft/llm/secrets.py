@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 from quantweft.llm import common as C
 
 WINDOW = 20
+#: Matches of a text are placed in blocks of so many.
+BLOCK = 256
 
 
 def _any_case(word: str) -> str:
@@ -45,7 +47,7 @@ def located(text: Column, pattern: str, group: int = 0) -> Column:
     """array<struct<start, stop, value>> of the leftmost non-overlapping matches; value: the group."""
     # a text between is before each match, and one is left over, with no match (null)
     found = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("match"), F.regexp_extract_all(text, F.lit(pattern), F.lit(group)).alias("value"))
-    zero = F.expr("named_struct('at', 0, 'out', cast(array() as array<struct<start:int,stop:int,value:string>>))")
+    none = F.expr("cast(array() as array<struct<start:int,stop:int,value:string>>)")
 
     def step(acc: Column, x: Column) -> Column:
         start = acc["at"] + F.length(x["gap"])
@@ -53,8 +55,15 @@ def located(text: Column, pattern: str, group: int = 0) -> Column:
         item = F.struct(start.alias("start"), stop.alias("stop"), x["value"].alias("value"))
         return F.struct(F.coalesce(stop, start).alias("at"), F.when(x["match"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], F.array(item))).alias("out"))
 
-    none = F.expr("cast(array() as array<struct<start:int,stop:int,value:string>>)")
-    return F.when(text.rlike(pattern), F.aggregate(found, zero, step, lambda acc: acc["out"])).otherwise(none)
+    # appending copies what is there: blocks keep that short
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(found) - 1) / BLOCK).cast("int")), lambda b: F.slice(found, b * BLOCK + 1, F.lit(BLOCK)))
+    start = F.expr("cast(array() as array<struct<at:int,out:array<struct<start:int,stop:int,value:string>>>>)")
+
+    def block(done: Column, x: Column) -> Column:
+        at = F.coalesce(F.get(done, F.size(done) - 1)["at"], F.lit(0))
+        return F.concat(done, F.array(F.aggregate(x, F.struct(at.alias("at"), none.alias("out")), step)))
+
+    return F.when(text.rlike(pattern), F.flatten(F.transform(F.aggregate(blocks, start, block), lambda x: x["out"]))).otherwise(none)
 
 
 def _n_log_n(n: int) -> float:

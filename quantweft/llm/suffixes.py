@@ -257,7 +257,7 @@ def _ranges(rows: list[tuple[int, int, int]]) -> pa.RecordBatch:
 
 def dedup_bytes(docs: DataFrame, size: int = SIZE, seed: int = SEED, group: int = GROUP, bits: int = 64) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept binary): each text without the bytes of strings that occur twice."""
-    rows = C.texts(docs)
+    rows, names = C.keyed(docs)
     unit = R.Unit(False, size, seed, bits)
     with C.scratch() as kept:
         found = R.graph(rows, unit)
@@ -279,7 +279,7 @@ def dedup_bytes(docs: DataFrame, size: int = SIZE, seed: int = SEED, group: int
         return len(text), len(text) - len(kept), spans, kept
 
     out = R.rewritten(rows, gone, rewrite, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
-    return out.withColumn("doc_id", C.real_id("doc_id"))
+    return C.named(out, names)
 
 
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,7 +5,7 @@ equal sums: fewest pieces).  The distinct pre-tokens of a slice of text form a t
 strings visit its nodes in that order, so only the current path is held.  The forward score of a node (a prefix) is
 computed once and serves all pre-tokens below it; where a pre-token ends, its count is stored for reuse.
 
-The vocabulary file has ranks, not probabilities; the log-probability of rank r is -log(r + SHIFT), Zipf's law.
+The vocabulary file has ranks, not probabilities; the probability of rank r is 1 / (r + SHIFT) over the sum of these, Zipf's law.
 All single bytes are pieces, so every text can be cut.  Vocabulary and pattern are parameters.
 
 No shuffle: one pass over the documents.  Per worker: the vocabulary, the kept counts (bounded), one slice of text.
@@ -33,7 +33,8 @@ KEPT, KEPT_LENGTH = 300_000, 64
 
 class Unigram:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
-        self.score = {piece: -math.log(rank + SHIFT) for piece, rank in ranks.items()}
+        whole = math.log(math.fsum(1 / (rank + SHIFT) for rank in ranks.values())) if ranks else 0.0
+        self.score = {piece: -math.log(rank + SHIFT) - whole for piece, rank in ranks.items()}
         #: lengths of the pieces that end in each byte, shortest first
         ends: dict[int, set[int]] = {}
         for piece in ranks:

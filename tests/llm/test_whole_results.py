@@ -57,7 +57,10 @@ def test_op3_like_the_library(spark, texts, library):
 
 def test_op7_like_a_table_per_token(spark, texts):
     path, pattern = bpe.vocabulary()
-    score = {p: -math.log(r + token_counts.SHIFT) for p, r in bpe.read_ranks(path).items()}
+    ranks = bpe.read_ranks(path)
+    whole = math.log(math.fsum(1 / (r + token_counts.SHIFT) for r in ranks.values()))
+    score = {p: -math.log(r + token_counts.SHIFT) - whole for p, r in ranks.items()}
+    assert math.fsum(map(math.exp, score.values())) == pytest.approx(1)
     longest = max(map(len, score))
     kept = {}
 
