@@ -103,15 +103,19 @@ def oracle_exits(book: DataFrame, horizon: int, cost: float) -> DataFrame:
     return g.withColumn("oracle_long", F.try_divide(F.col("best_bid"), entry_ask) - 1 - cost).withColumn("oracle_short", F.lit(1.0) - F.try_divide(F.col("best_ask"), entry_bid) - cost).drop("best_bid", "best_ask")
 
 
+def _ahead(within: int, *columns: str) -> Column:
+    """The rows t+2 .. t+1+within as an array: one frame, whatever `within` is."""
+    return F.collect_list(F.struct("slot", *columns)).over(by_slot().rowsBetween(2, within + 1))
+
+
+def _below(rows: Column, order: Column) -> Column:
+    return F.filter(rows, lambda x: (x["bid"] > 0) & (x["bid"] < order))
+
+
 def through_fill(book: DataFrame, within: int) -> DataFrame:
     """Adds fill_slot: the first slot of t+2 .. t+1+within whose bid is below the bid at t+1."""
-    w = by_slot()
-    order = F.lead("bid").over(w)
-    hit = None
-    for k in range(2, within + 2):
-        one = F.when((F.lead("bid", k).over(w) > 0) & (F.lead("bid", k).over(w) < order), F.col("slot") + k)
-        hit = one if hit is None else F.coalesce(hit, one)
-    return book.withColumn("fill_slot", hit)
+    g = book.withColumn("_order", F.lead("bid").over(by_slot())).withColumn("_ahead", _ahead(within, "bid"))
+    return g.withColumn("fill_slot", F.get(_below(F.col("_ahead"), F.col("_order")), F.lit(0))["slot"]).drop("_order", "_ahead")
 
 
 def ceiling_table(book: DataFrame, horizons: list[int], cost: float) -> DataFrame:
@@ -212,9 +216,8 @@ def maker_pessimistic(book: DataFrame, within: int, horizon: int, cost: float) -
     g = X.forward_extreme_blocks(book, "ask", KEYS, "slot", 0, horizon, "_best")
     last = F.max("slot").over(W.partitionBy(*KEYS))
     g = g.withColumn("_best", F.when(F.col("slot") + (horizon - 1) <= last, F.col("_best")))
-    g = through_fill(g, within)
     w = by_slot()
-    after = F.coalesce(*[F.when(F.col("fill_slot") == F.col("slot") + k, F.lead("_best", k + 1).over(w)) for k in range(2, within + 2)])
-    bid = F.lead("bid").over(w)
-    g = g.withColumn("_after", after).withColumn("_bid", bid)
-    return g.withColumn("maker", F.when((F.col("_bid") > 0) & (F.col("_after") > 0), F.col("_after") / F.col("_bid") - 1 - cost)).drop("_best", "_bid", "_after")
+    # the best exit after a slot travels with it, so that the fill brings it along
+    g = g.withColumn("_next", F.lead("_best").over(w)).withColumn("_bid", F.lead("bid").over(w)).withColumn("_ahead", _ahead(within, "bid", "_next"))
+    g = g.withColumn("_fill", F.get(_below(F.col("_ahead"), F.col("_bid")), F.lit(0))).withColumn("fill_slot", F.col("_fill.slot")).withColumn("_after", F.col("_fill._next"))
+    return g.withColumn("maker", F.when((F.col("_bid") > 0) & (F.col("_after") > 0), F.col("_after") / F.col("_bid") - 1 - cost)).drop("_best", "_next", "_bid", "_ahead", "_fill", "_after")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quantweft.operators import levels as V
 from quantweft.operators import lob as L
 from quantweft.operators import order_book as O
 from quantweft.operators import windows as X
@@ -242,12 +243,39 @@ def limit_queue(spark, sf):
     return O.queue_fills(orders, b.select("code", "day", "slot", "bid", "ask", "bid_qty", "sell_at"))
 
 
+WAIT, LEVEL = 120, 25
+
+
+def order_levels(spark, sf):
+    """Each trade as a limit order, every second one at a level of the book: what the book shows there, and what trades at and through
+    its level while it waits."""
+    grid = book_grid(spark, sf)
+    t = S.lob_ticks(spark, sf).filter("side <> 0").withColumn("slot", F.floor(F.col("sec") / UNIT).cast("int"))
+    own = F.when(F.col("side") > 0, F.coalesce(*[F.when(F.col("seq") % 6 == 2 * i, F.col(f"bid{i + 1}")) for i in range(3)])).otherwise(F.coalesce(*[F.when(F.col("seq") % 6 == 2 * i, F.col(f"ask{i + 1}")) for i in range(3)]))
+    placed = t.select("code", "day", "seq", "side", "slot", F.col("price").alias("last")).join(grid, ["code", "day", "slot"], "left")
+    orders = placed.select("code", "day", F.col("seq").alias("order_id"), "side", "slot", F.coalesce(own, F.col("last")).alias("price"), F.col("slot").alias("start"), (F.col("slot") + WAIT).alias("stop"))
+    shown = V.book_quantity(orders, grid, 3)
+    traded = V.traded_at(orders, O.level_trades(S.lob_ticks(spark, sf), F.col("volume"), UNIT), LEVEL)
+    return shown.join(traded, "order_id").select("order_id", "side", "price", F.col("shown").cast("double").alias("shown"), "at_level", "beyond")
+
+
+ORDER_LEVELS_SQL = f"""with {S.LOB_SQL}, bg as ({GRID_SQL}),
+o as (select t.code, t.day, t.seq as order_id, t.side, t.sec // 60 as slot, coalesce(case when t.side > 0 then case t.seq % 6 when 0 then bid1 when 2 then bid2 when 4 then bid3 end else case t.seq % 6 when 0 then ask1 when 2 then ask2 when 4 then ask3 end end, t.price) as price
+  from lt t left join bg on bg.code = t.code and bg.day = t.day and bg.slot = t.sec // 60 where t.side <> 0),
+q as (select o.*, case when o.side > 0 then case o.price when bid1 then bidqty1 when bid2 then bidqty2 when bid3 then bidqty3 end else case o.price when ask1 then askqty1 when ask2 then askqty2 when ask3 then askqty3 end end as shown
+  from o left join bg on bg.code = o.code and bg.day = o.day and bg.slot = o.slot),
+v as (select o.order_id, sum(lt.volume) filter (floor(lt.price / {LEVEL}) = floor(o.price / {LEVEL})) as here, sum(lt.volume) filter (floor(lt.price / {LEVEL}) <> floor(o.price / {LEVEL})) as beyond from o join lt on lt.code = o.code and lt.day = o.day
+  and lt.sec // 60 > o.slot and lt.sec // 60 <= o.slot + {WAIT} and ((o.side > 0 and lt.side <= 0 and floor(lt.price / {LEVEL}) <= floor(o.price / {LEVEL})) or (o.side < 0 and lt.side >= 0 and floor(lt.price / {LEVEL}) >= floor(o.price / {LEVEL}))) group by 1)
+select q.order_id, q.side, q.price, q.shown::double as shown, coalesce(v.here, 0)::double as at_level, coalesce(v.beyond, 0)::double as beyond from q left join v using (order_id)"""
+
+
 QUERIES = {
     "second_agg": (second_agg, SECOND_SQL, "day"),
     "level_trades": (level_trades, LEVEL_SQL, "day"),
     "book_ffill": (book_ffill, FFILL_SQL, "day"),
     "ofi": (ofi, OFI_SQL, "day"),
     "book_grid": (book_grid, GRID_SQL, "day"),
+    "order_levels": (order_levels, ORDER_LEVELS_SQL),
     "feat_v1": (feat_v1, V1_SQL, "day"),
     "feat_v2": (feat_v2, V2_SQL, "day"),
     "repeated_size": (repeated_size, REPEAT_SQL, "day"),

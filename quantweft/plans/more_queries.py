@@ -57,6 +57,11 @@ def maker_pessimistic(spark, sf):
     return O.maker_pessimistic(K._book(spark, sf), 8, 30, 0.002).filter("maker is not null").select("code", "day", "slot", r6("maker").alias("maker"))
 
 
+MAKER_SQL = f"""with {K.BOOK_SQL}, h as (select *, case when slot + 29 <= max(slot) over (partition by code, day) then max(ask) over (partition by code, day order by slot rows between current row and 29 following) end as best from book),
+f as (select b.code, b.day, b.slot, any_value(a.bid) as bid, min(c.slot) as fill from book b join book a on a.code = b.code and a.day = b.day and a.slot = b.slot + 1 join book c on c.code = b.code and c.day = b.day and c.slot between b.slot + 2 and b.slot + 9 and c.bid > 0 and c.bid < a.bid group by 1, 2, 3)
+select f.code, f.day, f.slot::int as slot, {K._r6('h.best / f.bid - 1 - 0.002')} as maker from f join h on h.code = f.code and h.day = f.day and h.slot = f.fill + 1 where f.bid > 0 and h.best > 0"""
+
+
 def specific_var_history(spark, sf):
     p = P.panel(spark, sf)
     r = p.withColumn("r", F.col("signal")).withColumn("u", F.when(F.abs("r") < 0.9, F.col("r"))).select("code", "t", "u", F.col("trade_value").alias("size"))
@@ -105,7 +110,7 @@ QUERIES = {
     "cap_tier": (cap_tier, TIER_SQL, "date"),
     "capitalisation": (capitalisation, CAP_SQL, "date"),
     "earnings_known": (earnings_known, EARN_SQL, "known"),
-    "maker_pessimistic": (maker_pessimistic, None, "day"),
+    "maker_pessimistic": (maker_pessimistic, MAKER_SQL, "day"),
     "specific_var_history": (specific_var_history, HISTORY_SQL),
     "noise_rule": (noise_rule, NOISE_SQL),
     "paired_difference": (paired_difference, PAIR_SQL),
