@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quantweft.operators import risk as R
 from quantweft.operators import windows as X
 from quantweft.sources.shapes import r6
 
@@ -82,6 +83,28 @@ def style_panels(panel: DataFrame, cap: Column) -> DataFrame:
     return panel.select("code", "date", "t", F.when(cap > 0, F.ln(cap)).alias("size"), momentum.alias("momentum"), F.when((known >= 6) & (cap > 0), F.ln(mean / cap)).alias("liquidity"))
 
 
+def risk_styles(panel: DataFrame, beta_window: int = 252, half_life: float = 63, least: int = 126, resid_window: int = 63, far: int = 252, near: int = 21, liquidity: tuple = ((21, 0.35), (63, 0.35), (252, 0.30)), turns: float = 21.0) -> DataFrame:
+    """(code, t, size, beta, momentum, resid_vol, liquidity, value): raw styles of every row with what was known at its close.
+
+    panel: a row for every code and t = 0, 1, 2 ... with close, cap, trade_value, ttm (net income of the last four quarters), m (the market's
+    return).  liquidity: (sessions, weight) of logarithms of mean turnover, each with half of its window known.
+    """
+    w = W.partitionBy("code").orderBy("t")
+    p = panel.withColumn("_close", F.when(F.col("close") > 0, F.col("close"))).withColumn("_cap", F.when(F.col("cap") > 0, F.col("cap")))
+    p = p.withColumn("r", F.col("_close") / F.lag("_close").over(w) - 1).withColumn("_turn", F.col("trade_value") / F.col("_cap"))
+    momentum = F.ln(F.lag("_close", near).over(w)) - F.ln(F.lag("_close", far).over(w))
+    p = p.withColumn("momentum", momentum)
+    level = F.lit(0.0)
+    for sessions, weight in liquidity:
+        p = X.trailing_weighted_sums(p, {f"_s{sessions}": F.col("_turn"), f"_n{sessions}": F.when(F.col("_turn").isNotNull(), 1.0)}, ["code"], "t", sessions)
+        mean = F.col(f"_s{sessions}") / F.col(f"_n{sessions}")
+        level = level + weight * F.when((F.col(f"_n{sessions}") >= sessions // 2) & (mean > 0), F.ln(turns * mean))
+    p = p.withColumn("liquidity", level)
+    regressed = R.rolling_beta(p.select("code", "t", "r", "m"), beta_window, half_life, least, resid_window)
+    own = p.select("code", "t", F.ln("_cap").alias("size"), "momentum", "liquidity", (F.col("ttm") / F.col("_cap")).alias("value"))
+    return own.join(regressed, ["code", "t"], "left").select("code", "t", "size", "beta", "momentum", F.col("resid_sd").alias("resid_vol"), "liquidity", "value")
+
+
 def factor_returns(exposures: DataFrame, returns: DataFrame) -> DataFrame:
     """returns (code, t, r) joined to exposures of the session before: what a regression of session t may know."""
     return returns.join(exposures.withColumn("t", F.col("t") + 1), ["code", "t"])

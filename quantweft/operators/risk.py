@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quantweft.operators import windows as X
 from quantweft.operators.windows import UP
 from quantweft.sources.shapes import r6
 
@@ -122,31 +123,29 @@ def cross_section_regression(rows: DataFrame, styles: list[str], industry: str,
     return rows.select("date", *styles, industry, ret, cap).groupBy("date").applyInPandas(fit, "date date, factor string, f double, n long")
 
 
-def rolling_beta(rows: DataFrame, window: int, half_life: float, least: int) -> DataFrame:
-    """(code, t, beta, resid_sd): exponentially weighted regression of r on m over a trailing window, one code a group."""
+def rolling_beta(rows: DataFrame, window: int, half_life: float, least: int, resid_window: int) -> DataFrame:
+    """(code, t, beta, resid_sd): exponentially weighted regression of r on m over the last `window` sessions, and the deviation of
+    r - beta * m over the last `resid_window` of them.
 
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        d = pdf.sort_values("t")
-        r, m, t = (d[c].to_numpy(float) for c in ("r", "m", "t"))
-        ok = np.isfinite(r) & np.isfinite(m)
-        out = []
-        for i in range(len(d)):
-            s = slice(max(0, i - window + 1), i + 1)
-            k = ok[s]
-            if k.sum() < least:
-                continue
-            x, y = m[s][k], r[s][k]
-            w = 0.5 ** ((t[i] - t[s][k]) / half_life)
-            w = w / w.sum()
-            mx, my = w @ x, w @ y
-            var = w @ (x - mx) ** 2
-            beta = (w @ ((x - mx) * (y - my))) / var if var > 0 else np.nan
-            tail = slice(max(0, len(x) - window // 4), None)
-            resid = (y - my - beta * (x - mx))[tail]
-            out.append((d["code"].iloc[0], int(t[i]), beta, resid.std(ddof=1) if len(resid) > 1 else np.nan))
-        return pd.DataFrame(out, columns=["code", "t", "beta", "resid_sd"])
-
-    return rows.groupBy("code").applyInPandas(fit, f"code {rows.schema['code'].dataType.simpleString()}, t long, beta double, resid_sd double")
+    rows (code, t, r, m): a row for every code and t = 0, 1, 2 ...  A beta needs `least` known pairs and a whole window after the first
+    session (which has no return), a deviation half of its window.  All sums are running ones (`trailing_weighted_sums`).
+    """
+    known = F.col("r").isNotNull() & ~F.isnan("r") & F.col("m").isNotNull() & ~F.isnan("m")
+    x = rows.select("code", "t", F.when(known, F.col("r")).alias("_r"), F.when(known, F.col("m")).alias("_m"))
+    r, m, one = F.col("_r"), F.col("_m"), F.when(F.col("_r").isNotNull(), 1.0)
+    terms = {"w": one, "m": m, "r": r, "mm": m * m, "mr": m * r}
+    x = X.trailing_weighted_sums(x, terms, ["code"], "t", window, half_life)
+    x = x.withColumns({f"_{k}_": F.col(k) for k in terms}).drop(*terms)
+    x = X.trailing_weighted_sums(x, {"k": one}, ["code"], "t", window)
+    mean = lambda c: F.col(f"_{c}_") / F.col("_w_")
+    slope = F.try_divide(mean("mr") - mean("m") * mean("r"), mean("mm") - mean("m") * mean("m"))
+    x = x.withColumn("beta", F.when((F.col("t") >= window) & (F.col("k") >= least), slope)).drop(*[f"_{k}_" for k in terms], "k")
+    x = X.trailing_weighted_sums(x, {"n": one, "s1": m, "s2": r, "s11": m * m, "s12": m * r, "s22": r * r}, ["code"], "t", resid_window)
+    n, b = F.col("n"), F.col("beta")
+    total = F.col("s22") - 2 * b * F.col("s12") + b * b * F.col("s11")
+    mid = (F.col("s2") - b * F.col("s1")) / n
+    sd = F.sqrt(F.greatest(total - n * mid * mid, F.lit(0.0)) / (n - 1))
+    return x.filter("beta is not null").select("code", "t", "beta", F.when((n >= resid_window // 2) & (n > 1), sd).alias("resid_sd"))
 
 
 def optimize(alpha: np.ndarray, x: np.ndarray, f: np.ndarray, d: np.ndarray, w_prev: np.ndarray, risk_aversion: float, linear: float, cap: float, budget: float = 1.0, steps: int = 2000, impact: float = 0.0) -> tuple[np.ndarray, str]:
@@ -279,12 +278,11 @@ def specific_variance_history(residuals: DataFrame, half_life: float, shrink: fl
     """(code, t, var) of every row: what specific_variance gives with the rows up to t.  residuals: code, t, u, size, a row for every code
     and t.
 
-    The weighted mean is a ratio of running sums of decay**-t, so the span in half-lives is bounded: 1,000 of them fit a double.
+    The weighted mean is that of `decayed_mean`: its span in half-lives is not bounded.
     """
     w = W.partitionBy("code").orderBy("t").rowsBetween(UP, 0)
-    grow = F.pow(F.lit(2.0), F.col("t") / half_life)
-    known = F.col("u").isNotNull() & ~F.isnan("u")
-    x = residuals.withColumn("_w", F.when(known, grow)).withColumn("n", F.count("_w").over(w)).withColumn("v", F.sum(F.col("_w") * F.col("u") * F.col("u")).over(w) / F.sum("_w").over(w))
+    known = F.when(F.col("u").isNotNull() & ~F.isnan("u"), F.col("u") * F.col("u"))
+    x = X.decayed_mean(residuals, known, ["code"], "t", half_life, "v").withColumn("n", F.count(known).over(w))
     x = x.withColumn("_q", F.when((F.col("n") >= half_life) & F.col("v").isNotNull(), F.col("v"))).withColumn("_s", F.when(~F.isnan("size"), F.col("size")))
     has = F.col("_s").isNotNull()
     day = W.partitionBy("t", has)

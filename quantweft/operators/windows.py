@@ -116,8 +116,8 @@ def trailing_extreme_blocks(df: DataFrame, value: str, partition: list[str], ind
     Rows have the index 0, 1, 2 ... without gaps.
     """
     fn = F.max if largest else F.min
-    w = W.partitionBy(*partition, "_block").orderBy(index)
-    parts = df.withColumn("_block", F.floor(F.col(index) / n)).withColumn("_from", fn(value).over(w.rowsBetween(0, UF))).withColumn("_to", fn(value).over(w.rowsBetween(UP, 0)))
+    w = W.partitionBy(*partition, "_block")
+    parts = df.withColumn("_block", F.floor(F.col(index) / n)).withColumn("_from", fn(value).over(w.orderBy(F.desc(index)).rowsBetween(UP, 0))).withColumn("_to", fn(value).over(w.orderBy(index).rowsBetween(UP, 0)))
     before = F.lag("_from", n - 1).over(W.partitionBy(*partition).orderBy(index))
     return parts.withColumn(out, (F.greatest if largest else F.least)(before, "_to")).drop("_block", "_from", "_to")
 
@@ -129,8 +129,8 @@ def forward_extreme_blocks(df: DataFrame, value: str, partition: list[str], inde
     """
     fn = F.max if largest else F.min
     block = F.floor(F.col(index) / n)
-    w = W.partitionBy(*partition, "_block").orderBy(index)
-    parts = df.withColumn("_block", block).withColumn("_from", fn(value).over(w.rowsBetween(0, UF))).withColumn("_to", fn(value).over(w.rowsBetween(UP, 0)))
+    w = W.partitionBy(*partition, "_block")
+    parts = df.withColumn("_block", block).withColumn("_from", fn(value).over(w.orderBy(F.desc(index)).rowsBetween(UP, 0))).withColumn("_to", fn(value).over(w.orderBy(index).rowsBetween(UP, 0)))
     ahead = W.partitionBy(*partition).orderBy(index)
     last = F.max(F.col(index)).over(W.partitionBy(*partition))
     begin = F.lead("_from", lo).over(ahead)
@@ -142,6 +142,59 @@ def forward_extreme_blocks(df: DataFrame, value: str, partition: list[str], inde
     return parts.withColumn(out, both).drop("_block", "_from", "_to")
 
 
+#: Weights of rows this many half-lives apart are no longer told apart in one scale: 2**500.
+MOST_HALF_LIVES = 500
+
+
+def trailing_weighted_sums(df: DataFrame, values: dict[str, Column], partition: list[str], index: str, n: int, half_life: float | None = None) -> DataFrame:
+    """Adds a column a value: its sum over the last n rows (fewer at the beginning), weighed by 0.5 ** (age / half_life) if one is given.
+    NULL counts as 0.
+
+    Rows (index 0, 1, 2 ... without gaps) fall into blocks of n; the last n rows are the end of one block and the beginning of the next.
+    Both are running sums, weighed from their own block's edge: no row sums n others, nothing is subtracted, and no weight leaves
+    the range of a double while n is at most MOST_HALF_LIVES half-lives.
+    """
+    if half_life is not None and n > MOST_HALF_LIVES * half_life:
+        raise ValueError(f"a window of {n} rows exceeds {MOST_HALF_LIVES} half-lives")
+    rate = 0.0 if half_life is None else 1.0 / half_life
+    weight = lambda exponent: F.pow(F.lit(2.0), exponent * rate) if rate else F.lit(1.0)
+    at = F.col(index)
+    df = df.withColumn("_block", F.floor(at / n)).withColumn("_pos", at % n)
+    block = W.partitionBy(*partition, "_block")
+    heads, tails = block.orderBy(index).rowsBetween(UP, 0), block.orderBy(F.desc(index)).rowsBetween(UP, 0)
+    known = {name: F.coalesce(v.cast("double"), F.lit(0.0)) for name, v in values.items()}
+    df = df.withColumns({f"_head_{name}": F.sum(v * weight(F.col("_pos"))).over(heads) for name, v in known.items()} | {f"_tail_{name}": F.sum(v * weight(F.col("_pos") - (n - 1))).over(tails) for name, v in known.items()})
+    before = W.partitionBy(*partition).orderBy(index)
+    df = df.withColumns({f"_old_{name}": F.lag(f"_tail_{name}", n - 1).over(before) for name in values})
+    # the row n - 1 ago is of the same block only if that ends here
+    old = lambda name: F.when(F.col("_pos") < n - 1, F.coalesce(F.col(f"_old_{name}"), F.lit(0.0)) * weight(-(F.col("_pos") + 1))).otherwise(0.0)
+    df = df.withColumns({name: F.col(f"_head_{name}") * weight(-F.col("_pos")) + old(name) for name in values})
+    return df.drop("_block", "_pos", *[f"_{x}_{name}" for x in ("head", "tail", "old") for name in values])
+
+
+def decayed_mean(df: DataFrame, value: Column, partition: list[str], index: str, half_life: float, out: str) -> DataFrame:
+    """Adds the mean of the known values so far, weighed by 0.5 ** (age / half_life); NULL before the first.
+
+    Within a block of MOST_HALF_LIVES half-lives it is a ratio of running sums; of the blocks before, the last two that matter are
+    carried over in the block's own scale (what is older weighs less than 2**-500 of them).  The span of the index is not bounded.
+    """
+    span = max(1, int(MOST_HALF_LIVES * half_life))
+    df = df.withColumn("_block", F.floor(F.col(index) / span)).withColumn("_v", value)
+    grown = F.when(F.col("_v").isNotNull(), F.pow(F.lit(2.0), (F.col(index) % span) / half_life))
+    df = df.withColumn("_w", grown)
+    w = W.partitionBy(*partition, "_block").orderBy(index).rowsBetween(UP, 0)
+    df = df.withColumn("_num", F.sum(F.col("_w") * F.col("_v")).over(w)).withColumn("_den", F.sum("_w").over(w))
+    totals = df.groupBy(*partition, "_block").agg(F.sum(F.col("_w") * F.col("_v")).alias("n"), F.sum("_w").alias("d"))
+    order = W.partitionBy(*partition).orderBy("_block")
+    full = F.when(F.col("d").isNotNull(), F.struct("_block", "n", "d", F.when(F.lag("_block").over(order) == F.col("_block") - 1, F.struct(F.lag("n").over(order).alias("n"), F.lag("d").over(order).alias("d"))).alias("old")))
+    totals = totals.withColumn("full", full).select(*partition, "_block", F.last("full", ignorenulls=True).over(order.rowsBetween(UP, -1)).alias("_last"))
+    df = df.join(totals, [*partition, "_block"])
+    less = F.pow(F.lit(2.0), (F.col("_last._block") - F.col("_block")) * (span / half_life))
+    both = lambda x: F.col(f"_{'num' if x == 'n' else 'den'}") + F.coalesce(F.col(f"_last.{x}") * less, F.lit(0.0))
+    older = lambda x: F.col(f"_last.{x}") + F.coalesce(F.col(f"_last.old.{x}") * 2.0 ** -(span / half_life), F.lit(0.0))
+    return df.withColumn(out, F.when(F.col("_den").isNotNull(), both("n") / both("d")).otherwise(older("n") / older("d"))).drop("_block", "_v", "_w", "_num", "_den", "_last")
+
+
 def as_of(left: DataFrame, right: DataFrame, by: list[str], left_time: str, right_time: str, values: list[str], strict: bool = False, ties: list[str] | None = None) -> DataFrame:
     """left with the values of the last right row at or before its time (strict: before).
 

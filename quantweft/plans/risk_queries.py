@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from quantweft.functions import market as M
 from quantweft.operators import cross_section as B
 from quantweft.operators import execution as E
+from quantweft.operators import preparation as Q
 from quantweft.operators import risk as R
 from quantweft.plans import panel_queries as P
 from quantweft.sources import shapes as S
@@ -112,10 +113,52 @@ def factor_regression(spark, sf):
 
 
 def rolling_beta(spark, sf):
-    r = _residuals(spark, sf)
-    m = r.groupBy("t").agg(F.avg("size").alias("_s"), F.sum("u").alias("_u"))
-    rows = r.join(m, "t").select("code", "t", F.col("u").alias("r"), (F.col("_u") / 100 + F.col("_s") / 1e7).alias("m"))
-    return R.rolling_beta(rows, 60, 30.0, 30)
+    out = R.rolling_beta(_market_rows(P.panel(spark, sf)), 60, 30.0, 30, 15)
+    return out.select("code", "t", r6("beta").alias("beta"), r6("resid_sd").alias("resid_sd"))
+
+
+def _market_rows(panel):
+    """Every code and t: its return and the market's, by trade value."""
+    r = F.try_divide(F.col("close"), F.lag("close").over(W.partitionBy("code").orderBy("t"))) - 1
+    p = panel.withColumn("r", r).withColumn("r", F.when(F.abs("r") < 0.9, F.col("r")))
+    known = F.when(F.col("r").isNotNull(), F.col("trade_value"))
+    m = p.groupBy("t").agg((F.sum(F.col("r") * known) / F.sum(known)).alias("m"))
+    return p.join(m, "t")
+
+
+MARKET_SQL = f"""{PANEL}, mr as (select *, case when abs(close / lag(close) over (partition by code order by t) - 1) < 0.9 then close / lag(close) over (partition by code order by t) - 1 end as r, close / lag(close) over (partition by code order by t) - 1 as raw from panel),
+mk as (select t, sum(r * trade_value) / sum(case when r is not null then trade_value end) as m from mr group by t)"""
+
+
+def beta_sql(window: int, half_life: float, least: int, resid: int, r: str = "r") -> str:
+    """Steps after MARKET_SQL: rb (code, t, beta, resid_sd), by two passes over each window."""
+    return f"""bx as (select mr.code, mr.t, {r} as r, m from mr join mk using (t) where {r} is not null and m is not null),
+bg as (select distinct code, t from mr where t >= {window}), bw as (select g.code, g.t, x.t as s, r, m, pow(0.5, (g.t - x.t) / {half_life}::double) as w from bg g join bx x on x.code = g.code and x.t > g.t - {window} and x.t <= g.t),
+bm as (select code, t, sum(w * m) / sum(w) as mb, sum(w * r) / sum(w) as rb from bw group by 1, 2 having count(*) >= {least}),
+bb as (select code, t, sum(w * (m - mb) * (r - rb)) / sum(w * (m - mb) * (m - mb)) as beta from bw join bm using (code, t) group by 1, 2),
+br as (select code, t, case when count(*) >= {resid // 2} then stddev_samp(r - beta * m) end as resid_sd from bw join bb using (code, t) where s > t - {resid} group by 1, 2),
+rb as (select bb.code, bb.t, beta, resid_sd from bb left join br using (code, t))"""
+
+
+BETA_SQL = f"""with {MARKET_SQL}, {beta_sql(60, 30, 30, 15)} select code, t, {_r6('beta')} as beta, {_r6('resid_sd')} as resid_sd from rb"""
+
+LIQUIDITY = ((4, 0.35), (13, 0.35), (52, 0.3))
+
+
+def risk_styles(spark, sf):
+    """All six styles on a weekly panel; the windows are weeks, capitalisation and net income come from trade values."""
+    w = W.partitionBy("code").orderBy("t")
+    p = _market_rows(P.panel(spark, sf)).withColumn("cap", F.avg("trade_value").over(w.rowsBetween(-51, 0)) * 40).withColumn("ttm", F.avg("trade_value").over(w.rowsBetween(-12, 0)) / 10)
+    out = Q.risk_styles(p, 60, 30.0, 30, 15, 13, 1, LIQUIDITY)
+    return out.select("code", "t", *[r6(c).alias(c) for c in out.columns[2:]])
+
+
+_LIQ = " + ".join(f"{weight} * case when count(turn) over (partition by code order by t rows {n - 1} preceding) >= {n // 2} and avg(turn) over (partition by code order by t rows {n - 1} preceding) > 0 then ln(21.0 * avg(turn) over (partition by code order by t rows {n - 1} preceding)) end" for n, weight in LIQUIDITY)
+STYLES_SQL = f"""with {MARKET_SQL}, {beta_sql(60, 30, 30, 15, 'raw')},
+c0 as (select *, avg(trade_value) over (partition by code order by t rows 51 preceding) * 40 as cap, avg(trade_value) over (partition by code order by t rows 12 preceding) / 10 as ttm from mr),
+c1 as (select *, case when cap > 0 then cap end as pc, case when close > 0 then close end as pp, trade_value / case when cap > 0 then cap end as turn from c0),
+c2 as (select code, t, ln(pc) as size, ln(lag(pp, 1) over (partition by code order by t)) - ln(lag(pp, 13) over (partition by code order by t)) as momentum, {_LIQ} as liquidity, ttm / pc as value from c1)
+select c2.code, c2.t, {_r6('size')} as size, {_r6('beta')} as beta, {_r6('momentum')} as momentum, {_r6('resid_sd')} as resid_vol, {_r6('liquidity')} as liquidity, {_r6('value')} as value from c2 left join rb using (code, t)"""
 
 
 def optimize_dates(spark, sf):
@@ -254,7 +297,8 @@ QUERIES = {
     "bias_stat": (bias_stat, BIAS_SQL),
     "attribution": (attribution, ATTR_SQL, "date"),
     "factor_regression": (factor_regression, None, "date"),
-    "rolling_beta": (rolling_beta, None),
+    "rolling_beta": (rolling_beta, BETA_SQL),
+    "risk_styles": (risk_styles, STYLES_SQL),
     "optimize_dates": (optimize_dates, None, "date"),
     "position_fold": (position_fold, None),
     "reconcile": (reconcile, REC_SQL),
