@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quantweft.functions import market as M
+from quantweft.operators import allocation as A
 from quantweft.operators import cross_section as B
 from quantweft.operators import execution as E
 from quantweft.operators import preparation as Q
@@ -166,6 +167,23 @@ def optimize_dates(spark, sf):
     return R.optimize_dates(p, ["mkt", "odd"], np.array([[0.04, 0.0], [0.0, 0.01]]), 5.0, 0.001, 0.1)
 
 
+BOOK_LIMITS = A.Limits(max_weight=0.15, sector_band=0.1, beta_bounds=(0.8, 1.2), style_bounds={"size": (-0.5, 0.5)}, max_turnover=0.8, max_participation=5.0)
+
+
+def optimize_limits(spark, sf):
+    """The book of every date under all kinds of limits: sectors are codes by their last digit, the benchmark is the trade value."""
+    p = P.panel(spark, sf).filter("signal is not null and trade_value is not null")
+    day = W.partitionBy("date")
+    share = F.col("trade_value") / F.sum("trade_value").over(day)
+    size = F.ln("trade_value")
+    rows = p.select(
+        "date", "code", (F.col("signal") / 100).alias("alpha"), (0.02 + (F.col("code") % 7) / 100).alias("d"), (1 / F.count(F.lit(1)).over(day)).alias("w_prev"), F.lit(1.0).alias("mkt"),
+        ((size - F.avg(size).over(day)) / F.greatest(F.stddev_pop(size).over(day), F.lit(1e-9))).alias("size"), (F.col("code") % 5).alias("sector"), share.alias("benchmark"), (share * 2).alias("capacity"),
+        F.lit(0.001).alias("linear"), F.lit(-0.0005).alias("tilt"), F.lit(0.002).alias("impact"), (F.col("code") % 11 == 3).alias("no_buy"), (F.col("code") % 17 == 5).alias("no_trade"),
+    )
+    return A.optimize_panel(rows, ["mkt", "size"], np.array([[0.04, 0.0], [0.0, 0.01]]), BOOK_LIMITS, 5.0)
+
+
 def _fills(spark, sf):
     l = S.table(spark, sf, "lineitem")
     seq = F.row_number().over(W.partitionBy("l_suppkey").orderBy("l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice"))
@@ -300,6 +318,7 @@ QUERIES = {
     "rolling_beta": (rolling_beta, BETA_SQL),
     "risk_styles": (risk_styles, STYLES_SQL),
     "optimize_dates": (optimize_dates, None, "date"),
+    "optimize_limits": (optimize_limits, None, "date"),
     "position_fold": (position_fold, None),
     "reconcile": (reconcile, REC_SQL),
     "own_foreign_fills": (own_foreign_fills, OWN_SQL),
