@@ -9,8 +9,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quantweft.operators import lob as L
+from quantweft.plans import book_queries as K
 from quantweft.sources import shapes as S
 from quantweft.sources.shapes import r6
+from quantweft.streaming import feature_streams as Y
 from quantweft.streaming import second_features as X
 
 
@@ -86,8 +89,48 @@ def stream_incremental_fills(spark, sf):
 STREAM_FILLS_SQL = """with c as (select ts::date as day, user_id::bigint as ord_no, event_id::bigint as seq, (event_id * 7 % 1000)::bigint as cum from events),
 d as (select *, cum - coalesce(max(cum) over (partition by day, ord_no order by seq rows between unbounded preceding and 1 preceding), 0) as new_qty from c) select day::varchar as day, ord_no, seq, new_qty from d where new_qty > 0"""
 
+def lob_events(events, ts: str = "ts"):
+    """Ticks and quotes of a table or stream of events in one shape, with their times."""
+    e = events.select(*[c for c in events.columns if c != "ts"], F.col("ts").cast("timestamp").alias("ts"))
+    depth = lambda p: sum(F.coalesce(f"{p}qty{i}", F.lit(0)) for i in (1, 2, 3)) * F.col(f"{p}1")
+    quotes = S.quotes_of(e, 3, "ts").withColumns({"bid_depth3": depth("bid"), "ask_depth3": depth("ask"), "quote": F.lit(True)})
+    both = S.ticks_of(e, "ts").withColumn("quote", F.lit(False)).unionByName(quotes, allowMissingColumns=True)
+    kinds = dict(x.split() for x in Y.EVENT.split(", "))
+    return both.select("code", "day", "ts", *[F.col(c).cast(k).alias(c) for c, k in kinds.items()])
+
+
+def _features(spark, sf, second: bool):
+    rocks = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(rocks, None)
+    spark.conf.set(rocks, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        out = _drained(spark, lob_events(_source(spark, sf, "events")), lambda rows: Y.feature_stream(rows, second, K.SLOTS, K.UNIT), _end(spark, sf))
+    finally:
+        spark.conf.set(rocks, before) if before else spark.conf.unset(rocks)
+    # a session without a trade has no grid
+    traded = S.lob_ticks(spark, sf).select("code", "day").distinct()
+    out = out.join(traded, ["code", "day"], "left_semi")
+    known = [F.when(~F.isnan(c), F.col(c)).alias(c) for c in (L.V2 if second else L.V1)]
+    return out.filter("code is not null").select("code", F.col("day").cast("string").alias("day"), "slot", *known)
+
+
+def stream_features_v1(spark, sf):
+    """All columns of the first feature set, slot by slot as the watermark passes."""
+    return K._rounded(_features(spark, sf, False).filter("acc is not null and ret30 is not null"), L.V1)
+
+
+def stream_features_v2(spark, sf):
+    """All columns of the second."""
+    return K._rounded(_features(spark, sf, True).filter("dist_hi300 is not null"), L.V2)
+
+
+STREAM_V1_SQL, STREAM_V2_SQL = (f"select * replace (cast(day as varchar) as day) from ({x}) q" for x in (K.V1_SQL, K.V2_SQL))
+
+
 QUERIES = {
     "stream_minute_bars": (stream_minute_bars, MINUTES_SQL),
     "stream_second_features": (stream_second_features, SECONDS_SQL),
     "stream_incremental_fills": (stream_incremental_fills, STREAM_FILLS_SQL),
+    "stream_features_v1": (stream_features_v1, STREAM_V1_SQL),
+    "stream_features_v2": (stream_features_v2, STREAM_V2_SQL),
 }

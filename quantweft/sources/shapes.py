@@ -43,9 +43,9 @@ def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _lob_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events")
+def _lob_events(e: DataFrame, *more: str) -> DataFrame:
     return e.select(
+        *more,
         (F.col("user_id") % 10).cast("int").alias("code"), F.col("ts").cast("date").alias("day"), (F.hour("ts") * 3600 + F.minute("ts") * 60 + F.second("ts")).cast("int").alias("sec"),
         F.col("event_id").alias("seq"), (F.floor(F.col("value") * 100).cast("int") + 1).alias("px"), F.regexp_extract("props", "[0-9]+", 0).cast("int").alias("k"), "event_type",
     )
@@ -53,17 +53,27 @@ def _lob_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def lob_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Trades with quantity, strength and the best quotes they saw: purchases, clicks (buys) and errors (sells)."""
-    e = _lob_events(spark, sf_dir).filter("event_type in ('purchase', 'click', 'error')")
+    return ticks_of(table(spark, sf_dir, "events"))
+
+
+def ticks_of(events: DataFrame, *more: str) -> DataFrame:
+    """The same of any table or stream of events, with more of its columns."""
+    e = _lob_events(events, *more).filter("event_type in ('purchase', 'click', 'error')")
     return e.select(
-        "code", "day", "sec", "seq", F.col("px").alias("price"), F.col("k").alias("volume"), F.when(F.col("k") % 9 == 0, 0).when(F.col("event_type") == "error", -1).otherwise(1).alias("side"),
+        *more, "code", "day", "sec", "seq", F.col("px").alias("price"), F.col("k").alias("volume"), F.when(F.col("k") % 9 == 0, 0).when(F.col("event_type") == "error", -1).otherwise(1).alias("side"),
         F.when(F.col("k") % 10 != 0, F.col("k") * 1.5).alias("strength"), (F.col("px") - 5).alias("best_bid"), (F.col("px") + 5).alias("best_ask"),
     )
 
 
 def lob_quotes(spark: SparkSession, sf_dir: str, levels: int = 3) -> DataFrame:
     """Book snapshots of several levels from all other events; some have no bid, some a level without a quantity."""
-    e = _lob_events(spark, sf_dir).filter("event_type not in ('purchase', 'click', 'error')")
-    out = e.select("code", "day", "sec", "seq")
+    return quotes_of(table(spark, sf_dir, "events"), levels)
+
+
+def quotes_of(events: DataFrame, levels: int = 3, *more: str) -> DataFrame:
+    """The same of any table or stream of events, with more of its columns."""
+    e = _lob_events(events, *more).filter("event_type not in ('purchase', 'click', 'error')")
+    out = e.select(*more, "code", "day", "sec", "seq")
     ask = F.col("px") + 5 * (1 + F.col("k") % 3)
     columns = []
     for n in range(levels):
