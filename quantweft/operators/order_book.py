@@ -17,7 +17,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quantweft.operators import windows as X
+from quantweft.operators.selection import exact_quantiles
 from quantweft.sources.shapes import r6
+from quantweft.sources.staging import written
 
 KEYS = ["code", "day"]
 
@@ -119,14 +121,18 @@ def through_fill(book: DataFrame, within: int) -> DataFrame:
 
 
 def ceiling_table(book: DataFrame, horizons: list[int], cost: float) -> DataFrame:
-    """(horizon, kind, n, mean, median, p90, positive) of the oracle exits, in basis points."""
-    out = None
+    """(horizon, kind, n, mean, median, p90, positive) of the oracle exits, in basis points.  The book is read once for all horizons, and
+    a kind's values are never gathered (`selection`)."""
+    g = book.select(*KEYS, "slot", "bid", "ask")
     for h in horizons:
-        o = oracle_exits(book, h, cost)
-        rows = o.select(F.lit(h).alias("horizon"), F.expr("stack(2, 'long', oracle_long, 'short', oracle_short) as (kind, x)")).filter("x is not null")
-        out = rows if out is None else out.unionByName(rows)
-    x = F.col("x") * 1e4
-    return out.groupBy("horizon", "kind").agg(F.count(F.lit(1)).alias("n"), r6(F.avg(x)).alias("mean"), r6(F.median(x)).alias("median"), r6(F.percentile(x, F.lit(0.9))).alias("p90"), r6(F.avg((x > 0).cast("double"))).alias("positive"))
+        g = oracle_exits(g, h, cost).withColumnsRenamed({"oracle_long": f"_long{h}", "oracle_short": f"_short{h}"})
+    each = ", ".join(f"{h}, '{kind}', _{kind}{h}" for h in horizons for kind in ("long", "short"))
+    rows = g.select(F.expr(f"stack({2 * len(horizons)}, {each}) as (horizon, kind, x)")).filter("x is not null").withColumn("x", F.col("x") * 1e4)
+    rows = written(rows, "exits")
+    x = F.col("x")
+    sums = rows.groupBy("horizon", "kind").agg(F.count(F.lit(1)).alias("n"), r6(F.avg(x)).alias("mean"), r6(F.avg((x > 0).cast("double"))).alias("positive"))
+    quantiles = exact_quantiles(rows, ["horizon", "kind"], "x", [0.5, 0.9], stored=True).groupBy("horizon", "kind").agg(*[r6(F.max(F.when(F.col("quantile") == q, F.col("value")))).alias(c) for q, c in ((0.5, "median"), (0.9, "p90"))])
+    return sums.join(quantiles, ["horizon", "kind"]).select("horizon", "kind", "n", "mean", "median", "p90", "positive")
 
 
 def exit_simulation(signals: DataFrame, path: DataFrame, take: float, stop: float, max_hold: int, latency: int = 1) -> DataFrame:
