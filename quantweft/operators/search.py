@@ -128,6 +128,15 @@ def noise_rule(rows: DataFrame, value: str, a: str, b: str, by: str, k: float =
     return both.withColumn("winner", F.when(known & (F.abs(d) > k * F.greatest("sd_a", "sd_b")), F.when(d > 0, F.lit(a)).otherwise(F.lit(b))))
 
 
+def noise_rules(rows: DataFrame, value: str, pairs: DataFrame, by: str, k: float = 2.0) -> DataFrame:
+    """noise_rule for all pairs (a, b) of candidates that have rows, from one aggregation."""
+    stat = rows.groupBy(by).agg(F.avg(value).alias("m"), F.stddev_samp(value).alias("s"), F.count(value).alias("n"))
+    side = lambda x: stat.toDF(x, f"mean_{x}", f"sd_{x}", f"n_{x}")
+    d = F.col("mean_a") - F.col("mean_b")
+    known = F.col("sd_a").isNotNull() & F.col("sd_b").isNotNull()
+    return pairs.join(side("a"), "a").join(side("b"), "b").withColumn("winner", F.when(known & (F.abs(d) > k * F.greatest("sd_a", "sd_b")), F.when(d > 0, F.col("a")).otherwise(F.col("b"))))
+
+
 def paired_difference(rows: DataFrame, value: str, a: str, b: str, by: str, key: str) -> DataFrame:
     """(mean, se, n) of a less b over the keys (seeds) that both have."""
     side = lambda x, c: rows.filter(F.col(by) == x).select(key, F.col(value).alias(c))

@@ -77,14 +77,13 @@ select code, t, {_r6('coalesce(q * 0.7 + prior * 0.3, prior)')} as var from p wh
 
 def noise_rule(spark, sf):
     t = S.trades(spark, sf).withColumn("candidate", F.col("code").cast("string"))
-    out = None
-    for a, b in (("1", "2"), ("3", "4"), ("5", "6")):
-        one = E.noise_rule(t, "r", a, b, "candidate", 0.01).select(F.lit(a).alias("a"), F.lit(b).alias("b"), r6("mean_a").alias("mean_a"), r6("sd_a").alias("sd_a"), "n_a", r6("mean_b").alias("mean_b"), r6("sd_b").alias("sd_b"), "n_b", "winner")
-        out = one if out is None else out.unionByName(one)
-    return out
+    # each code with the next
+    pairs = spark.range(0, 50, 2).select(F.col("id").cast("string").alias("a"), (F.col("id") + 1).cast("string").alias("b"))
+    out = E.noise_rules(t, "r", pairs, "candidate", 0.01)
+    return out.select("a", "b", r6("mean_a").alias("mean_a"), r6("sd_a").alias("sd_a"), "n_a", r6("mean_b").alias("mean_b"), r6("sd_b").alias("sd_b"), "n_b", "winner")
 
 
-NOISE_SQL = f"""with {S.TRADES_SQL}, s as (select code, avg(r) as m, stddev_samp(r) as s, count(r) as n from trades group by code), p(a, b) as (values (1, 2), (3, 4), (5, 6))
+NOISE_SQL = f"""with {S.TRADES_SQL}, s as (select code, avg(r) as m, stddev_samp(r) as s, count(r) as n from trades group by code), p(a, b) as (select k, k + 1 from range(0, 50, 2) r(k))
 select p.a::varchar as a, p.b::varchar as b, {_r6('x.m')} as mean_a, {_r6('x.s')} as sd_a, x.n as n_a, {_r6('y.m')} as mean_b, {_r6('y.s')} as sd_b, y.n as n_b, case when abs(x.m - y.m) > 0.01 * greatest(x.s, y.s) then case when x.m > y.m then p.a else p.b end end::varchar as winner
 from p join s x on x.code = p.a join s y on y.code = p.b"""
 

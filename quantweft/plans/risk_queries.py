@@ -12,6 +12,7 @@ from quantweft.operators import cross_section as B
 from quantweft.operators import execution as E
 from quantweft.operators import preparation as Q
 from quantweft.operators import risk as R
+from quantweft.operators import space as SP
 from quantweft.plans import panel_queries as P
 from quantweft.sources import shapes as S
 from quantweft.sources.shapes import r6
@@ -293,18 +294,41 @@ def pending_registrations(spark, sf):
 PENDING_SQL = "select o_orderkey, o_custkey from orders where not exists (select 1 from lineitem where l_orderkey = o_orderkey and l_returnflag = 'A')"
 
 
-def sweep_grid(spark, sf):
-    """Cross product of parameter axes with the result of an objective, evaluated as Arrow batches."""
-    from quantweft.operators import search
+def sweep_objective(trades):
+    """value of phenotypes (horizon, top, cost): mean of r over trades of codes below `top` whose code's last `horizon` trades gained, less
+    cost; all phenotypes in one pass over the trades."""
+
+    def value(configs):
+        horizons = [r[0] for r in configs.select("horizon").distinct().collect()]  # levels of a gene
+        w = W.partitionBy("code").orderBy("entry_date", "trade_id")
+        past = F.array(*[F.struct(F.lit(h).cast("long").alias("horizon"), F.avg("r").over(w.rowsBetween(-h, -1)).alias("m")) for h in horizons] or [F.struct(F.lit(0).cast("long").alias("horizon"), F.lit(0.0).alias("m"))])
+        rows = trades.withColumn("p", past).select("code", "r", F.explode("p").alias("p")).filter("p.m > 0").select("code", "r", "p.horizon")
+        hits = rows.join(F.broadcast(configs), "horizon").filter(F.col("code") < F.col("top"))  # a row a phenotype
+        means = hits.groupBy("key").agg(F.avg("r").alias("m"))
+        return configs.join(means, "key", "left").select("key", (F.col("m") - F.col("cost")).alias("value"))
 
-    return search.run_sweep(spark, _objective, search.grid(horizon=[5, 20, 60], top=[10, 40], cost=[0.001, 0.002]), "horizon int, top int, cost double", "score double").select("horizon", "top", "cost", "score")
+    return value
 
 
-def _objective(config: dict) -> dict:
-    return {"score": config["horizon"] / config["top"] - config["cost"]}
+SWEEP_SPACE = SP.Space([SP.Ordinal("horizon", (5, 20, 60)), SP.Ordinal("top", (10, 40)), SP.Real("cost", 0.001, 0.002)])
 
 
-SWEEP_SQL = "select h::int as horizon, t::int as top, c::double as cost, h::double / t - c::double as score from unnest([5, 20, 60]) a(h), unnest([10, 40]) b(t), unnest([0.001, 0.002]) d(c)"
+def sweep_grid(spark, sf):
+    """A grid of parameters, some of it twice, each phenotype evaluated once over all trades; half of them come from a memo."""
+    grid = [(float(c), float(h), float(t)) for h in range(3) for t in range(2) for c in (0, 1)]
+    table = spark.createDataFrame([(i, list(x)) for i, x in enumerate([*grid, *grid[:5]])], "index long, x array<double>")
+    value = sweep_objective(S.trades(spark, sf))
+    _, memo = SP.evaluated_once(table.filter("index % 2 = 0"), SWEEP_SPACE, value)
+    out, _ = SP.evaluated_once(table, SWEEP_SPACE, value, memo)
+    return out.select("index", "horizon", "top", "cost", r6("value").alias("score"))
+
+
+SWEEP_SQL = f"""with {S.TRADES_SQL}, g as (select h * 4 + t * 2 + c as i, [5, 20, 60][h + 1] as horizon, [10, 40][t + 1] as top, [0.001, 0.002][c + 1]::double as cost from range(0, 3) a(h), range(0, 2) b(t), range(0, 2) d(c)),
+x as (select i as index, * from g union all select i + 12, * from g where i < 5),
+m as (select code, r, avg(r) over (partition by code order by entry_date, trade_id rows between 5 preceding and 1 preceding) as m5, avg(r) over (partition by code order by entry_date, trade_id rows between 20 preceding and 1 preceding) as m20,
+  avg(r) over (partition by code order by entry_date, trade_id rows between 60 preceding and 1 preceding) as m60 from trades),
+s as (select g.i, avg(r) - any_value(cost) as score from g join m on m.code < g.top and case g.horizon when 5 then m5 when 20 then m20 else m60 end > 0 group by g.i)
+select x.index, x.horizon::bigint as horizon, x.top::bigint as top, x.cost, {_r6('s.score')} as score from x left join s using (i)"""
 
 QUERIES = {
     "standardize": (standardize, STD_SQL, "date"),
