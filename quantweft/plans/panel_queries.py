@@ -9,6 +9,8 @@ from quantweft.operators import cross_section as B
 from quantweft.operators import windows as X
 from quantweft.sources import shapes as S
 from quantweft.sources.shapes import r6
+from quantweft.sources.staging import new_path
+from quantweft.sources.yearly import YearlyCopy
 
 BARS = S.BARS_SQL
 
@@ -37,6 +39,19 @@ def fingerprint(spark, sf):
 FINGERPRINT_SQL = f"with {BARS} select year(date)::int as year, count(*) as n, max(date)::varchar as last, sum(round_even(close * 100, 0)::bigint)::bigint as closes, sum(volume::bigint)::bigint as volumes from bars group by 1"
 
 
+def yearly_copy(spark, sf):
+    """Bars copied by year in two revisions: the second has more rows in every third year, and only those are written again."""
+    bars = S.bars(spark, sf)
+    copy = YearlyCopy(spark, new_path(spark, "yearly"))
+    copy.refresh(bars.filter((F.year("date") % 3 != 0) | (F.col("code") % 5 != 0)))
+    again = copy.refresh(bars)
+    rows = copy.read().groupBy(F.year("date").alias("year")).agg(F.count(F.lit(1)).alias("n"), r6(F.sum("close")).alias("close"))
+    return rows.withColumn("written", F.col("year").isin(again))
+
+
+YEARLY_SQL = f"with {BARS} select year, count(*) as n, floor(sum(close) * 1e6 + 0.5) / 1e6 as close, bool_or(year % 3 = 0 and code % 5 = 0) as written from (select *, year(date)::int as year from bars) group by year"
+
+
 def panel_dense(spark, sf):
     return panel(spark, sf).select("code", "date", F.col("t").cast("long").alias("t"), "close", "trade_value")
 
@@ -289,6 +304,7 @@ select bucket, n, mean, median, n_days, n_months, neg_month_share from (select b
 QUERIES = {
     "bars_rollup": (bars_rollup, f"with {BARS} select * from bars", "date"),
     "fingerprint_by_year": (fingerprint, FINGERPRINT_SQL),
+    "yearly_copy": (yearly_copy, YEARLY_SQL),
     "panel_dense": (panel_dense, f"with {PANEL_SQL} select code, date, t, close, trade_value from panel", "date"),
     "adv_windows": (adv_windows, ADV_SQL, "date"),
     "forward_returns": (forward_returns, FWD_SQL, "date"),
