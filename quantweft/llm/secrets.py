@@ -17,6 +17,7 @@ table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,6 +25,8 @@ from pyspark.sql import functions as F
 from quantweft.llm import common as C
 
 WINDOW = 20
+#: Candidates' characters lie between + and z.
+LOWEST, KINDS_OF_CHARACTERS = ord("+"), ord("z") - ord("+") + 1
 #: Matches of a text are placed in blocks of so many.
 BLOCK = 256
 
@@ -43,27 +46,57 @@ THRESHOLDS = {"hex": 3.0, "alnum": 3.6, "symbols": 3.8}
 ALLOWED = ("^[^0-9]*$", "^[^A-Za-z]*$", "^[0-9A-Fa-f]{8}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{12}$", "^[A-Za-z]*([/_-][A-Za-z]+)*([/_-][0-9]{1,4})+$", "(EXAMPLE|example|XXXX|xxxx|0123456789|abcdefgh)")
 
 
+def scanned(items: Column, start: Column, step: Callable[[Column, Column], Column], kind: str) -> Column:
+    """The states after each item, state 0 being `start`; kind: their type.  Appending copies what is there, so items go in blocks."""
+    none, blocks = f"cast(array() as array<{kind}>)", f"cast(array() as array<struct<last:{kind},out:array<{kind}>>>)"
+
+    def item(acc: Column, x: Column) -> Column:
+        return let(step(acc["last"], x), lambda now: F.struct(now.alias("last"), F.concat(acc["out"], F.array(now)).alias("out")))
+
+    def block(done: Column, xs: Column) -> Column:
+        before = F.coalesce(F.get(done, F.size(done) - 1)["last"], start)
+        return F.concat(done, F.array(F.aggregate(xs, F.struct(before.alias("last"), F.expr(none).alias("out")), item)))
+
+    def all_of(xs: Column) -> Column:
+        parts = F.transform(F.sequence(F.lit(0), F.floor((F.size(xs) - 1) / BLOCK).cast("int")), lambda k: F.slice(xs, k * BLOCK + 1, F.lit(BLOCK)))
+        return F.flatten(F.transform(F.aggregate(parts, F.expr(blocks), block), lambda x: x["out"]))
+
+    return let(items, lambda xs: F.when(F.size(xs) > 0, all_of(xs)).otherwise(F.expr(none)))
+
+
+def let(x: Column, use: Callable[[Column], Column]) -> Column:
+    """use(x) with x computed once, though lambdas in `use` have it several times."""
+    return F.get(F.transform(F.array(x), use), F.lit(0))
+
+
+SPAN = "struct<start:int,stop:int,value:string>"
+
+
 def located(text: Column, pattern: str, group: int = 0) -> Column:
     """array<struct<start, stop, value>> of the leftmost non-overlapping matches; value: the group."""
     # a text between is before each match, and one is left over, with no match (null)
     found = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("match"), F.regexp_extract_all(text, F.lit(pattern), F.lit(group)).alias("value"))
-    none = F.expr("cast(array() as array<struct<start:int,stop:int,value:string>>)")
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["gap"])
-        stop = start + F.length(x["match"])
-        item = F.struct(start.alias("start"), stop.alias("stop"), x["value"].alias("value"))
-        return F.struct(F.coalesce(stop, start).alias("at"), F.when(x["match"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], F.array(item))).alias("out"))
+    def step(last: Column, x: Column) -> Column:
+        at = last["stop"] + F.length(x["gap"])
+        return F.struct(at.alias("start"), (at + F.coalesce(F.length(x["match"]), F.lit(0))).alias("stop"), F.when(x["match"].isNotNull(), x["value"]).alias("value"))
+
+    spans = scanned(found, F.expr(f"cast(named_struct('start', 0, 'stop', 0, 'value', null) as {SPAN})"), step, SPAN)
+    return F.when(text.rlike(pattern), F.filter(spans, lambda x: x["stop"] > x["start"])).otherwise(F.expr(f"cast(array() as array<{SPAN}>)"))
+
 
-    # appending copies what is there: blocks keep that short
-    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(found) - 1) / BLOCK).cast("int")), lambda b: F.slice(found, b * BLOCK + 1, F.lit(BLOCK)))
-    start = F.expr("cast(array() as array<struct<at:int,out:array<struct<start:int,stop:int,value:string>>>>)")
+def outside(hits: Column, base: Column) -> Column:
+    """The hits (struct<start, kind, stop>) that no span of base holds: in the order of starts, none before reaches as far."""
+    marked = F.concat(F.transform(base, lambda x: F.struct(x["start"].alias("start"), F.lit(0).alias("hit"), x["stop"].alias("stop"))), F.transform(hits, lambda x: F.struct(x["start"].alias("start"), F.lit(1).alias("hit"), x["stop"].alias("stop"))))
+    kind = "struct<start:int,stop:int,hit:int,reach:int>"
 
-    def block(done: Column, x: Column) -> Column:
-        at = F.coalesce(F.get(done, F.size(done) - 1)["at"], F.lit(0))
-        return F.concat(done, F.array(F.aggregate(x, F.struct(at.alias("at"), none.alias("out")), step)))
+    def step(last: Column, x: Column) -> Column:
+        reach = F.when(x["hit"] == 0, F.greatest(last["reach"], x["stop"])).otherwise(last["reach"])
+        return F.struct(x["start"].alias("start"), x["stop"].alias("stop"), x["hit"].alias("hit"), reach.alias("reach"))
 
-    return F.when(text.rlike(pattern), F.flatten(F.transform(F.aggregate(blocks, start, block), lambda x: x["out"]))).otherwise(none)
+    walked = scanned(F.array_sort(marked), F.expr(f"cast(named_struct('start', 0, 'stop', 0, 'hit', 0, 'reach', -1) as {kind})"), step, kind)
+    free = F.filter(walked, lambda x: (x["hit"] == 1) & (x["reach"] < x["stop"]))
+    return F.when(F.size(hits) > 0, F.transform(free, lambda x: F.struct(x["start"].alias("start"), F.lit(3).alias("kind"), x["stop"].alias("stop")))).otherwise(hits)
 
 
 def _n_log_n(n: int) -> float:
@@ -79,10 +112,10 @@ def entropy_range(value: Column) -> Column:
     """struct<first, last>: starts of the first and last window of enough entropy; -1 if none."""
     table = F.array(*[F.lit(_n_log_n(n)) for n in range(WINDOW + 1)])
     limit = F.when(value.rlike("^[0-9A-Fa-f]*$"), F.lit(_limit(THRESHOLDS["hex"]))).when(value.rlike("^[0-9A-Za-z]*$"), F.lit(_limit(THRESHOLDS["alnum"]))).otherwise(F.lit(_limit(THRESHOLDS["symbols"])))
-    codes = F.transform(F.split(value, ""), lambda c: F.ascii(c))
+    codes = F.transform(F.split(value, ""), lambda c: F.ascii(c) - LOWEST)
     # (entering, leaving, position) of each step; the first WINDOW characters enter and none leaves
     steps = F.transform(codes, lambda c, i: F.struct(c.alias("come"), F.when(i >= WINDOW, F.get(codes, i - WINDOW)).otherwise(-1).alias("go"), i.alias("i")))
-    zero = F.struct(F.array_repeat(F.lit(0), 128).alias("n"), F.lit(0.0).alias("sum"), F.lit(-1).alias("first"), F.lit(-1).alias("last"), limit.alias("limit"))
+    zero = F.struct(F.array_repeat(F.lit(0), KINDS_OF_CHARACTERS).alias("n"), F.lit(0.0).alias("sum"), F.lit(-1).alias("first"), F.lit(-1).alias("last"), limit.alias("limit"))
 
     def step(acc: Column, x: Column) -> Column:
         same = x["come"] == x["go"]
@@ -125,8 +158,8 @@ def secret_spans(docs: DataFrame) -> DataFrame:
         F.filter("scored", lambda x: x["range"]["first"] >= 0),
         lambda x: F.struct((x["start"] + x["range"]["first"]).alias("start"), F.lit(3).alias("kind"), (x["start"] + x["range"]["last"] + WINDOW).alias("stop")),
     )
-    new = F.filter(hits, lambda x: ~F.exists(base, lambda b: (b["start"] <= x["start"]) & (b["stop"] >= x["stop"])))
-    return rows.select("doc_id", "assign", "access", "hex", new.alias("entropy"))
+    rows = rows.select("doc_id", "assign", "access", "hex", hits.alias("hits"))
+    return rows.select("doc_id", "assign", "access", "hex", outside(F.col("hits"), base).alias("entropy"))
 
 
 def _any(tests: list[Column]) -> Column:
