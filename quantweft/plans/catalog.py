@@ -6,9 +6,9 @@ from collections.abc import Callable, Iterator
 
 from pyspark.sql import functions as F
 
-from quantweft.plans import book_queries, market_queries, more_queries, panel_queries, preparation_queries, risk_queries, stats_queries, stream_queries
+from quantweft.plans import book_queries, market_queries, more_queries, panel_queries, preparation_queries, risk_queries, session_queries, stats_queries, stream_queries
 
-GROUPS = (market_queries, panel_queries, preparation_queries, stats_queries, book_queries, risk_queries, stream_queries, more_queries)
+GROUPS = (market_queries, panel_queries, preparation_queries, stats_queries, book_queries, risk_queries, stream_queries, more_queries, session_queries)
 
 
 def _as_text(query, columns: list[str]):
