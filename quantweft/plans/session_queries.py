@@ -6,6 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quantweft.functions import market as M
+from quantweft.operators import exact_sums as E
 from quantweft.operators import sessions as O
 from quantweft.plans.market_queries import SQL_TICK
 from quantweft.sources import shapes as S
@@ -145,7 +146,22 @@ d as (select distinct cast(o_orderdate as date) as date from orders), p as (sele
 select p.date, prev, case when prev is not null then coalesce(string_agg(n.name, ',' order by n.name) filter (where t.date is null), '') end as missing from p cross join n left join t on t.date = p.prev and t.name = n.name group by p.date, prev"""
 
 
+def exact_rolling_mean(spark, sf):
+    """Mean of the last 60 values of a supplier; one in about 100 is 2**40 larger and must leave nothing behind."""
+    l = S.table(spark, sf, "lineitem").filter("l_extendedprice is not null")
+    spike = F.when(F.col("l_partkey") % 97 == 5, F.when(F.col("l_orderkey") % 2 == 0, 2.0**40).otherwise(-(2.0**40))).otherwise(0.0)
+    v = spike + F.rint(F.col("l_extendedprice") * 100) / 1024
+    order = ["l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice"]
+    return E.exact_rolling(l, v, ["l_suppkey"], order, 60, "depth").select("l_suppkey", "l_orderkey", "l_linenumber", "l_partkey", F.col("depth_n").alias("n"), r6("depth_mean").alias("mean"))
+
+
+EXACT_SQL = """with v as (select *, (case when l_partkey % 97 <> 5 then 0 when l_orderkey % 2 = 0 then 1125899906842624 else -1125899906842624 end)::hugeint + round_even(l_extendedprice * 100, 0)::hugeint as k from lineitem),
+w as (select l_suppkey, l_orderkey, l_linenumber, l_partkey, sum(k) over f as total, count(*) over f as n from v window f as (partition by l_suppkey order by l_shipdate, l_orderkey, l_linenumber, l_partkey, l_extendedprice rows between 59 preceding and current row))
+select l_suppkey, l_orderkey, l_linenumber, l_partkey, n, floor(total::double / 1024 / n * 1e6 + 0.5) / 1e6 as mean from w"""
+
+
 QUERIES = {
+    "exact_rolling_mean": (exact_rolling_mean, EXACT_SQL),
     "session_repair": (session_repair, REPAIR_SQL, "date"),
     "base_price": (base_price, BASE_PRICE_SQL, "date prev"),
     "previous_sessions": (previous_sessions, PREVIOUS_SQL, "date prev"),
