@@ -1,4 +1,4 @@
-"""Queries of session repair and base prices over all bars, with the SQL of the same results."""
+"""Queries of session repair, base prices, exact rolling means and selection reports, with the SQL of the same results."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quantweft.functions import market as M
 from quantweft.operators import exact_sums as E
+from quantweft.operators import selection_report as P
 from quantweft.operators import sessions as O
 from quantweft.plans.market_queries import SQL_TICK
 from quantweft.sources import shapes as S
@@ -160,7 +161,57 @@ w as (select l_suppkey, l_orderkey, l_linenumber, l_partkey, sum(k) over f as to
 select l_suppkey, l_orderkey, l_linenumber, l_partkey, n, floor(total::double / 1024 / n * 1e6 + 0.5) / 1e6 as mean from w"""
 
 
+def _rules(spark, sf):
+    """Candidates of each return flag: suppliers, their mean return by month (score) and by trade (pooled)."""
+    l = S.table(spark, sf, "lineitem")
+    value = F.rint(F.col("l_extendedprice") * (F.col("l_discount") - 0.05) / F.col("l_quantity"))
+    months = l.groupBy("l_returnflag", F.col("l_suppkey").alias("rule"), F.date_trunc("month", "l_shipdate").alias("month")).agg(F.sum(value).alias("total"), F.count(F.lit(1)).alias("n"))
+    rules = months.groupBy("l_returnflag", "rule").agg((F.rint(F.avg(F.rint(F.col("total") / F.col("n") * 64) / 64) * 1024) / 1024).alias("score"), (F.rint(F.sum("total") / F.sum("n") * 1024) / 1024).alias("pooled"), F.sum("n").alias("trades"))
+    return rules.withColumn("pooled", F.when(F.col("l_returnflag") != "A", F.col("pooled")).otherwise(F.when(F.col("rule") % 5 > 0, F.col("pooled"))))
+
+
+RULES_SQL = """months as (select l_returnflag, l_suppkey as rule, date_trunc('month', l_shipdate) as month, sum(round_even(l_extendedprice * (l_discount - 0.05::double) / l_quantity, 0)) as total, count(*) as n from lineitem group by all),
+rules0 as (select l_returnflag, rule, round_even(avg(round_even(total / n * 64, 0) / 64) * 1024, 0) / 1024 as score, round_even(sum(total) / sum(n) * 1024, 0) / 1024 as pooled, sum(n)::bigint as trades from months group by all),
+el as (select * replace (case when l_returnflag <> 'A' or rule % 5 > 0 then pooled end as pooled) from rules0 where trades >= 8), g as (select *, score - pooled as gap from el)"""
+
+
+def _rounded(df, names):
+    return df.select(*[(r6(c) if c in names else F.col(c)).alias(c) for c in df.columns])
+
+
+_REPORT = ("score_mean", "score_median", "score_sd", "score_max", "pooled_mean", "pooled_median", "gap_median", "gap_p90", "premium_vs_random", "premium_vs_median", "selected_gap", "selected_gap_pctile", "rho_n_vs_score", "rho_n_vs_absdev", "rho_n_vs_absgap", "delta_score", "delta_pooled", "delta_size")
+
+
+def selection_report(spark, sf):
+    return _rounded(P.selection_report(_rules(spark, sf), ["l_returnflag"], "rule", "score", "pooled", "trades", 8), _REPORT)
+
+
+_RANK = "rank() over (partition by l_returnflag order by {x}) + (count(*) over (partition by l_returnflag, {x}) - 1) / 2.0"
+REPORT_SQL = f"""with {RULES_SQL}, c as (select l_returnflag, count(*) as n_rows from rules0 group by 1),
+m as (select l_returnflag, count(*) as n_eligible, avg(score) as score_mean, quantile_cont(score, 0.5) as score_median, stddev_samp(score) as score_sd, max(score) as score_max, avg(pooled) as pooled_mean, quantile_cont(pooled, 0.5) as pooled_median,
+  quantile_cont(gap, 0.5) as gap_median, quantile_cont(gap, 0.9) as gap_p90, count(gap) as gaps from g group by 1),
+a as (select * from g qualify row_number() over (partition by l_returnflag order by score desc, rule) = 1), b as (select * from g where pooled is not null qualify row_number() over (partition by l_returnflag order by pooled desc, rule) = 1),
+x as (select g.*, abs(g.score - score_median) as dev, abs(g.gap) as ag, a.gap as ga from g join m using (l_returnflag) join a using (l_returnflag)),
+r as (select l_returnflag, gap, ga, {', '.join(f'{_RANK.format(x=x)} as r_{x}' for x in ('trades', 'score', 'dev', 'ag'))} from x),
+k as (select l_returnflag, corr(r_trades, r_score) as rho_n_vs_score, corr(r_trades, r_dev) as rho_n_vs_absdev, corr(r_trades, r_ag) as rho_ag, avg((gap <= ga)::int) as selected_gap_pctile from r group by 1),
+o as (select l_returnflag, n_rows, n_eligible, m.* exclude (l_returnflag, n_eligible, gaps), a.rule as selected, b.rule as selected_by_pooled, a.rule = b.rule as same_selection, a.score - score_mean as premium_vs_random, a.score - score_median as premium_vs_median, a.gap as selected_gap,
+  case when a.gap is not null then selected_gap_pctile end as selected_gap_pctile, rho_n_vs_score, rho_n_vs_absdev, case when gaps = n_eligible then rho_ag end as rho_n_vs_absgap, b.score - a.score as delta_score, b.pooled - a.pooled as delta_pooled, (b.trades - a.trades)::double as delta_size
+  from c join m using (l_returnflag) join a using (l_returnflag) left join b using (l_returnflag) join k using (l_returnflag))
+select * replace ({', '.join(f'floor({x} * 1e6 + 0.5) / 1e6 as {x}' for x in _REPORT)}) from o"""
+
+
+def size_quartiles(spark, sf):
+    return _rounded(P.size_quartiles(_rules(spark, sf), ["l_returnflag"], "rule", "score", "pooled", "trades", 8), ("score_mean", "score_sd", "absgap_median"))
+
+
+QUARTILES_SQL = f"""with {RULES_SQL}, q as (select l_returnflag, {', '.join(f'quantile_cont(trades, {i / 4}) as q{i}' for i in (1, 2, 3))} from g group by 1), p as (select g.*, 1 + (trades > q1)::int + (trades > q2)::int + (trades > q3)::int as quartile from g join q using (l_returnflag))
+select l_returnflag, quartile, min(trades)::double as n_lo, max(trades)::double as n_hi, count(*) as k, floor(avg(score) * 1e6 + 0.5) / 1e6 as score_mean, floor(stddev_samp(score) * 1e6 + 0.5) / 1e6 as score_sd, max(score) as score_max, floor(quantile_cont(abs(gap), 0.5) * 1e6 + 0.5) / 1e6 as absgap_median
+from p group by 1, 2"""
+
+
 QUERIES = {
+    "selection_report": (selection_report, REPORT_SQL),
+    "size_quartiles": (size_quartiles, QUARTILES_SQL),
     "exact_rolling_mean": (exact_rolling_mean, EXACT_SQL),
     "session_repair": (session_repair, REPAIR_SQL, "date"),
     "base_price": (base_price, BASE_PRICE_SQL, "date prev"),
