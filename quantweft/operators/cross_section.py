@@ -53,7 +53,7 @@ def rank_ic(panel: DataFrame, horizon: int, adv_floor: float = 0.0, adv_window:
     """(date, t, n, ic): rank correlation of signal and forward return by date; dates without spread are left out."""
     rows = eligible(panel, horizon, adv_floor, adv_window, start_index, min_names)
     rows = rows.withColumn("ra", X.average_rank("signal", "t")).withColumn("rb", X.average_rank("ret", "t"))
-    out = rows.groupBy("date", "t").agg(F.count(F.lit(1)).alias("n"), F.corr("ra", "rb").alias("ic"), F.stddev_pop("ra").alias("sa"), F.stddev_pop("rb").alias("sb"))
+    out = rows.groupBy("date", "t").agg(F.count(F.lit(1)).alias("n"), X.correlation("ra", "rb").alias("ic"), F.stddev_pop("ra").alias("sa"), F.stddev_pop("rb").alias("sb"))
     return out.filter((F.col("sa") > 0) & (F.col("sb") > 0)).select("date", "t", "n", r6("ic").alias("ic"))
 
 

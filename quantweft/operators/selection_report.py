@@ -60,8 +60,7 @@ def selection_report(rows: DataFrame, by: list[str], item: str, score: str, pool
     ranked = per.select("_g", "_size", "_score", "_dev", "_abs", "_under")
     for value in ("_size", "_score", "_dev", "_abs"):
         ranked = _ranks(ranked, value)
-    correlation = lambda x, y: F.try_divide(F.covar_pop(x, y), F.stddev_pop(F.when(F.col(y).isNotNull(), F.col(x))) * F.stddev_pop(y))
-    rho = ranked.groupBy("_g").agg(*[correlation("_size", c).alias(name) for c, name in (("_score", "rho_n_vs_score"), ("_dev", "rho_n_vs_absdev"), ("_abs", "rho_n_vs_absgap"))], F.avg("_under").alias("selected_gap_pctile"))
+    rho = ranked.groupBy("_g").agg(*[X.correlation("_size", c).alias(name) for c, name in (("_score", "rho_n_vs_score"), ("_dev", "rho_n_vs_absdev"), ("_abs", "rho_n_vs_absgap"))], F.avg("_under").alias("selected_gap_pctile"))
     s = s.join(rho, "_g", "left")
     enough = F.col("n_eligible") >= 2
     gap = F.col("a.score") - F.col("a.pooled")

@@ -33,6 +33,13 @@ def average_rank(value: Column | str, *partition: str) -> Column:
     return F.when(known, rank + (same - 1) / F.lit(2.0))
 
 
+def correlation(x: Column | str, y: Column | str) -> Column:
+    """Aggregate: correlation over rows where both are known; NULL without spread, where the built-in one raises."""
+    x, y = (F.col(c) if isinstance(c, str) else c for c in (x, y))
+    both = lambda c, other: F.when(other.isNotNull(), c)
+    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(both(x, y)) * F.stddev_pop(both(y, x)))
+
+
 def percent_rank(value: Column | str, *partition: str) -> Column:
     """Average rank over the number of known values."""
     v = F.col(value) if isinstance(value, str) else value

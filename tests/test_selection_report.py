@@ -8,6 +8,7 @@ import pandas as pd
 import pytest
 
 from quantweft.operators import selection_report as P
+from quantweft.operators import windows as X
 
 
 @pytest.fixture(scope="module")
@@ -81,3 +82,16 @@ def test_quartiles(pools):
 
 def test_empty(pools):
     assert not P.selection_report(pools.limit(0), *ARGS).collect() and not P.size_quartiles(pools.limit(0), *ARGS).collect()
+
+
+def test_correlation_without_spread(spark):
+    """A group whose values are all equal has no correlation; it must not end the job."""
+    rows = [(d, c, 1.0 if d == 1 else float(c), float((c * 7 + d) % 11)) for d in (1, 2, 3) for c in range(30)]
+    df = spark.createDataFrame(rows, "date int, code int, a double, b double")
+    got = {r.date: r.c for r in df.groupBy("date").agg(X.correlation("a", "b").alias("c")).collect()}
+    assert got[1] is None
+    for d in (2, 3):
+        assert got[d] == pytest.approx(np.corrcoef([float(c) for c in range(30)], [float((c * 7 + d) % 11) for c in range(30)])[0, 1])
+    # pairs with one side unknown do not count
+    holes = spark.createDataFrame([(1.0, 2.0), (2.0, 1.0), (3.0, 5.0), (None, 100.0), (100.0, None)], "a double, b double")
+    assert holes.agg(X.correlation("a", "b").alias("c")).first().c == pytest.approx(np.corrcoef([1, 2, 3], [2, 1, 5])[0, 1])
