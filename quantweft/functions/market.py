@@ -235,6 +235,17 @@ def in_regular_session(ts: Column | str) -> Column:
     return F.dayofweek(t).between(2, 6) & (minute >= 540) & (minute < 930)
 
 
+def previous_weekday(date: Column | str) -> Column:
+    """The last Monday to Friday before a date; holidays are not known here."""
+    d = _col(date).cast("date")
+    return F.date_sub(d, F.when(F.dayofweek(d) == 1, 2).when(F.dayofweek(d) == 2, 3).otherwise(1))
+
+
+def is_closed_day(date: Column | str, today: str) -> Column:
+    """Whether a date is before today, so that its data no longer change; an unknown date is not."""
+    return F.coalesce(_col(date).cast("date") < F.lit(today).cast("date"), F.lit(False))
+
+
 def past_cutoff(ts: Column | str, hhmm: str) -> Column:
     """Whether the clock has reached hhmm; a malformed cut-off never blocks."""
     parts = hhmm.split(":")

@@ -203,6 +203,18 @@ def performance_metrics(trades: DataFrame, pnl: Column, entry: str, exit_: str,
     )
 
 
+def monthly_sums(rows: DataFrame, by: list[str], month: str, order: str, value: str) -> DataFrame:
+    """(by, month, n, total): sums by month of values in the order of time; months that fall back in that order raise.
+
+    The order is checked on a row a month (its first and last time), not on the values.  NULL values count as 0, rows without
+    a month are one group before all others.
+    """
+    g = rows.groupBy(*by, month).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(value), F.lit(0.0)).alias("total"), F.min(order).alias("_lo"), F.max(order).alias("_hi"))
+    before = F.max("_hi").over(W.partitionBy(*by).orderBy(F.asc_nulls_first(month)).rowsBetween(UP, -1))
+    checked = F.when(before > F.col("_lo"), F.raise_error(F.lit("months are not in the order of time")).cast("double")).otherwise(F.col("total"))
+    return g.withColumn("total", checked).select(*by, month, "n", "total")
+
+
 def r_distribution(rows: DataFrame, value: str, by: list[str]) -> DataFrame:
     """(by, n, expectancy, tail3, payoff): single trades in units of risk; payoff is unknown without both wins and losses."""
     x = F.col(value)

@@ -9,6 +9,7 @@ from quantweft.functions import market as M
 from quantweft.operators import exact_sums as E
 from quantweft.operators import selection_report as P
 from quantweft.operators import sessions as O
+from quantweft.operators import statistics as T
 from quantweft.plans.market_queries import SQL_TICK
 from quantweft.sources import shapes as S
 from quantweft.sources.shapes import r6
@@ -209,7 +210,25 @@ select l_returnflag, quartile, min(trades)::double as n_lo, max(trades)::double
 from p group by 1, 2"""
 
 
+def monthly_sums(spark, sf):
+    o = S.table(spark, sf, "orders").select((F.col("o_custkey") % 60).alias("code"), F.date_trunc("month", "o_orderdate").cast("date").alias("month"), F.col("o_orderdate").alias("time"), F.rint("o_totalprice").alias("v"))
+    return T.monthly_sums(o, ["code"], "month", "time", "v")
+
+
+MONTHLY_SQL = "select o_custkey % 60 as code, cast(date_trunc('month', o_orderdate) as date) as month, count(*) as n, sum(round_even(o_totalprice, 0)) as total from orders group by 1, 2"
+
+
+def previous_weekdays(spark, sf):
+    """Weekday before each order and whether its day was over on a given one."""
+    return S.table(spark, sf, "orders").select("o_orderkey", M.previous_weekday("o_orderdate").alias("before"), M.is_closed_day("o_orderdate", "1997-01-01").alias("closed"))
+
+
+WEEKDAY_SQL = """select o_orderkey, cast(o_orderdate as date) - (case isodow(o_orderdate) when 7 then 2 when 1 then 3 else 1 end)::int as before, cast(o_orderdate as date) < date '1997-01-01' as closed from orders"""
+
+
 QUERIES = {
+    "monthly_sums": (monthly_sums, MONTHLY_SQL, "month"),
+    "previous_weekdays": (previous_weekdays, WEEKDAY_SQL, "before"),
     "selection_report": (selection_report, REPORT_SQL),
     "size_quartiles": (size_quartiles, QUARTILES_SQL),
     "exact_rolling_mean": (exact_rolling_mean, EXACT_SQL),
