@@ -88,9 +88,12 @@ def repeated_size(ticks: DataFrame, width: int) -> DataFrame:
 
 
 def cross_ranks(book: DataFrame) -> DataFrame:
-    """(code, day, slot, value_rank, return_rank) among codes of a slot, largest first, ties by code; unknown returns last."""
+    """(code, day, slot, value_rank, return_rank) among codes of a slot, largest first, ties by code; unknown returns last.
+
+    Values that differ by less than half a millionth are equal: sums of doubles depend on the order of the trades.
+    """
     w = by_slot()
-    cum = F.sum(F.col("buy") + F.col("sell")).over(w.rowsBetween(X.UP, 0))
+    cum = F.round(F.sum(F.col("buy") + F.col("sell")).over(w.rowsBetween(X.UP, 0)), 6)
     start = F.first("mid", ignorenulls=True).over(w.rowsBetween(X.UP, 0))
     g = book.withColumn("_c", cum).withColumn("_r", F.coalesce(F.try_divide(F.col("mid"), start) - 1, F.lit(-1e9)))
     rank = lambda c: F.row_number().over(W.partitionBy("day", "slot").orderBy(F.desc(c), "code")).cast("long")
