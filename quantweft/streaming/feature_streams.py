@@ -221,8 +221,8 @@ class FeatureStream(StatefulProcessor):
             columns = _Columns({c: v.copy() for c, v in held.items()}, base, *(kept[1:3] if kept else (0.0, 0.0)))
             made = columns.v2(repeated_sizes(buys, columns.slot)) if self.second else columns.v1()
         cut = max(0, len(held["buy"]) - RING)
-        before = lambda c, start: float(c[cut - 1]) if cut else start
-        totals = (before(columns.c_tot, kept[1] if kept else 0.0), before(columns.c_e, kept[2] if kept else 0.0))
+        # the order flow of the first slot kept counts as passed: without the slot before it comes out as 0 next time
+        totals = (float(columns.c_tot[cut - 1]) if cut else kept[1] if kept else 0.0, float(columns.c_e[cut]))
         buys = buys[buys[:, 0] > end - SIZES]
         self.ring.update((end, *totals, *(held[c][cut:].tolist() for c in HELD), *(buys[:, j].tolist() for j in range(4))))
         resume = max(begin, self.resume.get()[0] if self.resume.exists() else 0)
