@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import math
 from bisect import bisect_left
+from collections.abc import Iterator
+from heapq import heappop, heappush, heapreplace
 
 import numpy as np
 import pandas as pd
@@ -79,12 +81,47 @@ def order_flow(bid: str = "bid", ask: str = "ask", bid_qty: str = "bid_qty", ask
 
 def repeated_size(ticks: DataFrame, width: int) -> DataFrame:
     """(code, day, sec, size, times): the most frequent buy size of the last `width` seconds (ties: the smaller); one row a second with buys."""
-    buys = ticks.filter("side > 0").withColumn("size", F.floor(F.col("price")))
+    buys = ticks.filter("side > 0 and sec is not null").withColumn("size", F.floor(F.col("price")))
     ahead = buys.groupBy(*KEYS, "sec", "size").agg(F.count(F.lit(1)).alias("k"))
-    spread = ahead.select(*KEYS, F.explode(F.sequence("sec", F.col("sec") + width - 1)).alias("sec"), "size", "k").groupBy(*KEYS, "sec", "size").agg(F.sum("k").alias("k"))
-    seen = ahead.select(*KEYS, "sec").distinct()
-    best = spread.join(seen, [*KEYS, "sec"], "left_semi").groupBy(*KEYS, "sec").agg(F.max(F.struct("k", -F.col("size"))).alias("b"))
-    return best.select(*KEYS, "sec", (-F.col("b.col2")).alias("size"), F.col("b.k").alias("times"))
+    kinds = dict(ahead.dtypes)
+    schema = f"code {kinds['code']}, day {kinds['day']}, sec {kinds['sec']}, size long, times long"
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("sec")
+        size = [math.inf if unknown else int(v) for v, unknown in zip(pdf["size"], pdf["size"].isna(), strict=True)]
+        best = list(most_frequent(pdf["sec"].tolist(), size, pdf["k"].tolist(), width))
+        sec, size, times = zip(*best, strict=True)
+        known = pd.array([None if v == math.inf else v for v in size], dtype="Int64")
+        return pd.DataFrame({"code": pdf["code"].iloc[0], "day": pdf["day"].iloc[0], "sec": sec, "size": known, "times": times})
+
+    return ahead.groupBy(*KEYS).applyInPandas(run, schema)
+
+
+def most_frequent(sec: list[int], size: list[float], k: list[int], width: int) -> Iterator[tuple[int, float, int]]:
+    """(sec, size, times) of each second: the size with the largest sum of k in (sec - width, sec], the smaller of equal ones.
+
+    Rows are in the order of sec, one a second and size.  A heap holds a current entry of each size; an entry that its size has left
+    behind is corrected when it comes to the top, so the work of a row does not depend on the width.
+    """
+    now: dict[float, int] = {}
+    heap: list[tuple[int, float]] = []
+    old = i = 0
+    while i < len(sec):
+        at = sec[i]
+        while i < len(sec) and sec[i] == at:
+            now[size[i]] = now.get(size[i], 0) + k[i]
+            heappush(heap, (-now[size[i]], size[i]))
+            i += 1
+        while sec[old] <= at - width:
+            now[size[old]] -= k[old]
+            old += 1
+        while -heap[0][0] != (times := now[heap[0][1]]):
+            # more than now: lowered in its place if it is the size's only one, or left out
+            if times:
+                heapreplace(heap, (-times, heap[0][1]))
+            else:
+                heappop(heap)
+        yield at, heap[0][1], -heap[0][0]
 
 
 def cross_ranks(book: DataFrame) -> DataFrame:
