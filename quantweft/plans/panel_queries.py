@@ -9,7 +9,7 @@ from quantweft.operators import cross_section as B
 from quantweft.operators import windows as X
 from quantweft.sources import shapes as S
 from quantweft.sources.shapes import r6
-from quantweft.sources.staging import new_path
+from quantweft.sources.staging import new_path, written
 from quantweft.sources.yearly import YearlyCopy
 
 BARS = S.BARS_SQL
@@ -41,7 +41,7 @@ FINGERPRINT_SQL = f"with {BARS} select year(date)::int as year, count(*) as n, m
 
 def yearly_copy(spark, sf):
     """Bars copied by year in two revisions: the second has more rows in every third year, and only those are written again."""
-    bars = S.bars(spark, sf)
+    bars = written(S.bars(spark, sf), "bars")  # fingerprints and copies of both revisions read it
     copy = YearlyCopy(spark, new_path(spark, "yearly"))
     copy.refresh(bars.filter((F.year("date") % 3 != 0) | (F.col("code") % 5 != 0)))
     again = copy.refresh(bars)
