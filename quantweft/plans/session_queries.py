@@ -13,9 +13,11 @@ from quantweft.operators import statistics as T
 from quantweft.plans.market_queries import SQL_TICK
 from quantweft.sources import shapes as S
 from quantweft.sources.shapes import r6
+from quantweft.sources.staging import written
 
 #: Last second of the regular session, the closing auction, the date of later trading and that of today's ticks.
 LAST, AUCTION, SINCE, REFORM = 55920, 55800, "1995-01-02", "1993-06-07"
+BAR = (*O.PRICES, "volume", "trade_value", "last_sec")
 
 
 def market(spark, sf):
@@ -26,25 +28,32 @@ def market(spark, sf):
     l = S.table(spark, sf, "lineitem")
     px = F.greatest(F.rint(F.col("l_extendedprice") / F.col("l_quantity")), F.lit(1.0))
     s = (F.col("l_orderkey") * 37 + F.col("l_partkey") * 11 + F.col("l_linenumber") * 1009) % 39600
-    l = l.select(F.col("l_suppkey").alias("code"), F.date_trunc("week", "l_shipdate").cast("date").alias("date"), O.nearest_tick(px).alias("p"), F.col("l_quantity").cast("double").alias("q"), "l_discount", "l_linenumber", F.struct(F.when(s % 4 == 1, F.lit(AUCTION)).otherwise(s + 32400).alias("sec"), "l_orderkey", "l_linenumber", "l_partkey", O.nearest_tick(px)).alias("k"))
+    l = l.select(F.col("l_suppkey").alias("code"), F.date_trunc("week", "l_shipdate").cast("date").alias("date"), O.nearest_tick(px).alias("p"), F.col("l_quantity").cast("double").alias("q"), "l_discount", "l_linenumber", F.struct(F.when(s % 4 == 1, F.lit(AUCTION)).otherwise(s + 32400).alias("sec"), "l_orderkey", "l_linenumber", "l_partkey", O.nearest_tick(px).alias("p")).alias("k"))
 
-    def bars(rows):
-        return rows.groupBy("code", "date").agg(F.min_by("p", "k").alias("open"), F.max("p").alias("high"), F.min("p").alias("low"), F.max_by("p", "k").alias("close"), F.sum("q").alias("volume"), r6(F.sum(F.col("p") * F.col("q"))).alias("trade_value"), F.max("k")["sec"].alias("last_sec"))
+    def bars(prefix, only=None):
+        mine = (lambda c: c) if only is None else (lambda c: F.when(only, c))
+        first, last, p, q = F.min(mine(F.col("k"))), F.max(mine(F.col("k"))), mine(F.col("p")), mine(F.col("q"))
+        made = {"open": first["p"], "high": F.max(p), "low": F.min(p), "close": last["p"], "volume": F.sum(q), "trade_value": r6(F.sum(p * q)), "last_sec": last["sec"]}
+        return [c.alias(f"{prefix}{name}") for name, c in made.items()]
 
-    actions = l.filter("q = 50 and l_discount <= 0.02").select("code", "date", (1 - (F.col("l_linenumber") * 3 + 5) / 100.0).alias("factor"))
+    # bars of whole days and of regular sessions by one pass, written: every table below reads them
+    both = written(l.groupBy("code", "date").agg(*bars(""), *bars("r_", F.col("k.sec") <= LAST)), "market")
+    traded = both.select("code", "date", *BAR)
+    regular = both.filter("r_last_sec is not null").select("code", "date", *[F.col(f"r_{c}").alias(c) for c in BAR])
+
+    actions = written(l.filter("q = 50 and l_discount <= 0.02").select("code", "date", (1 - (F.col("l_linenumber") * 3 + 5) / 100.0).alias("factor")), "actions")
     events = O.actions_by_code(actions)
 
     def scaled(rows, columns):
         by = O.action_factor(F.col("events"), F.col("date"))
         return rows.join(events, "code", "left").select(*[(F.rint(F.col(c) * by) if c in columns else F.col(c)).alias(c) for c in rows.columns])
 
-    traded, regular = bars(l), bars(l.filter(F.col("k.sec") <= LAST))
     prices = F.col("code") % 5 == 3
     daily = scaled(traded.filter(prices), O.PRICES).unionByName(traded.filter(~prices)).drop("last_sec")
     late = F.col("code") % 4 == 1
     session = scaled(regular.filter(late), O.PRICES).unionByName(regular.filter(~late))
     session = session.withColumn("open", F.when((F.col("code") % 6 == 2) & (F.dayofmonth("date") % 5 == 0), F.col("open") + 37).otherwise(F.col("open")))
-    known = traded.select("code", "date", "close").join(regular.select("code", "date", F.col("close").alias("regular")), ["code", "date"], "left")
+    known = both.select("code", "date", "close", F.col("r_close").alias("regular"))
     before = F.lag(F.coalesce("regular", "close")).over(W.partitionBy("code").orderBy("date"))
     changes = known.withColumn("before", before).select("code", "date", "close", F.coalesce(F.floor((F.col("close") / F.col("before") - 1) * 1e4 + 0.5), F.lit(0)).alias("change_bp")).filter("(code + dayofmonth(date)) % 9 <> 4")
     return {
