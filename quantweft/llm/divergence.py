@@ -6,7 +6,7 @@ occurrences p = 1 + floor(SCALE * (count + 1) / (N + V)), N being the sum of its
 floor((p - q)^2 / q).  All of it is integer arithmetic.
 
 * Each kept term is one row: the language, the term and an array of (source index, count) of the sources that have it.
-* Higher-order functions emit, for each two sources of an array, what the two counts change; map-side aggregation sums
+* Each two sources of an array are rows with what the two counts change, made in generated code; map-side aggregation sums
   that by pair.  A source without the term has the same p for all such terms: these parts follow from how often each count occurs
   in a source, so a term costs the square of the sources that hold it, not of all.
 * Terms over the language's p are ranked by source; each task passes on its best RANKS of a source only.
@@ -32,6 +32,8 @@ from quantweft.llm import common as C
 
 SCALE = 1_000_000_000
 LEAST, RANKS = 3, 200
+#: SCALE * (count + 1) fits a long below this count.
+MOST_COUNT = 9_000_000_000
 #: Letters as they are, A-Z in lower case, all else a blank.
 LETTERS = bytes(i if i >= 0x80 or 0x61 <= i <= 0x7A else i + 32 if 0x41 <= i <= 0x5A else 0x20 for i in range(256))
 #: A task counts so many (language, source, term) at once before it passes them on.
@@ -83,8 +85,9 @@ def _plain(docs: DataFrame) -> DataFrame:
 
 
 def _p(count: str, total: str) -> str:
-    """SQL of p; in decimals, because SCALE * count may exceed a long."""
-    return f"(1L + (cast({SCALE} as decimal(10,0)) * cast({count} + 1 as decimal(20,0))) div cast({total} as decimal(20,0)))"
+    """SQL of p; in decimals where SCALE * count would exceed a long."""
+    wide = f"(cast({SCALE} as decimal(10,0)) * cast({count} + 1 as decimal(20,0))) div cast({total} as decimal(20,0))"
+    return f"(1L + if({count} < {MOST_COUNT}L, ({SCALE}L * ({count} + 1L)) div {total}, {wide}))"
 
 
 def _f(p: str, q: str) -> str:
@@ -129,14 +132,14 @@ class Audit:
     def pairs(self) -> DataFrame:
         """(lang, i, j, value) of each two sources of a language."""
         langs = self._sent(self.langs.select("lang", "v", "of"))
-        at = lambda x, c: f"get(of, {x}.i).{c}"
-        wide = self.vectors.filter("size(vector) > 1").join(langs, "lang")
-        entry = f"struct(e.i as i, {_p('e.n', at('e', 'total'))} as p, {at('e', 'zero')} as z)"
-        wide = wide.select("lang", F.expr(f"transform(vector, e -> {entry})").alias("vector"))
-        one = wide.select("lang", "vector", F.explode("vector").alias("a"))
+        entry = f"struct(e.i as i, {_p('e.n', 'get(of, e.i).total')} as p, get(of, e.i).zero as z)"
         change = f"{_f('a.p', 'b.p')} - {_f('a.p', 'b.z')} - {_f('a.z', 'b.p')} + {_f('a.z', 'b.z')}"
-        emitted = F.expr(f"transform(filter(vector, b -> b.i <> a.i), b -> struct(a.i as i, b.i as j, {change} as value))")
-        both = one.select("lang", F.explode(emitted).alias("x")).select("lang", "x.*")
+        wide = self.vectors.filter("size(vector) > 1").join(langs, "lang").select("lang", F.expr(f"transform(vector, e -> {entry})").alias("vector"))
+        # two explodes and a sum of their own, in generated code: a lambda is interpreted, and this runs for each two sources of a term.
+        # No vector is empty; outer, because Spark would else test the vectors first, which computes them again
+        one = wide.select("lang", "vector", F.explode_outer("vector").alias("a"))
+        two = one.select("lang", "a", F.explode_outer("vector").alias("b")).filter("a.i <> b.i")
+        both = two.groupBy("lang", F.col("a.i").alias("i"), F.col("b.i").alias("j")).agg(F.sum(F.expr(change)).alias("value"))
         # one of the two sources lacks the term
         seen = self.histogram.join(langs, "lang").select("lang", "i", "terms", "of", F.expr(_p("n", "get(of, i).total")).alias("p"))
         others = f"array(struct(i as i, b.i as j, terms * {_f('p', 'b.zero')} as value), struct(b.i as i, i as j, terms * {_f('b.zero', 'p')} as value))"
