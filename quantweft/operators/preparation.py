@@ -100,9 +100,9 @@ def risk_styles(panel: DataFrame, beta_window: int = 252, half_life: float = 63,
         mean = F.col(f"_s{sessions}") / F.col(f"_n{sessions}")
         level = level + weight * F.when((F.col(f"_n{sessions}") >= sessions // 2) & (mean > 0), F.ln(turns * mean))
     p = p.withColumn("liquidity", level)
-    regressed = R.rolling_beta(p.select("code", "t", "r", "m"), beta_window, half_life, least, resid_window)
-    own = p.select("code", "t", F.ln("_cap").alias("size"), "momentum", "liquidity", (F.col("ttm") / F.col("_cap")).alias("value"))
-    return own.join(regressed, ["code", "t"], "left").select("code", "t", "size", "beta", "momentum", F.col("resid_sd").alias("resid_vol"), "liquidity", "value")
+    own = p.select("code", "t", "r", "m", F.ln("_cap").alias("size"), "momentum", "liquidity", (F.col("ttm") / F.col("_cap")).alias("value"))
+    both = R.with_rolling_beta(own, beta_window, half_life, least, resid_window)
+    return both.select("code", "t", "size", "beta", "momentum", F.col("resid_sd").alias("resid_vol"), "liquidity", "value")
 
 
 def factor_returns(exposures: DataFrame, returns: DataFrame) -> DataFrame:

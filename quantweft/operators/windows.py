@@ -24,6 +24,18 @@ def densify(values: DataFrame, codes: DataFrame, dates: DataFrame, code: str = "
     return grid.join(values, [code, date], "left")
 
 
+#: Rows of a partition of `by_code`: windows one after the other hold a sort of it each.
+ROWS_A_TASK = 100_000
+
+
+def by_code(rows: DataFrame, tag: str, code: str = "code", most: int = ROWS_A_TASK) -> DataFrame:
+    """rows, written once, in as many partitions by code as keep each near `most` rows: windows by code need no other shuffle, and what a
+    task holds does not grow with the number of codes."""
+    rows = written(rows, tag)
+    least = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(max(least, -(-rows.count() // most)), code)
+
+
 def average_rank(value: Column | str, *partition: str) -> Column:
     """Rank from 1 within the partition; equal values share the mean of their ranks; NULL has none."""
     v = F.col(value) if isinstance(value, str) else value

@@ -13,6 +13,7 @@ from quantweft.operators import execution as E
 from quantweft.operators import preparation as Q
 from quantweft.operators import risk as R
 from quantweft.operators import space as SP
+from quantweft.operators import windows as X
 from quantweft.plans import panel_queries as P
 from quantweft.sources import shapes as S
 from quantweft.sources.shapes import r6
@@ -120,12 +121,13 @@ def rolling_beta(spark, sf):
 
 
 def _market_rows(panel):
-    """Every code and t: its return and the market's, by trade value."""
+    """Every code and t: its return and the market's, by trade value; in partitions by code of a bounded size."""
+    panel = X.by_code(panel, "market")
     r = F.try_divide(F.col("close"), F.lag("close").over(W.partitionBy("code").orderBy("t"))) - 1
     p = panel.withColumn("r", r).withColumn("r", F.when(F.abs("r") < 0.9, F.col("r")))
     known = F.when(F.col("r").isNotNull(), F.col("trade_value"))
     m = p.groupBy("t").agg((F.sum(F.col("r") * known) / F.sum(known)).alias("m"))
-    return p.join(m, "t")
+    return p.join(F.broadcast(m), "t")  # a row a session
 
 
 MARKET_SQL = f"""{PANEL}, mr as (select *, case when abs(close / lag(close) over (partition by code order by t) - 1) < 0.9 then close / lag(close) over (partition by code order by t) - 1 end as r, close / lag(close) over (partition by code order by t) - 1 as raw from panel),
