@@ -235,7 +235,8 @@ def solve(p: Problem, limits: Limits, risk_aversion: float = 1.0, steps: int = 8
                 return Solution(p.w_prev.copy(), INFEASIBLE, float(primal), float(dual), step)
             big = max(np.abs(w).max(), 1e-12), max(np.abs(q.alpha).max(), np.abs(ya).max(), 1e-12)
             ratio = np.sqrt((primal / big[0]) / max(dual / big[1], 1e-16))
-            if step % 100 == 0 and not 0.2 < ratio < 5:
+            # more names need it sooner; later seldom, so that the steps settle
+            if (step <= 2000 and not 0.5 < ratio < 2) or (step % 100 == 0 and not 0.2 < ratio < 5):
                 rho = float(np.clip(rho * ratio, 1e-6, 1e6))
                 invert = factored(rho)
     return Solution(p.w_prev.copy(), INACCURATE, float(primal), float(dual), steps)
