@@ -1,9 +1,11 @@
 """The two order-book feature sets (`lob.features_v1`, `lob.features_v2`) of a stream of ticks and quotes, row by row.
 
-State per (code, day), typed: the events of slots that are still open (a list), a ring of the last RING closed slots with what the
-longest window needs, and the slot at which output begins.  A timer closes each slot when the watermark has passed its end and
-sets the next, so empty slots come out too, and events that are late but within the watermark count.  A stream that starts within a
-session takes the events so far as its initial state: they fill the ring, and output resumes at the given slot.
+State per (code, day): the slots that are still open (a list of parts, one a batch: flows by slot, the rows that are the last of
+their slot in some way, and how often each quantity was bought; PART names the packed columns), a ring of the last RING closed
+slots with what the longest window needs, and the slot at which output begins.  A part has at most five rows a slot besides the
+quantities, however many events there were.  A timer closes each slot when the watermark has passed its end and sets the next, so
+empty slots come out too, and events that are late but within the watermark count.  A stream that starts within a session takes the
+events so far as its initial state: they fill the ring, and output resumes at the given slot.
 """
 
 from __future__ import annotations
@@ -23,39 +25,88 @@ from quantweft.operators.lob import INPUTS, V1, V2
 RING = 640
 #: Slots whose buys the repeated size looks at.
 SIZES = 10
-FLOWS = ["buy", "sell", "cnt", "n_buy", "max_buy", "buy_hi", "buy_lo"]
-HELD = [*FLOWS, *INPUTS]
+FLOWS = {"buy": np.add, "sell": np.add, "cnt": np.add, "n_buy": np.add, "max_buy": np.fmax, "buy_hi": np.fmax, "buy_lo": np.fmin}
+HELD = [*FLOWS, "buy_last", *INPUTS]
 EVENT = (
     "sec int, seq long, quote boolean, price double, volume double, side double, strength double, best_bid double, best_ask double, bid1 double, ask1 double, bidqty1 double, askqty1 double, bid_depth3 double, ask_depth3 double"
 )
 EVENT_COLUMNS = [c.split()[0] for c in EVENT.split(", ")]
-STATE = f"next int, c_tot double, c_e double, {', '.join(f'{c} array<double>' for c in HELD)}, b_slot array<double>, b_volume array<double>, b_order array<double>, b_price array<double>"
-
-
-def slot_inputs(events: pd.DataFrame, begin: int, end: int, unit: int) -> dict[str, np.ndarray]:
+#: Columns of the open slots: f_ of a slot, e_ of an event, b_ of a quantity bought in a slot.
+PART = {
+    "f_slot": "i4", **{f"f_{c}": "f8" for c in FLOWS}, **{f"e_{c}": {"sec": "i4", "seq": "i8", "quote": "?"}.get(c, "f8") for c in EVENT_COLUMNS},
+    "b_slot": "i4", "b_volume": "f8", "b_times": "f8",
+}
+OPEN = ", ".join(f"{c} binary" for c in PART)
+STATE = f"next int, c_tot double, c_e double, {', '.join(f'{c} array<double>' for c in HELD)}, b_slot array<double>, b_volume array<double>, b_times array<double>"
+
+
+def _packed(part: dict[str, np.ndarray]) -> tuple:
+    return tuple(part[c].tobytes() for c in PART)
+
+
+def _unpacked(row: tuple) -> dict[str, np.ndarray]:
+    return {c: np.frombuffer(bytes(x), kind) for (c, kind), x in zip(PART.items(), row, strict=True)}
+
+
+def _begins(*keys: np.ndarray) -> np.ndarray:
+    """Where each run of equal keys begins."""
+    new = np.ones(len(keys[0]), bool)
+    new[1:] = np.any([k[1:] != k[:-1] for k in keys], axis=0)
+    return np.flatnonzero(new)
+
+
+def _lasts(x: dict[str, np.ndarray], unit: int) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+    """Slots of the events e_, and for each the index of its last trade, trade with a price, buy with a price, quote with both sides
+    and quote; -1 where it has none."""
+    order = np.lexsort((x["e_seq"], x["e_sec"]))
+    slot = x["e_sec"][order] // unit
+    at = _begins(slot)
+    quote, priced = x["e_quote"], ~np.isnan(x["e_price"])
+    kinds = {"trade": ~quote, "priced": ~quote & priced, "bought": ~quote & priced & (x["e_side"] > 0), "valid": quote & (x["e_bid1"] > 0) & (x["e_ask1"] > 0), "quote": quote}
+    place = {k: np.maximum.reduceat(np.where(v[order], np.arange(len(order)), -1), at) for k, v in kinds.items()}
+    return slot[at], {k: np.where(i >= 0, order[i], -1) for k, i in place.items()}
+
+
+def merged(parts: list[dict[str, np.ndarray]], unit: int) -> dict[str, np.ndarray]:
+    """One part for several: a row of flows a slot, the last rows of each slot, a row a quantity and slot."""
+    x = {c: np.concatenate([np.zeros(0, kind), *(p[c] for p in parts)]) for c, kind in PART.items()}
+    order = np.argsort(x["f_slot"], kind="stable")
+    at = _begins(x["f_slot"][order])
+    out = {"f_slot": x["f_slot"][order][at], **{f"f_{c}": how.reduceat(x[f"f_{c}"][order], at) for c, how in FLOWS.items()}}
+    kept = np.unique(np.concatenate(list(_lasts(x, unit)[1].values())))
+    out |= {c: x[c][kept[kept >= 0]] for c in PART if c.startswith("e_")}
+    order = np.lexsort((x["b_volume"], x["b_slot"]))
+    at = _begins(x["b_slot"][order], x["b_volume"][order])
+    return out | {c: x[c][order][at] for c in ("b_slot", "b_volume")} | {"b_times": np.add.reduceat(x["b_times"][order], at)}
+
+
+def part_of(events: pd.DataFrame, unit: int) -> dict[str, np.ndarray]:
+    known = events.fillna({"seq": np.iinfo("i8").min})
+    x = {f"e_{c}": known[c].to_numpy(PART[f"e_{c}"]) for c in EVENT_COLUMNS}
+    trade = ~x["e_quote"]
+    slot, price, volume, side = (v[trade] for v in (x["e_sec"] // unit, x["e_price"], x["e_volume"], x["e_side"]))
+    value, bought, counted = price * volume, side > 0, (side > 0) & ~np.isnan(volume)
+    x |= {
+        "f_slot": slot, "f_buy": np.where(bought, np.nan_to_num(value), 0.0), "f_sell": np.where(side < 0, np.nan_to_num(value), 0.0), "f_cnt": np.ones(len(slot)), "f_n_buy": bought.astype(float),
+        "f_max_buy": np.where(bought, value, np.nan), **{f"f_{c}": np.where(bought, price, np.nan) for c in ("buy_hi", "buy_lo")},
+        "b_slot": slot[counted], "b_volume": volume[counted], "b_times": np.ones(counted.sum()),
+    }
+    return merged([x], unit)
+
+
+def slot_inputs(part: dict[str, np.ndarray], begin: int, end: int, unit: int) -> dict[str, np.ndarray]:
     """What `lob.slot_inputs` gives for slots begin .. end-1, NaN where it has NULL."""
     out = {c: np.zeros(end - begin) if c in ("buy", "sell", "cnt", "n_buy", "max_buy") else np.full(end - begin, np.nan) for c in HELD}
-    for slot, rows in events.groupby(events["sec"] // unit):
-        i = int(slot) - begin
-        t, q = rows[~rows["quote"].astype(bool)], rows[rows["quote"].astype(bool)]
-        if len(t):
-            value, side = t["price"] * t["volume"], t["side"]
-            bought = side > 0
-            out["buy"][i], out["sell"][i], out["cnt"][i], out["n_buy"][i] = value[bought].sum(), value[side < 0].sum(), len(t), bought.sum()
-            if bought.any():
-                out["max_buy"][i], out["buy_hi"][i], out["buy_lo"][i] = value[bought].max(), t["price"][bought].max(), t["price"][bought].min()
-            last = t.iloc[-1]
-            out["strength"][i], out["bid"][i], out["ask"][i] = last["strength"], last["best_bid"], last["best_ask"]
-            known = t["price"].dropna()
-            out["last"][i] = known.iloc[-1] if len(known) else np.nan
-        valid = q[(q["bid1"] > 0) & (q["ask1"] > 0)]
-        if len(valid):
-            last = valid.iloc[-1]
-            out["bid"][i], out["ask"][i] = last["bid1"], last["ask1"]
-            for c in ("bidqty1", "askqty1", "bid_depth3", "ask_depth3"):
-                out[c][i] = last[c]
-        if len(q):
-            out["bidqty1_raw"][i], out["askqty1_raw"][i] = q.iloc[-1]["bidqty1"], q.iloc[-1]["askqty1"]
+    for c in FLOWS:
+        out[c][part["f_slot"] - begin] = np.nan_to_num(part[f"f_{c}"]) if c == "max_buy" else part[f"f_{c}"]
+    slots, last = _lasts(part, unit)
+    for kind, columns in (
+        ("trade", {"strength": "strength", "bid": "best_bid", "ask": "best_ask"}), ("priced", {"last": "price"}), ("bought", {"buy_last": "price"}),
+        ("valid", {"bid": "bid1", "ask": "ask1", **{c: c for c in ("bidqty1", "askqty1", "bid_depth3", "ask_depth3")}}), ("quote", {"bidqty1_raw": "bidqty1", "askqty1_raw": "askqty1"}),
+    ):
+        some = last[kind] >= 0
+        for c, source in columns.items():
+            out[c][slots[some] - begin] = part[f"e_{source}"][last[kind][some]]
     return out
 
 
@@ -135,19 +186,22 @@ class _Columns:
         }
 
 
-def repeated_sizes(buys: np.ndarray, slots: np.ndarray) -> np.ndarray:
+def repeated_sizes(bought: np.ndarray, columns: _Columns) -> np.ndarray:
     """Of each slot: the most repeated quantity of the buys of the last SIZES slots (ties: the smaller) times its repeats times the last
-    price; 0 with fewer than two.  buys: rows (slot, volume, order, price)."""
-    out = np.zeros(len(slots))
-    if not len(buys):
-        return out
-    buys = buys[np.argsort(buys[:, 0], kind="stable")]
-    lo, hi = np.searchsorted(buys[:, 0], slots - SIZES, "right"), np.searchsorted(buys[:, 0], slots, "right")
-    for i in np.flatnonzero(hi - lo > 1):
-        some = buys[lo[i] : hi[i]]
-        volumes, times = np.unique(some[:, 1], return_counts=True)
-        out[i] = times.max() * volumes[np.argmax(times)] * some[np.argmax(some[:, 2]), 3]
-    return out
+    price; 0 with fewer than two.  bought: rows (slot, volume, times)."""
+    out = np.zeros(columns.n)
+    volumes, kind = np.unique(bought[:, 1], return_inverse=True)
+    at = (bought[:, 0].astype(int)[:, None] - columns.slot[0] + np.arange(SIZES)).ravel()
+    inside = (at >= 0) & (at < columns.n)
+    cell, where = np.unique((at * len(volumes) + np.repeat(kind, SIZES))[inside], return_inverse=True)
+    if len(cell):
+        times = np.bincount(where, np.repeat(bought[:, 2], SIZES)[inside])
+        slot, kind = np.divmod(cell, len(volumes))
+        order = np.lexsort((kind, -times, slot))
+        best = order[np.r_[True, slot[order][1:] != slot[order][:-1]]]
+        price = pd.Series(columns.x["buy_last"]).ffill(limit=SIZES - 1).to_numpy()
+        out[slot[best]] = np.nan_to_num(times[best] * volumes[kind[best]] * price[slot[best]])
+    return np.where(columns.sum("n_buy", SIZES) > 1, out, 0.0)
 
 
 class FeatureStream(StatefulProcessor):
@@ -156,7 +210,7 @@ class FeatureStream(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.open = handle.getListState("open", EVENT)
+        self.open = handle.getListState("open", OPEN)
         self.ring = handle.getValueState("ring", STATE)
         self.resume = handle.getValueState("resume", "slot int")
         self.timer = handle.getValueState("timer", "at long")
@@ -164,13 +218,17 @@ class FeatureStream(StatefulProcessor):
     def _end_of(self, day: Any, slot: int) -> int:
         return (calendar.timegm(day.timetuple()) + (slot + 1) * self.unit) * 1000
 
-    def _add(self, key: tuple, rows: pd.DataFrame) -> None:
+    def _add(self, key: tuple, rows: pd.DataFrame | Iterator[pd.DataFrame]) -> None:
         first = self.ring.get()[0] if self.ring.exists() else 0
-        rows = rows[(rows["sec"] >= first * self.unit) & (rows["sec"] < self.slots * self.unit)]
-        if not len(rows):
+        part = None
+        for some in [rows] if isinstance(rows, pd.DataFrame) else rows:
+            some = some[(some["sec"] >= first * self.unit) & (some["sec"] < self.slots * self.unit)]
+            if len(some):
+                fresh = part_of(some, self.unit)
+                part = merged([part, fresh], self.unit) if part else fresh
+        if part is None:
             return
-        plain = rows[EVENT_COLUMNS].astype(object).where(rows[EVENT_COLUMNS].notna(), None)
-        self.open.appendList(list(plain.itertuples(index=False, name=None)))
+        self.open.appendList([_packed(part)])
         if not self.timer.exists():
             self._wake(key, first)
 
@@ -185,8 +243,7 @@ class FeatureStream(StatefulProcessor):
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         if not pd.isna(key[0]):  # else a mark of time alone
-            for part in rows:
-                self._add(key, part)
+            self._add(key, rows)
         yield from ()
 
     def handleExpiredTimer(self, key: tuple, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
@@ -200,31 +257,31 @@ class FeatureStream(StatefulProcessor):
             self._wake(key, max(begin, end))
 
     def _closed(self, key: tuple, kept: tuple | None, begin: int, end: int) -> pd.DataFrame:
-        events = pd.DataFrame(list(self.open.get()), columns=EVENT_COLUMNS)
-        late = events["sec"] >= end * self.unit
-        left = events[late].astype(object).where(events[late].notna(), None)
+        part = merged([_unpacked(row) for row in self.open.get()], self.unit)
+        late = {"f": part["f_slot"] >= end, "e": part["e_sec"] >= end * self.unit, "b": part["b_slot"] >= end}
+        now = {c: v[~late[c[0]]] for c, v in part.items()}
         self.open.clear()
-        if len(left):
-            self.open.put(list(left.itertuples(index=False, name=None)))
-        now = events[~late].sort_values(["sec", "seq"]).astype({c: float for c in EVENT_COLUMNS[3:]})
+        if late["f"].any() or late["e"].any():
+            self.open.put([_packed({c: v[late[c[0]]] for c, v in part.items()})])
         fresh = slot_inputs(now, begin, end, self.unit)
         old = dict(zip(HELD, (np.array(x, float) for x in kept[3 : 3 + len(HELD)]), strict=True)) if kept else {c: np.zeros(0) for c in HELD}
         held = {c: np.concatenate([old[c], fresh[c]]) for c in HELD}
         for c in INPUTS:
             held[c] = _filled(held[c])
         base = end - len(held["buy"])
-        bought = now[~now["quote"].astype(bool) & (now["side"] > 0)]
-        buys = np.column_stack([bought["sec"] // self.unit, bought["volume"], np.arange(len(bought)) + 1e9 * begin, bought["price"]]).astype(float)
+        bought = np.column_stack([now["b_slot"], now["b_volume"], now["b_times"]])
         if kept:
-            buys = np.concatenate([np.column_stack([np.array(x, float) for x in kept[-4:]]).reshape(-1, 4), buys])
+            bought = np.concatenate([np.column_stack([np.array(x, float) for x in kept[-3:]]), bought])
         with np.errstate(divide="ignore", invalid="ignore"):
             columns = _Columns({c: v.copy() for c, v in held.items()}, base, *(kept[1:3] if kept else (0.0, 0.0)))
-            made = columns.v2(repeated_sizes(buys, columns.slot)) if self.second else columns.v1()
+            made = columns.v2(repeated_sizes(bought, columns)) if self.second else columns.v1()
         cut = max(0, len(held["buy"]) - RING)
         # the order flow of the first slot kept counts as passed: without the slot before it comes out as 0 next time
         totals = (float(columns.c_tot[cut - 1]) if cut else kept[1] if kept else 0.0, float(columns.c_e[cut]))
-        buys = buys[buys[:, 0] > end - SIZES]
-        self.ring.update((end, *totals, *(held[c][cut:].tolist() for c in HELD), *(buys[:, j].tolist() for j in range(4))))
+        bought = bought[bought[:, 0] > end - SIZES]
+        if end >= self.slots:  # nothing follows: only the slot, against late events
+            cut, bought = len(held["buy"]), bought[:0]
+        self.ring.update((end, *totals, *(held[c][cut:].tolist() for c in HELD), *(bought[:, j].tolist() for j in range(3))))
         resume = max(begin, self.resume.get()[0] if self.resume.exists() else 0)
         some = slice(len(held["buy"]) - (end - resume), None) if resume < end else slice(0, 0)
         out = pd.DataFrame({c: made[c][some] for c in (V2 if self.second else V1)})
