@@ -6,6 +6,9 @@ under bounds by name (long only, largest weight, share of a day's trade, no buyi
 bands, beta, factor exposures) and a bound of turnover.  The limits are split: one copy of the weights takes bounds and costs by
 name, one takes the linear totals, one the turnover, and each projects in closed form (alternating directions of multipliers).  The step
 that makes the copies agree solves a diagonal plus a few columns: work in proportion to names x (factors + totals).
+
+Where each name has a variance of its own, a date takes the shorter way of `by_multipliers`: given a multiplier for each factor and total and
+one for the turnover, every weight has a closed form, and Newton steps find these few numbers.
 """
 
 from __future__ import annotations
@@ -242,6 +245,165 @@ def solve(p: Problem, limits: Limits, risk_aversion: float = 1.0, steps: int = 8
     return Solution(p.w_prev.copy(), INACCURATE, float(primal), float(dual), steps)
 
 
+def _nearest_end(hess: np.ndarray, slope: np.ndarray, start: np.ndarray, bounded: np.ndarray) -> np.ndarray:
+    """argmin z'hess z / 2 - slope'z with z >= 0 where bounded: active sets from that of `start` (hess positive definite, start >= 0 there)."""
+    z, held = start.copy(), ~bounded | (start > 0)
+    for _ in range(20 * len(z)):
+        want = np.zeros_like(z)
+        want[held] = np.linalg.solve(hess[np.ix_(held, held)], slope[held])
+        below = held & bounded & (want < 0)
+        if below.any():
+            part = z[below] / (z[below] - want[below])
+            z = np.where(held, z + part.min() * (want - z), 0.0)
+            held[np.flatnonzero(below)[part == part.min()]] = False
+            z[~held] = 0.0
+            continue
+        z = want
+        gain = np.where(held, 0.0, (slope - hess @ z) / np.sqrt(np.diag(hess)))
+        if gain.max(initial=0.0) <= 1e-13 * np.abs(slope / np.sqrt(np.diag(hess))).max():
+            break
+        held[np.argmax(gain)] = True
+    return z
+
+
+def _box(p: Problem, limits: Limits, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bounds by name that turnover and budget imply."""
+    if limits.max_turnover is not None:
+        lo, hi = np.maximum(lo, p.w_prev - limits.max_turnover), np.minimum(hi, p.w_prev + limits.max_turnover)
+    if limits.budget is not None and np.isfinite(lo).all():
+        hi = np.minimum(hi, lo + (limits.budget - lo.sum()))
+    return lo, hi
+
+
+def _unreachable(a: np.ndarray, tau: float, reach: float, p: Problem, lo: np.ndarray, hi: np.ndarray) -> bool:
+    """Whether no weights within these bounds have a'w + tau |dw| as low as `reach`, which all that keep the totals and the turnover have."""
+    size = max(float(np.abs(a).max(initial=0.0)), tau)
+    if size == 0:
+        return False
+    a, tau = a / size, tau / size
+    w = np.where(np.abs(a) <= tau + 1e-12, np.clip(p.w_prev, lo, hi), np.where(a > 0, lo, hi))
+    return bool(np.isfinite(w).all() and float(a @ w) + tau * float(np.abs(w - p.w_prev).sum()) > reach / size + 1e-7)
+
+
+def by_multipliers(p: Problem, limits: Limits, risk_aversion: float = 1.0, steps: int = 200, tol: float = 1e-8) -> Solution | None:
+    """The weights of `solve` where all d > 0, or None if they are not found so.
+
+    The dual function of the multipliers (factors, totals with a bound above or below, turnover) is concave and smooth, those of inequalities
+    are not negative: each step finds the best end of a quadratic model under these signs, and is halved until the function rises.  A step
+    costs names x (factors + totals)^2; their number does not grow with the names.
+    """
+    if not (p.d > 0).all() or not all(np.isfinite(v).all() for v in (p.alpha, p.x, p.d, p.w_prev)):
+        return None
+    lo, hi = by_name(p, limits)
+    rows, low, high = totals(p, limits)
+    if (lo > hi + 1e-12).any():
+        return Solution(p.w_prev.copy(), INFEASIBLE, np.inf, np.inf, 0)
+    hi = np.maximum(lo, hi)
+    norm = np.sqrt((rows * rows).sum(1))
+    norm[norm == 0] = 1.0
+    rows, low, high = rows / norm[:, None], low / norm, high / norm
+    vals, vecs = np.linalg.eigh((p.f + p.f.T) / 2)
+    g = np.concatenate([p.x @ (vecs * np.sqrt(np.clip(vals, 0, None))), rows.T], axis=1)
+    k, m = p.x.shape[1], len(rows)
+    # multipliers: factors, totals held at one value, above, below, turnover
+    fixed, above, below = np.flatnonzero(low == high), np.flatnonzero((low < high) & np.isfinite(high)), np.flatnonzero((low < high) & np.isfinite(low))
+    turned = int(limits.max_turnover is not None)
+    unit = np.eye(k + m + turned)
+    to = np.concatenate([unit[:, :k], unit[:, k + fixed], unit[:, k + above], -unit[:, k + below], unit[:, k + m :]], axis=1)
+    price = np.concatenate([np.zeros(k), low[fixed], high[above], -low[below], [limits.max_turnover] * turned])
+    bounded = np.arange(len(price)) >= k + len(fixed)
+    curve = np.where(np.arange(len(price)) < k, 1 / risk_aversion, 0.0)
+    own = risk_aversion * p.d
+    half = 1.5 * np.broadcast_to(p.impact, own.shape)
+    gain = p.alpha - p.tilt
+
+    def moves(over: np.ndarray) -> np.ndarray:
+        """How far a name trades for a gain of `over` above its proportional costs."""
+        over = np.maximum(over, 0)
+        r = 2 * over / np.maximum(half + np.sqrt(half * half + 4 * own * over), 1e-300)
+        return r * r
+
+    def at(z: np.ndarray) -> tuple[float, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Minus the dual function, its gradient, the weights, and the gains above the costs of buying and of selling."""
+        x = to @ z
+        c = gain - g @ x[: k + m]
+        e, paid = c - own * p.w_prev, p.linear + (x[-1] if turned else 0.0)
+        w = np.clip(p.w_prev + np.sign(e) * moves(np.abs(e) - paid), lo, hi)
+        moved = np.abs(w - p.w_prev)
+        value = float(np.sum((0.5 * own * w - c) * w + paid * moved + half / 1.5 * moved**1.5)) - 0.5 * float(curve @ (z * z)) - float(price @ z)
+        grad = to.T @ np.r_[g.T @ w, [moved.sum()] * turned] - curve * z - price
+        return -value, -grad, w, e - paid, -e - paid
+
+    def slopes(buy: np.ndarray, sell: np.ndarray, width: float) -> tuple[np.ndarray, np.ndarray]:
+        """How much more is bought and less sold a unit of price, on average within `width` of it."""
+        bought = np.clip(p.w_prev + moves(buy + width), lo, hi) - np.clip(p.w_prev + moves(buy - width), lo, hi)
+        sold = np.clip(p.w_prev - moves(sell - width), lo, hi) - np.clip(p.w_prev - moves(sell + width), lo, hi)
+        return bought / (2 * width), sold / (2 * width)
+
+    def left(z: np.ndarray, grad: np.ndarray) -> float:
+        """Largest residual: of a bounded multiplier at 0 only what would raise it."""
+        return float(np.abs(np.where(bounded & (z <= 0), np.minimum(grad, 0), grad)).max(initial=0.0))
+
+    most = to.T**2 @ np.r_[(g * g).T @ (1 / own), [np.sum(1 / own)] * turned] + curve
+    most[most == 0] = 1.0
+    z = np.zeros(len(price))
+    value, grad, w, buy, sell = at(z)
+    box = _box(p, limits, lo, hi)
+    # a few names are between their bounds at one price, many within a step of it: their slopes are averaged over the last one
+    widest = float(np.abs(buy).max(initial=0.0)) or 1.0
+    width = widest
+    damp = 1e-9
+    step = 0
+    for step in range(1, steps + 1):
+        residual = left(z, grad)
+        if residual <= 1e-3 * tol:
+            break
+        if step % 4 == 0:
+            x = to @ z
+            if _unreachable(rows.T @ x[k : k + m], float(x[-1]) if turned else 0.0, float(price @ z), p, *box):
+                return Solution(p.w_prev.copy(), INFEASIBLE, np.inf, np.inf, step)
+        more, less = slopes(buy, sell, width)
+        both = more + less
+        loose = np.flatnonzero(both)
+        hess = (g[loose] * both[loose, None]).T @ g[loose]
+        if turned:
+            side = g[loose].T @ (more - less)[loose]
+            hess = np.block([[hess, side[:, None]], [side[None], both.sum()]])
+        hess = to.T @ hess @ to + np.diag(curve)
+        if not np.isfinite(hess).all():
+            return None
+        for _ in range(30 if residual > tol else 1):
+            model = hess + np.diag(damp * most)
+            move = _nearest_end(model, model @ z - grad, z, bounded) - z
+            fall, size = float(grad @ move), 1.0
+            for _ in range(8):
+                new = at(np.where(bounded, np.maximum(z + size * move, 0), z + size * move))
+                if new[0] <= value + 1e-4 * size * fall or (new[0] <= value + 1e-13 * abs(value) and left(z + size * move, new[1]) < 0.5 * residual):
+                    break
+                size /= 2
+            else:
+                damp = min(max(damp * 30, 1e-9), 1e6)
+                continue
+            break
+        else:
+            break
+        z = np.where(bounded, np.maximum(z + size * move, 0), z + size * move)
+        width = max(float(np.mean(np.abs(new[3] - buy))) / 2, 1e-11 * widest)
+        value, grad, w, buy, sell = new
+        damp = max(damp / 10, 1e-12) if size == 1 else min(damp * 3, 1e6)
+    residual = left(z, grad)
+    if not residual <= tol:  # an unknown one neither
+        return None
+    x = to @ z
+    tau = float(x[-1]) if turned else 0.0
+    total = x[k : k + m]
+    # of what a weight that stays is pushed by, its cost and the turnover take their shares
+    pushed = np.where(w == p.w_prev, np.clip((buy - sell) / 2 / np.maximum(p.linear + tau, 1e-300), -1, 1), np.sign(w - p.w_prev))
+    traded = tau * pushed
+    name = p.alpha - risk_aversion * p.covariance_times(w) - rows.T @ total - traded
+    return Solution(w, OPTIMAL, residual, residual, step, (name, total / norm, traded))
+
+
 OPTIONAL = ("linear", "tilt", "impact", "sector", "benchmark", "beta", "capacity", "no_buy", "no_trade")
 
 
@@ -258,7 +420,7 @@ def optimize_panel(rows: DataFrame, factors: list[str], factor_cov: np.ndarray,
         number = lambda c: pdf[c].to_numpy(float)
         given = {c: pdf[c].to_numpy() if c == "sector" else pdf[c].to_numpy(bool) if c.startswith("no_") else number(c) for c in extra}
         p = Problem(number("alpha"), pdf[factors].to_numpy(float), factor_cov, number("d"), number("w_prev"), list(factors), **given)
-        s = solve(p, limits, risk_aversion)
+        s = by_multipliers(p, limits, risk_aversion) or solve(p, limits, risk_aversion)
         dw = s.w - p.w_prev
         risk = float(np.sqrt(max(s.w @ p.covariance_times(s.w), 0.0)))
         return pd.DataFrame({"date": pdf["date"], "code": pdf["code"], "w": s.w, "status": s.status, "alpha": float(p.alpha @ s.w), "risk": risk, "cost": p.cost(dw), "turnover": float(np.abs(dw).sum())})
