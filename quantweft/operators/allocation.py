@@ -290,7 +290,7 @@ def by_multipliers(p: Problem, limits: Limits, risk_aversion: float = 1.0, steps
 
     The dual function of the multipliers (factors, totals with a bound above or below, turnover) is concave and smooth, those of inequalities
     are not negative: each step finds the best end of a quadratic model under these signs, and is halved until the function rises.  A step
-    costs names x (factors + totals)^2; their number does not grow with the names.
+    costs names x (factors + totals)^2; their number hardly grows with the names.
     """
     if not (p.d > 0).all() or not all(np.isfinite(v).all() for v in (p.alpha, p.x, p.d, p.w_prev)):
         return None
